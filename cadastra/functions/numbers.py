@@ -22,6 +22,8 @@ def day(value: str | dt.date | Column) -> Column:
 def half_up(c: Column | str, dp: int = 0) -> Column:
     """Round with .5 going towards plus infinity, as the published figures do."""
     scale = float(10**dp)
+    if isinstance(c, str):
+        return F.expr(f"CAST(floor(CAST(`{c}` AS DOUBLE) * {scale}D + 0.5D) AS DOUBLE) / {scale}D")
     return F.floor(as_col(c).cast("double") * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
 
 
@@ -37,7 +39,7 @@ def mean(c: Column | str, dp: int = 0) -> Column:
 
 def count_where(cond: Column) -> Column:
     """Number of rows where the condition is true; 0 for none, never null."""
-    return F.count(F.when(cond, F.lit(1)))
+    return F.count_if(cond)
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESOLUTION = 2048
@@ -33,24 +33,21 @@ class Pick:
     mode: str = "median"
     p: float = 0.5
 
-    def ranks(self, n: Column) -> tuple[Column, Column]:
+    def ranks(self) -> tuple[str, str]:
+        """First and second 0-based rank wanted out of ``_total`` values, as SQL text."""
         if self.mode == "median":
-            return F.floor((n - 1) / 2), F.floor(n / 2)
+            return "(_total - 1) DIV 2", "_total DIV 2"
         if self.mode == "upper":
-            at = F.floor(n / 2)
+            at = "_total DIV 2"
         elif self.mode == "floor":
-            at = F.least(n - 1, F.floor(F.lit(self.p) * n))
+            at = f"least(_total - 1, CAST(floor({self.p}D * _total) AS BIGINT))"
         elif self.mode == "nearest":
-            at = F.floor((n - 1) * F.lit(self.p) + F.lit(0.5))
+            at = f"CAST(floor((_total - 1) * {self.p}D + 0.5D) AS BIGINT)"
         else:
             raise ValueError(f"unknown quantile mode {self.mode}")
         return at, at
 
 
-def _bucket(v: Column, resolution: int) -> Column:
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(float(resolution))).cast("long")
-
-
 def order_statistics(
     df: DataFrame,
     keys: Sequence[str],
@@ -74,46 +71,40 @@ def order_statistics(
         long = wide.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p._m", "_p._v")
     counts = (
         long.filter(F.col("_v").isNotNull())
-        .groupBy(*keys, "_m", _bucket(F.col("_v"), resolution).alias("_b"), "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy(*keys, "_m", F.expr(f"floor(signum(_v) * log1p(abs(_v)) * {resolution}D)").alias("_b"), "_v")
+        .agg(F.expr("count(1)").alias("_n"))
     )
     return _pick_from_counts(counts, keys, names, picks)
 
 
 def _pick_from_counts(counts: DataFrame, keys: list[str], names: list[str], picks: Mapping[str, Pick]) -> DataFrame:
     group = [*keys, "_m"]
-    over_group = Window.partitionBy(*group)
-    running = over_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = (
-        counts.groupBy(*group, "_b")
-        .agg(F.sum("_n").alias("_bn"))
-        .withColumn("_end", F.sum("_bn").over(running))
-        .withColumn("_total", F.sum("_bn").over(over_group))
-        .withColumn("_start", F.col("_end") - F.col("_bn"))
+    over = ", ".join(f"`{g}`" for g in group)
+    running = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    buckets = counts.groupBy(*group, "_b").agg(F.expr("sum(_n)").alias("_bn")).selectExpr(
+        *[f"`{g}`" for g in group], "_b",
+        f"sum(_bn) OVER (PARTITION BY {over} ORDER BY _b {running}) - _bn AS _start",
+        f"sum(_bn) OVER (PARTITION BY {over} ORDER BY _b {running}) AS _end",
+        f"sum(_bn) OVER (PARTITION BY {over}) AS _total",
     )
-    total = F.col("_total")
-
-    def hit(name: str, lo: Column, hi: Column) -> tuple[Column, Column]:
-        pick = picks[name]
-        mine = F.col("_m") == names.index(pick.measure)
-        first, second = pick.ranks(total)
-        return mine & (first >= lo) & (first < hi), mine & (second >= lo) & (second < hi)
-
-    wanted = F.lit(False)
-    for name in picks:
-        a, b = hit(name, F.col("_start"), F.col("_end"))
-        wanted = wanted | a | b
+
+    def hits(pick: Pick, lo: str, hi: str) -> list[str]:
+        return [f"(_m = {names.index(pick.measure)} AND {r} >= {lo} AND {r} < {hi})" for r in pick.ranks()]
+
+    wanted = " OR ".join(h for pick in picks.values() for h in hits(pick, "_start", "_end"))
     targets = buckets.filter(wanted).select(*group, "_b", "_start", "_total")
-    inside = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (
-        counts.join(targets, [*group, "_b"])
-        .withColumn("_hi", F.col("_start") + F.sum("_n").over(inside))
-        .withColumn("_lo", F.col("_hi") - F.col("_n"))
+    ranked = counts.join(targets, [*group, "_b"]).selectExpr(
+        *[f"`{g}`" for g in group], "_v", "_total",
+        f"_start + sum(_n) OVER (PARTITION BY {over}, _b ORDER BY _v {running}) - _n AS _lo",
+        f"_start + sum(_n) OVER (PARTITION BY {over}, _b ORDER BY _v {running}) AS _hi",
     )
     aggs = []
-    for name in picks:
-        a, b = hit(name, F.col("_lo"), F.col("_hi"))
-        aggs.append((F.max(F.when(a, F.col("_v"))) / 2 + F.max(F.when(b, F.col("_v"))) / 2).alias(name))
+    for name, pick in picks.items():
+        first, second = hits(pick, "_lo", "_hi")
+        if first == second:
+            aggs.append(F.expr(f"max(CASE WHEN {first} THEN _v END)").alias(name))
+        else:
+            aggs.append(F.expr(f"max(CASE WHEN {first} THEN _v END) / 2 + max(CASE WHEN {second} THEN _v END) / 2").alias(name))
     return ranked.groupBy(*keys).agg(*aggs)
 
 
