@@ -26,7 +26,8 @@ class Pick:
     """One wanted statistic of one measure.
 
     ``mode``: ``median`` (mean of the two middles), ``upper`` (the upper middle),
-    ``floor`` (index floor(p*n), at most n-1), ``nearest`` (index round((n-1)*p)).
+    ``floor`` (index floor(p*n), at most n-1), ``nearest`` (index round((n-1)*p)), ``count``
+    (how many values there are).
     """
 
     measure: str
@@ -35,6 +36,8 @@ class Pick:
 
     def ranks(self) -> tuple[str, str]:
         """First and second 0-based rank wanted out of ``_total`` values, as SQL text."""
+        if self.mode == "count":
+            return "0", "0"
         if self.mode == "median":
             return "(_total - 1) DIV 2", "_total DIV 2"
         if self.mode == "upper":
@@ -53,26 +56,31 @@ def order_statistics(
     keys: Sequence[str],
     measures: Mapping[str, Column],
     picks: Mapping[str, Pick],
+    weight: str | None = None,
     resolution: int = RESOLUTION,
 ) -> DataFrame:
     """One row per group with every statistic in ``picks``.
 
+    ``weight`` names a count column when a row stands for several equal ones.
+
     ``measures`` maps a name to a Column that is null where the row does not take part.
     A group whose measures are all null gives no row; join the result to the grouped
     base to keep it.
     """
     keys = list(keys)
     names = list(measures)
-    wide = df.select(*keys, *[measures[m].cast("double").alias(f"_v{i}") for i, m in enumerate(names)])
+    carried = [F.col(weight).alias("_w")] if weight else []
+    each = ["_w"] if weight else []
+    wide = df.select(*keys, *carried, *[measures[m].cast("double").alias(f"_v{i}") for i, m in enumerate(names)])
     if len(names) == 1:
-        long = wide.select(*keys, F.lit(0).alias("_m"), F.col("_v0").alias("_v"))
+        long = wide.select(*keys, *each, F.lit(0).alias("_m"), F.col("_v0").alias("_v"))
     else:
         pairs = F.array(*[F.struct(F.lit(i).alias("_m"), F.col(f"_v{i}").alias("_v")) for i in range(len(names))])
-        long = wide.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p._m", "_p._v")
+        long = wide.select(*keys, *each, F.explode(pairs).alias("_p")).select(*keys, *each, "_p._m", "_p._v")
     counts = (
         long.filter(F.col("_v").isNotNull())
         .groupBy(*keys, "_m", F.expr(f"floor(signum(_v) * log1p(abs(_v)) * {resolution}D)").alias("_b"), "_v")
-        .agg(F.expr("count(1)").alias("_n"))
+        .agg(F.expr("sum(_w)" if weight else "count(1)").alias("_n"))
     )
     return _pick_from_counts(counts, keys, names, picks)
 
@@ -101,7 +109,9 @@ def _pick_from_counts(counts: DataFrame, keys: list[str], names: list[str], pick
     aggs = []
     for name, pick in picks.items():
         first, second = hits(pick, "_lo", "_hi")
-        if first == second:
+        if pick.mode == "count":
+            aggs.append(F.expr(f"coalesce(max(CASE WHEN {first} THEN _total END), 0L)").alias(name))
+        elif first == second:
             aggs.append(F.expr(f"max(CASE WHEN {first} THEN _v END)").alias(name))
         else:
             aggs.append(F.expr(f"max(CASE WHEN {first} THEN _v END) / 2 + max(CASE WHEN {second} THEN _v END) / 2").alias(name))
@@ -122,5 +132,4 @@ def with_order_statistics(
 def median_by(df: DataFrame, keys: Sequence[str], value: Column | str, name: str = "median") -> DataFrame:
     """Exact median by group with the row count behind it."""
     value = F.col(value) if isinstance(value, str) else value
-    base = df.filter(value.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return with_order_statistics(base, df, keys, {"v": value}, {name: Pick("v")})
+    return order_statistics(df, keys, {"v": value}, {name: Pick("v"), "n": Pick("v", "count")})

@@ -1,4 +1,4 @@
 """All runnable queries, gathered by importing the families that register them."""
 
-from cadastra.plans import market_queries, reading_queries, resale_queries  # noqa: F401
+from cadastra.plans import market_queries, reading_queries, resale_queries, valuation_queries  # noqa: F401
 from cadastra.plans.registry import ORACLES, QUERIES  # noqa: F401
