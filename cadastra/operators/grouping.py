@@ -39,6 +39,8 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
     inside = Window.partitionBy(*keys, "_part").orderBy(*order)
-    same = [split[k].eqNullSafe(starts[k]) for k in [*keys, "_part"]]
-    joined = split.join(starts, same).select(*[split[c] for c in split.columns], starts["_start"])
-    return joined.withColumn(name, F.col("_start") + F.row_number().over(inside)).drop("_part", "_start")
+    named = {k: f"_s_{i}" for i, k in enumerate([*keys, "_part"])}
+    starts = starts.select(*[F.col(k).alias(v) for k, v in named.items()], "_start")
+    same = [F.col(k).eqNullSafe(F.col(v)) for k, v in named.items()]
+    numbered = split.join(starts, same).withColumn(name, F.col("_start") + F.row_number().over(inside))
+    return numbered.drop("_part", "_start", *named.values())
