@@ -91,7 +91,7 @@ def texts(dialect: dict) -> dict[str, str]:
         "project": """
     SELECT CAST(p.p_partkey AS STRING) AS project_number, p.p_name || ' ' || CAST(p.p_partkey AS STRING) AS project_name,
       'p-' || CAST(p.p_partkey AS STRING) AS slug, n.n_name AS area_name,
-      lower(replace(n.n_name, '_', '-')) AS area_slug,
+      lower(n.n_name) AS area_slug,
       CAST(p.p_partkey % 10 AS STRING) AS developer_number,
       CASE WHEN p.p_partkey % 6 = 0 THEN '' WHEN p.p_partkey % 6 = 1 THEN 'Community ' || CAST(p.p_partkey % 11 AS STRING)
            ELSE 'Valley ' || CAST(p.p_partkey % 8 AS STRING) || ' - ' || CAST(p.p_partkey % 5 AS STRING) END AS master_project,

@@ -1,4 +1,6 @@
 """All runnable queries, gathered by importing the families that register them."""
 
-from cadastra.plans import identity_queries, listing_queries, market_queries, reading_queries, resale_queries, valuation_queries  # noqa: F401
+from cadastra.plans import (  # noqa: F401
+    area_queries, identity_queries, listing_queries, market_queries, reading_queries, resale_queries, valuation_queries,
+)
 from cadastra.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -169,7 +169,8 @@ def _(t):
     listings = t.project.select(
         F.col("project_number").alias("listing_id"), F.replace("area_name", F.lit("_"), F.lit(" ")).alias("area_name"), name.alias("project_name"),
         F.lit(None).cast("string").alias("building_name"))
-    return identity.resolve_listings(listings, t.project).select("listing_id", "project_number", "confidence", "method")
+    register = t.project.withColumn("area_slug", text.slugify("area_name"))
+    return identity.resolve_listings(listings, register).select("listing_id", "project_number", "confidence", "method")
 
 
 @query("merge_windows", """SELECT project_number, last(status ORDER BY w) FILTER (WHERE status IS NOT NULL) AS status, last(pct ORDER BY w) FILTER (WHERE pct IS NOT NULL) AS percent_completed,
