@@ -108,24 +108,24 @@ def tx_number(stored_id: Column | str) -> Column:
     return F.substring_index(F.regexp_replace(text, "^w#", ""), "#", 1)
 
 
-def tx_key(stored_id: Column | str, group: Column | str | None = None) -> Column:
-    """Canonical 'procedure|year|serial|group', or null for a number of no known shape."""
-    parts = F.split(tx_number(stored_id), "-", -1)
-    four = F.size(parts) == 4
-    known = four | (F.size(parts) == 3)
+# The two shapes of a registration number.
+FOUR_PART = r"^([^-]*)-([^-]+)-(\d{4})-([^-]+)$"
+THREE_PART = r"^([^-]+)-([^-]+)-(\d{4})$"
 
-    def at(i4: int, i3: int) -> Column:
-        return F.when(four, F.get(parts, F.lit(i4))).otherwise(F.get(parts, F.lit(i3)))
 
-    proc, year, serial = at(1, 0), at(2, 2), at(3, 1)
-    lead = F.when(four, F.get(parts, F.lit(0)))
+def tx_key(stored_id: Column | str, group: Column | str | None = None) -> Column:
+    """Canonical 'procedure|year|serial|group', or null for a number of no known shape."""
+    number = tx_number(stored_id)
+    four = number.rlike(FOUR_PART)
+    body = F.when(four, F.regexp_replace(number, FOUR_PART, "$2|$3|$4")).when(
+        number.rlike(THREE_PART), F.regexp_replace(number, THREE_PART, "$1|$3|$2"))
+    lead = F.when(four, F.substring_index(number, "-", 1))
     by_lead = F.lit(None).cast("string")
     for digit, name in GROUP_BY_LEAD.items():
         by_lead = F.when(lead == digit, F.lit(name)).otherwise(by_lead)
-    named = blank_to_null(group) if group is not None else F.lit(None).cast("string")
-    resolved = F.coalesce(named, by_lead)
-    ok = known & year.rlike(r"^\d{4}$") & (proc != "") & (serial != "") & resolved.isNotNull()
-    return F.when(ok, F.concat_ws("|", proc, year, serial, resolved))
+    resolved = by_lead if group is None else F.coalesce(blank_to_null(group), by_lead)
+    # concat gives null as soon as the shape or the group is unknown.
+    return F.concat(body, F.lit("|"), resolved)
 
 
 def feed_of(stored_id: Column | str) -> Column:

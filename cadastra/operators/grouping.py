@@ -44,3 +44,19 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     same = [F.col(k).eqNullSafe(F.col(v)) for k, v in named.items()]
     numbered = split.join(starts, same).withColumn(name, F.col("_start") + F.row_number().over(inside))
     return numbered.drop("_part", "_start", *named.values())
+
+
+def singles_and_copies(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is held once, and rows whose key is held more often.
+
+    Most keys of a register are held once and need no merging, so the costly merge runs on the
+    copies only. Keys over one row in a thousand (at most a thousand of them, hence broadcast) are
+    told apart without shuffling their rows.
+    """
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    whole = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).scalar()
+    heavy = F.broadcast(sizes.filter((F.col("_size") > 1) & (F.col("_size") * HEAVY_PARTS > whole)).select(key))
+    rest = df.join(heavy, key, "left_anti")
+    singles = rest.join(sizes.filter(F.col("_size") == 1), key, "left_semi")
+    copies = rest.join(sizes.filter(F.col("_size") > 1), key, "left_semi")
+    return singles, copies.unionByName(df.join(heavy, key, "left_semi"))

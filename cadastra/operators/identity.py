@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadastra.functions.numbers import day, half_up, ratio
 from cadastra.functions.text import blank_to_null, feed_of, norm_area, slugify, tx_key, tx_number
-from cadastra.operators.grouping import number_rows
+from cadastra.operators.grouping import number_rows, singles_and_copies
 
 TEXT_COLUMNS = (
     "trans_group", "procedure_name", "reg_type", "property_type", "property_sub_type", "property_usage", "area_name",
@@ -42,26 +42,24 @@ def merge_duplicates(tx: DataFrame) -> DataFrame:
     other fields take the first copy that states them. First seen is the earliest; withdrawn only
     when every copy is. Rows without a key are kept as they are.
 
-    Every field is a grouped minimum, so copies combine before the shuffle and a key with any
-    number of copies stays one row per task.
+    Every field of a merged row is a grouped minimum, so copies combine before the shuffle and a
+    key with any number of copies stays one row per task.
     """
+    singles, copies = singles_and_copies(tx.filter(F.col("tx_key").isNotNull()), "tx_key")
     feed = feed_of("transaction_id")
+    web = feed == "web"
     rank = F.when(feed == "bulk", F.lit(0)).when(feed == "api", F.lit(1)).otherwise(F.lit(2))
-    rows = tx.withColumn("_feed", feed).withColumn(
-        "_o", F.struct(rank.alias("r"), F.col("instance_date"), F.col("transaction_id"), F.col("actual_worth"),
-                       F.col("procedure_area"), F.col("meter_sale_price"), *[F.col(c) for c in ("project_number", "area_name", "building_name")]),
+    order = F.struct(
+        rank.alias("r"), "instance_date", "transaction_id", "actual_worth", "procedure_area", "meter_sale_price", "project_number", "area_name", "building_name"
     )
+    rows = copies.select("*", order.alias("_o"), web.alias("_web"), *[blank_to_null(c).alias(f"_t_{c}") for c in TEXT_COLUMNS])
     fils = F.abs(F.col("actual_worth") - F.round("actual_worth")) > 1e-9
     first = lambda c, cond=None: F.min_by(c, F.when(F.col(c).isNotNull() if cond is None else cond, F.col("_o")))
-    cleaned = rows.select(
-        "*", *[blank_to_null(c).alias(f"_t_{c}") for c in TEXT_COLUMNS]
-    )
-    web = F.col("_feed") == "web"
-    merged = cleaned.filter(F.col("tx_key").isNotNull()).groupBy("tx_key").agg(
+    merged = rows.groupBy("tx_key").agg(
         F.count(F.lit(1)).alias("copies"),
         F.min_by("transaction_id", "_o").alias("transaction_id"),
-        F.coalesce(F.min_by("instance_date", F.when(web, F.col("_o"))), F.min("instance_date")).alias("instance_date"),
-        F.min(F.when(~web, F.col("instance_date"))).alias("feed_date"),
+        F.coalesce(F.min_by("instance_date", F.when(F.col("_web"), F.col("_o"))), F.min("instance_date")).alias("instance_date"),
+        F.min(F.when(~F.col("_web"), F.col("instance_date"))).alias("feed_date"),
         F.coalesce(first("actual_worth", fils), F.max("actual_worth")).alias("actual_worth"),
         first("procedure_area").alias("procedure_area"),
         first("meter_sale_price").alias("_psm"),
@@ -69,14 +67,15 @@ def merge_duplicates(tx: DataFrame) -> DataFrame:
         F.when(F.count("withdrawn_on") == F.count(F.lit(1)), F.min("withdrawn_on")).alias("withdrawn_on"),
         *[first(f"_t_{c}").alias(c) for c in TEXT_COLUMNS],
     )
-    # A lone row keeps its own price; a merged one is priced from its settled amount and size.
-    priced = F.when(
-        (F.col("copies") > 1) & F.col("actual_worth").isNotNull() & (F.col("procedure_area") != 0),
-        half_up(ratio("actual_worth", "procedure_area")),
-    ).otherwise(F.col("_psm"))
+    priced = F.when(F.col("actual_worth").isNotNull() & (F.col("procedure_area") != 0), half_up(ratio("actual_worth", "procedure_area"))).otherwise(F.col("_psm"))
     out = merged.withColumn("meter_sale_price", priced).drop("_psm")
+    # A lone row keeps its own values and price.
+    lone = singles.select(
+        "tx_key", F.lit(1).cast("bigint").alias("copies"), "transaction_id", "instance_date", F.when(~web, F.col("instance_date")).alias("feed_date"),
+        "actual_worth", "procedure_area", "first_seen", "withdrawn_on", *[blank_to_null(c).alias(c) for c in TEXT_COLUMNS], "meter_sale_price",
+    )
     unkeyed = tx.filter(F.col("tx_key").isNull()).withColumn("copies", F.lit(1).cast("bigint"))
-    return out.unionByName(unkeyed.select(*out.columns))
+    return out.unionByName(lone).unionByName(unkeyed.select(*out.columns))
 
 
 def merge_summary(tx: DataFrame) -> DataFrame:

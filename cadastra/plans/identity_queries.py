@@ -7,6 +7,7 @@ from cadastra.functions.numbers import half_up
 from cadastra.operators import identity
 from cadastra.plans.adapters import AS_OF
 from cadastra.plans.registry import cnt, query, rnd
+from cadastra.session import materialize
 
 KEY = """CASE WHEN len(string_split(transaction_id,'-'))=4 THEN string_split(transaction_id,'-')[2] || '|' || string_split(transaction_id,'-')[3] || '|' || string_split(transaction_id,'-')[4] || '|' || trans_group
   WHEN len(string_split(transaction_id,'-'))=3 THEN string_split(transaction_id,'-')[1] || '|' || string_split(transaction_id,'-')[3] || '|' || string_split(transaction_id,'-')[2] || '|' || trans_group END"""
@@ -25,6 +26,11 @@ def feeds(t):
     return keyed(t).withColumn("transaction_id", F.when(web, F.concat(F.lit("w#"), "transaction_id", F.lit("#1"))).otherwise(F.col("transaction_id")))
 
 
+def stored_feeds(t):
+    """The keyed feeds as a stored table: the key is a column of the register, not recomputed per step."""
+    return materialize(feeds(t), "keyed-feeds")
+
+
 @query("registration_keys", "SELECT trans_group, count(*) AS n, count(DISTINCT expected_key) AS keys, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS unkeyed FROM registration_id GROUP BY 1")
 def _(t):
     rows = keyed(t).groupBy("trans_group", "tx_key", "expected_key").agg(F.count(F.lit(1)).alias("n"))
@@ -54,7 +60,7 @@ MERGED = f"""SELECT tx_key, copies, transaction_id, instance_date, feed_date, ac
 
 @query("merge_duplicates", f"SELECT * FROM m", k=KEYED, f=FEEDS, m=MERGED)
 def _(t):
-    return identity.merge_duplicates(feeds(t))
+    return identity.merge_duplicates(stored_feeds(t))
 
 
 @query("stored_ids", """SELECT number || '#' || CAST(row_number() OVER (PARTITION BY number) AS VARCHAR) AS stored_id FROM (SELECT transaction_id AS number FROM registration_id)""")
@@ -70,7 +76,7 @@ HELD = "SELECT tx_key, instance_date, feed_date, actual_worth, procedure_area, m
   FROM h LEFT JOIN w USING (tx_key)""", k=KEYED, f=FEEDS, h=HELD,
        w="SELECT tx_key, first(rooms ORDER BY row(instance_date, actual_worth, project_number, rooms)) AS rooms, first(building_name ORDER BY row(instance_date, actual_worth, project_number, rooms)) AS building_name FROM f WHERE feed='web' GROUP BY 1")
 def _(t):
-    rows = feeds(t)
+    rows = stored_feeds(t)
     web = text.feed_of("transaction_id") == "web"
     held = rows.filter(~web).select(
         "tx_key", "instance_date", "feed_date", "actual_worth", "procedure_area", "meter_sale_price",
@@ -84,7 +90,7 @@ def _(t):
   FROM h LEFT JOIN w USING (tx_key)""", k=KEYED, f=FEEDS, h=HELD,
        w="SELECT tx_key, last(instance_date ORDER BY o) AS d, last(actual_worth ORDER BY o) AS w, last(procedure_area ORDER BY o) AS a FROM (SELECT *, row(instance_date, actual_worth, procedure_area) AS o FROM f WHERE feed='web') GROUP BY 1")
 def _(t):
-    rows = feeds(t)
+    rows = stored_feeds(t)
     web = text.feed_of("transaction_id") == "web"
     held = rows.filter(~web).select("tx_key", "instance_date", "feed_date", "actual_worth", "procedure_area", "meter_sale_price")
     return identity.correct_from_register(held, rows.filter(web), ["instance_date", "actual_worth", "procedure_area"])
@@ -93,7 +99,7 @@ def _(t):
 @query("append_new", """SELECT tx_key, instance_date, actual_worth FROM (SELECT *, row_number() OVER (PARTITION BY tx_key ORDER BY instance_date, actual_worth, procedure_area) AS rn FROM f WHERE feed='web')
   WHERE rn = 1 AND tx_key NOT IN (SELECT tx_key FROM f WHERE feed='bulk')""", k=KEYED, f=FEEDS)
 def _(t):
-    rows = feeds(t).select("transaction_id", "tx_key", "instance_date", "actual_worth", "procedure_area")
+    rows = stored_feeds(t).select("transaction_id", "tx_key", "instance_date", "actual_worth", "procedure_area")
     web = text.feed_of("transaction_id") == "web"
     out = identity.append_new(rows.filter(~web), rows.filter(web), ["tx_key"], ["instance_date", "actual_worth", "procedure_area"])
     return out.select("tx_key", "instance_date", "actual_worth")
@@ -244,7 +250,7 @@ WD = {"k": KEYED, "held": "SELECT transaction_id, feed_date, tx_key FROM k WHERE
 
 
 def _withdrawal(t):
-    rows = keyed(t).filter(F.col("feed_date").isNotNull())
+    rows = materialize(keyed(t).filter(F.col("feed_date").isNotNull()).select("transaction_id", "feed_date", "tx_key", "procedure_area"), "filed")
     gone = (F.col("procedure_area") == 1) | ((F.dayofmonth("feed_date") == 5) & (F.col("procedure_area") < 20))
     returned = rows.filter(~gone).select("feed_date", "tx_key")
     marks = returned.groupBy("feed_date").agg(F.count(F.lit(1)).alias("returned_rows")).withColumn("ok", F.dayofmonth("feed_date") != 9)

@@ -309,7 +309,7 @@ def _(t):
 
 @query("merged_register_quality", f"SELECT count(*) AS keys, CAST(sum(copies) AS BIGINT) AS rows, {cnt('copies > 1')} AS merged, {cnt('withdrawn_on IS NOT NULL')} AS withdrawn FROM m", k=iq.KEYED, f=iq.FEEDS, m=iq.MERGED)
 def _(t):
-    return identity.merge_duplicates(iq.feeds(t)).agg(
+    return identity.merge_duplicates(iq.stored_feeds(t)).agg(
         F.count(F.lit(1)).alias("keys"), F.sum("copies").alias("rows"), F.count_if(F.col("copies") > 1).alias("merged"), F.count("withdrawn_on").alias("withdrawn"))
 
 
