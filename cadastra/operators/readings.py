@@ -443,3 +443,17 @@ def reading_ages(obs: DataFrame, as_of: str) -> DataFrame:
     return obs.filter(F.col("observed_at") <= day(as_of)).groupBy("source", "observed_at").agg(F.count(F.lit(1)).alias("n"))
 
 
+
+
+def delay_feed(flags: DataFrame, project: DataFrame, developer: DataFrame, limit: int = 60) -> DataFrame:
+    """The riskiest delays with project and developer names."""
+    names = project.select("project_number", "project_name", "area_slug", "slug", "developer_number")
+    top = flags.orderBy(F.desc("risk_score"), F.desc("sales_12m"), "project_number").limit(limit)
+    return top.join(names, "project_number").join(developer.select("developer_number", "developer_name"), "developer_number", "left").select(
+        *flags.columns, "project_name", "developer_name", F.concat_ws("/", "area_slug", "slug").alias("page"))
+
+
+def project_history(obs: DataFrame) -> DataFrame:
+    """Every reading of every project, numbered in order of date."""
+    in_order = Window.partitionBy("project_number").orderBy(reading_order())
+    return obs.select("project_number", "observed_at", "status", "percent_completed", "completion_date", "source", F.row_number().over(in_order).alias("reading"))

@@ -237,15 +237,24 @@ def solve_cells(cells: DataFrame, rules: IndexRules = IndexRules()) -> DataFrame
     return ready.groupBy("series").applyInPandas(_solve_series, _SOLVED)
 
 
-def repeat_sales_index(pairs: DataFrame, rules: IndexRules = IndexRules()) -> DataFrame:
-    """The Bailey-Muth-Nourse index: 100 in the first quarter, per series and quarter."""
+def publish_index(solved: DataFrame, rules: IndexRules = IndexRules()) -> DataFrame:
+    """Solved series with quarter labels and the flag for quarters on few pairs."""
     q = F.col("period")
-    return solve_cells(index_cells(pairs, rules), rules).select(
+    return solved.select(
         "series", F.concat(F.floor(q / 4).cast("string"), F.lit("Q"), (q % 4 + 1).cast("string")).alias("quarter"),
         "index", "pairs_sold", "pairs_touching", (F.col("pairs_touching") < rules.thin).alias("thin"), "pairs", "used",
     )
 
 
+def repeat_sales_index(pairs: DataFrame, rules: IndexRules = IndexRules()) -> DataFrame:
+    """The Bailey-Muth-Nourse index: 100 in the first quarter, per series and quarter.
+
+    The cells are read several times by the solve; a caller with many pairs writes
+    ``index_cells`` out first and solves from the stored cells.
+    """
+    return publish_index(solve_cells(index_cells(pairs, rules), rules), rules)
+
+
 def index_headline(index: DataFrame) -> DataFrame:
     """Latest, peak and trough of each series with the distances to them."""
     out = index.groupBy("series").agg(

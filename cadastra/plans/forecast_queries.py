@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cadastra.functions.numbers import half_up
 from cadastra.operators import forecast
 from cadastra.plans.registry import query, rnd, tot
+from cadastra.session import materialize
 
 MK = f"""SELECT CAST(date_trunc('month', instance_date) AS DATE) AS month, count(*)::DOUBLE AS units, {tot("actual_worth")}/1e6::DOUBLE AS value FROM registration
   WHERE trans_group='Sales' AND instance_date >= DATE '1995-02-01' AND instance_date <= DATE '2001-10-31' GROUP BY 1"""
@@ -38,7 +39,8 @@ SETTLED = ", ".join(f"{rnd(c, 4)} AS {c}" for c in ("flat", "momentum", "momentu
 
 
 def _market(t):
-    return forecast.market_months(t.registration, "1995-02-01")
+    # One row per month, read by every step of the forecast.
+    return materialize(forecast.market_months(t.registration, "1995-02-01"), "market-months")
 
 
 @query("centred_mean", f"SELECT month, measure, {rnd('v', 4)} AS v, {rnd('centred', 4)} AS centred FROM cm", **BASE)

@@ -3,14 +3,14 @@
 from pyspark.sql import functions as F
 
 
-from cadastra.operators import identity, panels, quality, readings, resale, valuation, vintages
+from cadastra.operators import identity, panels, quality, readings, valuation, vintages
 from cadastra.plans import identity_queries as iq
 from cadastra.plans import issuer_queries as sq
 from cadastra.plans import valuation_queries as vq
 from cadastra.plans.adapters import AS_OF
 from cadastra.plans.reading_queries import latest_sql
 from cadastra.plans.registry import chg, cnt, med, query, rnd, shr, tot  # noqa: F401
-from cadastra.plans.resale_queries import INDEX, pairs
+from cadastra.plans.resale_queries import solved_index
 from cadastra.session import materialize
 
 A = f"DATE '{AS_OF}'"
@@ -302,7 +302,7 @@ def _(t):
 @query("model_gates")
 def _(t):
     """Gates over the valuation's own backtest and the solved index."""
-    index = materialize(resale.repeat_sales_index(pairs(t), INDEX), "index")
+    index = materialize(solved_index(t), "index")
     levels = materialize(valuation.carry_series(index), "levels")
     return quality.model_gates(valuation.calibrate(vq._errors(vq._sales(t), levels)), index)
 

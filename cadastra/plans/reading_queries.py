@@ -1,5 +1,6 @@
 """Construction-reading queries: latest as of, movement, supply, delay, pipeline, verdicts."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadastra.functions.predicates import LIVE_STATUSES
@@ -269,3 +270,34 @@ def _(t):
          FROM observation WHERE completion_date IS NOT NULL AND observed_at <= DATE '{AS_OF}') WHERE rn = 1""")
 def _(t):
     return readings.build_verdict(t.project, t.observation, AS_OF)
+
+
+def _flags(t):
+    return readings.delay_flags(t.project, t.observation, t.registration, AS_OF, min_sales=2, within_months=24, below_percent=90)
+
+
+SCORED = f"""SELECT project_number, area_name, status, percent_completed, completion_date, m AS months_to_completion, sales_12m, value_12m, offplan_12m,
+    CAST(least(100, trunc({rnd("(CASE WHEN m < 0 THEN 40.0::DOUBLE ELSE 40.0::DOUBLE - m*6 END) + (70.0::DOUBLE - pct)*0.5::DOUBLE + least(25.0::DOUBLE, sales_12m/20.0::DOUBLE)", 6)})) AS INT) AS risk_score FROM d"""
+
+
+@query("delay_feed", """SELECT s.project_number, s.risk_score, s.sales_12m, s.completion_date, p.project_name, v.developer_name, p.area_slug || '/' || p.slug AS page FROM (SELECT * FROM sc ORDER BY risk_score DESC, sales_12m DESC, project_number LIMIT 10) s
+  JOIN project p USING (project_number) LEFT JOIN developer v USING (developer_number)""", l=latest_sql(AS_OF), d=DELAY, sc=SCORED)
+def _(t):
+    out = readings.delay_feed(_flags(t), t.project, t.developer, 10)
+    return out.select("project_number", "risk_score", "sales_12m", "completion_date", "project_name", "developer_name", "page")
+
+
+@query("project_history", f"SELECT project_number, observed_at, status, percent_completed, completion_date, source, CAST(row_number() OVER (PARTITION BY project_number ORDER BY observed_at, -({RANK}), id) AS INT) AS reading FROM observation")
+def _(t):
+    return readings.project_history(t.observation)
+
+
+@query("progress_order", f"""SELECT project_number, progress, suspect, CAST(row_number() OVER (ORDER BY suspect, abs(progress) DESC, project_number) AS INT) AS place FROM (SELECT *, ap >= 99.9 AND ap - bp >= 50 AND bs <> asrc AS suspect FROM (
+    SELECT *, CASE WHEN abs(ap - bp) >= 0.05 THEN {rnd("ap - bp", 1)} END AS progress FROM x)) WHERE progress IS NOT NULL ORDER BY place LIMIT 50""",
+       b=latest_sql(FROM), a=latest_sql(TO),
+       x="""SELECT a.project_number, least(100.0::DOUBLE, b.percent_completed) AS bp, least(100.0::DOUBLE, a.percent_completed) AS ap, b.source AS bs, a.source AS asrc FROM a JOIN b USING (project_number) WHERE a.id <> b.id""")
+def _(t):
+    """The fifty leading revisions of the report, numbered as listed."""
+    top = readings.order_progress(readings.register_moves(t.observation, t.project, FROM, TO)).limit(50)
+    by_rank = Window.orderBy("suspect", F.abs("progress").desc(), "project_number")
+    return top.select("project_number", "progress", "suspect", F.row_number().over(by_rank).alias("place"))

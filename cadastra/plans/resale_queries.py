@@ -3,6 +3,7 @@
 from cadastra.operators import resale
 from cadastra.plans.adapters import AS_OF
 from cadastra.plans.registry import cnt, query, rnd, shr
+from cadastra.session import materialize
 
 # Stand-in scale: line values are far below register prices, and the supplier nation is not the home's.
 RULES = resale.PairRules(min_worth=1_000.0, since="1995-01-01", home=("building", "type", "rooms", "size"))
@@ -106,14 +107,20 @@ def _(t):
     return resale.index_cells(pairs(t), INDEX).withColumn("log_sum", half_up("log_sum", 6))
 
 
+def solved_index(t):
+    """The index from cells written once: at most quarters squared small rows per series."""
+    cells = materialize(resale.index_cells(pairs(t), INDEX), "index-cells")
+    return resale.publish_index(resale.solve_cells(cells, INDEX), INDEX)
+
+
 @query("repeat_sales_index")
 def _(t):
-    return resale.repeat_sales_index(pairs(t), INDEX)
+    return solved_index(t)
 
 
 @query("index_headline")
 def _(t):
-    return resale.index_headline(resale.repeat_sales_index(pairs(t), INDEX))
+    return resale.index_headline(solved_index(t))
 
 
 def _variant_pairs(t):

@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from cadastra.functions.numbers import half_up, quarter_label
-from cadastra.operators import resale, valuation
+from cadastra.operators import valuation
 from cadastra.operators.quantiles import Pick, order_statistics
 from cadastra.plans.adapters import AS_OF
 from cadastra.plans.registry import cnt, query, rnd, shr
-from cadastra.plans.resale_queries import INDEX, pairs
+from cadastra.plans.resale_queries import solved_index
 from cadastra.session import materialize
 
 RULES = valuation.ValuationRules(min_worth=1_000.0, min_area_month=4)
@@ -145,5 +145,5 @@ def _(t):
 @query("valuation_on_index")
 def _(t):
     """The whole chain: pairs, solved index, carried comparables, calibration."""
-    levels = materialize(valuation.carry_series(resale.repeat_sales_index(pairs(t), INDEX)), "valuation-levels")
+    levels = materialize(valuation.carry_series(solved_index(t)), "valuation-levels")
     return valuation.calibrate(_errors(_sales(t), levels))
