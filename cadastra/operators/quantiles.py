@@ -129,6 +129,16 @@ def with_order_statistics(
     return base.join(order_statistics(df, keys, measures, picks), list(keys), "left")
 
 
+def beside(base: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two tables of one row per group put side by side by grouping their union.
+
+    For groups named by a constant, where a join would have no key left to join on.
+    """
+    columns = [c for c in (*base.columns, *stats.columns) if c not in keys]
+    both = base.unionByName(stats, allowMissingColumns=True)
+    return both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in dict.fromkeys(columns)])
+
+
 def median_by(df: DataFrame, keys: Sequence[str], value: Column | str, name: str = "median") -> DataFrame:
     """Exact median by group with the row count behind it."""
     value = F.col(value) if isinstance(value, str) else value

@@ -14,7 +14,7 @@ from cadastra.functions.numbers import between_days, count_where, day, days_befo
 from cadastra.functions.predicates import OFF_PLAN, PRE_REGISTRATION, READY, SELL, is_sale, re_registration
 from cadastra.functions.text import blank_to_null
 from cadastra.operators.grouping import groups_of_size
-from cadastra.operators.quantiles import Pick, order_statistics
+from cadastra.operators.quantiles import Pick, beside, order_statistics
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,7 @@ def held_gains(pairs: DataFrame, as_of: str, by_area: bool = False, min_pairs: i
     picks = {k: Pick("change", "floor", p) for k, p in (("median", 0.5), ("q1", 0.25), ("q3", 0.75))}
     picks["hold"] = Pick("hold", "floor", 0.5)
     measures = {"change": F.col("change_pct"), "hold": F.col("hold_days")}
-    out = base.filter(F.col("n") >= min_pairs).join(order_statistics(rows, keys, measures, picks), keys)
+    out = beside(base, order_statistics(rows, keys, measures, picks), keys).filter(F.col("n") >= min_pairs)
     return out.select(
         *keys, "n", "losses", half_up("median", 6).alias("median"), half_up("q1", 6).alias("q1"),
         half_up("q3", 6).alias("q3"), half_up(F.col("hold") / F.lit(30.4)).alias("hold_months"),

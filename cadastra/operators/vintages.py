@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadastra.functions.numbers import between_days, count_where, day, half_up, month_label, pct_change, settle, share, total  # noqa: F401
 from cadastra.functions.predicates import is_new_rent, is_off_plan, is_sale, present_at
 from cadastra.operators.market import bucket_table, bucketize
-from cadastra.operators.quantiles import Pick, order_statistics, with_order_statistics
+from cadastra.operators.quantiles import Pick, beside, order_statistics, with_order_statistics
 
 
 def vintage_by_month(tx: DataFrame, frm: str, to: str, since: str, unit: float = 1e9) -> DataFrame:
@@ -52,7 +52,7 @@ def moved_summary(tx: DataFrame, frm: str, to: str, unit: float = 1e9) -> DataFr
         count_where(is_dated).alias("dated"), half_up(total(F.when(is_dated, c("actual_worth"))) / unit, 2).alias("dated_value"),
         count_where(gone).alias("withdrawn"), count_where(is_gain & (c("instance_date") <= day(frm))).alias("late_registrations"))
     lag = F.when(is_gain & (c("instance_date") > day(frm)), F.datediff("first_seen", "instance_date"))
-    return with_order_statistics(base, rows, ["window"], {"lag": lag}, {"median_lag_days": Pick("lag")}).withColumn(
+    return beside(base, order_statistics(rows, ["window"], {"lag": lag}, {"median_lag_days": Pick("lag")}), ["window"]).withColumn(
         "median_lag_days", settle("median_lag_days"))
 
 
@@ -74,7 +74,7 @@ def sales_profile(rows: DataFrame, unit: float = 1e9) -> DataFrame:
         F.count(F.lit(1)).alias("n"), half_up(total("actual_worth") / unit, 2).alias("value"), count_where(is_off_plan()).alias("offplan"), F.count(_psm()).alias("with_area"))
     picks = {"median_price": Pick("price"), "median_psm": Pick("psm"), **{f"p{int(p * 100)}": Pick("psm", "nearest", p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)}}
     measures = {"price": F.when(F.col("actual_worth") > 0, F.col("actual_worth")), "psm": _psm()}
-    out = with_order_statistics(base, rows, ["scope"], measures, picks)
+    out = beside(base, order_statistics(rows, ["scope"], measures, picks), ["scope"])
     return out.select("scope", "n", "value", "offplan", share("offplan", "n").alias("offplan_pct"), "with_area", *[settle(p).alias(p) for p in picks])
 
 
@@ -157,7 +157,7 @@ def dedupe_bound(tx: DataFrame, month: str) -> DataFrame:
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("collapsed"), F.coalesce(F.sum("n"), F.lit(0)).alias("in_groups"))
 
 
-def edition_facts(months: DataFrame, areas: DataFrame, rooms: DataFrame, register_moves: DataFrame, readings: DataFrame, frm: str, to: str) -> DataFrame:
+def edition_facts(months: DataFrame, areas: DataFrame, rooms: DataFrame, register_moves: DataFrame, readings: DataFrame, frm: str, to: str, stamp_source: str = "api") -> DataFrame:
     """Facts an edition opens with, from its own (small) tables."""
     c = F.col
     base = months.agg(
@@ -166,7 +166,7 @@ def edition_facts(months: DataFrame, areas: DataFrame, rooms: DataFrame, registe
     small = rooms.filter(c("key").rlike("(?i)studio|^1 B")).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     window = readings.filter((c("observed_at") > day(frm)) & (c("observed_at") <= day(to))).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     shifts = order_statistics(register_moves.withColumn("scope", F.lit(1)), ["scope"], {"m": c("completion_shift")}, {"v": Pick("m", "upper")})
-    stamp = readings.filter(c("source") == "dld").agg(F.datediff(day(to), F.max("observed_at"))).scalar()
+    stamp = readings.filter(c("source") == stamp_source).agg(F.datediff(day(to), F.max("observed_at"))).scalar()
     return base.select("*", five.alias("top_five_share"), small.alias("small_units"), window.alias("readings_in_window"),
                        shifts.select("v").scalar().alias("completion_shift_upper_middle"), stamp.alias("stamp_age_days"))
 

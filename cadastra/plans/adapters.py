@@ -114,7 +114,7 @@ def texts(dialect: dict) -> dict[str, str]:
       CASE event_type WHEN 'view' THEN 'ACTIVE' WHEN 'click' THEN 'PENDING' WHEN 'error' THEN 'NOT_STARTED'
         WHEN 'signup' THEN 'CONDITIONAL_ACTIVATING' ELSE 'FINISHED' END AS status,
       value AS percent_completed, {completion} AS completion_date,
-      CASE event_id % 3 WHEN 0 THEN 'gateway' WHEN 1 THEN 'register-extract' ELSE 'dld' END AS source
+      CASE event_id % 3 WHEN 0 THEN 'gateway' WHEN 1 THEN 'register-extract' ELSE 'api' END AS source
     FROM {{events}}""",
         "price_event": f"""
     SELECT CAST(user_id AS STRING) AS listing_id, {day} AS observed_at, event_id,

@@ -271,10 +271,10 @@ def _(t):
     return identity.withdrawal_days(held, marks, AS_OF)
 
 
-@query("replace_source", """SELECT source, count(*) AS n, min(observed_at) AS first_read FROM (SELECT source, observed_at FROM observation WHERE source <> 'dld' UNION ALL SELECT source, DATE '2001-07-01' FROM observation WHERE source='dld') GROUP BY 1""")
+@query("replace_source", """SELECT source, count(*) AS n, min(observed_at) AS first_read FROM (SELECT source, observed_at FROM observation WHERE source <> 'api' UNION ALL SELECT source, DATE '2001-07-01' FROM observation WHERE source='api') GROUP BY 1""")
 def _(t):
-    fresh = t.observation.filter(F.col("source") == "dld").withColumn("observed_at", F.lit("2001-07-01").cast("date"))
-    return identity.replace_source(t.observation, "dld", fresh).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("observed_at").alias("first_read"))
+    fresh = t.observation.filter(F.col("source") == "api").withColumn("observed_at", F.lit("2001-07-01").cast("date"))
+    return identity.replace_source(t.observation, "api", fresh).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("observed_at").alias("first_read"))
 
 
 @query("run_log", f"SELECT DATE '{AS_OF}' AS run_date, (SELECT count(*) FROM registration) AS tx, (SELECT count(*) FROM rent) AS rents, (SELECT count(*) FROM project) AS projects, 'daily' AS notes")

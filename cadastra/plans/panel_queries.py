@@ -263,7 +263,7 @@ def _(t):
 
 @query("edition_facts", f"""SELECT CAST((SELECT coalesce(sum(change) FILTER (WHERE change < 0),0) FROM m) AS BIGINT) AS restated, (SELECT count(*) FROM m WHERE change > 0) AS months_gained, (SELECT {rnd("sum(share)", 1)} FROM p WHERE dimension='area' AND rank <= 5) AS top_five_share,
     CAST((SELECT coalesce(sum(n),0) FROM p WHERE dimension='rooms' AND regexp_matches(key, '(?i)studio|^1 B')) AS BIGINT) AS small_units, (SELECT count(*) FROM observation WHERE observed_at > DATE '{FRM}' AND observed_at <= DATE '{TO}') AS readings_in_window,
-    (SELECT list_sort(list(shift) FILTER (WHERE shift IS NOT NULL))[count(shift)//2 + 1] FROM rm) AS completion_shift_upper_middle, CAST(DATE '{TO}' - (SELECT max(observed_at) FROM observation WHERE source='dld' AND observed_at <= DATE '{TO}') AS INT) AS stamp_age_days""",
+    (SELECT list_sort(list(shift) FILTER (WHERE shift IS NOT NULL))[count(shift)//2 + 1] FROM rm) AS completion_shift_upper_middle, CAST(DATE '{TO}' - (SELECT max(observed_at) FROM observation WHERE source='api' AND observed_at <= DATE '{TO}') AS INT) AS stamp_age_days""",
        m=BYM, g=GAINED, p=PROF, **RM)
 def _(t):
     groups = materialize(vintages.profile(vintages.gained(t.registration_seen, FRM, TO), _keys(), TOP, 1e6), "groups")

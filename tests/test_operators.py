@@ -256,7 +256,7 @@ def test_escrow_rules(spark):
 # ---- readings, peers, forecast ----
 
 def test_latest_reading_ties(spark):
-    rows = [(1, "p", D(2026, 1, 1), "ACTIVE", 10.0, None, "dld"), (2, "p", D(2026, 2, 1), "ACTIVE", 20.0, None, "gateway"), (3, "p", D(2026, 2, 1), "PENDING", 30.0, None, "dld"), (4, "p", D(2026, 9, 1), "FINISHED", 99.0, None, "dld")]
+    rows = [(1, "p", D(2026, 1, 1), "ACTIVE", 10.0, None, "api"), (2, "p", D(2026, 2, 1), "ACTIVE", 20.0, None, "gateway"), (3, "p", D(2026, 2, 1), "PENDING", 30.0, None, "api"), (4, "p", D(2026, 9, 1), "FINISHED", 99.0, None, "api")]
     obs = spark.createDataFrame(rows, "id long, project_number string, observed_at date, status string, percent_completed double, completion_date date, source string")
     assert readings.latest_as_of(obs, "2026-06-01").first()["id"] == 2
     assert readings.latest_as_of(obs, "2026-06-01", tie="id").first()["id"] == 3
