@@ -177,7 +177,7 @@ def escrow_projection(register: DataFrame, as_of: str, horizons: Sequence[int],
 
 def escrow_totals(projection: DataFrame) -> DataFrame:
     """Release by scenario and horizon over an issuer's live projects, with what escrow holds by the model."""
-    f = lambda name: half_up(F.sum(name), 4).alias(name)
+    f = lambda name: total(name, 4).alias(name)
     return projection.groupBy("issuer", "scenario", "horizon").agg(
         F.count(F.lit(1)).alias("projects"), f("contracted"), f("effective"), f("collected"), f("released"), f("release"),
     ).withColumn("held", half_up(F.col("collected") - F.col("released"), 4))
@@ -233,8 +233,8 @@ def release_rules(register: DataFrame, cost_shares: Sequence[float] = (0.55, 0.6
     tower = F.when(units > 0, units).otherwise(sold) * ticket / unit
     by_cost = F.least(collected, c("cost_share") * tower * cert / 100 + 0.05 * contracted)
     return rows.groupBy("issuer", "cost_share").agg(
-        half_up(F.sum(collected), 4).alias("collected"), half_up(F.sum(collected - released), 4).alias("value_rule_held"),
-        half_up(F.sum(collected - by_cost), 4).alias("cost_rule_held"))
+        total(collected, 4).alias("collected"), total(collected - released, 4).alias("value_rule_held"),
+        total(collected - by_cost, 4).alias("cost_rule_held"))
 
 
 def top_release(projection: DataFrame, scenario: str, horizon: int, n: int = 10) -> DataFrame:

@@ -299,7 +299,7 @@ CHARGES = """SELECT year(contract_start_date)::INT AS budget_year, p.project_nam
 
 @query("service_charge_summary", f"""SELECT p.project_number, l.budget_year, l.property_group, l.usage, l.total, l.manager, {rnd("y.latest/nullif(p.units,0)")} AS latest_per_unit
   FROM project p JOIN l ON l.nm = upper(p.project_name) JOIN (SELECT nm, max_by(t, budget_year) AS latest FROM (SELECT nm, budget_year, sum(total) AS t FROM l GROUP BY ALL) GROUP BY 1) y ON y.nm = l.nm""",
-       ch=CHARGES, l=f"SELECT upper(project_name) AS nm, budget_year, property_group, usage, {rnd('sum(cost)')} AS total, max(management_company) AS manager FROM ch GROUP BY ALL")
+       ch=CHARGES, l=f"SELECT upper(project_name) AS nm, budget_year, property_group, usage, {tot('cost', 0)} AS total, max(management_company) AS manager FROM ch GROUP BY ALL")
 def _(t):
     charges = t.rent.join(t.project.select("project_number", "project_name"), "project_number").select(
         F.year("contract_start_date").alias("budget_year"), "project_name", F.concat(F.lit("Block "), (F.col("actual_area").cast("int") % 3).cast("string")).alias("property_group"),

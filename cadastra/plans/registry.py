@@ -32,7 +32,7 @@ def rnd(x: str, dp: int = 0) -> str:
 
 
 def tot(x: str, dp: int = 2) -> str:
-    return rnd(f"sum({x})", dp)
+    return rnd(rnd(f"sum({x})", dp + 4), dp)
 
 
 def avg(x: str, dp: int = 0) -> str:
