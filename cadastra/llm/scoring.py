@@ -161,25 +161,34 @@ class Scorer:
         classes = counts[1:CLASSES]
         self.log_rest = np.log10(total - classes.sum() + distinct - (classes > 0).sum() + 1)
 
-    def score(self, texts: list[str | None]) -> list[dict]:
-        out = []
+    def score(self, texts: list[str | None]) -> pa.StructArray:
+        """A row of TEXT for each text, put together as columns: no object is held per word but the words themselves."""
+        columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+        ends, rare_words, rare_counts = [0], [], []
         for lo, hi in slices([len(t or "") for t in texts], 1_000_000):
             own, numbers, owner = class_ids(self.known, texts[lo:hi])
             n = len(own)
             a, b, c = triples(numbers, owner)
             rest, rare = c == 0, numbers == 0
-            model = np.bincount(owner, self.model[a, b, c] + np.where(rest, self.log_count[numbers] * ~rare - self.log_rest, 0), n)
-            base = np.bincount(owner, self.log_count[numbers] * ~rare - self.log_all, n)
-            tokens, known = np.bincount(owner, minlength=n), np.bincount(owner, self.seen[numbers] & ~rare, n)
+            log = self.log_count[numbers] * ~rare
+            columns[0].append(np.bincount(owner, minlength=n))
+            columns[1].append(np.bincount(owner, self.seen[numbers] & ~rare, n).astype(np.int64))
+            columns[2].append(np.bincount(owner, log - self.log_all, n))
+            columns[3].append(np.bincount(owner, self.model[a, b, c] + np.where(rest, log - self.log_rest, 0), n))
+            columns[4].append(np.bincount(owner, rare, n).astype(np.int64))
             at = 0
-            for k, w in enumerate(own):
+            for w in own:
                 missing = Counter(compress(w, rare[at : at + len(w)].tolist()))
                 at += len(w) + 1
-                out.append({
-                    "n_tokens": int(tokens[k]), "n_known": int(known[k]), "base": float(base[k]), "model": float(model[k]), "n_rare": sum(missing.values()),
-                    "rare": [{"word": x.decode(), "n": m} for x, m in missing.items()],
-                })
-        return out
+                rare_words.append(pa.array(list(missing), pa.binary()).cast(pa.string()))
+                rare_counts.append(np.fromiter(missing.values(), np.int32, len(missing)))
+                ends.append(ends[-1] + len(missing))
+        words_ = pa.concat_arrays(rare_words) if rare_words else pa.array([], pa.string())
+        counts = pa.array(np.concatenate(rare_counts) if rare_counts else np.zeros(0, np.int32))
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words_, counts], ["word", "n"]))
+        kinds = [np.int64, np.int64, np.float64, np.float64, np.int64]
+        flat = [pa.array(np.concatenate(x).astype(k) if x else np.zeros(0, k)) for x, k in zip(columns, kinds)]
+        return pa.StructArray.from_arrays([*flat, listed], ["n_tokens", "n_known", "base", "model", "n_rare", "rare"])
 
 
 def score_documents(documents: DataFrame) -> DataFrame:
@@ -206,11 +215,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
 def _score(given: DataFrame, counts: DataFrame, scorer: Scorer, total: int) -> DataFrame:
     @F.arrow_udf(TEXT)
     def read(text: pa.Array) -> pa.Array:
-        kind = pa.struct([
-            ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("n_rare", pa.int64()),
-            ("rare", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))),
-        ])
-        return pa.array(scorer.score(text.to_pylist()), kind)
+        return scorer.score(text.to_pylist())
 
     key = F.xxhash64("doc_id", "text")
     scored = materialize(given.select("doc_id", "held_out", key.alias("_key"), read.asNondeterministic()("text").alias("_s")), "scored")
