@@ -24,9 +24,10 @@ from cadastra.session import materialize
 
 CAPACITY, END_ID = 4096, 1
 PART_ROWS = 50_000  # pieces of one length that one task ranks
-CACHED_CHUNKS = 300_000  # chunks whose ids a worker keeps
+CACHED_CHUNKS = 400_000  # chunks whose ids a worker keeps
 
-_PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,]?)")
+MARKS = ".,"  # may follow a run of letters as a token of their own
+_WORD = re.compile(r"[a-zß-öø-ÿ]+")
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
 
@@ -45,66 +46,72 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, np.uint32) for m in ".,"}
+        marks = [self.tokenizer.encode(m, add_special_tokens=False).ids for m in MARKS]
+        if any(len(m) != 1 for m in marks):
+            raise ValueError("a mark must be one token")
+        self.marks = np.array([m[0] for m in marks], np.uint32)
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.words: dict[str, np.ndarray] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts, self.used = [0], 0
-        self.bounds: np.ndarray | None = None
-
-    def _add(self, chunk: str, ids: np.ndarray) -> None:
-        end = self.used + len(ids)
-        if end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(end, len(self.flat)), np.uint32)])
+        self.codes: dict[bytes, int] = {}  # of a chunk: three times the number of its entry, and its mark
+        self.entries: dict[str, int] = {}
+        self.flat = np.zeros(1 << 18, np.uint32)
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def _add(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Entries for new names, whose ids stand in a row."""
+        first, end = len(self.entries), self.used + len(ids)
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while first + len(names) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         self.flat[self.used : end] = ids
+        self.starts[first + 1 : first + len(names) + 1] = self.used + np.cumsum(lengths)
         self.used = end
-        self.place[chunk] = len(self.starts) - 1
-        self.starts.append(end)
-
-    def _learn(self, chunks: list[str]) -> None:
-        plain = [(c, m) for c in chunks if (m := _PLAIN.fullmatch(c))]
-        new = sorted({m[1].lower() for _, m in plain} - self.words.keys())
-        for k in range(0, len(new), 2000):
-            some = new[k : k + 2000]
+        self.entries.update(zip(names, range(first, first + len(names))))
+
+    def _learn(self, raw: list[bytes]) -> None:
+        chunks = b"\n".join(raw).decode().split("\n")
+        marks = [MARKS.find(c[-1]) + 1 for c in chunks]
+        names = [c[:-1].lower() if m else c.lower() for c, m in zip(chunks, marks)]
+        for k, plain in enumerate(map(_WORD.fullmatch, names)):
+            if plain is None:  # all other chunks are entries as they stand, told from words by the space in front
+                names[k], marks[k] = " " + chunks[k], 0
+        new = sorted(set(names).difference(self.entries))
+        other = [n for n in new if n[0] == " "]
+        plain = new[len(other) :]
+        if other:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([n[1:] for n in other], add_special_tokens=False)]
+            self._add(other, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids]))
+        for k in range(0, len(plain), 2000):
+            some = plain[k : k + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some):
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
                 raise ValueError("a run of letters must end with one word-end token")
-            self.words.update(zip(some, np.split(ids, cuts[:-1])))
-        for c, m in plain:
-            ids = self.words[m[1].lower()]
-            self._add(c, np.concatenate([ids, self.marks[m[2]]]) if m[2] else ids)
-        other = [c for c in chunks if c not in self.place]
-        if other:
-            for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-                self._add(c, np.array(e.ids, np.uint32))
-        self.bounds = np.array(self.starts, np.int64)
+            self._add(some, ids, np.diff(ends, prepend=0))
+        self.codes.update(zip(raw, [3 * self.entries[n] + m for n, m in zip(names, marks)]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has."""
-        if len(self.place) > CACHED_CHUNKS:
+        if len(self.codes) > CACHED_CHUNKS:
             self.clear()
         chunks = [t.encode("utf-8", "replace").split() for t in texts]
         flat = [c for own in chunks for c in own]
-        if missing := set(flat).difference(self.place):
-            named = {c: c.decode() for c in missing}
-            self._learn_bytes(named)
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        bounds = self.bounds if self.bounds is not None else np.zeros(1, np.int64)
-        lengths = bounds[at + 1] - bounds[at] if len(at) else np.zeros(0, np.int64)
-        ids = self.flat[ragged(bounds[at], lengths)] if len(at) else np.zeros(0, np.uint32)
+        if missing := set(flat).difference(self.codes):
+            self._learn(list(missing))
+        code = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
+        entry, mark = np.divmod(code, 3)
+        lengths = self.starts[entry + 1] - self.starts[entry]
+        marked = mark > 0
+        whole = lengths + marked
+        ids = np.zeros(int(whole.sum()), np.uint32)
+        ends = np.cumsum(whole)
+        ids[ragged(ends - whole, lengths)] = self.flat[ragged(self.starts[entry], lengths)]
+        ids[ends[marked] - 1] = self.marks[mark[marked] - 1]
         owner = np.repeat(np.arange(len(texts)), [len(c) for c in chunks])
-        return ids, np.bincount(owner, lengths, len(texts)).astype(np.int64)
-
-    def _learn_bytes(self, named: dict[bytes, str]) -> None:
-        """Chunks are kept under their bytes, as they are split."""
-        fresh = [c for c in named.values()]
-        self._learn(fresh)
-        for raw, chunk in named.items():
-            self.place[raw] = self.place.pop(chunk)
+        return ids, np.bincount(owner, whole, len(texts)).astype(np.int64)
 
 
 def cut(ids: np.ndarray, capacity: int) -> list[dict]:
