@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm import chat, decontaminate, lines, minhash, neighbours, packing, personal, scoring, toxicity
+from cadastra.llm import chat, decontaminate, licences, lines, minhash, neighbours, packing, personal, scoring, toxicity
 from cadastra.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_personal_data")
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_licence_scan", licences.oracle())
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(table(spark, sf_dir, "documents"))
