@@ -10,11 +10,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadastra.llm import decontaminate, packing
+from cadastra.llm import decontaminate, lines, minhash, packing, toxicity
 from cadastra.llm.common import table
 from cadastra.session import materialize
 
 
+SHINGLE_WORDS = 5
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels of the documents at hand."""
+    return toxicity.remove_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line go, and documents of which nothing is left."""
+    return lines.remove_repeated_lines(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return minhash.remove_near_duplicates(docs, SHINGLE_WORDS)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -26,6 +44,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line dedup", line_dedup_stage),
+    ("MinHash near-dedup", near_dedup_stage),
     ("decontamination", decontamination_stage),
     ("packing", packing_stage),
 ]
