@@ -59,22 +59,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of undirected edges (a, b), component the smallest node reached.
 
-    Every round each node takes the smallest label among its own, its neighbours' and its
-    label's label, so a path halves each round. A round is written to the shared folder, which
-    cuts lineage; a lost executor costs one round.
+    Every node hooks on to its smallest neighbour, pointers are doubled until they end at roots, and the edges are
+    contracted to the roots; what is left has at most half the nodes, so all levels together cost
+    little more than the first. Each step is written to the shared folder: a lost executor costs one step.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))
-        step = labels.join(near, "node").select("node", F.least("component", "_near").alias("_low"), F.col("component").alias("_was"))
-        up = step.select(F.col("node").alias("_up"), F.col("_low").alias("_root"))
-        step = step.join(up, F.col("_low") == F.col("_up"), "left").select("node", F.least("_low", F.coalesce("_root", "_low")).alias("component"), "_was")
-        step = materialize(step, "labels")
-        labels = step.select("node", "component")
-        if step.filter(F.col("component") != F.col("_was")).isEmpty():
-            return labels
-    raise RuntimeError(f"labels still moved after {rounds} rounds")
+    left = materialize(edges.filter("a <> b").select("a", "b").distinct(), "edges")
+    levels: list[DataFrame] = []
+    while not levels or not left.isEmpty():
+        both = left.union(left.select("b", "a"))
+        roots = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_low")).select("node", F.least("node", "_low").alias("up")), "roots")
+        while True:
+            above = roots.select(F.col("node").alias("_at"), F.col("up").alias("_above"))
+            jumped = materialize(roots.join(above, F.col("up") == F.col("_at")).select("node", F.col("up").alias("_was"), F.col("_above").alias("up")), "roots")
+            roots = jumped.select("node", "up")
+            if jumped.filter(F.col("_was") != F.col("up")).isEmpty():
+                break
+        levels.append(roots)
+        ends = left.join(roots.select(F.col("node").alias("a"), F.col("up").alias("_a")), "a").join(roots.select(F.col("node").alias("b"), F.col("up").alias("_b")), "b")
+        left = materialize(ends.filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
+    labels = levels.pop().withColumnRenamed("up", "component")
+    while levels:
+        top = labels.withColumnRenamed("node", "up")
+        labels = levels.pop().join(top, "up", "left").select("node", F.coalesce("component", "up").alias("component"))
+    return materialize(labels, "components")
