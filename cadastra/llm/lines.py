@@ -27,7 +27,8 @@ from cadastra.session import materialize
 
 MIN_WORDS = 5  # distinct words of a line that takes part
 PARTNERS = 3  # handed out for a line at a posting at first
-RARITY_BUCKETS = 1 << 18
+RARITY_BUCKETS = 1 << 22  # a bucket counted once holds one word of one line, which meets no other
+SMALL_GROUP = 16  # lines of a posting that are all compared
 DOC_BUCKETS = 1 << 20  # of document ids, which bounds what says where verified lines stand
 CACHED_WORDS = 300_000
 NO_ID = -(2**63)  # stands for a null id, in front of all others
@@ -51,10 +52,15 @@ class LineReader:
     def __init__(self):
         self.known: dict[bytes, int] = {}
 
-    def read(self, texts: list[str | None], wanted: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text and number of each line of MIN_WORDS distinct words or more, its size, and all codes in a row, rising in a line."""
+    def codes(self, flat: list[bytes]) -> np.ndarray:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
+        for w in set(flat).difference(self.known):
+            self.known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
+        return np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+
+    def read(self, texts: list[str | None], wanted: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text and number of each line of MIN_WORDS distinct words or more, its size, and all codes in a row, rising in a line."""
         own, where, numbers = [], [], []
         for k, t in enumerate(texts):
             if t:
@@ -63,12 +69,10 @@ class LineReader:
                     own.append(words(split[n]))
                     where.append(k)
                     numbers.append(n)
-        flat = [w for ws in own for w in ws]
-        for w in set(flat).difference(self.known):
-            self.known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
-        codes = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        codes = self.codes([w for ws in own for w in ws])
         row = np.repeat(np.arange(len(own)), [len(w) for w in own])
-        order = np.lexsort((codes, row))
+        order = np.argsort(codes)
+        order = order[np.argsort(_short(row[order]), kind="stable")]
         codes, row = codes[order], row[order]
         first = np.ones(len(codes), bool)
         first[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
@@ -78,6 +82,11 @@ class LineReader:
         return np.array(where, np.int64)[keep], np.array(numbers, np.int32)[keep], size[keep], codes[keep[row]]
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """The same numbers in 16 bits where they fit, which sort in linear time."""
+    return x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x
+
+
 def _batches(batches: Iterator[pa.RecordBatch]):
     reader = LineReader()
     for batch in batches:
@@ -106,18 +115,22 @@ def line_keys(documents: DataFrame) -> DataFrame:
 
 
 def rarity(documents: DataFrame) -> np.ndarray:
-    """In how many lines the words of each bucket occur: RARITY_BUCKETS numbers."""
+    """How often the words of each bucket occur, as a rank of 255 steps: 0 never, 1 once, then by the logarithm."""
 
     def count(batches):
-        total = np.zeros(RARITY_BUCKETS, np.int64)
-        for _, _, _, codes in _batches(batches):
-            total += np.bincount(_bucket(codes), minlength=RARITY_BUCKETS)
+        total, reader = np.zeros(RARITY_BUCKETS, np.int32), LineReader()
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for lo, hi in slices([len(t or "") for t in texts], 1_000_000):
+                np.add.at(total, _bucket(reader.codes([w for t in texts[lo:hi] for w in words(t)])), 1)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["bucket", "n"])
 
-    rows = documents.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(RARITY_BUCKETS, np.int64)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    rows = documents.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rank = F.when(F.col("n") == 1, 1).otherwise(F.least(F.lit(255), F.lit(2) + F.floor(F.log2("n") * 8))).cast("int")
+    rows = rows.select("bucket", rank.alias("rank")).toArrow()  # at most RARITY_BUCKETS rows
+    out = np.zeros(RARITY_BUCKETS, np.uint8)
+    out[rows["bucket"].to_numpy()] = rows["rank"].to_numpy()
     return out
 
 
@@ -141,9 +154,11 @@ def postings(documents: DataFrame, counts: np.ndarray) -> DataFrame:
                     new[k] = True
                     if own in seen or len(seen) < CACHED_WORDS:
                         seen[own] = at
-            ranked = np.lexsort((codes, counts[_bucket(codes)], row))
+            rank = counts[_bucket(codes)]
+            ranked = np.argsort(rank, kind="stable")
+            ranked = ranked[np.argsort(_short(row[ranked]), kind="stable")]
             position = np.arange(len(codes)) - np.repeat(starts, size)
-            taken = (position < prefix(size)[row]) & new[row]
+            taken = (position < prefix(size)[row]) & new[row] & (rank[ranked] > 1)
             own = row[taken]
             yield pa.RecordBatch.from_arrays([
                 pa.array(codes[ranked][taken]), pa.array(docs[own]), pa.array(number[own]), pa.array(size[own].astype(np.int32)), pa.array(position[taken].astype(np.int32)), pa.array(bits[own]),
@@ -190,39 +205,60 @@ def partners(doc, line, size, pos, bits, flagged=None) -> list[tuple[int, int, b
     return out
 
 
+def pairs_of(columns: list[np.ndarray], flagged: bool) -> pa.RecordBatch:
+    """PAIRS of whole postings that stand in a row, in order of token, document and line."""
+    token, doc, line, size, pos, bits, *flag = columns
+    starts = np.r_[0, np.flatnonzero(np.diff(token)) + 1]
+    length = np.diff(np.r_[starts, len(token)])
+    later, earlier, more = [], [], []
+    for g in np.unique(length) if not flagged else ():
+        if 1 < g <= SMALL_GROUP:
+            i, j = np.triu_indices(int(g), 1)
+            own = starts[length == g][:, None]
+            a, b = (own + i).ravel(), (own + j).ravel()
+            least = need(size[a], size[b])
+            fits = (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b])) & (np.minimum(size[a] - pos[a], size[b] - pos[b]) >= least)
+            fits &= (np.bitwise_count(bits[a].view(np.uint64) ^ bits[b].view(np.uint64)) <= size[a] + size[b] - 2 * least) & ((doc[a] != doc[b]) | (line[a] != line[b]))
+            later.append(b[fits])
+            earlier.append(a[fits])
+            more.append(np.zeros(int(fits.sum()), bool))
+    for k in np.flatnonzero(length > (1 if flagged else SMALL_GROUP)):
+        at = slice(starts[k], starts[k] + length[k])
+        own = partners(doc[at], line[at], size[at], pos[at], bits[at], flag[0][at].astype(bool) if flagged else None)
+        if own:
+            b, a, m = (np.array(x) for x in zip(*own))
+            later.append(b + starts[k])
+            earlier.append(a + starts[k])
+            more.append(m.astype(bool))
+    b, a, m = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((later, np.int64), (earlier, np.int64), (more, bool)))
+    return pa.RecordBatch.from_arrays([pa.array(doc[b]), pa.array(line[b]), pa.array(doc[a]), pa.array(line[a]), pa.array(m)], schema=PAIRS)
+
+
 def candidates(posts: DataFrame, flagged: bool = False) -> DataFrame:
     """(doc, line, a_doc, a_line, more): pairs that pass the filters, the earlier line under a_."""
 
     def read(batches):
-        held, token = [], None
+        held: list = []  # the parts of the posting that is not known to be whole
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            cuts = np.flatnonzero(np.diff(columns[0])) + 1
-            out: list = []
-            for a, b in zip([0, *cuts], [*cuts, len(columns[0])]):
-                if b == a:
-                    continue
-                if columns[0][a] != token:
-                    out += _pairs(held, flagged)
-                    held, token = [], columns[0][a]
-                held.append([c[a:b] for c in columns])
-            yield pa.RecordBatch.from_pylist(out, PAIRS)
-        yield pa.RecordBatch.from_pylist(_pairs(held, flagged), PAIRS)
+            if not len(columns[0]):
+                continue
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            if held and held[0][0][0] == columns[0][-1]:
+                held.append(columns)
+                continue
+            whole = [*held, [c[:cut] for c in columns]]
+            held = [[c[cut:] for c in columns]]
+            joined = [np.concatenate(c) for c in zip(*whole)]
+            if len(joined[0]):
+                yield pairs_of(joined, flagged)
+        if held:
+            yield pairs_of([np.concatenate(c) for c in zip(*held)], flagged)
 
     order = ["token", "doc", "line"]
     return posts.repartition("token").sortWithinPartitions(*order).mapInArrow(read, "doc long, line int, a_doc long, a_line int, more boolean")
 
 
-def _pairs(held: list, flagged: bool) -> list[dict]:
-    if not held or sum(len(h[0]) for h in held) < 2:
-        return []
-    _, doc, line, size, pos, bits, *flag = (np.concatenate(c) for c in zip(*held))
-    return [
-        {"doc": int(doc[b]), "line": int(line[b]), "a_doc": int(doc[a]), "a_line": int(line[a]), "more": m}
-        for b, a, m in partners(doc, line, size, pos, bits, flag[0].astype(bool) if flagged else None)
-    ]
-
-
 def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` with ``similar``, the Jaccard test on the whole sets."""
     ends = pairs.select("doc", "line").union(pairs.select("a_doc", "a_line")).distinct()
@@ -250,7 +286,7 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     first = keys.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     same = keys.join(first, "key").filter(F.struct("doc", "line") != F.col("_first")).select("doc", "line")
     same = materialize(same, "equal-lines")
-    posts = materialize(postings(documents, rarity(documents)), "postings")
+    posts = postings(documents, rarity(documents))  # read once more where partners fail, which costs less than keeping them
     pairs = candidates(posts).groupBy("doc", "line", "a_doc", "a_line").agg(F.max("more").alias("more"))
     pairs = materialize(pairs.join(same, ["doc", "line"], "left_anti"), "pairs")
     judged = materialize(verified(documents, pairs), "judged").groupBy("doc", "line").agg(F.max("similar").alias("similar"), F.max("more").alias("more"))
