@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,21 +21,27 @@ def day(value: str | dt.date | Column) -> Column:
 
 
 def half_up(c: Column | str, dp: int = 0) -> Column:
-    """Round with .5 going towards plus infinity, as the published figures do."""
+    """Round with .5 going towards plus infinity, as the published figures do.
+
+    From 2^53 units of the last place on a double holds no digits to round, and stays.
+    """
     scale = float(10**dp)
+    x = as_col(c).cast("double")
     if isinstance(c, str):
-        return F.expr(f"CAST(floor(CAST(`{c}` AS DOUBLE) * {scale}D + 0.5D) AS DOUBLE) / {scale}D")
-    return F.floor(as_col(c).cast("double") * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+        x = F.expr(f"CAST(`{c}` AS DOUBLE)")
+    rounded = F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    return F.when(F.abs(x) >= F.lit(2.0**53 / scale), x).otherwise(rounded)
 
 
 def total(c: Column | str, dp: int = 2) -> Column:
-    """Sum of an amount, settled to its own precision so that partition order cannot show.
+    """Exact sum of an amount, rounded half up to ``dp`` places.
 
-    Settling in two steps frees a sum on an exact half of its last digits of noise. A sum too
-    large to carry that many digits is left as it is.
+    Amounts are added as decimals, so neither partition order nor size shows in the result. Digits
+    beyond the places that amounts carry are settled first, so an amount that a
+    double holds a hair below a half still rounds up.
     """
-    s = F.sum(as_col(c))
-    return F.when(F.abs(s) < F.lit(9e18 / 10 ** (dp + 4)), half_up(half_up(s, dp + 4), dp)).otherwise(s.cast("double"))
+    exact = F.round(F.sum(as_col(c).try_cast("decimal(32,10)")), dp + 4)
+    return F.floor(exact + F.lit(Decimal(5).scaleb(-dp - 1)), F.lit(dp)).cast("double")
 
 
 def mean(c: Column | str, dp: int = 0) -> Column:

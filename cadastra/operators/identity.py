@@ -136,12 +136,17 @@ def append_new(store: DataFrame, batch: DataFrame, key: Sequence[str], order: Se
 
 
 def upsert(
-    store: DataFrame, batch: DataFrame, key: Sequence[str], overwrite: Sequence[str], keep_if_null: Sequence[str] = ()
+    store: DataFrame, batch: DataFrame, key: Sequence[str], overwrite: Sequence[str], keep_if_null: Sequence[str] = (), order: Sequence[str] = ()
 ) -> DataFrame:
     """Store after a batch: some columns are overwritten, some only when the new value is stated.
 
-    Columns of the store in neither list keep their stored value for known keys.
+    Columns of the store in neither list keep their stored value for known keys. Of several batch rows of
+    one key the last by ``order`` counts, then the last by all its columns; each row without a key is one of its own.
     """
+    ranked = F.struct(*[F.col(c) for c in (*order, *[c for c in batch.columns if c not in order])])
+    keyless = F.greatest(*[F.col(k).isNull() for k in key], F.lit(False))
+    last = batch.filter(~keyless).groupBy(*[F.col(k).alias(f"_k_{k}") for k in key]).agg(F.max(ranked).alias("_last"))
+    batch = last.select(*[F.col(f"_last.{c}").alias(c) for c in batch.columns]).unionByName(batch.filter(keyless))
     new = batch.select(*key, F.lit(True).alias("_new"), *[F.col(c).alias(f"_n_{c}") for c in batch.columns if c not in key])
     old = store.withColumn("_old", F.lit(True))
     joined = old.join(new, list(key), "full_outer")

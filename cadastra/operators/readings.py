@@ -329,6 +329,21 @@ def order_progress(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("progress").isNotNull()).orderBy("suspect", F.abs("progress").desc(), "project_number")
 
 
+def place_progress(rows: DataFrame) -> DataFrame:
+    """Every progress revision with its ``place`` in that order.
+
+    Progress is published to one decimal, so the places before a value follow from counts of a few thousand values at
+    most; only revisions of one value are numbered together.
+    """
+    kept = rows.filter(F.col("progress").isNotNull()).withColumn("_size", F.abs("progress"))
+    counts = kept.groupBy("suspect", "_size").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.orderBy("suspect", F.desc("_size")).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("suspect", "_size", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("suspect", "_size").orderBy("project_number")
+    numbered = kept.join(before.withColumnRenamed("suspect", "_s").withColumnRenamed("_size", "_z"), F.col("suspect").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
+    return numbered.withColumn("place", (F.col("_before") + F.row_number().over(inside)).cast("int")).drop("_size", "_before", "_s", "_z")
+
+
 def entered(obs: DataFrame, project_seen: DataFrame, frm: str, to: str) -> DataFrame:
     """Projects first seen inside (frm, to]: by their vintage, else by their first reading."""
     first = obs.groupBy("project_number").agg(F.min("observed_at").alias("first_reading"))

@@ -89,7 +89,7 @@ def area_month_index(sales: DataFrame, rules: ValuationRules = ValuationRules())
 
 def carry_series(index: DataFrame, area_prefix: str = "area_apartments:", market: str = "registered_apartments") -> DataFrame:
     """Index levels to carry comparables on: (area or null for the market, quarter, level); thin quarters left out."""
-    area = F.when(F.col("series").startswith(area_prefix), F.substring(F.col("series"), len(area_prefix) + 1, 10_000))
+    area = F.when(F.col("series").startswith(area_prefix), F.expr(f"substring(series, {len(area_prefix) + 1})"))
     return index.filter(((F.col("series") == market) | area.isNotNull()) & ~F.col("thin")).select(
         area.alias("area_name"), "quarter", F.col("index").alias("level")
     )

@@ -116,7 +116,7 @@ def _(t):
 def _(t):
     store = shared_dir(t.spark, "store")
     writers.replace_if_valid(t.rent, shared_dir(t.spark, "staging"), store, ["contract_id", "annual_amount"], 1)
-    return t.spark.read.parquet(store).groupBy("area_name").agg(F.count(F.lit(1)).alias("n"))
+    return writers.read_store(t.spark, store).groupBy("area_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("monthly_edition", "SELECT * FROM (" + mq._headline_sql() + ")", tagged=mq._tagged("registration", "instance_date", mq.PERIODS), st=mq.sales_stats_sql("tagged"),

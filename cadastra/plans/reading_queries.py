@@ -1,6 +1,5 @@
 """Construction-reading queries: latest as of, movement, supply, delay, pipeline, verdicts."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadastra.functions.predicates import LIVE_STATUSES
@@ -293,11 +292,10 @@ def _(t):
 
 
 @query("progress_order", f"""SELECT project_number, progress, suspect, CAST(row_number() OVER (ORDER BY suspect, abs(progress) DESC, project_number) AS INT) AS place FROM (SELECT *, ap >= 99.9 AND ap - bp >= 50 AND bs <> asrc AS suspect FROM (
-    SELECT *, CASE WHEN abs(ap - bp) >= 0.05 THEN {rnd("ap - bp", 1)} END AS progress FROM x)) WHERE progress IS NOT NULL ORDER BY place LIMIT 50""",
+    SELECT *, CASE WHEN abs(ap - bp) >= 0.05 THEN {rnd("ap - bp", 1)} END AS progress FROM x)) WHERE progress IS NOT NULL""",
        b=latest_sql(FROM), a=latest_sql(TO),
        x="""SELECT a.project_number, least(100.0::DOUBLE, b.percent_completed) AS bp, least(100.0::DOUBLE, a.percent_completed) AS ap, b.source AS bs, a.source AS asrc FROM a JOIN b USING (project_number) WHERE a.id <> b.id""")
 def _(t):
-    """The fifty leading revisions of the report, numbered as listed."""
-    top = readings.order_progress(readings.register_moves(t.observation, t.project, FROM, TO)).limit(50)
-    by_rank = Window.orderBy("suspect", F.abs("progress").desc(), "project_number")
-    return top.select("project_number", "progress", "suspect", F.row_number().over(by_rank).alias("place"))
+    """All revisions of the report, numbered as listed."""
+    placed = readings.place_progress(readings.register_moves(t.observation, t.project, FROM, TO))
+    return placed.select("project_number", "progress", "suspect", "place")

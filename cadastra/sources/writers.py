@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,10 @@ def manifest(df: DataFrame, columns: Sequence[str], config: dict, parts: Sequenc
     The content hash adds up row hashes, so it does not depend on row or partition order.
     """
     config_hash = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()
-    rows = df.withColumn("_h", F.conv(F.substring(row_hash(df, columns), 1, 12), 16, 10).cast("decimal(20,0)"))
-    sums = [F.count(F.lit(1)).alias("rows"), F.sum("_h").cast("string").alias("content_hash")]
+    # The whole hash in four parts, each summed by itself: a sum of 64-bit numbers fits 38 digits.
+    quarters = [F.conv(F.substring("_h", 16 * k + 1, 16), 16, 10).cast("decimal(20,0)") for k in range(4)]
+    rows = df.withColumn("_h", row_hash(df, columns))
+    sums = [F.count(F.lit(1)).alias("rows"), F.concat_ws("-", *[F.sum(q).cast("string") for q in quarters]).alias("content_hash")]
     whole = rows.agg(*sums).select(F.lit("all").alias("part"), "rows", "content_hash")
     by_part = rows.groupBy(F.concat_ws("/", *parts).alias("part")).agg(*sums) if parts else whole.limit(0)
     return whole.unionByName(by_part).withColumn("config_hash", F.lit(config_hash))
@@ -47,10 +50,17 @@ class Rejected(ValueError):
     """A download that must not replace the store."""
 
 
-def replace_if_valid(df: DataFrame, staging: str, store: str, required: Sequence[str], min_rows: int, complete: bool = True) -> int:
-    """Replace a stored table only with a whole download: columns present, enough rows, all rows written.
+def read_store(spark, store: str) -> DataFrame:
+    """The newest whole version of a stored table."""
+    versions = spark.read.parquet(store)
+    return versions.filter(F.col("version") == versions.agg(F.max("version")).first()[0]).drop("version")
 
-    The rows go to staging first and are counted there; the store is then written from staging.
+
+def replace_if_valid(df: DataFrame, staging: str, store: str, required: Sequence[str], min_rows: int, complete: bool = True, received: int | None = None) -> int:
+    """Replace a stored table only with a whole download: columns present, enough rows, as many as were received.
+
+    The rows go to staging and are checked there. A valid load is then added as a new version beside the old ones, which no
+    rejected or broken load touches; readers take the newest version that was written to its end.
     """
     lacking = [c for c in required if c not in df.columns]
     if lacking:
@@ -58,15 +68,21 @@ def replace_if_valid(df: DataFrame, staging: str, store: str, required: Sequence
     if not complete:
         raise Rejected("the download is incomplete")
     df.write.mode("overwrite").parquet(staging)
-    staged = df.sparkSession.read.schema(df.schema).parquet(staging)
+    spark = df.sparkSession
+    staged = spark.read.schema(df.schema).parquet(staging)
     rows = staged.count()
     if rows < min_rows:
         raise Rejected(f"{rows} rows, at least {min_rows} expected")
-    staged.write.mode("overwrite").parquet(store)
-    written = df.sparkSession.read.schema(df.schema).parquet(store).count()
-    if written != rows:
-        raise Rejected(f"{written} rows written of {rows}")
-    return written
+    if received is not None and rows != received:
+        raise Rejected(f"{rows} rows staged of {received} received")
+    try:
+        version = (spark.read.parquet(store).agg(F.max("version")).first()[0] or 0) + 1
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        version = 1
+    staged.write.mode("overwrite").parquet(f"{store}/version={version}")
+    return rows
 
 
 def held_editions(spark, path: str) -> set[tuple[str, str]]:

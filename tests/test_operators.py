@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cadastra.functions import numbers
 from cadastra.operators import forecast, grouping, identity, issuers, listings, market, panels, readings, resale
 from cadastra.operators.quantiles import Pick, median_by, order_statistics
 
@@ -89,6 +90,8 @@ def test_append_and_upsert(spark):
     one = batch.filter("k = 'a' or v = 2")
     got = {r["k"]: (r["v"], r["w"]) for r in identity.upsert(store, one, ["k"], ["v"], ["w"]).collect()}
     assert got == {"a": (9, "x"), "b": (2, "y")}
+    whole = sorted(identity.upsert(store, batch, ["k"], ["v", "w"], order=["v"]).collect(), key=repr)
+    assert [tuple(r) for r in whole] == [("a", 9, None), ("b", 3, "z"), (None, 4, "q"), (None, 4, "q")]
 
 
 def test_withdrawals_need_a_whole_day(spark):
@@ -280,3 +283,13 @@ def test_edition_windows():
     weekly = market.edition_periods("weekly", "2026-09-14", since="2026-09-07")
     assert weekly == {"cur": ("2026-09-08", "2026-09-14"), "prev": ("2026-09-01", "2026-09-07"), "yoy": ("2025-09-08", "2025-09-14")}
     assert market.last_full_month("2026-09-30") == "2026-09" and market.last_full_month("2026-09-29") == "2026-08"
+
+
+def test_totals_are_exact_at_any_size(spark):
+    big = spark.createDataFrame([(3_000_000_000_000.12,)] * 40_000 + [(0.01,), (-0.005,), (None,)], "v double")
+    want = 3_000_000_000_000.12 * 40_000
+    for parts in (1, 7):
+        assert big.repartition(parts).agg(numbers.total("v").alias("t")).first().t == round(want, 2)
+    small = spark.createDataFrame([(0.005,), (1.005,), (-1.005,)], "v double")
+    assert [r.t for r in small.groupBy("v").agg(numbers.total("v").alias("t")).orderBy("v").collect()] == [-1.0, 0.01, 1.01]
+    assert spark.sql("select 9.3e13D + 0.25D as v").select(numbers.half_up("v", 2)).first()[0] == 93_000_000_000_000.25

@@ -106,7 +106,12 @@ def test_gated_replacement(spark, tmp_path):
         with pytest.raises(writers.Rejected):
             writers.replace_if_valid(df, staging, store, **bad)
     assert writers.replace_if_valid(df, staging, store, ["id"], 20) == 20
-    assert spark.read.parquet(store).count() == 20
+    assert writers.read_store(spark, store).count() == 20
+    with pytest.raises(writers.Rejected):
+        writers.replace_if_valid(df.limit(15), staging, store, ["id"], 1, received=16)
+    assert writers.read_store(spark, store).count() == 20
+    assert writers.replace_if_valid(df.limit(15), staging, store, ["id"], 1, received=15) == 15
+    assert writers.read_store(spark, store).count() == 15
 
 
 def test_manifest_does_not_depend_on_order(spark, tmp_path):
