@@ -99,15 +99,20 @@ def project_cards(project: DataFrame, developer: DataFrame, obs: DataFrame, tx:
     )
 
 
-def project_by_rooms(tx: DataFrame, rents: DataFrame, asking: DataFrame, as_of: str) -> DataFrame:
-    """Recorded prices, rents and asking prices per project and rooms, with the spread and gross yield."""
-    since = days_before(as_of, YEAR)
-    sold = tx.filter(
-        is_sale() & (F.col("meter_sale_price") > 0) & F.col("property_type").isin("Unit", "Villa") & (F.col("instance_date") >= since)
+def sold_by_rooms(tx: DataFrame, as_of: str) -> DataFrame:
+    """Recorded sales per project and rooms over the trailing year: number, price per sqm, price, last date."""
+    return tx.filter(
+        is_sale() & (F.col("meter_sale_price") > 0) & F.col("property_type").isin("Unit", "Villa") & (F.col("instance_date") >= days_before(as_of, YEAR))
     ).groupBy("project_number", rooms_or_default("rooms").alias("rooms")).agg(
         F.count(F.lit(1)).alias("n"), mean("meter_sale_price").alias("psm"), mean("actual_worth").alias("price"),
         F.max("instance_date").alias("last"),
     )
+
+
+def project_by_rooms(tx: DataFrame, rents: DataFrame, asking: DataFrame, as_of: str) -> DataFrame:
+    """Recorded prices, rents and asking prices per project and rooms, with the spread and gross yield."""
+    since = days_before(as_of, YEAR)
+    sold = sold_by_rooms(tx, as_of)
     let = rents.filter(
         F.col("rent_property_type").isin("Flat", "Villa") & (F.col("annual_amount") > 5_000) & (F.col("contract_start_date") >= since)
     ).groupBy("project_number", "rooms").agg(F.count(F.lit(1)).alias("rent_n"), mean("annual_amount").alias("rent"))

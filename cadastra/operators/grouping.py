@@ -60,3 +60,10 @@ def singles_and_copies(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     singles = rest.join(sizes.filter(F.col("_size") == 1), key, "left_semi")
     copies = rest.join(sizes.filter(F.col("_size") > 1), key, "left_semi")
     return singles, copies.unionByName(df.join(heavy, key, "left_semi"))
+
+
+def left_join_keyed(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Left join in which rows without a key are not shuffled: they match nothing and pass by."""
+    extra = [F.lit(None).cast(other.schema[c].dataType).alias(c) for c in other.columns if c != key]
+    matched = df.filter(F.col(key).isNotNull()).join(other, key, "left")
+    return matched.select(*df.columns, *[c for c in other.columns if c != key]).unionByName(df.filter(F.col(key).isNull()).select(*df.columns, *extra))

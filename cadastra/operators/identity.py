@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadastra.functions.numbers import day, half_up, ratio
 from cadastra.functions.text import blank_to_null, feed_of, norm_area, slugify, tx_key, tx_number
-from cadastra.operators.grouping import number_rows, singles_and_copies
+from cadastra.operators.grouping import left_join_keyed, number_rows, singles_and_copies
 
 TEXT_COLUMNS = (
     "trans_group", "procedure_name", "reg_type", "property_type", "property_sub_type", "property_usage", "area_name",
@@ -91,16 +91,12 @@ def merge_summary(tx: DataFrame) -> DataFrame:
     )
 
 
-def _equal(left: DataFrame, right: DataFrame, key: Sequence[str]) -> list[Column]:
-    return [left[k] == right[k] for k in key]
-
-
 def fill_blanks(held: DataFrame, feed: DataFrame, key: str, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Held rows gain what a richer feed states and they leave blank; a held value always wins."""
     offered = feed.filter(F.col(key).isNotNull()).groupBy(key).agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_f_{c}") for c in columns]
     )
-    joined = held.join(offered, key, "left")
+    joined = left_join_keyed(held, offered, key)
     return joined.select(
         *[F.coalesce(c, f"_f_{c}").alias(c) if c in columns else F.col(c) for c in held.columns]
     )
@@ -111,7 +107,7 @@ def correct_from_register(held: DataFrame, web: DataFrame, order: Sequence[str])
     newest = web.filter(F.col("tx_key").isNotNull()).groupBy("tx_key").agg(
         F.max_by(F.struct("instance_date", "actual_worth", "procedure_area"), F.struct(*order)).alias("_w")
     )
-    joined = held.join(newest, "tx_key", "left")
+    joined = left_join_keyed(held, newest, "tx_key")
     hit = F.col("_w").isNotNull()
     worth = F.coalesce("_w.actual_worth", "actual_worth")
     area = F.coalesce("_w.procedure_area", "procedure_area")
@@ -170,7 +166,7 @@ def link_by_name(df: DataFrame, project: DataFrame, trim: bool = True) -> DataFr
     """Fill a missing project number by name, ignoring case; of several matches the lowest number."""
     fold = lambda c: F.upper(F.trim(F.col(c))) if trim else F.upper(F.col(c))
     names = project.groupBy(fold("project_name").alias("_name")).agg(F.min("project_number").alias("_linked"))
-    joined = df.withColumn("_name", F.when(F.col("project_number").isNull(), fold("project_name"))).join(names, "_name", "left")
+    joined = left_join_keyed(df.withColumn("_name", F.when(F.col("project_number").isNull(), fold("project_name"))), names.filter(F.col("_name").isNotNull()), "_name")
     return joined.select(*[F.coalesce(c, "_linked").alias(c) if c == "project_number" else F.col(c) for c in df.columns])
 
 

@@ -106,7 +106,7 @@ def mark_repeats(tx: DataFrame, entities: DataFrame, rules: PanelRules, as_of: s
     rows = tx.filter(is_sale() & F.col("procedure_name").isin(*rules.procedures) & home & (F.col("instance_date") <= day(as_of))).join(
         entities.select("project_number", "entity_id"), "project_number"
     ).select(
-        "entity_id", "project_number", "instance_date", "actual_worth", "meter_sale_price", "procedure_name", "building_name", "property_type", "rooms",
+        *[c for c in ("transaction_id",) if c in tx.columns], "entity_id", "project_number", "instance_date", "actual_worth", "meter_sale_price", "procedure_name", "building_name", "property_type", "rooms",
         "procedure_area", "area_name", (F.col("procedure_name") == rules.first_procedure).alias("is_first"),
         *[norm.get(c, F.coalesce(c, F.lit(""))).alias(k) for c, k in zip(rules.unit_key, keys)],
     )
@@ -126,13 +126,16 @@ def mark_repeats(tx: DataFrame, entities: DataFrame, rules: PanelRules, as_of: s
     # An unambiguous text key of the island: lengths keep ('a','bc') and ('ab','c') apart.
     text = F.concat_ws("|", *[F.concat(F.length(k).cast("string"), F.lit(":"), F.col(k)) for k in keys], F.col("_island").cast("string"))
     columns = [c for c in plain.columns if c not in (*keys, "_b", "_island")]
+    # Registrations of one day stand in the order of their ids, where the source has ids.
+    number = [c for c in ("transaction_id",) if c in columns]
     queue = joined.filter(F.col("_island").isNotNull()).withColumn("island_key", text).select(
         "island_key", *[c for c in columns if c != "is_repeat"])
     ordered = queue.repartition("island_key").sortWithinPartitions(
-        "island_key", "instance_date", "actual_worth", "is_first", "procedure_name", "area_name", "meter_sale_price")
+        "island_key", "instance_date", *number, "actual_worth", "is_first", "procedure_name", "area_name", "meter_sale_price")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema) + ", is_repeat boolean"
     tolerance = rules.price_tolerance
     marked = ordered.mapInPandas(lambda it: _ranked_walk(it, tolerance), schema)
+    columns = [c for c in columns if c not in number]
     return plain.select(*columns).unionByName(marked.select(*columns))
 
 

@@ -148,9 +148,7 @@ def _(t):
 @query("price_vs_area", f"""SELECT project_number, p.area_name, n, {rnd("w", 1)} AS psm, psm_90, {rnd("(w/psm_90 - 1)*100", 1)} AS gap_pct, CASE WHEN abs(w/psm_90 - 1) < 0.02::DOUBLE THEN 'in line' WHEN w/psm_90 > 1 THEN 'above' WHEN w/psm_90 <= 1 THEN 'below' END AS verdict
   FROM (SELECT project_number, CAST(sum(n) AS BIGINT) AS n, {rnd("sum(psm*n)", 2)}/sum(n) AS w FROM s WHERE rooms NOT IN ('Unclassified','NA') GROUP BY 1) JOIN project p USING (project_number) LEFT JOIN ast USING (area_name)""", **AREA, s=ROOMS)
 def _(t):
-    none = t.rent.limit(0)
-    by_rooms = areas.project_by_rooms(t.registration, none, listing(t).limit(0).withColumn("asking_price", F.lit(0.0)), AS_OF)
-    return areas.price_vs_area(by_rooms, t.project, _stats(t))
+    return areas.price_vs_area(areas.sold_by_rooms(t.registration, AS_OF), t.project, _stats(t))
 
 
 HOME = "rent_property_type IN ('Flat','Villa','Studio','Complex Villas') AND annual_amount BETWEEN 5000 AND 5000000"

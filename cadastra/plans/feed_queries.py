@@ -128,7 +128,6 @@ def _(t):
     pack = market_pack(sales, t.rent, t.project, t.developer, t.observation, pairs(t), "monthly", mq.PERIODS, mq.LIMITS, mq.UNIT, mq.BANDS)
     for section in ("headline", "areas", "bands", "deals"):
         writers.write_edition(pack[section], f"{path}/{section}", "monthly", "2001-07")
-    sales.unpersist()
     return t.spark.read.parquet(f"{path}/headline").drop("kind", "key")
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.functions.numbers import between_days
 from cadastra.functions.predicates import DEFAULT_LIMITS, MORTGAGES, SALES, Limits
 from cadastra.operators import market, readings, resale
+from cadastra.session import materialize
 
 
 def market_pack(
@@ -44,9 +44,6 @@ def market_pack(
 
 
 def shared_sales(tx: DataFrame, since: str, until: str) -> DataFrame:
-    """Sales and mortgages of the pack's span, kept on disk while its sections are written.
-
-    The caller unpersists it; a lost executor recomputes its share from the source.
-    """
+    """Sales and mortgages of the pack's span, written once to the shared folder for all its sections."""
     span = tx.filter(F.col("trans_group").isin(SALES, MORTGAGES) & between_days("instance_date", since, until))
-    return span.persist(StorageLevel.DISK_ONLY)
+    return materialize(span, "pack-sales")
