@@ -133,11 +133,16 @@ def _(t):
 
 # ---- streaming ----
 
+FILE_KEYS = {"lineitem": ["l_shipdate"]}
+
+
 def _stream(t, view: str, name: str):
-    """An adapter view with one of its raw tables read as a stream of files."""
+    """An adapter view with one of its raw tables read as a stream of several files, the dates mixed, one file a batch."""
     body = texts(SPARK)[view]
     bound = {raw: t.raw(raw) for raw in RAW if "{" + raw + "}" in body and raw != name}
-    return t.spark.sql(body, **bound, **{name: feeds.stream_parquet(t.spark, t.sf_dir, RAW[name], f"{name}.parquet")})
+    path = shared_dir(t.spark, "landed")
+    t.raw(name).repartition(5, F.xxhash64(*FILE_KEYS[name])).write.parquet(path)
+    return t.spark.sql(body, **bound, **{name: feeds.stream_parquet(t.spark, path, RAW[name], files_per_trigger=1)})
 
 
 def _to_parquet(t, rows, mode: str = "append"):
@@ -155,8 +160,9 @@ def _to_parquet(t, rows, mode: str = "append"):
 def _(t):
     rows = _stream(t, "registration_id", "lineitem").select(
         text.tx_key("transaction_id", "trans_group").alias("tx_key"), "trans_group", F.col("instance_date").cast("timestamp").alias("event_time"))
-    out = _to_parquet(t, feeds.stream_dedupe(rows, "event_time", 45))
-    return out.groupBy("trans_group").agg(F.count(F.lit(1)).alias("n"))
+    path = shared_dir(t.spark, "registrations")
+    feeds.run_available(feeds.stream_dedupe(rows, path), shared_dir(t.spark, "stream-checkpoint"))
+    return feeds.landed(t.spark, path).groupBy("trans_group").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_activity", f"""SELECT window_start, area_name, count(*) AS n, {tot("actual_worth")} AS worth FROM (SELECT strftime(DATE '1970-01-01' + CAST((instance_date - DATE '1970-01-01') // 30 - k AS INT)*30, '%Y-%m-%d') AS window_start, area_name, actual_worth
@@ -164,9 +170,9 @@ def _(t):
 def _(t):
     """Sixty-day windows sliding by thirty days, per area."""
     rows = _stream(t, "registration", "lineitem").filter(F.col("trans_group") == "Sales").withColumn("event_time", F.col("instance_date").cast("timestamp"))
-    out = _to_parquet(t, feeds.stream_activity(rows, "event_time", ["area_name"], "60 days", "30 days"), "update")
-    return out.groupBy("window_start", "area_name").agg(F.max_by(F.struct("n", "worth"), "epoch").alias("r")).select(
-        F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "area_name", F.col("r.n").alias("n"), (F.floor(F.col("r.worth") * 100 + 0.5) / 100.0).alias("worth"))
+    path = shared_dir(t.spark, "activity")
+    feeds.run_available(feeds.stream_activity(rows, path, "event_time", ["area_name"], "60 days", "30 days"), shared_dir(t.spark, "stream-checkpoint"))
+    return feeds.activity(t.spark, path, ["area_name"]).select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "area_name", "n", "worth")
 
 
 @query("stream_lateness", f"SELECT late, CAST(count(*) AS BIGINT) AS rows, CAST(sum(lag) AS BIGINT) AS lag_days FROM (SELECT first_seen - instance_date AS lag, first_seen - instance_date > 12 AS late FROM registration_seen) GROUP BY 1")
@@ -197,22 +203,15 @@ def _(t):
 @query("stream_upsert", f"""SELECT count(*) AS n, {tot("w")} AS worth, max(d) AS last FROM (SELECT coalesce(w.w, h.actual_worth) AS w, coalesce(w.d, h.instance_date) AS d FROM h LEFT JOIN w USING (tx_key))""", k=iq.KEYED, f=iq.FEEDS, h=iq.HELD,
        w="SELECT tx_key, last(instance_date ORDER BY o) AS d, last(actual_worth ORDER BY o) AS w FROM (SELECT *, row(instance_date, actual_worth, procedure_area) AS o FROM f WHERE feed='web') GROUP BY 1")
 def _(t):
-    """Website rows streamed in and applied to the held register batch by batch."""
+    """Website rows land as a log of corrections; the held register is read through it, the newest row of a key first."""
     columns = ["tx_key", "instance_date", "feed_date", "actual_worth", "procedure_area", "meter_sale_price"]
-    folder = shared_dir(t.spark, "held")
-    state = {"path": f"{folder}/start"}
     held = iq.feeds(t).filter(text.feed_of("transaction_id") != "web").select(*columns)
-    held.write.parquet(state["path"])
     web = _stream(t, "registration_id", "lineitem").filter(F.size(F.split("transaction_id", "-")) == 3).select(
         text.tx_key("transaction_id", "trans_group").alias("tx_key"), *columns[1:])
-
-    def write(df, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
-        state["path"] = f"{folder}/epoch={epoch}"
-
-    apply = lambda store, batch: identity.correct_from_register(store, batch, ["instance_date", "actual_worth", "procedure_area"])
-    feeds.run_available(feeds.stream_upsert(web, lambda: t.spark.read.parquet(state["path"]), write, apply), shared_dir(t.spark, "stream-checkpoint"))
-    return t.spark.read.parquet(state["path"]).agg(F.count(F.lit(1)).alias("n"), total("actual_worth").alias("worth"), F.max("instance_date").alias("last"))
+    path = shared_dir(t.spark, "corrections")
+    feeds.run_available(feeds.land(web, path), shared_dir(t.spark, "stream-checkpoint"))
+    now = identity.correct_from_register(held, feeds.landed(t.spark, path), ["instance_date", "actual_worth", "procedure_area"])
+    return now.agg(F.count(F.lit(1)).alias("n"), total("actual_worth").alias("worth"), F.max("instance_date").alias("last"))
 
 
 @query("stream_withdrawals", f"""SELECT mark, count(*) AS n FROM (SELECT CASE WHEN r.tx_key IS NULL THEN 'withdrawn' ELSE 'present' END AS mark FROM held h JOIN (SELECT mk.feed_date FROM mk JOIN (SELECT feed_date, count(*) AS n FROM held GROUP BY 1) c USING (feed_date)
@@ -222,10 +221,9 @@ def _(t):
     gone = (F.col("procedure_area") == 1) | ((F.dayofmonth("feed_date") == 5) & (F.col("procedure_area") < 20))
     returned = _stream(t, "registration_id", "lineitem").filter(F.col("feed_date").isNotNull() & ~gone).select(
         "feed_date", text.tx_key("transaction_id", "trans_group").alias("tx_key"), (F.dayofmonth("feed_date") != 9).alias("day_ok"))
-    out = shared_dir(t.spark, "marks")
-    sink = lambda marks, epoch: marks.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-    feeds.run_available(feeds.stream_withdrawals(returned, lambda: held, AS_OF, sink), shared_dir(t.spark, "stream-checkpoint"))
-    return t.spark.read.parquet(out).groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+    path = shared_dir(t.spark, "returned")
+    feeds.run_available(feeds.land(returned, path), shared_dir(t.spark, "stream-checkpoint"))
+    return feeds.withdrawals(feeds.landed(t.spark, path), held, AS_OF).groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("edition_windows", f"""SELECT 'weekly' AS kind, count(*) AS n FROM registration WHERE instance_date BETWEEN DATE '2001-07-16' AND DATE '2001-07-29' UNION ALL SELECT 'yearly', count(*) FROM registration WHERE instance_date BETWEEN DATE '2001-01-01' AND DATE '{AS_OF}'""")

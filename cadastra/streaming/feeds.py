@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DateType, DoubleType, LongType, StringType, StructField, StructType
 
+from cadastra.functions.numbers import total
 from cadastra.operators import identity
 from cadastra.sources.readers import SCAN_SCHEMA, scan_rows
 
@@ -33,14 +34,32 @@ def run_available(writer, checkpoint: str) -> StreamingQuery:
     return query
 
 
-def stream_dedupe(rows: DataFrame, event_time: str, horizon_days: int = 45, key: str = "tx_key") -> DataFrame:
-    """One row per registration inside the re-pull horizon; rows without a key pass through untouched.
+def land(rows: DataFrame, path: str):
+    """Land a stream in a folder, one part per micro-batch; a batch that runs again replaces its own part.
 
-    State is dropped when the horizon has passed, so it is bounded by the horizon, not the history.
+    What is derived from the folder does not depend on how the feed was split into batches.
     """
-    marked = rows.withColumn(key, F.coalesce(F.col(key), F.concat(F.lit("unkeyed:"), F.expr("uuid()"))))
-    unique = marked.withWatermark(event_time, f"{horizon_days} days").dropDuplicatesWithinWatermark([key])
-    return unique.withColumn(key, F.when(~F.col(key).startswith("unkeyed:"), F.col(key)))
+    return rows.writeStream.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}"))
+
+
+def landed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("epoch")
+
+
+def stream_dedupe(rows: DataFrame, path: str, key: str = "tx_key", order: Sequence[str] = ()):
+    """One row per registration in the folder, however late it comes; rows without a key are all kept.
+
+    Each batch is held against the keys of the batches before it, so nothing is cut by its date and no
+    state beside the folder has to be kept.
+    """
+    spark = rows.sparkSession
+    spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{path}/epoch=-1")
+
+    def on_batch(batch: DataFrame, epoch: int) -> None:
+        held = batch.sparkSession.read.parquet(path).filter(F.col("epoch") < epoch)
+        identity.append_new(held, batch, [key], list(order) or batch.columns).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return rows.writeStream.foreachBatch(on_batch)
 
 
 def lateness(rows: DataFrame, horizon_days: int = 45) -> DataFrame:
@@ -112,36 +131,26 @@ def stream_listing_state(rows: DataFrame, tracker: ListingTracker | None = None)
         statefulProcessor=tracker or ListingTracker(), outputStructType=LISTING_OUTPUT, outputMode="Append", timeMode="None")
 
 
-def stream_activity(rows: DataFrame, event_time: str, keys: list[str], length: str, slide: str | None = None, lateness_days: int = 45) -> DataFrame:
-    """Rolling counts and value: tumbling when no slide is given, else sliding windows."""
-    span = F.window(event_time, length, slide) if slide else F.window(event_time, length)
-    return rows.withWatermark(event_time, f"{lateness_days} days").groupBy(span.alias("span"), *keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("actual_worth").alias("worth")
-    ).select(F.col("span.start").alias("window_start"), F.col("span.end").alias("window_end"), *keys, "n", "worth")
+def stream_activity(rows: DataFrame, path: str, event_time: str, keys: list[str], length: str, slide: str | None = None):
+    """Rolling counts and value: tumbling when no slide is given, else sliding windows.
 
-
-def stream_withdrawals(rows: DataFrame, held: Callable[[], DataFrame], run_date: str, sink: Callable[[DataFrame, int], None]):
-    """Withdrawal marks per micro-batch of returned rows (feed_date, tx_key, day_ok)."""
-
-    def on_batch(batch: DataFrame, epoch: int) -> None:
-        marks = batch.groupBy("feed_date").agg(F.count(F.lit(1)).alias("returned_rows"), F.min(F.col("day_ok").cast("int")).alias("_ok")).withColumn(
-            "ok", F.col("_ok") == 1)
-        sink(identity.withdrawal_marks(held(), batch.select("feed_date", "tx_key"), marks, run_date), epoch)
-
-    return rows.writeStream.foreachBatch(on_batch)
-
-
-def stream_upsert(rows: DataFrame, read_store: Callable[[], DataFrame], write_store: Callable[[DataFrame, int], None], apply: Callable[[DataFrame, DataFrame], DataFrame]):
-    """Apply fills, corrections or upserts per micro-batch.
-
-    ``write_store`` must write the epoch's result to its own folder: a batch can run again after a
-    failure, and a store cannot be overwritten while it is read.
+    A batch adds its share of each window to the folder; ``activity`` sums the shares, late rows included.
     """
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
-        write_store(apply(read_store(), batch), epoch)
+        span = F.window(event_time, length, slide) if slide else F.window(event_time, length)
+        shares = batch.groupBy(span.alias("span"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("actual_worth").try_cast("decimal(32,10)")).alias("worth"))
+        shares.select(F.col("span.start").alias("window_start"), F.col("span.end").alias("window_end"), *keys, "n", "worth").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return rows.writeStream.foreachBatch(on_batch)
 
 
+def activity(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The windows of an activity folder: number and value of their rows so far."""
+    return landed(spark, path).groupBy("window_start", "window_end", *keys).agg(F.sum("n").alias("n"), total("worth").alias("worth"))
+
 
+def withdrawals(returned: DataFrame, held: DataFrame, run_date: str) -> DataFrame:
+    """Withdrawal marks from all landed rows of a day (feed_date, tx_key, day_ok), however many batches brought them."""
+    marks = returned.groupBy("feed_date").agg(F.count(F.lit(1)).alias("returned_rows"), F.min(F.col("day_ok").cast("int")).alias("_ok")).withColumn("ok", F.col("_ok") == 1)
+    return identity.withdrawal_marks(held, returned.select("feed_date", "tx_key"), marks, run_date)

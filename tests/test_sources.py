@@ -164,9 +164,14 @@ def test_listing_stream_agrees_with_the_batch(spark, tmp_path):
     assert {k for k, v in got.items() if v[1]} == cuts == {("a", 4), ("a", 8), ("b", 3)}
 
 
-def test_stream_dedupe_keeps_unkeyed_rows(spark, tmp_path):
-    ts = dt.datetime(2026, 1, 1)
-    spark.createDataFrame([("k", ts), ("k", ts), (None, ts), (None, ts)], "tx_key string, event_time timestamp").write.parquet(str(tmp_path / "in"))
-    rows = feeds.stream_parquet(spark, str(tmp_path / "in"), "tx_key string, event_time timestamp")
-    feeds.run_available(feeds.stream_dedupe(rows, "event_time").writeStream.format("parquet").option("path", str(tmp_path / "out")), str(tmp_path / "cp"))
-    assert sorted(str(r.tx_key) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["None", "None", "k"]
+def test_stream_dedupe_does_not_depend_on_the_batches(spark, tmp_path):
+    schema = "tx_key string, event_time timestamp"
+    for k, month in enumerate((9, 5, 1)):  # newest first, one file a batch
+        ts = dt.datetime(2026, month, 1)
+        spark.createDataFrame([(f"k{month}", ts), ("all", ts), ("all", ts), (None, ts)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k}"))
+    for files in (1, 100):
+        rows = feeds.stream_parquet(spark, str(tmp_path / "in" / "*"), schema, files_per_trigger=files)
+        out = str(tmp_path / f"out{files}")
+        feeds.run_available(feeds.stream_dedupe(rows, out), str(tmp_path / f"cp{files}"))
+        assert sorted(str(r.tx_key) for r in feeds.landed(spark, out).collect()) == ["None", "None", "None", "all", "k1", "k5", "k9"]
+
