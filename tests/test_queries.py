@@ -10,7 +10,7 @@ import __spark_entry__ as contract
 
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 # Long chains; the driver's own check runs them, and CADASTRA_ALL_QUERIES=1 runs them here.
-LONG = {n for n in QUERIES if n.startswith(("valuation_", "value_units", "stream_", "index_", "monthly_edition", "model_gates", "repeat_sales_index", "first_sales"))}
+LONG = {n for n in QUERIES if n.startswith(("valuation_", "value_units", "index_", "model_gates", "repeat_sales_index", "op", "pipeline"))}
 NAMES = sorted(QUERIES if os.environ.get("CADASTRA_ALL_QUERIES") else set(QUERIES) - LONG)
 
 
