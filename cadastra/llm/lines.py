@@ -28,7 +28,7 @@ from cadastra.session import materialize
 MIN_WORDS = 5  # distinct words of a line that takes part
 PARTNERS = 3  # handed out for a line at a posting at first
 RARITY_BUCKETS = 1 << 22  # a bucket counted once holds one word of one line, which meets no other
-SMALL_GROUP = 16  # lines of a posting that are all compared
+SMALL_GROUP = 256  # lines of a posting that are all compared at once
 DOC_BUCKETS = 1 << 20  # of document ids, which bounds what says where verified lines stand
 CACHED_WORDS = 300_000
 NO_ID = -(2**63)  # stands for a null id, in front of all others
@@ -210,18 +210,27 @@ def pairs_of(columns: list[np.ndarray], flagged: bool) -> pa.RecordBatch:
     token, doc, line, size, pos, bits, *flag = columns
     starts = np.r_[0, np.flatnonzero(np.diff(token)) + 1]
     length = np.diff(np.r_[starts, len(token)])
-    later, earlier, more = [], [], []
+    later, earlier, more, met = [], [], [], []
     for g in np.unique(length) if not flagged else ():
         if 1 < g <= SMALL_GROUP:
             i, j = np.triu_indices(int(g), 1)
             own = starts[length == g][:, None]
-            a, b = (own + i).ravel(), (own + j).ravel()
-            least = need(size[a], size[b])
-            fits = (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b])) & (np.minimum(size[a] - pos[a], size[b] - pos[b]) >= least)
-            fits &= (np.bitwise_count(bits[a].view(np.uint64) ^ bits[b].view(np.uint64)) <= size[a] + size[b] - 2 * least) & ((doc[a] != doc[b]) | (line[a] != line[b]))
-            later.append(b[fits])
-            earlier.append(a[fits])
-            more.append(np.zeros(int(fits.sum()), bool))
+            for some in np.array_split(own, len(own) * len(i) // 1_000_000 + 1):
+                a, b = (some + i).ravel(), (some + j).ravel()
+                fits = 5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b])
+                a, b = a[fits], b[fits]
+                least = need(size[a], size[b])
+                apart = np.bitwise_count(bits[a].view(np.uint64) ^ bits[b].view(np.uint64))
+                fits = (apart <= size[a] + size[b] - 2 * least) & (np.minimum(size[a] - pos[a], size[b] - pos[b]) >= least) & ((doc[a] != doc[b]) | (line[a] != line[b]))
+                met.append(np.stack([b[fits], apart[fits], a[fits]]))
+    if met:
+        b, apart, a = np.concatenate(met, axis=1)
+        order = np.lexsort((a, apart, b))
+        b, a = b[order], a[order]
+        first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]][: len(b)])
+        n = np.diff(np.r_[first, len(b)])
+        kept = np.arange(len(b)) - np.repeat(first, n) < PARTNERS
+        later, earlier, more = [b[kept]], [a[kept]], [np.repeat(n > PARTNERS, n)[kept]]
     for k in np.flatnonzero(length > (1 if flagged else SMALL_GROUP)):
         at = slice(starts[k], starts[k] + length[k])
         own = partners(doc[at], line[at], size[at], pos[at], bits[at], flag[0][at].astype(bool) if flagged else None)
