@@ -26,13 +26,13 @@ WINDOW, GRAM = 10, 5
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000  # of the benchmark, sent to the tasks at a time
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 FOUND = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>>"
 
 
 def words(text: str | None) -> list[bytes]:
     """Letters and digits of ASCII, A-Z lowered, and all above ASCII; the rest separates."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
 def gram_hashes(ids: np.ndarray, size: int) -> np.ndarray:

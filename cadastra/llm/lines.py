@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm.common import mix, ragged, slices
-from cadastra.llm.decontaminate import words
+from cadastra.llm.decontaminate import FOLD
 from cadastra.session import materialize
 
 MIN_WORDS = 5  # distinct words of a line that takes part
@@ -30,7 +30,7 @@ PARTNERS = 3  # handed out for a line at a posting at first
 RARITY_BUCKETS = 1 << 22  # a bucket counted once holds one word of one line, which meets no other
 SMALL_GROUP = 256  # lines of a posting that are all compared at once
 DOC_BUCKETS = 1 << 20  # of document ids, which bounds what says where verified lines stand
-CACHED_WORDS = 300_000
+CACHED_SETS = 300_000  # equal sets that a task remembers
 NO_ID = -(2**63)  # stands for a null id, in front of all others
 
 POSTS = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("size", pa.int32()), ("pos", pa.int32()), ("bits", pa.int64())])
@@ -46,40 +46,49 @@ def prefix(size):
     return size - -(-(4 * size) // 5) + 1
 
 
-class LineReader:
-    """Lines of texts as sets of word codes."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def codes(self, flat: list[bytes]) -> np.ndarray:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        for w in set(flat).difference(self.known):
-            self.known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
-        return np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-
-    def read(self, texts: list[str | None], wanted: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text and number of each line of MIN_WORDS distinct words or more, its size, and all codes in a row, rising in a line."""
-        own, where, numbers = [], [], []
-        for k, t in enumerate(texts):
-            if t:
-                split = t.split("\n")
-                for n in range(len(split)) if wanted is None else wanted[k]:
-                    own.append(words(split[n]))
-                    where.append(k)
-                    numbers.append(n)
-        codes = self.codes([w for ws in own for w in ws])
-        row = np.repeat(np.arange(len(own)), [len(w) for w in own])
-        order = np.argsort(codes)
-        order = order[np.argsort(_short(row[order]), kind="stable")]
-        codes, row = codes[order], row[order]
-        first = np.ones(len(codes), bool)
-        first[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
-        codes, row = codes[first], row[first]
-        size = np.bincount(row, minlength=len(own))
-        keep = size >= MIN_WORDS
-        return np.array(where, np.int64)[keep], np.array(numbers, np.int32)[keep], size[keep], codes[keep[row]]
+# A number for each byte at each place of a word; a word's code is their sum, stirred once more.
+_PLACES = 64
+_TABLE = mix(np.arange(_PLACES * 256, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D))
+
+
+def word_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code of every word, the line it stands in (all lines of all texts counted on), and the first line of each text."""
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    raw = b"\n".join([*parts, b""])
+    first = np.cumsum([0, *[p.count(b"\n") + 1 for p in parts]])
+    folded = np.frombuffer(raw.translate(FOLD), np.uint8)
+    word = folded != 32
+    edges = np.flatnonzero(np.diff(word.view(np.int8), prepend=0, append=0))
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), first
+    at = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(at, size)
+    value = _TABLE[(place % _PLACES) * 256 + folded[word]]
+    if size.max() > _PLACES:
+        value = value * (2 * (place // _PLACES) + 1).astype(np.uint64)
+    codes = mix(np.add.reduceat(value, at)).view(np.int64)
+    return codes, np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), start), first
+
+
+def read_lines(texts: list[str | None], wanted: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text and number of each line of MIN_WORDS distinct words or more, its size, and all codes in a row, rising in a line."""
+    codes, row, first = word_codes(texts)
+    if wanted is not None:
+        asked = np.zeros(first[-1], bool)
+        asked[[first[k] + n for k, own in enumerate(wanted) for n in own if n < first[k + 1] - first[k]]] = True
+        codes, row = codes[asked[row]], row[asked[row]]
+    order = np.argsort(codes)
+    order = order[np.argsort(_short(row[order]), kind="stable")]
+    codes, row = codes[order], row[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
+    codes, row = codes[new], row[new]
+    size = np.bincount(row, minlength=first[-1])
+    keep = size >= MIN_WORDS
+    lines = np.flatnonzero(keep)
+    where = np.searchsorted(first, lines, side="right") - 1
+    return where, (lines - first[where]).astype(np.int32), size[keep], codes[keep[row]]
 
 
 def _short(x: np.ndarray) -> np.ndarray:
@@ -88,12 +97,11 @@ def _short(x: np.ndarray) -> np.ndarray:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]):
-    reader = LineReader()
     for batch in batches:
         docs, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
         wanted = batch.column("lines").to_pylist() if "lines" in batch.schema.names else None
         for lo, hi in slices([len(t or "") for t in texts], 1_000_000):
-            where, number, size, codes = reader.read(texts[lo:hi], wanted and wanted[lo:hi])
+            where, number, size, codes = read_lines(texts[lo:hi], wanted and wanted[lo:hi])
             yield np.array(docs[lo:hi], np.int64)[where], number, size, codes
 
 
@@ -118,11 +126,11 @@ def rarity(documents: DataFrame) -> np.ndarray:
     """How often the words of each bucket occur, as a rank of 255 steps: 0 never, 1 once, then by the logarithm."""
 
     def count(batches):
-        total, reader = np.zeros(RARITY_BUCKETS, np.int32), LineReader()
+        total = np.zeros(RARITY_BUCKETS, np.int32)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo, hi in slices([len(t or "") for t in texts], 1_000_000):
-                np.add.at(total, _bucket(reader.codes([w for t in texts[lo:hi] for w in words(t)])), 1)
+                np.add.at(total, _bucket(word_codes(texts[lo:hi])[0]), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["bucket", "n"])
 
@@ -152,7 +160,7 @@ def postings(documents: DataFrame, counts: np.ndarray) -> DataFrame:
                 own, at = (int(hashes[k]), int(bits[k]), int(size[k])), (int(docs[k]), int(number[k]))
                 if own not in seen or at < seen[own]:
                     new[k] = True
-                    if own in seen or len(seen) < CACHED_WORDS:
+                    if own in seen or len(seen) < CACHED_SETS:
                         seen[own] = at
             rank = counts[_bucket(codes)]
             ranked = np.argsort(rank, kind="stable")
