@@ -28,7 +28,6 @@ from cadastra.session import materialize
 MIN_WORDS = 5  # distinct words of a line that takes part
 PARTNERS = 3  # handed out for a line at a posting at first
 RARITY_BUCKETS = 1 << 22  # a bucket counted once holds one word of one line, which meets no other
-SMALL_GROUP = 256  # lines of a posting that are all compared at once
 DOC_BUCKETS = 1 << 20  # of document ids, which bounds what says where verified lines stand
 CACHED_SETS = 300_000  # equal sets that a task remembers
 NO_ID = -(2**63)  # stands for a null id, in front of all others
@@ -175,79 +174,57 @@ def postings(documents: DataFrame, counts: np.ndarray) -> DataFrame:
     return documents.mapInArrow(post, "token long, doc long, line int, size int, pos int, bits long")
 
 
-def partners(doc, line, size, pos, bits, flagged=None) -> list[tuple[int, int, bool]]:
-    """(later, earlier, more) among the lines of one posting, given in order of document and line.
+def pairs_of(columns: list[np.ndarray], flagged: bool) -> pa.RecordBatch:
+    """PAIRS of whole postings that stand in a row, in order of token, document and line.
 
-    Without ``flagged`` a line gets its closest few earlier partners, and ``more`` says that there are others;
-    with it, flagged lines get all.
+    Lines of a posting that agree in size, bitmap and position are all paired with the first of them only, which then stands
+    for them. The others are ordered by size, and each meets those behind it while the sizes allow. A line gets its closest
+    few earlier partners, and ``more`` says that there are others; flagged lines get all.
     """
-    out = []
-    bits = bits.view(np.uint64)
-    stand, first = np.arange(len(doc)), {}
-    if flagged is None:
-        for k, own in enumerate(zip(size.tolist(), bits.tolist(), pos.tolist())):
-            stand[k] = first.setdefault(own, k)
-        out += [(k, int(s), True) for k, s in enumerate(stand) if s != k]
-        chosen = np.flatnonzero(stand == np.arange(len(doc)))
-    else:
-        chosen = np.arange(len(doc))
-    by_size = chosen[np.argsort(size[chosen], kind="stable")]
-    sizes = size[by_size]
-    for k in chosen if flagged is None else np.flatnonzero(flagged):
-        s = int(size[k])
-        lo, hi = np.searchsorted(sizes, -(-4 * s // 5)), np.searchsorted(sizes, 5 * s // 4, side="right")
-        near = by_size[lo:hi]
-        near = near[near < k]
-        if not len(near):
-            continue
-        least = need(s, size[near])
-        apart = np.bitwise_count(bits[near] ^ bits[k])
-        fits = (1 + np.minimum(s - pos[k], size[near] - pos[near]) - 1 >= least) & (apart <= s + size[near] - 2 * least)
-        near, apart = near[fits], apart[fits]
-        near = near[(doc[near] != doc[k]) | (line[near] != line[k])]
-        if flagged is None and len(near) > PARTNERS:
-            apart = np.bitwise_count(bits[near] ^ bits[k])
-            out += [(int(k), int(a), True) for a in near[np.argsort(apart, kind="stable")[:PARTNERS]]]
-        else:
-            out += [(int(k), int(a), False) for a in near]
-    return out
-
-
-def pairs_of(columns: list[np.ndarray], flagged: bool) -> pa.RecordBatch:
-    """PAIRS of whole postings that stand in a row, in order of token, document and line."""
     token, doc, line, size, pos, bits, *flag = columns
-    starts = np.r_[0, np.flatnonzero(np.diff(token)) + 1]
-    length = np.diff(np.r_[starts, len(token)])
-    later, earlier, more, met = [], [], [], []
-    for g in np.unique(length) if not flagged else ():
-        if 1 < g <= SMALL_GROUP:
-            i, j = np.triu_indices(int(g), 1)
-            own = starts[length == g][:, None]
-            for some in np.array_split(own, len(own) * len(i) // 1_000_000 + 1):
-                a, b = (some + i).ravel(), (some + j).ravel()
-                fits = 5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b])
-                a, b = a[fits], b[fits]
-                least = need(size[a], size[b])
-                apart = np.bitwise_count(bits[a].view(np.uint64) ^ bits[b].view(np.uint64))
-                fits = (apart <= size[a] + size[b] - 2 * least) & (np.minimum(size[a] - pos[a], size[b] - pos[b]) >= least) & ((doc[a] != doc[b]) | (line[a] != line[b]))
-                met.append(np.stack([b[fits], apart[fits], a[fits]]))
+    posting = np.cumsum(np.r_[0, token[1:] != token[:-1]])
+    bits = bits.view(np.uint64)
+    order = np.lexsort((pos, bits, size, posting))
+    same = np.zeros(len(order), bool)
+    later, earlier, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    if not flagged:
+        same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (posting, size, bits, pos)])
+        stand = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+        later, earlier, more = [order[same]], [stand[same]], [np.ones(int(same.sum()), bool)]
+    chosen = order[~same]
+    where, s, b, p = posting[chosen], size[chosen], bits[chosen], pos[chosen]
+    end = np.searchsorted(where, where, side="right")
+    met: list[np.ndarray] = []
+    left, step = np.arange(len(chosen)), 0
+    while len(left):
+        step += 1
+        left = left[left + step < end[left]]
+        left = left[4 * s[left + step] <= 5 * s[left]]
+        right = left + step
+        both = s[left] + s[right]
+        spare = both - 2 * need(s[left], s[right])
+        apart = np.bitwise_count(b[left] ^ b[right])
+        fits = np.flatnonzero(apart <= spare)
+        if len(fits):
+            x, y = left[fits], right[fits]
+            close = 2 * np.minimum(s[x] - p[x], s[y] - p[y]) >= both[fits] - spare[fits]
+            met.append(np.stack([chosen[x][close], chosen[y][close], apart[fits][close].astype(np.int64)]))
     if met:
-        b, apart, a = np.concatenate(met, axis=1)
+        x, y, apart = np.concatenate(met, axis=1)
+        a, b = np.minimum(x, y), np.maximum(x, y)
+        good = (doc[a] != doc[b]) | (line[a] != line[b])
+        if flagged:
+            good &= flag[0][b].astype(bool)
+        a, b, apart = a[good], b[good], apart[good]
         order = np.lexsort((a, apart, b))
-        b, a = b[order], a[order]
+        a, b = a[order], b[order]
         first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]][: len(b)])
         n = np.diff(np.r_[first, len(b)])
-        kept = np.arange(len(b)) - np.repeat(first, n) < PARTNERS
-        later, earlier, more = [b[kept]], [a[kept]], [np.repeat(n > PARTNERS, n)[kept]]
-    for k in np.flatnonzero(length > (1 if flagged else SMALL_GROUP)):
-        at = slice(starts[k], starts[k] + length[k])
-        own = partners(doc[at], line[at], size[at], pos[at], bits[at], flag[0][at].astype(bool) if flagged else None)
-        if own:
-            b, a, m = (np.array(x) for x in zip(*own))
-            later.append(b + starts[k])
-            earlier.append(a + starts[k])
-            more.append(m.astype(bool))
-    b, a, m = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((later, np.int64), (earlier, np.int64), (more, bool)))
+        kept = (np.arange(len(b)) - np.repeat(first, n) < PARTNERS) | flagged
+        later.append(b[kept])
+        earlier.append(a[kept])
+        more.append(np.repeat(n > PARTNERS, n)[kept])
+    b, a, m = np.concatenate(later), np.concatenate(earlier), np.concatenate(more)
     return pa.RecordBatch.from_arrays([pa.array(doc[b]), pa.array(line[b]), pa.array(doc[a]), pa.array(line[a]), pa.array(m)], schema=PAIRS)
 
 
