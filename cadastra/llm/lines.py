@@ -179,7 +179,8 @@ def pairs_of(columns: list[np.ndarray], flagged: bool) -> pa.RecordBatch:
 
     Lines of a posting that agree in size, bitmap and position are all paired with the first of them only, which then stands
     for them. The others are ordered by size, and each meets those behind it while the sizes allow. A line gets its closest
-    few earlier partners, and ``more`` says that there are others; flagged lines get all.
+    few earlier partners, and ``more`` says that there are others, handed out or not: also those that stand behind a partner and
+    before the line. Flagged lines get all.
     """
     token, doc, line, size, pos, bits, *flag = columns
     posting = np.cumsum(np.r_[0, token[1:] != token[:-1]])
@@ -192,6 +193,9 @@ def pairs_of(columns: list[np.ndarray], flagged: bool) -> pa.RecordBatch:
         stand = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
         later, earlier, more = [order[same]], [stand[same]], [np.ones(int(same.sum()), bool)]
     chosen = order[~same]
+    behind = np.full(len(order), len(order))  # the first line that a chosen one stands for
+    second = np.flatnonzero(same & ~np.r_[True, same[:-1]][: len(same)])
+    behind[order[second - 1]] = order[second]
     where, s, b, p = posting[chosen], size[chosen], bits[chosen], pos[chosen]
     end = np.searchsorted(where, where, side="right")
     met: list[np.ndarray] = []
@@ -223,7 +227,8 @@ def pairs_of(columns: list[np.ndarray], flagged: bool) -> pa.RecordBatch:
         kept = (np.arange(len(b)) - np.repeat(first, n) < PARTNERS) | flagged
         later.append(b[kept])
         earlier.append(a[kept])
-        more.append(np.repeat(n > PARTNERS, n)[kept])
+        hidden = np.add.reduceat(behind[a] < b, first) > 0 if len(b) else np.zeros(0, bool)
+        more.append(np.repeat((n > PARTNERS) | hidden, n)[kept])
     b, a, m = np.concatenate(later), np.concatenate(earlier), np.concatenate(more)
     return pa.RecordBatch.from_arrays([pa.array(doc[b]), pa.array(line[b]), pa.array(doc[a]), pa.array(line[a]), pa.array(m)], schema=PAIRS)
 

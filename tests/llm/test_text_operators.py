@@ -159,6 +159,18 @@ def test_a_line_whose_first_partners_fail_gets_all(spark, lined, monkeypatch):
     assert {(r.doc, r.line) for r in got} == {(i, k) for i, ks in gone.items() for k in ks}
 
 
+def bit_of(word):
+    return int(lines.mix(lines.word_codes([word])[0].view(np.uint64) + np.uint64(1))[0] & np.uint64(63))
+
+
+def test_a_line_similar_only_to_one_behind_its_partner_goes(spark):
+    x, y = "swap0", next(f"swap{k}" for k in range(1, 5000) if bit_of(f"swap{k}") == bit_of("swap0"))
+    shared = [f"base{k}" for k in range(8)]
+    rows = [(1, " ".join([*shared, "ninth", x])), (2, " ".join([*shared, "ninth", y])), (3, " ".join([*shared, "other", y])), (4, f"{x} {y} " * 9)]
+    gone = lines.repeated_lines(lines.numbered(documents(spark, rows)).select(F.col("_doc").alias("doc"), "text")).collect()
+    assert {(r.doc, r.line) for r in gone} == {(i, k) for i, ks in repeated(rows).items() for k in ks} == {(2, 0), (3, 0)}
+
+
 def test_documents_without_lines_left_go(spark):
     line = "six words stand in this line"
     out = lines.remove_repeated_lines(documents(spark, [(1, line), (2, line), (3, f"{line}\nshort"), (4, None), (5, "")]))
