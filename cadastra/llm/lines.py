@@ -25,7 +25,8 @@ from cadastra.llm.common import mix, ragged, slices
 from cadastra.llm.decontaminate import FOLD
 from cadastra.session import materialize
 
-MIN_WORDS = 5  # distinct words of a line that takes part
+MIN_WORDS = 1  # distinct words of a line that takes part
+LEAST_POSTED = 4  # the smallest set that can be similar to another than itself, one of five words; smaller ones meet by their digest
 PARTNERS = 3  # handed out for a line at a posting at first
 RARITY_BUCKETS = 1 << 22  # a bucket counted once holds one word of one line, which meets no other
 DOC_BUCKETS = 1 << 20  # of document ids, which bounds what says where verified lines stand
@@ -142,7 +143,7 @@ def rarity(documents: DataFrame) -> np.ndarray:
 
 
 def postings(documents: DataFrame, counts: np.ndarray) -> DataFrame:
-    """The prefix words of each line; of equal sets, a task leaves out what comes after one it has posted."""
+    """The prefix words of each line of LEAST_POSTED words or more; of equal sets, a task leaves out what comes after one it has posted."""
 
     def post(batches):
         seen: dict = {}
@@ -155,7 +156,7 @@ def postings(documents: DataFrame, counts: np.ndarray) -> DataFrame:
             bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix(codes.view(np.uint64) + np.uint64(1)) & np.uint64(63)), starts).view(np.int64)
             new = np.zeros(len(size), bool)
             order = np.lexsort((number, docs))
-            for k in order:
+            for k in order[size[order] >= LEAST_POSTED]:
                 own, at = (int(hashes[k]), int(bits[k]), int(size[k])), (int(docs[k]), int(number[k]))
                 if own not in seen or at < seen[own]:
                     new[k] = True
@@ -308,7 +309,7 @@ def numbered(documents: DataFrame) -> DataFrame:
 def edited(documents: DataFrame) -> DataFrame:
     """``documents`` with the numbers of their lines that go in ``_gone`` (null: none) and the text left in ``_left``.
 
-    Lines are split at line feeds and numbered from 0; those of fewer than MIN_WORDS distinct words always stay. Null and empty
+    Lines are split at line feeds and numbered from 0; those without a word always stay. Null and empty
     texts have nothing to remove. Rows of one id are one document: a number that goes in one goes in all, and a repeated row
     stays as often as it comes. Rows without an id are one document in front of the others. Columns of other names stay.
     """

@@ -171,6 +171,12 @@ def test_a_line_similar_only_to_one_behind_its_partner_goes(spark):
     assert {(r.doc, r.line) for r in gone} == {(i, k) for i, ks in repeated(rows).items() for k in ks} == {(2, 0), (3, 0)}
 
 
+def test_short_lines_go_as_copies_and_four_words_with_five(spark):
+    rows = [(1, "Share\none two three four five\nhome about us"), (2, "share!\n\none two three four\n---"), (3, "home about us\nhome about\none two three four\n---")]
+    got = {r.doc_id: r.removed_lines for r in lines.report(documents(spark, rows)).collect()}
+    assert got == {1: "", 2: "0,2", 3: "0,2"}
+
+
 def test_documents_without_lines_left_go(spark):
     line = "six words stand in this line"
     out = lines.remove_repeated_lines(documents(spark, [(1, line), (2, line), (3, f"{line}\nshort"), (4, None), (5, "")]))
