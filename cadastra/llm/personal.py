@@ -2,8 +2,9 @@
 
 Base spans follow fixed patterns and checks. Beyond them, generators of high recall propose spans (written-out
 addresses, runs of digits under any separators), the same run once for each kind it could be.
-Boosted trees score a proposal on its format and its surroundings, with the base rules as teacher, and a
-threshold per kind, calibrated on documents apart from training, selects what is added.
+Boosted trees score a proposal on its format and its surroundings. Their teacher are the base rules, read on the
+proposal as it would be written plainly (``PLAIN``). A threshold per kind, calibrated on documents apart from training
+and on proposals that touch no base span, selects what is added.
 
 Features are whole numbers of few values, so all proposals of a corpus reduce to at most ``CELLS``
 counted cells, which is all that training sees of it. The trees are evaluated as one SQL expression. Every
@@ -44,6 +45,21 @@ PROPOSALS = {
 PROPOSED = {"address": ["email"], "digits": ["ip", "card", "phone"]}
 PROPOSAL_GATES = {"address": r"_x rlike '@|[(\\[] ?at ?[)\\]]'", "digits": r"_x rlike '[0-9](?:[ ().-]{0,3}+[0-9]){5}'"}
 
+# Whether a proposal p passes the base check of its kind once it is written plainly: signs spelt out, other separators, national numbers.
+_AT, _DOT = r" ?[(\\[] ?at ?[)\\]] ?", r" ?[(\\[] ?dot ?[)\\]] ?"
+_PLAIN_DIGITS = "regexp_replace(p.m, '[^0-9]', '')"
+_CARD = f"CASE WHEN length({_PLAIN_DIGITS}) BETWEEN 14 AND 19 AND NOT startswith(p.m, '+') THEN {_LUHN.format(d=_PLAIN_DIGITS)} ELSE false END"
+_NATIONAL = (
+    r"p.m rlike '^(?:1[ .-]{1,2})?\\(?[2-9][0-9]{2}\\)?[ .-]{1,2}[2-9][0-9]{2}[ .-]{1,2}[0-9]{4}$' OR p.m rlike '^00[1-9][0-9]*(?:[ ().-]{1,3}[0-9]+)+$' "
+    r"OR p.m rlike '^\\(?0[1-9][0-9]{0,3}\\)?(?:[ .-]{1,2}[0-9]{2,4}){2,4}$' AND NOT p.m rlike '(?:19|20)[0-9]{2}[ .-]{1,2}[01]?[0-9][ .-]|[ .-][01]?[0-9][ .-]{1,2}(?:19|20)[0-9]{2}'"
+)
+PLAIN = {
+    "email": rf"regexp_replace(regexp_replace(p.m, '{_AT}', '@'), '{_DOT}', '.') rlike '^[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\\.)+[A-Za-z]{{2,}}$'",
+    "ip": "false",  # written out by no generator
+    "card": _CARD,
+    "phone": rf"length({_PLAIN_DIGITS}) BETWEEN 10 AND 15 AND NOT ({_CARD}) AND NOT p.m rlike '^[0-9]+(?:\\.[0-9]+){{3}}$' AND (startswith(p.m, '+') OR {_NATIONAL} OR p.pre rlike '(?i)(?:phone|tel|call|fax|mobile)[^0-9]*$')",
+}
+
 # Features of a proposal p (kind, m, pre, post), each with its number of values.
 FEATURES = {
     "kind": ("p.kind", 4),
@@ -52,13 +68,13 @@ FEATURES = {
         "WHEN length(regexp_replace(p.m, '[^0-9]', '')) < 13 THEN 3 WHEN length(regexp_replace(p.m, '[^0-9]', '')) < 16 THEN 4 WHEN length(regexp_replace(p.m, '[^0-9]', '')) < 20 THEN 5 ELSE 6 END", 7),
     "groups": (r"least(size(split(p.m, '[^0-9]+')), 6)", 7),
     "plus": ("CASE WHEN startswith(p.m, '+') THEN 1 ELSE 0 END", 2),
-    "mark": (r"CASE WHEN contains(p.m, '@') THEN 1 WHEN p.m rlike '\\bat\\b' THEN 2 WHEN p.m rlike '^[0-9.]+$' AND contains(p.m, '.') THEN 3 WHEN contains(p.m, '-') OR contains(p.m, ' ') THEN 4 ELSE 0 END", 5),
+    "mark": (r"CASE WHEN contains(p.m, '@') THEN 1 WHEN p.m rlike '\\bat\\b.*(?:\\bdot\\b|[.])' THEN 5 WHEN p.m rlike '\\bat\\b' THEN 2 WHEN p.m rlike '^[0-9.]+$' AND contains(p.m, '.') THEN 3 WHEN contains(p.m, '-') OR contains(p.m, ' ') THEN 4 ELSE 0 END", 6),
     "dots": (r"least(length(regexp_replace(p.m, '[^.]', '')), 4)", 5),
     "before": (r"CASE WHEN p.pre = '' OR p.pre rlike '\\s$' THEN 0 WHEN p.pre rlike '[A-Za-z0-9]$' THEN 1 ELSE 2 END", 3),
     "after": (r"CASE WHEN p.post = '' OR p.post rlike '\\s' THEN 0 WHEN p.post rlike '[A-Za-z0-9]' THEN 1 ELSE 2 END", 3),
     "context": (r"CASE WHEN p.pre rlike '(?i)mail|contact' THEN 1 WHEN p.pre rlike '(?i)phone|tel|call|fax|mobile' THEN 2 WHEN p.pre rlike '(?i)card|visa|account|iban' THEN 3 WHEN p.pre rlike '(?i)\\bip\\b|host|server|addr' THEN 4 ELSE 0 END", 5),
 }
-CELLS = int(np.prod([n for _, n in FEATURES.values()])) * 2  # values of all features, training and calibration
+CELLS = int(np.prod([n for _, n in FEATURES.values()])) * 4  # values of all features, training and calibration, free or not
 
 TREES, RATE, PRECISION = 16, 0.5, 0.9
 
@@ -93,7 +109,7 @@ def base_spans(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def proposals(documents: DataFrame) -> DataFrame:
-    """Adds ``_proposed``: the proposed spans with their features and whether the base rules agree."""
+    """Adds ``_proposed``: the proposed spans with their features, whether they touch no base span (free) and whether the base rules agree."""
     out = documents
     parts = []
     for name, kinds in PROPOSED.items():
@@ -104,8 +120,10 @@ def proposals(documents: DataFrame) -> DataFrame:
             k = KINDS.index(kind)
             parts.append(f"coalesce(transform({located}, c -> named_struct('s', c.s, 'e', c.e, 'm', c.m, 'pre', c.pre, 'post', c.post, 'kind', {k})), array())")
     features = ", ".join(f"'{name}', {sql}" for name, (sql, _) in FEATURES.items())
-    agreed = "CASE WHEN array_contains(_base, named_struct('s', p.s, 'k', p.kind, 'e', p.e)) THEN 1 ELSE 0 END"
-    listed = f"transform(concat({', '.join(parts)}), p -> named_struct('s', p.s, 'e', p.e, {features}, 'label', {agreed}))"
+    free = "NOT exists(_base, b -> b.s < p.e AND p.s < b.e)"
+    plain = " ".join(f"WHEN {k} THEN {PLAIN[kind]}" for k, kind in enumerate(KINDS))
+    agreed = f"CASE WHEN array_contains(_base, named_struct('s', p.s, 'k', p.kind, 'e', p.e)) THEN 1 WHEN {free} AND CASE p.kind {plain} END THEN 1 ELSE 0 END"
+    listed = f"transform(concat({', '.join(parts)}), p -> named_struct('s', p.s, 'e', p.e, {features}, 'free', CASE WHEN {free} THEN 1 ELSE 0 END, 'label', {agreed}))"
     return out.withColumn("_proposed", F.expr(listed)).drop(*[f"_z_{name}" for name in PROPOSED])
 
 
@@ -168,18 +186,19 @@ def thresholds(score: np.ndarray, kind: np.ndarray, positive: np.ndarray, count:
 
 
 def fit(proposed: DataFrame) -> tuple[list[tuple], list[float]]:
-    """Trees and thresholds from all proposals, a fifth of the documents kept for calibration."""
+    """Trees and thresholds from all proposals, a fifth of the documents kept for calibration; only free ones can be added, so only they set a threshold."""
     names = list(FEATURES)
     apart = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0).cast("int").alias("_apart")
-    rows = proposed.filter("size(_proposed) > 0").select(apart, F.explode("_proposed").alias("p")).groupBy("_apart", *[F.col(f"p.{n}").alias(f"f_{n}") for n in names])
+    rows = proposed.filter("size(_proposed) > 0").select(apart, F.explode("_proposed").alias("p")).groupBy("_apart", *[F.col(f"p.{n}").alias(f"f_{n}") for n in [*names, "free"]])
     counted = rows.agg(F.sum("p.label").alias("positive"), F.count(F.lit(1)).alias("count")).collect()  # at most CELLS rows
     if not counted:
         return [], [float("inf")] * len(KINDS)
     data = np.array(sorted(tuple(r) for r in counted), float)
     train = data[data[:, 0] == 0]
     held = data[data[:, 0] == 1] if (data[:, 0] == 1).any() else train
-    trees = boost(train[:, 1:-2], train[:, -2], train[:, -1]) if len(train) else []
-    return trees, thresholds(evaluate(trees, held[:, 1:-2]), held[:, 1], held[:, -2], held[:, -1])
+    trees = boost(train[:, 1:-3], train[:, -2], train[:, -1]) if len(train) else []
+    held = held[held[:, -3] == 1]
+    return trees, thresholds(evaluate(trees, held[:, 1:-3]), held[:, 1], held[:, -2], held[:, -1])
 
 
 def find(documents: DataFrame) -> DataFrame:
@@ -192,7 +211,7 @@ def find(documents: DataFrame) -> DataFrame:
     trees, bounds = fit(ready)
     names = ", ".join(f"'{b!r}'" for b in bounds)
     bound = f"cast(get(array({names.replace('inf', 'Infinity')}), p.kind) AS double)"
-    chosen = f"filter(_proposed, p -> {score_sql(trees)} >= {bound} AND NOT exists(_base, b -> b.s < p.e AND p.s < b.e))"
+    chosen = f"filter(_proposed, p -> {score_sql(trees)} >= {bound} AND p.free = 1)"
     added = f"transform({chosen}, p -> named_struct('s', p.s, 'k', p.kind, 'e', p.e))"
     return ready.withColumn("_spans", F.expr(f"array_sort(array_distinct(concat(_base, {added})))")).drop("_proposed", "_x")
 

@@ -479,6 +479,22 @@ def test_base_spans_are_those_of_the_plain_patterns(spark):
     assert personal.report(documents(spark, [])).collect() == []
 
 
+def test_written_out_forms_are_added(spark):
+    rng = np.random.default_rng(12)
+    rows, planted, decoys = [], set(), set()
+    for i in range(300):
+        a, b, c = rng.integers(200, 999, 3).tolist()
+        own = [f"jo{a} (at) ex{b} (dot) com", f"{a}-{b}-{c:04d}", f"mail jo{a}@ex{b}.com", f"+1 {a} {b} {c:04d}", f"noon{a} (at) hall{b}", f"20{a % 90 + 10}-01-{b % 19 + 10} {c % 14 + 10}", f"{a}{b}{c}{a}"]
+        k = i % len(own)
+        rows.append((i, f"so {own[k]} then"))
+        (planted if k < 2 else decoys if k > 3 else set()).add((i, f"{KIND_OF.get(k)}:3:{3 + len(own[k])}"))
+    got = {(r.doc_id, s) for r in personal.report(documents(spark, rows)).collect() for s in r.spans.split(",") if s}
+    assert planted <= got and not {i for i, _ in decoys} & {i for i, _ in got}
+
+
+KIND_OF = {0: "email", 1: "phone"}
+
+
 def test_boosted_trees_as_sql(spark):
     rng = np.random.default_rng(5)
     levels = [n for _, n in personal.FEATURES.values()]
