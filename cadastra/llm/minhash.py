@@ -122,8 +122,8 @@ def set_key(shingles: np.ndarray) -> str:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).hexdigest()
 
 
-def sketch(documents: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, key of the set, band keys."""
+def sketch(documents: DataFrame, size: int, *more: str) -> DataFrame:
+    """doc_id, n_shingles, key of the set, band keys, and the columns ``more``."""
 
     @F.arrow_udf("struct<n:bigint,key:string,bands:array<bigint>>")
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -138,7 +138,7 @@ def sketch(documents: DataFrame, size: int) -> DataFrame:
                 rows += [{"n": len(s), "key": set_key(s), "bands": next(keys)} if len(s) else {"n": 0, "key": None, "bands": []} for s in sets]
             yield pa.array(rows, kind)
 
-    return documents.select("doc_id", read.asNondeterministic()("text").alias("_s")).select("doc_id", F.col("_s.n").alias("n_shingles"), F.col("_s.key").alias("key"), F.col("_s.bands").alias("bands"))
+    return documents.select("doc_id", *more, read.asNondeterministic()("text").alias("_s")).select("doc_id", *more, F.col("_s.n").alias("n_shingles"), F.col("_s.key").alias("key"), F.col("_s.bands").alias("bands"))
 
 
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -250,19 +250,24 @@ def near_duplicates(documents: DataFrame, size: int, percent: int = SIMILARITY)
     words link with nothing. Rows of one id are kept or dropped by their own texts, so a repeated row stays as
     often as it comes. A row without an id has no component, links nothing and is kept. Empty tables give no rows.
     """
-    given = documents.select("doc_id", "text")
+    return _judged(documents.select("doc_id", "text"), size, percent)
+
+
+def _judged(given: DataFrame, size: int, percent: int, *more: str) -> DataFrame:
     named = given.filter("doc_id IS NOT NULL")
-    sketched = materialize(sketch(given, size), "sketches")
+    sketched = materialize(sketch(given, size, *more), "sketches")
     groups = groups_of_sets(named, sketched.filter("doc_id IS NOT NULL"), size, percent)
     own = sketched.drop("bands").join(groups, "key", "left")
     own = own.withColumn("_group", F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "key")))
     lowest = own.filter("_group IS NOT NULL").groupBy("_group").agg(F.min("doc_id").alias("_lowest"))
     several = own.join(lowest, "_group", "left")
     component = F.coalesce("_lowest", "doc_id")
-    return several.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return several.select("doc_id", *more, "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def remove_near_duplicates(documents: DataFrame, size: int, percent: int = SIMILARITY) -> DataFrame:
-    """Documents with one of each group left, the one of the smallest id; columns unchanged."""
-    gone = near_duplicates(documents, size, percent).filter("NOT kept").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti")
+    """Documents with one of each group left, the one of the smallest id; rows of one id go by their own texts; columns unchanged."""
+    digest = F.sha2("text", 256)
+    judged = _judged(documents.select("doc_id", "text", digest.alias("_digest")), size, percent, "_digest")
+    gone = judged.filter("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("_digest").alias("_gone_text")).distinct()
+    return documents.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (digest == F.col("_gone_text")), "left_anti")

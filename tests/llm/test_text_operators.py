@@ -108,6 +108,13 @@ def test_near_duplicates_of_an_empty_table(spark):
     assert minhash.remove_near_duplicates(documents(spark, [(1, "a b"), (2, "a b"), (None, "a b")]), 5).count() == 2
 
 
+def test_rows_of_one_id_go_by_their_own_texts(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "quite another text of one id"), (None, None), (3, None)]
+    out = minhash.remove_near_duplicates(documents(spark, rows), 5)
+    assert out.columns == [c.split(" ")[0] for c in DOCS.split(", ")]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([rows[0], *rows[2:]], key=repr)
+
+
 # Lines
 
 
