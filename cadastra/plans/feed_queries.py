@@ -8,11 +8,11 @@ from cadastra.operators import identity, market
 from cadastra.plans import identity_queries as iq
 from cadastra.plans import market_queries as mq
 from cadastra.plans.adapters import AS_OF, RAW, SPARK, texts
-from cadastra.plans.listing_queries import BASE, STREAKS, prices
+from cadastra.plans.listing_queries import ALL, BASE, listing, prices
 from cadastra.plans.market_pack import market_pack, shared_sales
 from cadastra.plans.registry import query, tot
 from cadastra.plans.resale_queries import pairs
-from cadastra.session import shared_dir
+from cadastra.session import materialize, shared_dir
 from cadastra.sources import readers, writers
 from cadastra.streaming import feeds
 
@@ -185,19 +185,19 @@ def _(t):
 
 
 @query("stream_listing_state", """SELECT listing_id, observed_at, asking_price, first_price, streak + 1 AS streak, CAST(sum(is_drop::INT) OVER (PARTITION BY listing_id ORDER BY observed_at) AS BIGINT) AS drops, is_drop FROM (
-    SELECT *, first_value(asking_price) OVER (PARTITION BY listing_id ORDER BY observed_at) AS first_price, coalesce(prev_seen AND streak >= 2 AND prev_price - asking_price >= 10000 AND (prev_price - asking_price)/prev_price >= 0.02::DOUBLE, false) AS is_drop FROM st WHERE seen)""",
-       **BASE, st=STREAKS)
+    SELECT *, first_value(asking_price) OVER (PARTITION BY listing_id ORDER BY observed_at) AS first_price,
+      coalesce(prev_seen AND streak >= 2 AND asking_price < prev_price AND (is_off_plan OR prev_price - asking_price >= 10000) AND (prev_price - asking_price)/prev_price >= 0.02::DOUBLE, false) AS is_drop
+    FROM st LEFT JOIN (SELECT listing_id, is_off_plan FROM li) USING (listing_id) WHERE seen)""", **{k: ALL[k] for k in ("pr", "ob", "st", "li")})
 def _(t):
+    """Five files, one a batch, the days of each mixed: every batch brings scans from before those of the last."""
     landed = shared_dir(t.spark, "landed")
-    prices(t).write.parquet(landed)
-    rows = feeds.stream_parquet(t.spark, landed, "listing_id STRING, observed_at DATE, asking_price DOUBLE")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = t.spark.conf.get(provider)
-    t.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        return _to_parquet(t, feeds.stream_listing_state(rows, feeds.ListingTracker(min_amount=10_000.0))).drop("epoch")
-    finally:
-        t.spark.conf.set(provider, before)
+    flat = listing(t).select("listing_id", "is_off_plan")
+    given = t.price_event.join(flat, "listing_id", "left").select("listing_id", "observed_at", "asking_price", F.coalesce("is_off_plan", F.lit(False)).alias("is_off_plan"), F.col("event_id").alias("filed"))
+    given.repartition(5, F.xxhash64("observed_at")).write.parquet(landed)
+    rows = feeds.stream_parquet(t.spark, landed, "listing_id STRING, observed_at DATE, asking_price DOUBLE, is_off_plan BOOLEAN, filed LONG", files_per_trigger=1)
+    calendar = materialize(feeds.scan_calendar(t.price_event), "calendar")
+    with feeds.state_store(t.spark):
+        return feeds.listing_state(_to_parquet(t, feeds.stream_listing_state(rows, calendar, feeds.ListingTracker(min_amount=10_000.0))))
 
 
 @query("stream_upsert", f"""SELECT count(*) AS n, {tot("w")} AS worth, max(d) AS last FROM (SELECT coalesce(w.w, h.actual_worth) AS w, coalesce(w.d, h.instance_date) AS d FROM h LEFT JOIN w USING (tx_key))""", k=iq.KEYED, f=iq.FEEDS, h=iq.HELD,

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, DateType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DateType, DoubleType, LongType, StringType, StructField, StructType
 
 from cadastra.functions.numbers import total
 from cadastra.operators import identity
@@ -79,56 +80,119 @@ def stream_lateness(rows: DataFrame, sink: Callable[[DataFrame, int], None], hor
 
 
 LISTING_STATE = StructType([
-    StructField("first_price", DoubleType()), StructField("last_price", DoubleType()), StructField("last_day", DateType()),
-    StructField("streak", LongType()), StructField("drops", LongType()),
+    StructField("scan", ArrayType(LongType())), StructField("day", ArrayType(LongType())), StructField("price", ArrayType(DoubleType())),
+    StructField("off_plan", ArrayType(BooleanType())), StructField("filed", ArrayType(LongType())), StructField("revision", LongType()),
 ])
 LISTING_OUTPUT = StructType([
     StructField("listing_id", StringType()), StructField("observed_at", DateType()), StructField("asking_price", DoubleType()),
     StructField("first_price", DoubleType()), StructField("streak", LongType()), StructField("drops", LongType()), StructField("is_drop", BooleanType()),
+    StructField("revision", LongType()),
 ])
+EPOCH = pd.Timestamp(0)
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """Streams started within keep their state in the store that several state variables need."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(provider, before)
+
+
+def scan_calendar(days: DataFrame) -> DataFrame:
+    """observed_at and its number among the scans ever run, from a table with a row for each of them."""
+    return days.select("observed_at").distinct().select("observed_at", F.row_number().over(Window.orderBy("observed_at")).cast("long").alias("scan_no"))
 
 
 class ListingTracker(StatefulProcessor):
-    """Per listing: first and last price, the streak of consecutive scan days, and the cuts counted.
+    """Per listing its scans in order of the calendar, and what each of them means: streak, first price, cuts.
 
-    A gap of more than ``max_gap_days`` between scans restarts the streak.
+    A streak is of scans that follow one another in the calendar, whatever the days between them. A
+    cut counts after ``min_streak`` scans, from ``min_pct`` on, and from ``min_amount`` on unless the listing is off-plan.
+    A scan that comes late takes its place, and the rows it changes are sent again under the listing's next revision.
+    Of one scan day the row filed last stands. With ``keep_days`` a listing's scans are let go so many days
+    after its latest, by the event time of the feed; without, they are kept, one short row a scan day.
     """
 
-    def __init__(self, min_streak: int = 2, min_pct: float = 0.02, min_amount: float = 25_000.0, max_gap_days: int = 1):
-        self.min_streak, self.min_pct, self.min_amount, self.max_gap_days = min_streak, min_pct, min_amount, max_gap_days
+    def __init__(self, min_streak: int = 2, min_pct: float = 0.02, min_amount: float = 25_000.0, keep_days: int | None = None):
+        self.min_streak, self.min_pct, self.min_amount, self.keep_days = min_streak, min_pct, min_amount, keep_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("listing", LISTING_STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A key's rows in one batch are its scans since the last run: at most one per scan day.
-        seen = pd.concat(list(rows)).sort_values("observed_at")
-        held = self.state.get() if self.state.exists() else None
-        first, last, last_day, streak, drops = held if held is not None else (None, None, None, 0, 0)
-        out = []
-        for at, price in zip(seen["observed_at"], seen["asking_price"]):
-            at = pd.Timestamp(at).date()
-            if last_day is not None and at <= last_day:
-                continue
-            together = last_day is not None and (at - last_day).days <= self.max_gap_days
+    def outcomes(self, scans: dict[int, tuple]) -> dict[int, tuple]:
+        """(day, price, first price, streak, drops, is a drop) of each scan by its number."""
+        out: dict[int, tuple] = {}
+        first, last, before, streak, drops = None, None, None, 0, 0
+        for number in sorted(scans):
+            at, price, off_plan, _ = scans[number]
+            together = before is not None and number == before + 1
             streak = streak if together else 0
-            cut = 0.0 if not together else last - price
-            is_drop = bool(together and streak >= self.min_streak and cut >= self.min_amount and cut / last >= self.min_pct)
+            cut = last - price if together else 0.0
+            is_drop = bool(cut > 0 and streak >= self.min_streak and cut / last >= self.min_pct and (off_plan or cut >= self.min_amount))
             first = price if first is None else first
-            drops, streak, last, last_day = drops + int(is_drop), streak + 1, price, at
-            out.append((key[0], at, price, first, streak, drops, is_drop))
-        if out:
-            self.state.update((float(first), float(last), last_day, int(streak), int(drops)))
+            drops, streak, last, before = drops + int(is_drop), streak + 1, price, number
+            out[number] = (at, price, first, streak, drops, is_drop)
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        scans, revision = {}, 0
+        if self.state.exists():
+            *columns, revision = self.state.get()
+            scans = {number: held for number, *held in zip(*columns)}
+        known = self.outcomes(scans)
+        for batch in rows:
+            days = (pd.to_datetime(batch["observed_at"]) - EPOCH).dt.days
+            for number, *scan in zip(batch["scan_no"].tolist(), days.tolist(), batch["asking_price"].tolist(), batch["is_off_plan"].tolist(), batch["filed"].tolist()):
+                if number not in scans or scan[3] > scans[number][3]:
+                    scans[number] = scan
+        now = self.outcomes(scans)
+        changed = [n for n, row in now.items() if known.get(n) != row]
+        if changed:
+            revision += 1
+            columns = list(zip(*[(n, *scans[n]) for n in sorted(scans)]))
+            self.state.update((*[list(c) for c in columns], revision))
+        if self.keep_days is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((max(at for at, *_ in scans.values()) + self.keep_days) * 86_400_000)
+        out = [(key[0], (EPOCH + pd.Timedelta(days=now[n][0])).date(), *now[n][1:], revision) for n in changed]
         yield pd.DataFrame(out, columns=[f.name for f in LISTING_OUTPUT])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame([], columns=[f.name for f in LISTING_OUTPUT])
+
     def close(self) -> None:
         pass
 
 
-def stream_listing_state(rows: DataFrame, tracker: ListingTracker | None = None) -> DataFrame:
-    """Presence and cuts tracked as scans land (listing_id, observed_at, asking_price)."""
-    return rows.select("listing_id", "observed_at", "asking_price").groupBy("listing_id").transformWithStateInPandas(
-        statefulProcessor=tracker or ListingTracker(), outputStructType=LISTING_OUTPUT, outputMode="Append", timeMode="None")
+def stream_listing_state(rows: DataFrame, calendar: DataFrame, tracker: ListingTracker | None = None, late: str = "0 seconds") -> DataFrame:
+    """Presence and cuts tracked as scans land, as revisions of rows; ``listing_state`` reads them.
+
+    ``rows``: listing_id, observed_at, asking_price, is_off_plan, filed. ``calendar``: ``scan_calendar`` of every scan up to
+    the newest in the feed, a row a scan. Files may come in any order and split. Only with a tracker that lets scans
+    go does the feed carry a watermark, ``late`` behind its newest day, and rows behind that are left out.
+    """
+    tracker = tracker or ListingTracker()
+    given = rows.select("listing_id", "observed_at", "asking_price", "is_off_plan", F.col("filed").cast("long").alias("filed"))
+    mode = "none" if tracker.keep_days is None else "eventTime"
+    if tracker.keep_days is not None:
+        given = given.withColumn("scanned", F.col("observed_at").cast("timestamp")).withWatermark("scanned", late)
+    given = given.join(calendar.select("observed_at", "scan_no"), "observed_at")
+    return given.groupBy("listing_id").transformWithStateInPandas(
+        statefulProcessor=tracker, outputStructType=LISTING_OUTPUT, outputMode="Append", timeMode=mode)
+
+
+def listing_state(revisions: DataFrame) -> DataFrame:
+    """The latest revision of every listing's scans."""
+    last = F.max_by(F.struct("asking_price", "first_price", "streak", "drops", "is_drop"), "revision").alias("_r")
+    return revisions.groupBy("listing_id", "observed_at").agg(last).select("listing_id", "observed_at", "_r.*")
 
 
 def stream_activity(rows: DataFrame, path: str, event_time: str, keys: list[str], length: str, slide: str | None = None):

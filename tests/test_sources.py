@@ -139,29 +139,61 @@ def test_editions_are_written_once(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5
 
 
-def test_listing_stream_agrees_with_the_batch(spark, tmp_path):
-    """Two runs over landed days give what one batch pass over all of them gives."""
+LISTED = "listing_id string, observed_at date, asking_price double, is_off_plan boolean, filed long"
+
+
+def listing_rows(step):
+    """Scans of three listings on every ``step``-th day, one of them off-plan; listing a skips the fifth scan, c is filed twice on the third."""
     prices = [("a", 1, 100.0), ("a", 2, 100.0), ("a", 3, 100.0), ("a", 4, 90.0), ("a", 6, 80.0), ("a", 7, 80.0), ("a", 8, 70.0), ("b", 1, 50.0), ("b", 2, 50.0), ("b", 3, 45.0)]
-    rows = [(k, D(2026, 1, d), p * 10_000) for k, d, p in prices]
-    schema = "listing_id string, observed_at date, asking_price double"
-    landed, out, cp = str(tmp_path / "l"), str(tmp_path / "o"), str(tmp_path / "c")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        for days in ((1, 2, 3), (4, 5, 6, 7, 8)):
-            spark.createDataFrame([r for r in rows if r[1].day in days], schema).write.mode("append").parquet(landed)
-            stream = feeds.stream_listing_state(feeds.stream_parquet(spark, landed, schema))
-            feeds.run_available(stream.writeStream.format("parquet").option("path", out), cp)
-    finally:
-        spark.conf.set(provider, before)
-    got = {(r.listing_id, r.observed_at.day): (r.streak, r.is_drop) for r in spark.read.parquet(out).collect()}
-    obs = listings.track_presence(spark.createDataFrame(rows + [("z", D(2026, 1, d), 1.0) for d in range(1, 9)], schema))
-    batch = {(r.listing_id, r.observed_at.day): r.streak + 1 for r in listings.streaks(obs).filter("seen and listing_id <> 'z'").collect()}
-    assert {k: v[0] for k, v in got.items()} == batch
-    flat = spark.createDataFrame([("a", False), ("b", False)], "listing_id string, is_off_plan boolean")
-    cuts = {(r.listing_id, r.observed_at.day) for r in listings.price_cuts(obs, flat).filter("validated").collect()}
-    assert {k for k, v in got.items() if v[1]} == cuts == {("a", 4), ("a", 8), ("b", 3)}
+    prices += [("c", d, p) for d, p in enumerate((2.0, 2.0, 2.5, 1.9, 1.9, 1.9, 1.8, 1.8), 1)] + [("c", 3, 2.0)]
+    return [(k, D(2026, 1, 1) + dt.timedelta(days=step * (d - 1)), p * 10_000, k == "c", n) for n, (k, d, p) in enumerate(prices)]
+
+
+def tracked(spark, tmp_path, name, files, step, at_once=None, tracker=None):
+    landed, out = str(tmp_path / f"l{name}"), str(tmp_path / f"o{name}")
+    calendar = feeds.scan_calendar(spark.createDataFrame([r[:2] for r in listing_rows(step)], "listing_id string, observed_at date"))
+    with feeds.state_store(spark):
+        for k, rows in enumerate(files):
+            spark.createDataFrame(rows, LISTED).coalesce(1).write.mode("append").parquet(landed)
+            if at_once is None or k == len(files) - 1:
+                stream = feeds.stream_listing_state(feeds.stream_parquet(spark, landed, LISTED, files_per_trigger=at_once or 100), calendar, tracker)
+                feeds.run_available(stream.writeStream.format("parquet").option("path", out), str(tmp_path / f"c{name}"))
+    return spark.read.parquet(out)
+
+
+@pytest.mark.parametrize("step", [1, 7])
+def test_listing_stream_agrees_with_the_batch(spark, tmp_path, step):
+    """Daily and weekly scans give the batch answer in whatever order and split their files come."""
+    rows = listing_rows(step)
+    prices = spark.createDataFrame(rows, LISTED).groupBy("listing_id", "observed_at").agg(F.max_by("asking_price", "filed").alias("asking_price"))
+    obs = listings.track_presence(prices).cache()
+    flat = spark.createDataFrame([("a", False), ("b", False), ("c", True)], "listing_id string, is_off_plan boolean")
+    cuts = {(r.listing_id, r.observed_at) for r in listings.price_cuts(obs, flat).filter("validated").collect()}
+    want = {(r.listing_id, r.observed_at, r.asking_price, r.streak + 1, (r.listing_id, r.observed_at) in cuts) for r in listings.streaks(obs).filter("seen").collect()}
+    days = sorted({r[1] for r in rows})
+    assert ("c", days[3]) in cuts and ("a", days[3]) in cuts and ("a", days[5]) not in cuts
+    of = lambda lo, hi: [r for r in rows if days[lo] <= r[1] <= days[hi]]
+    third = [of(0, 2), of(3, 4), of(5, 7)]
+    for name, files, at_once in (("in order", third, None), ("last first", third[::-1], None), ("mixed", [rows[k::5] for k in (3, 1, 4, 0, 2)], 1)):
+        sent = tracked(spark, tmp_path, f"{name}{step}", files, step, at_once)
+        got = {(r.listing_id, r.observed_at, r.asking_price, r.streak, r.is_drop) for r in feeds.listing_state(sent).collect()}
+        assert got == want, name
+        firsts = {(r.listing_id, r.first_price) for r in feeds.listing_state(sent).collect()}
+        assert firsts == {("a", 1_000_000.0), ("b", 500_000.0), ("c", 20_000.0)}
+
+
+def test_listing_state_is_let_go_after_its_days(spark, tmp_path):
+    rows = listing_rows(1)
+    files = [[r for r in rows if r[0] == "a" and r[1] < D(2026, 1, 5)], [("z", D(2026, 3, 1), 1.0, False, 99)], [("a", D(2026, 3, 2), 700_000.0, False, 100)]]
+    calendar = feeds.scan_calendar(spark.createDataFrame([(r[1],) for f in files for r in f], "observed_at date"))
+    landed, out = str(tmp_path / "l"), str(tmp_path / "o")
+    with feeds.state_store(spark):
+        for rows in files:
+            spark.createDataFrame(rows, LISTED).coalesce(1).write.mode("append").parquet(landed)
+            stream = feeds.stream_listing_state(feeds.stream_parquet(spark, landed, LISTED), calendar, feeds.ListingTracker(keep_days=10))
+            feeds.run_available(stream.writeStream.format("parquet").option("path", out), str(tmp_path / "c"))
+    got = {(r.listing_id, r.observed_at): (r.first_price, r.streak) for r in feeds.listing_state(spark.read.parquet(out)).collect()}
+    assert got["a", D(2026, 1, 4)] == (1_000_000.0, 4) and got["a", D(2026, 3, 2)] == (700_000.0, 1)
 
 
 def test_stream_dedupe_does_not_depend_on_the_batches(spark, tmp_path):
