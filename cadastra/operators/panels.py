@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,38 +65,105 @@ def entity_projects(config: DataFrame, project: DataFrame) -> DataFrame:
     return claims.join(times, "project_number").select("entity_id", "developer_number", "attribution_scope", "project_number", problem.alias("problem"))
 
 
-def _ranked_walk(batches: Iterator[pd.DataFrame], tolerance: float) -> Iterator[pd.DataFrame]:
-    """Mark repeats in rows ordered by unit island and date, a batch at a time.
+def match_repeats(first: Sequence[bool], worth: Sequence[float], tolerance: float) -> list[bool]:
+    """Which of an island's registrations, given in order, are an earlier first one registered again.
 
-    A later registration consumes the earliest unused first registration of its island within the
-    price tolerance. Only the unused firsts of the current island are held.
+    A later registration takes the earliest unused first one whose price it meets within the tolerance of that
+    price. The firsts stand in order of price with the time they came while they are unused; the earliest of a
+    range of prices is the least of a range of that row, found in as many steps as the firsts' number has digits.
     """
-    island, unused = None, []
+    prices = sorted(w for w, f in zip(worth, first) if f)
+    size = 1
+    while size < max(1, len(prices)):
+        size *= 2
+    none = len(worth)
+    earliest = [none] * (2 * size)
+    taken: dict[float, int] = {}  # how many of a price have come: equal prices fill their places from the left
+    place_of: dict[int, int] = {}
+
+    def put(place: int, value: int) -> None:
+        node = size + place
+        earliest[node] = value
+        while node > 1:
+            node //= 2
+            earliest[node] = min(earliest[2 * node], earliest[2 * node + 1])
+
+    def least(lo: int, hi: int) -> int:
+        found, lo, hi = none, lo + size, hi + size
+        while lo < hi:
+            if lo % 2:
+                found, lo = min(found, earliest[lo]), lo + 1
+            if hi % 2:
+                hi -= 1
+                found = min(found, earliest[hi])
+            lo, hi = lo // 2, hi // 2
+        return found
+
+    def meets(price: float, w: float) -> bool:
+        return abs(price - w) / price <= tolerance
+
+    repeats = []
+    for at, (is_first, w) in enumerate(zip(first, worth)):
+        if is_first:
+            place_of[at] = bisect_left(prices, w) + taken.get(w, 0)
+            taken[w] = taken.get(w, 0) + 1
+            put(place_of[at], at)
+            repeats.append(False)
+            continue
+        lo = bisect_left(prices, w / (1 + tolerance))
+        hi = bisect_right(prices, w / (1 - tolerance)) if tolerance < 1 else len(prices)
+        # The rule itself decides about the prices at both edges.
+        if lo and meets(prices[lo - 1], w):
+            lo = bisect_left(prices, prices[lo - 1])
+        while lo < hi and not meets(prices[lo], w):
+            lo = bisect_right(prices, prices[lo])
+        if hi < len(prices) and meets(prices[hi], w):
+            hi = bisect_right(prices, prices[hi])
+        while lo < hi and not meets(prices[hi - 1], w):
+            hi = bisect_left(prices, prices[hi - 1])
+        hit = least(lo, hi) if lo < hi else none
+        if hit < none:
+            put(place_of[hit], none)
+        repeats.append(hit < none)
+    return repeats
+
+
+def _walk_islands(batches: Iterator[pd.DataFrame], tolerance: float) -> Iterator[pd.DataFrame]:
+    """Mark repeats in rows ordered by island and date; an island at hand is held until its last row has come."""
+
+    def marked(rows: pd.DataFrame) -> pd.DataFrame:
+        island = rows["island_key"].to_numpy()
+        ends = [*(np.flatnonzero(island[1:] != island[:-1]) + 1).tolist(), len(rows)]
+        first, worth, repeats, start = rows["is_first"].tolist(), rows["actual_worth"].tolist(), [], 0
+        for end in ends:
+            repeats += match_repeats(first[start:end], worth[start:end], tolerance)
+            start = end
+        return rows.assign(is_repeat=repeats)
+
+    held: list[pd.DataFrame] = []
     for batch in batches:
-        repeats = []
-        for key, first, worth in zip(batch["island_key"], batch["is_first"], batch["actual_worth"]):
-            if key != island:
-                island, unused = key, []
-            hit = False
-            if first:
-                unused.append(worth)
-            else:
-                for at, held in enumerate(unused):
-                    if abs(held - worth) / held <= tolerance:
-                        del unused[at]
-                        hit = True
-                        break
-            repeats.append(hit)
-        yield batch.assign(is_repeat=repeats)
+        if not len(batch):
+            continue
+        last = batch["island_key"].iloc[-1]
+        if held and held[-1]["island_key"].iloc[-1] == last:
+            held.append(batch)
+            continue
+        rows = pd.concat([*held, batch]) if held else batch
+        going = (rows["island_key"] == last).to_numpy()
+        held = [rows[going]]
+        if not going.all():
+            yield marked(rows[~going])
+    if held:
+        yield marked(pd.concat(held))
 
 
 def mark_repeats(tx: DataFrame, entities: DataFrame, rules: PanelRules, as_of: str) -> DataFrame:
     """Developer sales of homes with ``is_repeat`` set where a sale is an earlier one registered again.
 
-    The walk is by unit and date. Two prices that differ by more than the tolerance never match, so
+    The match is by unit, in order of date. Two prices that differ by more than the tolerance never match, so
     a unit's sales are first split into islands of price that cannot touch one another; islands
-    without both a first and a later registration need no walk. What is left is walked in date
-    order, streamed, one island after another.
+    without both a first and a later registration have no repeat, and those of one each are judged where they
+    stand. Only the rest, part of one unit's own sales each, meet in a task.
     """
     home = F.col("property_type").isin(*rules.home_types) | (
         (F.col("property_type") == "Land") & (F.coalesce("procedure_area", F.lit(0.0)) <= rules.land_max_sqm))
@@ -113,30 +182,31 @@ def mark_repeats(tx: DataFrame, entities: DataFrame, rules: PanelRules, as_of: s
     width = max(-math.log1p(-rules.price_tolerance), 1e-9) * (1 + 1e-9)
     bucket = F.when(F.col("actual_worth") > 0, F.floor(F.log("actual_worth") / F.lit(width)))
     rows = rows.withColumn("_b", bucket)
+    # Registrations of one day stand in the order of their ids, where the source has ids.
+    number = [c for c in ("transaction_id",) if c in rows.columns]
+    order = ["instance_date", *number, "actual_worth", "is_first"]
+    rows = rows.withColumn("_at", F.struct(*order))
     by_bucket = rows.filter(F.col("_b").isNotNull()).groupBy(*keys, "_b").agg(
-        count_where(F.col("is_first")).alias("_firsts"), count_where(~F.col("is_first")).alias("_laters"))
+        count_where(F.col("is_first")).alias("_firsts"), count_where(~F.col("is_first")).alias("_laters"), F.max(F.when(F.col("is_first"), F.col("_at"))).alias("_first"))
     in_unit = Window.partitionBy(*keys).orderBy("_b")
     gaps = by_bucket.withColumn("_new", (F.coalesce(F.col("_b") - F.lag("_b").over(in_unit), F.lit(2)) > 1).cast("int"))
     islands = gaps.withColumn("_island", F.sum("_new").over(in_unit.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     whole = Window.partitionBy(*keys, "_island")
-    walked = islands.withColumns({"_f": F.sum("_firsts").over(whole), "_l": F.sum("_laters").over(whole)}).filter(
-        (F.col("_f") > 0) & (F.col("_l") > 0)).select(*keys, "_b", "_island")
+    walked = islands.withColumns({"_f": F.sum("_firsts").over(whole), "_l": F.sum("_laters").over(whole), "_first": F.max("_first").over(whole)}).filter(
+        (F.col("_f") > 0) & (F.col("_l") > 0)).select(*keys, "_b", "_island", "_first", ((F.col("_f") == 1) & (F.col("_l") == 1)).alias("_pair"))
     joined = rows.join(walked, [*keys, "_b"], "left")
-    plain = joined.filter(F.col("_island").isNull()).withColumn("is_repeat", F.lit(False))
+    again = (F.col("_at") > F.col("_first")) & (F.abs(F.col("_first.actual_worth") - F.col("actual_worth")) / F.col("_first.actual_worth") <= rules.price_tolerance)
+    few = joined.filter(F.col("_island").isNull() | F.col("_pair")).withColumn("is_repeat", F.coalesce(F.col("_pair") & ~F.col("is_first") & again, F.lit(False)))
     # An unambiguous text key of the island: lengths keep ('a','bc') and ('ab','c') apart.
     text = F.concat_ws("|", *[F.concat(F.length(k).cast("string"), F.lit(":"), F.col(k)) for k in keys], F.col("_island").cast("string"))
-    columns = [c for c in plain.columns if c not in (*keys, "_b", "_island")]
-    # Registrations of one day stand in the order of their ids, where the source has ids.
-    number = [c for c in ("transaction_id",) if c in columns]
-    queue = joined.filter(F.col("_island").isNotNull()).withColumn("island_key", text).select(
-        "island_key", *[c for c in columns if c != "is_repeat"])
-    ordered = queue.repartition("island_key").sortWithinPartitions(
-        "island_key", "instance_date", *number, "actual_worth", "is_first", "procedure_name", "area_name", "meter_sale_price")
+    columns = [c for c in few.columns if c not in (*keys, "_b", "_island", "_at", "_first", "_pair")]
+    queue = joined.filter(~F.col("_pair")).withColumn("island_key", text).select("island_key", *[c for c in columns if c != "is_repeat"])
+    ordered = queue.repartition("island_key").sortWithinPartitions("island_key", *order, "procedure_name", "area_name", "meter_sale_price")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema) + ", is_repeat boolean"
     tolerance = rules.price_tolerance
-    marked = ordered.mapInPandas(lambda it: _ranked_walk(it, tolerance), schema)
+    marked = ordered.mapInPandas(lambda it: _walk_islands(it, tolerance), schema)
     columns = [c for c in columns if c not in number]
-    return plain.select(*columns).unionByName(marked.select(*columns))
+    return few.select(*columns).unionByName(marked.select(*columns))
 
 
 def _psm_ok(rules: PanelRules) -> Column:
