@@ -42,22 +42,21 @@ def merge_duplicates(tx: DataFrame) -> DataFrame:
     other fields take the first copy that states them. First seen is the earliest; withdrawn only
     when every copy is. Rows without a key are kept as they are.
 
-    Every field of a merged row is a grouped minimum, so copies combine before the shuffle and a
-    key with any number of copies stays one row per task.
+    Every field of a merged row is a grouped minimum or maximum of one aggregate, so copies combine before
+    the only shuffle and a key with any number of copies stays one row per task. A lone row keeps its own price.
     """
-    singles, copies = singles_and_copies(tx.filter(F.col("tx_key").isNotNull()), "tx_key")
     feed = feed_of("transaction_id")
     web = feed == "web"
     rank = F.when(feed == "bulk", F.lit(0)).when(feed == "api", F.lit(1)).otherwise(F.lit(2))
     order = F.struct(
         rank.alias("r"), "instance_date", "transaction_id", "actual_worth", "procedure_area", "meter_sale_price", "project_number", "area_name", "building_name"
     )
-    rows = copies.select("*", order.alias("_o"), web.alias("_web"), *[blank_to_null(c).alias(f"_t_{c}") for c in TEXT_COLUMNS])
+    rows = tx.filter(F.col("tx_key").isNotNull()).select("*", order.alias("_o"), web.alias("_web"), *[blank_to_null(c).alias(f"_t_{c}") for c in TEXT_COLUMNS])
     fils = F.abs(F.col("actual_worth") - F.round("actual_worth")) > 1e-9
     first = lambda c, cond=None: F.min_by(c, F.when(F.col(c).isNotNull() if cond is None else cond, F.col("_o")))
     merged = rows.groupBy("tx_key").agg(
         F.count(F.lit(1)).alias("copies"),
-        F.min_by("transaction_id", "_o").alias("transaction_id"),
+        F.min("_o").alias("_kept"),
         F.coalesce(F.min_by("instance_date", F.when(F.col("_web"), F.col("_o"))), F.min("instance_date")).alias("instance_date"),
         F.min(F.when(~F.col("_web"), F.col("instance_date"))).alias("feed_date"),
         F.coalesce(first("actual_worth", fils), F.max("actual_worth")).alias("actual_worth"),
@@ -67,15 +66,13 @@ def merge_duplicates(tx: DataFrame) -> DataFrame:
         F.when(F.count("withdrawn_on") == F.count(F.lit(1)), F.min("withdrawn_on")).alias("withdrawn_on"),
         *[first(f"_t_{c}").alias(c) for c in TEXT_COLUMNS],
     )
-    priced = F.when(F.col("actual_worth").isNotNull() & (F.col("procedure_area") != 0), half_up(ratio("actual_worth", "procedure_area"))).otherwise(F.col("_psm"))
-    out = merged.withColumn("meter_sale_price", priced).drop("_psm")
-    # A lone row keeps its own values and price.
-    lone = singles.select(
-        "tx_key", F.lit(1).cast("bigint").alias("copies"), "transaction_id", "instance_date", F.when(~web, F.col("instance_date")).alias("feed_date"),
-        "actual_worth", "procedure_area", "first_seen", "withdrawn_on", *[blank_to_null(c).alias(c) for c in TEXT_COLUMNS], "meter_sale_price",
+    priced = (F.col("copies") > 1) & F.col("actual_worth").isNotNull() & (F.col("procedure_area") != 0)
+    out = merged.select(
+        "tx_key", "copies", F.col("_kept.transaction_id").alias("transaction_id"), "instance_date", "feed_date", "actual_worth", "procedure_area", "first_seen",
+        "withdrawn_on", *TEXT_COLUMNS, F.when(priced, half_up(ratio("actual_worth", "procedure_area"))).otherwise(F.col("_psm")).alias("meter_sale_price"),
     )
     unkeyed = tx.filter(F.col("tx_key").isNull()).withColumn("copies", F.lit(1).cast("bigint"))
-    return out.unionByName(lone).unionByName(unkeyed.select(*out.columns))
+    return out.unionByName(unkeyed.select(*out.columns))
 
 
 def merge_summary(tx: DataFrame) -> DataFrame:
@@ -223,6 +220,33 @@ def match_snapshot(snapshot: DataFrame, project: DataFrame) -> DataFrame:
     return keyed.select(*snapshot.columns, "matched").unionByName(unkeyed.select(*snapshot.columns, "matched"))
 
 
+def trigrams(text: Column) -> Column:
+    """The distinct runs of three characters of a text; none of a shorter one."""
+    every = F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda k: F.substring(text, k, F.lit(3)))
+    return F.when(F.length(text) >= 3, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+
+def containing(asked: DataFrame, held: DataFrame, scope: str, word: str, texts: Sequence[str], found: Column) -> DataFrame:
+    """(scope, word, _found): least ``found`` of the held rows of the scope whose texts contain the word, of three letters at least.
+
+    Held texts are posted under each of their trigrams. A word is looked up under the rarest of its own in its
+    scope only, so it meets the texts that could hold it instead of all of the scope's.
+    """
+    postings = held.withColumn("_gram", F.explode(F.array_union(*[trigrams(F.col(t)) for t in texts])) if len(texts) == 2 else F.explode(trigrams(F.col(texts[0]))))
+    counts = postings.groupBy(scope, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    own = asked.select(scope, word).distinct().withColumn("_grams", trigrams(F.col(word)))
+    rarest = (
+        own.select(scope, word, F.size("_grams").alias("_k"), F.explode("_grams").alias("_gram")).join(counts, [scope, "_gram"])
+        .groupBy(scope, word, "_k").agg(F.count(F.lit(1)).alias("_met"), F.min(F.struct("_n", "_gram")).alias("_least"))
+        .filter(F.col("_met") == F.col("_k"))  # a trigram that no text has settles it
+        .select(scope, word, F.col("_least._gram").alias("_gram"))
+    )
+    holds = F.lit(False)
+    for t in texts:
+        holds = holds | F.col(t).contains(F.col(word))
+    return rarest.join(postings, [scope, "_gram"]).filter(holds).groupBy(scope, word).agg(F.min(found).alias("_found"))
+
+
 def resolve_listings(listings: DataFrame, project: DataFrame) -> DataFrame:
     """Project of a listing: exact name or slug, else its first telling word inside the same area, else none."""
     name = F.coalesce(blank_to_null("project_name"), blank_to_null("building_name"), F.lit(""))
@@ -235,16 +259,11 @@ def resolve_listings(listings: DataFrame, project: DataFrame) -> DataFrame:
     by_name = exact.select(F.col("_text").alias("_name"), F.col("pn").alias("_by_name"))
     by_slug = exact.select(F.col("_text").alias("_slug"), F.col("pn").alias("_by_slug"))
     looked = rows.join(by_name, "_name", "left").join(by_slug, "_slug", "left").withColumn("_exact", F.coalesce("_by_name", "_by_slug"))
-    # The contains test only needs each distinct (area, word), not each listing.
-    asked = looked.filter(F.col("_exact").isNull()).select("_area", F.get(words, F.lit(0)).alias("_word")).filter(
-        F.col("_word").isNotNull()).distinct()
+    looked = looked.withColumn("_word", F.when(F.col("_exact").isNull(), F.get(words, F.lit(0))))
+    asked = looked.filter(F.col("_word").isNotNull()).select("_area", "_word")
     held = project.select(F.col("area_slug").alias("_area"), "project_number", F.lower("project_name").alias("_pname"), F.col("slug").alias("_pslug"))
-    fuzzy = (
-        asked.join(held, "_area")
-        .filter(F.col("_pname").contains(F.col("_word")) | F.col("_pslug").contains(F.col("_word")))
-        .groupBy("_area", "_word").agg(F.min("project_number").alias("_fuzzy"))
-    )
-    out = looked.withColumn("_word", F.get(words, F.lit(0))).join(fuzzy, ["_area", "_word"], "left")
+    fuzzy = containing(asked, held, "_area", "_word", ["_pname", "_pslug"], F.col("project_number")).withColumnRenamed("_found", "_fuzzy")
+    out = looked.join(fuzzy, ["_area", "_word"], "left")
     exact_hit, fuzzy_hit = F.col("_exact").isNotNull(), F.col("_fuzzy").isNotNull()
     return out.select(
         *listings.columns, F.coalesce("_exact", "_fuzzy").alias("project_number"),

@@ -1,5 +1,7 @@
 """Source, sink and streaming queries: files Spark writes from the given tables, read back through the feeds."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from cadastra.functions import text
@@ -9,7 +11,7 @@ from cadastra.plans import identity_queries as iq
 from cadastra.plans import market_queries as mq
 from cadastra.plans.adapters import AS_OF, RAW, SPARK, texts
 from cadastra.plans.listing_queries import ALL, BASE, listing, prices
-from cadastra.plans.market_pack import market_pack, shared_sales
+from cadastra.plans.market_pack import Register, backfill, shared_sales, write_edition
 from cadastra.plans.registry import query, tot
 from cadastra.plans.resale_queries import pairs
 from cadastra.session import materialize, shared_dir
@@ -119,16 +121,97 @@ def _(t):
     return writers.read_store(t.spark, store).groupBy("area_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _register(t, since: str):
+    """The register as editions read it: a week's, a month's or a year's sections all look at this span."""
+    sales = shared_sales(t.registration, since, "2001-12-31")
+    return Register(sales, t.rent, t.project, t.developer, t.observation, pairs(t), mq.LIMITS, mq.UNIT, mq.BANDS)
+
+
 @query("monthly_edition", "SELECT * FROM (" + mq._headline_sql() + ")", tagged=mq._tagged("registration", "instance_date", mq.PERIODS), st=mq.sales_stats_sql("tagged"),
        rtag=mq._tagged("rent", "contract_start_date", mq.PERIODS), rt=mq.rent_stats_sql("rtag"))
 def _(t):
-    """A whole edition written section by section under its kind and key, then one section read back."""
+    """A whole edition, all its sections, written under its kind and key, then the headline read back."""
     path = shared_dir(t.spark, "editions")
-    sales = shared_sales(t.registration, "1995-01-01", "2001-07-31")
-    pack = market_pack(sales, t.rent, t.project, t.developer, t.observation, pairs(t), "monthly", mq.PERIODS, mq.LIMITS, mq.UNIT, mq.BANDS)
-    for section in ("headline", "areas", "bands", "deals"):
-        writers.write_edition(pack[section], f"{path}/{section}", "monthly", "2001-07")
-    return t.spark.read.parquet(f"{path}/headline").drop("kind", "key")
+    write_edition(_register(t, "1995-01-01"), path, "monthly", "2001-07", AS_OF)
+    return writers.read_section(t.spark, path, "headline", "monthly", "2001-07").drop("kind", "key")
+
+
+SECTIONS = ("headline", "monthly", "yearly", "ytd", "bands", "deals", "areas", "developers", "projects", "yields", "resales", "rent_areas", "same_slice",
+            "pipeline_totals", "pipeline_years", "pipeline_areas", "pipeline_developers", "behind", "past_due")
+
+
+def _edition_rows(t, path, kinds):
+    """What the stored editions hold: the headline's figures, and the counted sections' rows and numbers."""
+    parts = []
+    for section, n in (("headline", None), ("monthly", "n"), ("yearly", "n"), ("bands", "n"), ("areas", "n"), ("projects", "n"), ("deals", None), ("rent_areas", "n")):
+        rows = writers.read_section(t.spark, path, section).filter(F.col("kind").isin(*kinds))
+        if section == "headline":
+            parts.append(rows.select("kind", "key", F.lit(section).alias("section"), F.concat_ws(".", "source", "metric").alias("metric"), F.col("cur").alias("value")))
+            parts.append(rows.select("kind", "key", F.lit(section).alias("section"), F.concat_ws(".", "source", "metric", F.lit("yoy")).alias("metric"), F.col("yoy").alias("value")))
+        else:
+            sums = {"rows": F.count(F.lit(1)), **({"n": F.sum(n)} if n else {})}
+            wide = rows.groupBy("kind", "key").agg(*[v.cast("double").alias(k) for k, v in sums.items()])
+            parts += [wide.select("kind", "key", F.lit(section).alias("section"), F.lit(k).alias("metric"), F.col(k).alias("value")) for k in sums]
+    held = t.spark.read.schema(writers.EDITION).parquet(path).filter(F.col("kind").isin(*kinds) & F.col("columns").isNotNull())
+    parts.append(held.groupBy("kind", "key").agg(F.count_distinct("section").cast("double").alias("value")).select("kind", "key", F.lit("all").alias("section"), F.lit("sections").alias("metric"), "value"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _edition_sql(kind: str, key: str, since: str | None = None) -> str:
+    """The same figures of one edition straight from the registers."""
+    year_to_date = AS_OF if kind == "yearly" and key == AS_OF[:4] else None
+    periods = market.edition_periods(kind, key, since=since, ytd_to=year_to_date)
+    (a, b), (c, d) = periods["cur"], periods["yoy"]
+    month = market.last_full_month(b)
+    span = 36 if kind == "yearly" else 24
+    first = market.shift_month(month, 1 - span)
+    cur = f"trans_group='Sales' AND instance_date BETWEEN DATE '{a}' AND DATE '{b}'"
+    rents = f"{mq.RENT_OK} AND {mq.HOME} AND contract_start_date BETWEEN DATE '{a}' AND DATE '{b}'"
+    top = lambda group, table, where, n: f"(SELECT count(*) AS n FROM {table} WHERE {where} AND {group} IS NOT NULL GROUP BY {group} ORDER BY n DESC, {group} LIMIT {n})"
+    parts = {
+        "monthly": f"SELECT {span}::DOUBLE AS rows, (SELECT count(*) FROM registration WHERE trans_group='Sales' AND instance_date BETWEEN DATE '{first}-01' AND DATE '{market.month_end(month)}')::DOUBLE AS n",
+        "yearly": f"SELECT count(DISTINCT year(instance_date))::DOUBLE AS rows, count(*)::DOUBLE AS n FROM registration WHERE trans_group='Sales' AND instance_date BETWEEN DATE '2008-01-01' AND DATE '{b}' HAVING count(*) > 0",
+        "bands": f"SELECT {len(mq.BANDS)}::DOUBLE AS rows, count(*)::DOUBLE AS n FROM registration WHERE {cur}",
+        "areas": f"SELECT count(*)::DOUBLE AS rows, sum(n)::DOUBLE AS n FROM {top('area_name', 'registration', cur, 20)}",
+        "projects": f"SELECT count(*)::DOUBLE AS rows, sum(n)::DOUBLE AS n FROM {top('project_number', 'registration', cur, 15)}",
+        "rent_areas": f"SELECT count(*)::DOUBLE AS rows, sum(n)::DOUBLE AS n FROM {top('area_name', 'rent', rents, 15)}",
+        "deals": f"SELECT least(12, count(*))::DOUBLE AS rows, NULL AS n FROM registration WHERE {cur} AND property_type <> 'Land'",
+    }
+    out = [f"SELECT '{s}' AS section, m AS metric, CASE m WHEN 'rows' THEN rows ELSE n END AS value FROM ({sql}), (VALUES ('rows'), ('n')) v(m) WHERE NOT (m = 'n' AND '{s}' = 'deals')" for s, sql in parts.items()]
+    head = oracle_of(mq._headline_sql(), tagged=mq._tagged("registration", "instance_date", periods), st=mq.sales_stats_sql("tagged"),
+                     rtag=mq._tagged("rent", "contract_start_date", periods), rt=mq.rent_stats_sql("rtag"))
+    out.append(f"SELECT 'headline', source || '.' || metric || k, CASE k WHEN '' THEN cur ELSE yoy END FROM ({head}), (VALUES (''), ('.yoy')) v(k)")
+    out.append(f"SELECT 'all', 'sections', {len(SECTIONS) - (kind == 'weekly')}::DOUBLE")
+    return f"SELECT '{kind}' AS kind, '{key}' AS key, * FROM (" + " UNION ALL ".join(out) + ")"
+
+
+def oracle_of(body: str, **ctes: str) -> str:
+    return "WITH " + ", ".join(f"{name} AS ({text})" for name, text in ctes.items()) + " " + body
+
+
+@query("weekly_edition", _edition_sql("weekly", "2001-07-29", "2001-07-15"))
+def _(t):
+    """A week's edition; one that is held is not due the next day, and asking for it again leaves it alone."""
+    path, register = shared_dir(t.spark, "editions"), _register(t, "1995-01-01")
+    write_edition(register, path, "weekly", "2001-07-29", AS_OF, since="2001-07-15")
+    if writers.weekly_due(writers.held_editions(t.spark, path), "2001-07-30") or write_edition(register, path, "weekly", "2001-07-29", AS_OF, since="2001-07-01"):
+        raise ValueError("an edition that is held was written again")
+    return _edition_rows(t, path, ["weekly"])
+
+
+@query("yearly_edition", _edition_sql("yearly", "2000"))
+def _(t):
+    path = shared_dir(t.spark, "editions")
+    write_edition(_register(t, "1995-01-01"), path, "yearly", "2000", AS_OF)
+    return _edition_rows(t, path, ["yearly"])
+
+
+@query("backfill_editions", " UNION ALL ".join([_edition_sql("monthly", "2001-07"), _edition_sql("yearly", "2001")]))
+def _(t):
+    """Last month and the year so far; a second run leaves the month alone and writes the year again."""
+    path, register = shared_dir(t.spark, "editions"), _register(t, "1995-01-01")
+    backfill(register, path, AS_OF, months=1, years=0)
+    return _edition_rows(t, path, ["monthly", "yearly"])
 
 
 # ---- streaming ----

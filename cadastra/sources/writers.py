@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def row_hash(df: DataFrame, columns: Sequence[str]):
@@ -105,6 +107,45 @@ def write_edition(df: DataFrame, path: str, kind: str, key: str, force: bool = F
     return True
 
 
+EDITION = "kind string, key string, section string, columns string, body string"
+
+
+def write_sections(sections: Mapping[str, DataFrame], path: str, kind: str, key: str, force: bool = False) -> bool:
+    """Store a whole edition, all its sections in one write; one that is held is left alone unless forced.
+
+    Each section is a partition below its kind and key, so the write replaces the sections of this edition and no
+    others, all at once or not at all. A section's rows are kept as JSON beside one row with its columns, which also
+    says that an empty section was written.
+    """
+    spark = next(iter(sections.values())).sparkSession
+    if not force and (kind, key) in held_editions(spark, path):
+        return False
+    parts = []
+    for name, rows in sections.items():
+        body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
+        parts.append(rows.select(F.lit(name).alias("section"), F.lit(None).cast("string").alias("columns"), body.alias("body")))
+    heads = spark.createDataFrame([(n, rows.schema.json(), None) for n, rows in sections.items()], "section string, columns string, body string")
+    whole = reduce(DataFrame.unionByName, parts, heads).select(F.lit(kind).alias("kind"), F.lit(key).alias("key"), "section", "columns", "body")
+    # No section is longer than a league or a list, so one task a section writes one file.
+    whole.repartition("section").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "key", "section").parquet(path)
+    return True
+
+
+def read_section(spark, path: str, section: str, kind: str | None = None, key: str | None = None) -> DataFrame:
+    """A section's rows in its own columns, with kind and key, of one edition or of all that hold it."""
+    rows = spark.read.schema(EDITION).parquet(path).filter(F.col("section") == section)
+    if kind is not None:
+        rows = rows.filter(F.col("kind") == kind)
+    if key is not None:
+        rows = rows.filter(F.col("key") == key)
+    columns = rows.agg(F.max("columns")).first()[0]
+    if columns is None:
+        raise ValueError(f"no edition holds section {section}")
+    schema = StructType.fromJson(json.loads(columns))
+    parsed = rows.filter(F.col("body").isNotNull()).select("kind", "key", F.from_json("body", schema).alias("_r"))
+    return parsed.select("kind", "key", "_r.*")
+
+
 def weekly_due(held: set[tuple[str, str]], today: str, every: int = 7) -> bool:
     """Whether a week has passed since the last weekly edition."""
     import datetime as dt

@@ -211,6 +211,33 @@ def test_repeats_match_a_plain_walk(spark, tol):
     assert panel.first_sale_units.sum() + panel.repeats_dropped.sum() == len(rows)
 
 
+@pytest.mark.parametrize("tol", [0.0, 0.005, 0.2, 1.0, 3.0])
+def test_matching_takes_the_earliest_price_that_meets(tol):
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randint(0, 40)
+        first = [rng.random() < 0.6 for _ in range(n)]
+        worth = [float(rng.choice([100, 100, 101, 120, 100.5, rng.randint(80, 150)])) for _ in range(n)]
+        open_, want = [], []
+        for f, w in zip(first, worth):
+            hit = None if f else next((k for k, o in enumerate(open_) if abs(o - w) / o <= tol), None)
+            if f:
+                open_.append(w)
+            elif hit is not None:
+                del open_[hit]
+            want.append(hit is not None)
+        assert panels.match_repeats(first, worth, tol) == want
+
+
+def test_words_are_found_by_their_rarest_trigram(spark):
+    held = [("x", 3, "palm tower", "palm-tower"), ("x", 1, "the palms", "the-palms"), ("x", 2, "tower of palm", "t"), ("y", 9, "palm", "lake-view"), ("x", 4, "ab", "ab")]
+    asked = [("x", "palm"), ("x", "palms"), ("x", "tower"), ("y", "view"), ("x", "lake"), ("x", "mpa"), ("y", "ower"), ("z", "palm")]
+    got = identity.containing(
+        spark.createDataFrame(asked, "area string, word string"), spark.createDataFrame(held, "area string, pn int, name string, slug string"), "area", "word", ["name", "slug"], F.col("pn"))
+    want = {(a, w, min(p for b, p, *t in held if b == a and any(w in x for x in t))) for a, w in asked if any(b == a and any(w in x for x in t) for b, _, *t in held)}
+    assert {tuple(r) for r in got.collect()} == want and want
+
+
 def test_entities_must_not_overlap(spark):
     config = spark.createDataFrame([("1", "whole", None, None), ("1", "named", ["p1"], None), ("1", "named", ["q9"], None)], "developer_number string, attribution_scope string, project_numbers array<string>, exclude_project_numbers array<string>")
     project = spark.createDataFrame([("p1", "1"), ("p2", "1"), ("q9", "2")], "project_number string, developer_number string")

@@ -142,6 +142,23 @@ def test_editions_are_written_once(spark, tmp_path):
 LISTED = "listing_id string, observed_at date, asking_price double, is_off_plan boolean, filed long"
 
 
+def test_editions_are_written_whole_and_apart(spark, tmp_path):
+    path = str(tmp_path / "e")
+    rows = spark.createDataFrame([("a", 1.5, D(2026, 9, 1), None), ("b", 1e12, None, [1, 2])], "name string, value double, day date, ids array<int>")
+    none = spark.createDataFrame([], "n long")
+    assert writers.write_sections({"one": rows, "two": none}, path, "weekly", "2026-09-07")
+    assert not writers.write_sections({"one": none, "two": none}, path, "weekly", "2026-09-07")
+    assert writers.write_sections({"one": rows.limit(1), "two": spark.range(3).withColumnRenamed("id", "n")}, path, "monthly", "2026-08")
+    one = writers.read_section(spark, path, "one", "weekly", "2026-09-07")
+    assert sorted(tuple(r) for r in one.drop("kind", "key").collect()) == sorted(tuple(r) for r in rows.collect())
+    assert one.drop("kind", "key").schema == rows.schema and writers.read_section(spark, path, "two", "weekly").count() == 0
+    assert writers.write_sections({"one": none, "two": none}, path, "weekly", "2026-09-07", force=True)
+    assert writers.read_section(spark, path, "one", "weekly").count() == 0 and writers.read_section(spark, path, "two", "monthly").count() == 3
+    assert writers.held_editions(spark, path) == {("weekly", "2026-09-07"), ("monthly", "2026-08")}
+    with pytest.raises(ValueError):
+        writers.read_section(spark, path, "three")
+
+
 def listing_rows(step):
     """Scans of three listings on every ``step``-th day, one of them off-plan; listing a skips the fifth scan, c is filed twice on the third."""
     prices = [("a", 1, 100.0), ("a", 2, 100.0), ("a", 3, 100.0), ("a", 4, 90.0), ("a", 6, 80.0), ("a", 7, 80.0), ("a", 8, 70.0), ("b", 1, 50.0), ("b", 2, 50.0), ("b", 3, 45.0)]
