@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from cadastra.llm.common import ragged, slices, worker_cache
 
 LIMIT = 2048
-CACHED_CHUNKS = 500_000  # chunks whose tables a worker keeps
+CACHED_CHUNKS = 300_000  # chunks whose tables a worker keeps
 CACHED_CHARS = 16_000_000
 BATCH_BYTES = 4_000_000
+SHORT, RUNS = 24, 8_000  # letters of a piece, and pieces, whose tables are made together
+MARKS = ".,;:!?"
 
 NEVER = 1 << 60
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -92,7 +94,7 @@ class PrefixCounter:
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.bytes = byte_symbols()
         self._merges([tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], model["vocab"], end)
-        self.apart_cache: dict[tuple[int, int], bool] = {}
+        self.apart_cache: dict[int, bool] = {}
         self.runs: dict[str, np.ndarray] = {}
         self.clear()
 
@@ -137,10 +139,92 @@ class PrefixCounter:
             return out
 
         self.left, self.right = border(0), border(1)
+        self._trie()
+
+    def _trie(self) -> None:
+        """Every token by its symbols as bytes: onward nodes, and the plain and the ending token of each node."""
+        byte = {c: b for b, c in enumerate(self.bytes)}
+        nodes: list[dict[int, int]] = [{}]
+        tokens: list[tuple[int, int]] = [(-1, -1)]
+        for column, names in ((0, self.plain), (1, self.ends)):
+            for name, i in names.items():
+                at = 0
+                for c in name:
+                    onward = nodes[at].get(byte[c])
+                    if onward is None:
+                        onward = nodes[at][byte[c]] = len(nodes)
+                        nodes.append({})
+                        tokens.append((-1, -1))
+                    at = onward
+                tokens[at] = (i, tokens[at][1]) if column == 0 else (tokens[at][0], i)
+        keys = np.array([(at << 8) | b for at, onward in enumerate(nodes) for b in onward], np.int64)
+        ends = np.array([to for onward in nodes for to in onward.values()], np.int32)
+        order = np.argsort(keys)
+        self.edges, self.edge_ends, self.node_tokens = keys[order], ends[order], np.array(tokens, np.int32)
+
+    def _step(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The nodes reached by one more symbol each, -1 where there is none."""
+        key = (node.astype(np.int64) << 8) | symbol
+        at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+        return np.where((node >= 0) & (self.edges[at] == key), self.edge_ends[at], -1)
+
+    def _apart_many(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = (a.astype(np.int64) << 20 | b).tolist()
+        known = map(self.apart_cache.get, keys)
+        return np.array([self.apart(k >> 20, k & 0xFFFFF) if found is None else found for k, found in zip(keys, known)], bool)
+
+    def _learn_runs(self, pieces: list[str]) -> None:
+        """The tables of many short pieces at once: all of them one symbol on at a time."""
+        raw = sorted((p.encode() for p in pieces), key=len)
+        at = 0
+        while at < len(raw):
+            width = min(len(raw[min(len(raw), at + RUNS) - 1]), 2 * len(raw[at]) + 8)  # of equal widths, nearly
+            some = [r for r in raw[at : at + RUNS] if len(r) <= width]
+            at += len(some)
+            self._learn_width(some, len(some[-1]))
+
+    def _learn_width(self, raw: list[bytes], width: int) -> None:
+        n = len(raw)
+        size = np.array([len(r) for r in raw])
+        symbols = np.zeros((width, n), np.int64)
+        symbols.T[np.arange(width) < size[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
+        found = np.full((width, width, 2, n), -1, np.int32)  # by start and last symbol: the plain and the ending token
+        for s in range(width):
+            node = np.zeros(n, np.int32)
+            for k in range(s, min(width, s + self.longest)):
+                node = self._step(node, symbols[k])
+                if (node < 0).all():
+                    break
+                found[s, k] = np.where(node >= 0, self.node_tokens[node].T, -1)
+        last, count, marked = np.full((width + 1, n), -1, np.int64), np.zeros((width + 1, n), np.int32), np.zeros((width, n), np.int32)
+        for k in range(width):
+            for column, counts in ((0, count[k + 1]), (1, marked[k])):
+                left = np.flatnonzero(size > k)
+                for s in range(max(0, k + 1 - self.longest), k + 1):
+                    token = found[s, k, column, left]
+                    own = np.flatnonzero(token >= 0)
+                    if s and len(own):
+                        own = own[self._apart_many(last[s, left[own]], token[own])]
+                    if len(own):
+                        hit = left[own]
+                        counts[hit] = count[s, hit] + 1
+                        if column == 0:
+                            last[k + 1, hit] = token[own]
+                        left = np.delete(left, own)
+                    if not len(left):
+                        break
+                if len(left):
+                    raise ValueError("a byte without a token")
+        for r, length, row in zip(raw, size.tolist(), np.ascontiguousarray(marked.T)):
+            piece = r.decode()
+            table = row[:length].copy() if len(piece) == length else row[[k for k in range(length) if k + 1 == length or r[k + 1] & 0xC0 != 0x80]]
+            if piece in _SHORTENED:  # cut inside, it is an apostrophe and a letter
+                table[1] = table[0] + self._piece(piece[1])[0]
+            self.runs[piece] = table
 
     def apart(self, a: int, b: int) -> bool:
         """Whether token b can follow token a: no merge crosses their border while the two are built."""
-        key = (a, b)
+        key = a << 20 | b
         found = self.apart_cache.get(key)
         if found is None:
             before, after, i, j, rank = self.right[a], self.left[b], 0, 0, self.rank
@@ -168,7 +252,7 @@ class PrefixCounter:
         for k in range(len(last), len(text) + 1):
             for s in range(max(0, k - longest), k):
                 token = plain.get(text[s:k])
-                if token is not None and (not s or known.get((last[s], token)) or apart(last[s], token)):
+                if token is not None and (not s or known.get(last[s] << 20 | token) or apart(last[s], token)):
                     last.append(token)
                     count.append(count[s] + 1)
                     break
@@ -241,7 +325,7 @@ class PrefixCounter:
     def _ordinary(self, text: str) -> np.ndarray:
         """Counts at each prefix of text without special strings."""
         if _LATIN.fullmatch(text):
-            return self._normal("".join([c.lower() for c in text]) if not text.isascii() else text.lower())
+            return self._normal(text.lower())
         marks = [i for i, c in enumerate(text) if _starts(c)]
         if not marks or marks[0]:
             marks.insert(0, 0)
@@ -260,7 +344,16 @@ class PrefixCounter:
 
     def chunk(self, text: str) -> np.ndarray:
         """Counts at each prefix of text without white space, special strings included."""
-        if self.special_pattern is None:
+        if _LATIN.fullmatch(text):
+            low = text.lower()
+            found = self.runs.get(low)
+            if found is None and low[-1] in MARKS and len(low) > 1 and low[:-1].isalpha():
+                found = self.runs.get(low[:-1])
+                if found is not None:
+                    found = np.append(found, found[-1] + self._piece(low[-1])[0])
+            if found is not None:
+                return found
+        if self.special_pattern is None or not self.special_pattern.search(text):
             return self._ordinary(text)
         out, done, low = [], 0, 0
         for m in self.special_pattern.finditer(text):
@@ -271,17 +364,23 @@ class PrefixCounter:
         out.append(self._ordinary(text[low:]) + done)
         return np.concatenate(out)
 
-    def _learn(self, raw: bytes) -> int:
-        table = self.chunk(raw.decode())
-        code, end = len(self.codes), self.used + len(table)
-        while end > len(self.flat):
+    def _learn(self, raw: list[bytes]) -> None:
+        """Tables of new chunks, the pieces that the plainly written ones are made of all at once."""
+        texts = [c.decode() for c in raw]
+        plain = " ".join([t for t in texts if len(t) <= SHORT and _LATIN.fullmatch(t)]).lower()
+        pieces = set(_PIECE.findall(plain)).difference(self.runs)
+        self._learn_runs([p for p in pieces if len(p) <= SHORT])
+        tables = [self.chunk(t) for t in texts]
+        code, whole = len(self.codes), np.concatenate(tables)
+        ends = self.used + np.cumsum([len(t) for t in tables])
+        while ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if code + 2 > len(self.starts):
+        while code + len(raw) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.flat[self.used : end] = table
-        self.starts[code + 1] = self.used = end
-        self.codes[raw] = code
-        return code
+        self.flat[self.used : ends[-1]] = whole
+        self.starts[code + 1 : code + len(raw) + 1] = ends
+        self.used = int(ends[-1])
+        self.codes.update(zip(raw, range(code, code + len(raw))))
 
     def tables(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token counts after each character of all texts in a row, and where each text begins and ends in it."""
@@ -295,8 +394,8 @@ class PrefixCounter:
         begin, stop = place[edge == -1], place[(edge == 1) & (np.arange(len(data)) > 0)]
         codes = self.codes
         chunks = joined.split()
-        for c in set(chunks).difference(codes):
-            self._learn(c)
+        if new := set(chunks).difference(codes):
+            self._learn(list(new))
         code = np.fromiter(map(codes.__getitem__, chunks), np.int64, len(chunks))
         table = np.zeros(int(place[-1]) + 1, np.int64)
         length = stop - begin
