@@ -321,7 +321,9 @@ def _(t):
     return quality.reading_currency(register, issuers.handover_candidates(register, AS_OF, sq.BS, "2001-01-01"), sq.CUR)
 
 
-@query("model_gates")
+@query("model_gates", """SELECT 'valuation tested' AS "check", CASE WHEN n >= 2000 THEN 'ok' ELSE 'fail' END AS outcome, CAST(n AS BIGINT) AS found FROM (SELECT coalesce(max(n), 0) AS n FROM cal WHERE bucket = 'all')
+  UNION ALL SELECT 'valuation error', CASE WHEN coalesce(e <= 8, false) THEN 'ok' ELSE 'fail' END, CAST(round(e) AS BIGINT) FROM (SELECT max(median_abs_error_pct) AS e FROM cal WHERE bucket = 'all')
+  UNION ALL SELECT 'index in use', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'fail' END, count(*) FROM ix""", **vq.ON_INDEX)
 def _(t):
     """Gates over the valuation's own backtest and the solved index."""
     index = materialize(solved_index(t), "index")

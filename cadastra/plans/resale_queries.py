@@ -113,12 +113,43 @@ def solved_index(t):
     return resale.publish_index(resale.solve_cells(cells, INDEX), INDEX)
 
 
-@query("repeat_sales_index")
+def elimination_sql(source: str) -> str:
+    """Gauss-Jordan elimination in SQL: (series, r, beta) of the normal equations of cells (series, i, j, used, log_sum, n), periods from 0.
+
+    The first period is pinned at zero and the diagonal carries the ridge, as in the solver; one column of all series
+    is cleared in each step.
+    """
+    return f"""WITH RECURSIVE ent AS (SELECT series, n, j AS r, j AS q, used::DOUBLE AS v FROM {source} UNION ALL SELECT series, n, i, i, used FROM {source} UNION ALL SELECT series, n, i, j, -used FROM {source}
+      UNION ALL SELECT series, n, j, i, -used FROM {source} UNION ALL SELECT series, n, j, n, log_sum FROM {source} UNION ALL SELECT series, n, i, n, -log_sum FROM {source}),
+    grid AS (SELECT series, n, r, unnest(range(0, n + 1)) AS q FROM (SELECT series, n, unnest(range(0, n)) AS r FROM (SELECT DISTINCT series, n FROM {source}))),
+    full_ AS (SELECT g.series, g.n, g.r, g.q, (CASE WHEN g.r = 0 THEN (g.q = 0)::INT ELSE coalesce(e.v, 0) END) + (CASE WHEN g.r = g.q THEN 1e-6::DOUBLE ELSE 0 END) AS v
+      FROM grid g LEFT JOIN (SELECT series, r, q, sum(v) AS v FROM ent GROUP BY ALL) e ON e.series = g.series AND e.r = g.r AND e.q = g.q),
+    start_ AS (SELECT series, n, list(line ORDER BY r) AS m FROM (SELECT series, n, r, list(v ORDER BY q) AS line FROM full_ GROUP BY ALL) GROUP BY ALL),
+    step AS (SELECT series, n, 1 AS k, m FROM start_ UNION ALL SELECT series, n, k + 1, list_transform(m, lambda line, row_no: CASE WHEN row_no = k THEN list_transform(line, lambda x: x / line[k])
+        ELSE list_transform(line, lambda x, col_no: x - line[k] / m[k][k] * m[k][col_no]) END) FROM step WHERE k <= n)
+    SELECT series, unnest(range(0, n)) AS r, unnest(list_transform(m, lambda line: line[len(line)])) AS beta FROM step WHERE k = n + 1"""
+
+
+SPAN = "(SELECT min(least(i, j)) AS lo, max(greatest(i, j)) AS hi, sum(pairs) FILTER (WHERE series = 'market') AS n FROM c)"
+SOLVED = {
+    "kept": f"""SELECT c.* EXCLUDE (i, j), i - lo AS i, j - lo AS j, CAST(hi - lo + 1 AS INT) AS n, lo FROM c, {SPAN} sp WHERE sp.n >= 100
+      AND (series NOT LIKE 'area%' OR series IN (SELECT series FROM c GROUP BY 1 HAVING sum(pairs) >= 15))""",
+    "beta": elimination_sql("kept"),
+    "ix": f"""SELECT b.series, CAST((lo + r) // 4 AS VARCHAR) || 'Q' || CAST((lo + r) % 4 + 1 AS VARCHAR) AS quarter, floor(100 * exp(beta) * 10 + 0.5::DOUBLE) / 10 AS index, CAST(coalesce(s.u, 0) AS BIGINT) AS pairs_sold,
+        CAST(coalesce(s.u, 0) + coalesce(g.u, 0) AS BIGINT) AS pairs_touching, coalesce(s.u, 0) + coalesce(g.u, 0) < 3 AS thin, CAST(w.pairs AS BIGINT) AS pairs, CAST(w.used AS BIGINT) AS used
+      FROM beta b, (SELECT DISTINCT lo FROM kept) l JOIN (SELECT series, sum(pairs) AS pairs, sum(used) AS used FROM kept GROUP BY 1) w ON w.series = b.series
+      LEFT JOIN (SELECT series, j, sum(used) AS u FROM kept GROUP BY ALL) s ON s.series = b.series AND s.j = b.r LEFT JOIN (SELECT series, i, sum(used) AS u FROM kept GROUP BY ALL) g ON g.series = b.series AND g.i = b.r""",
+}
+
+
+@query("repeat_sales_index", "SELECT * FROM ix", pair=pairs_sql(), c=CELLS, **SOLVED)
 def _(t):
     return solved_index(t)
 
 
-@query("index_headline")
+@query("index_headline", f"""SELECT series, latest_quarter, latest, peak_quarter, peak, trough_quarter, trough, {rnd("(latest/peak - 1)*100", 1)} AS from_peak_pct, {rnd("(latest/trough - 1)*100", 1)} AS from_trough_pct FROM (
+    SELECT series, max(quarter) AS latest_quarter, max_by(index, quarter) AS latest, first(quarter ORDER BY index DESC, quarter) AS peak_quarter, max(index) AS peak, first(quarter ORDER BY index, quarter) AS trough_quarter, min(index) AS trough
+    FROM ix GROUP BY series)""", pair=pairs_sql(), c=CELLS, **SOLVED)
 def _(t):
     return resale.index_headline(solved_index(t))
 
@@ -149,6 +180,14 @@ def _(t):
     return resale.variant_cells(*_variant_pairs(t), base_year=1995).withColumn("log_sum", half_up("log_sum", 6))
 
 
-@query("index_variants")
+VARIANT_CELLS = " UNION ALL ".join(
+    f"SELECT '{k}' AS series, CAST(year(bought_on) AS INT) AS y0, CAST(year(sold_on) AS INT) AS y1, count(*) AS used, sum(ln(sold_for/bought_for)) AS log_sum FROM {src} WHERE {c} GROUP BY ALL"
+    for k, c, src in [(k, c, "pair") for k, c in VARIANTS.items()] + [("I_area_key", f"{FEW} AND {CALM} AND {LATER}", "pair_area")])
+
+
+@query("index_variants", """SELECT series, CAST(ys[r + 1] AS INT) AS year, round(100 * exp(beta), 1) AS index, CAST(pairs AS BIGINT) AS pairs FROM beta JOIN yr USING (series) JOIN (SELECT series, sum(used) AS pairs FROM vc GROUP BY 1) USING (series)""",
+       pair=pairs_sql(), pair_area=pairs_sql("akey, bkey, property_type, rooms, procedure_area"), vc=VARIANT_CELLS,
+       yr="SELECT series, list(y ORDER BY y) AS ys FROM (SELECT series, y0 AS y FROM vc UNION SELECT series, y1 FROM vc) GROUP BY 1",
+       kept="SELECT series, used, log_sum, CAST(list_position(ys, y0) - 1 AS INT) AS i, CAST(list_position(ys, y1) - 1 AS INT) AS j, CAST(len(ys) AS INT) AS n FROM vc JOIN yr USING (series)", beta=elimination_sql("kept"))
 def _(t):
     return resale.index_variants(*_variant_pairs(t), base_year=1995)

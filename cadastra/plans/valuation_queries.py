@@ -7,7 +7,8 @@ from cadastra.operators import valuation
 from cadastra.operators.quantiles import Pick, order_statistics
 from cadastra.plans.adapters import AS_OF
 from cadastra.plans.registry import cnt, query, rnd, shr
-from cadastra.plans.resale_queries import solved_index
+from cadastra.plans.resale_queries import CELLS as INDEX_CELLS
+from cadastra.plans.resale_queries import SOLVED, pairs_sql, solved_index
 from cadastra.session import materialize
 
 RULES = valuation.ValuationRules(min_worth=1_000.0, min_area_month=4)
@@ -133,17 +134,24 @@ def _(t):
 
 
 @query("value_units", f"""SELECT x.*, comps, confidence, {rnd("v")} AS value, {rnd("v*band_low")} AS low, {rnd("v*band_high")} AS high, rel > 1.33::DOUBLE OR rel < 1/1.33::DOUBLE AS extrapolated FROM (
-    SELECT b.*, c.comps, c.confidence, c.band_low, c.band_high, b.size/c.typical_size AS rel, c.psm*pow(b.size/c.typical_size, -0.33::DOUBLE)*b.size AS v
+    SELECT b.*, c.comps, c.confidence, c.band_low, c.band_high, b.size/c.typical_size AS rel, c.psm*pow(b.size/c.typical_size, (SELECT e FROM el))*b.size AS v
     FROM (SELECT building_name, rooms, project_number, procedure_area AS size FROM registration WHERE trans_group='Gifts' AND property_type='Unit') b LEFT JOIN cells c USING (building_name, rooms)) y,
     LATERAL (SELECT building_name, rooms, project_number, size) x""".replace("SELECT x.*", "SELECT x.building_name, x.rooms, x.project_number, x.size"), **CELLS)
 def _(t):
     units = t.registration.filter((F.col("trans_group") == "Gifts") & (F.col("property_type") == "Unit")).select(
         "building_name", "rooms", "project_number", F.col("procedure_area").alias("size"))
-    return valuation.value_units(units, _cells(t), F.lit(-0.33))
+    return valuation.value_units(units, _cells(t), valuation.size_elasticity(_sales(t), RULES).scalar())
 
 
-@query("valuation_on_index")
+# The same chain on the solved index: its own levels in place of the quarterly medians.
+ON_INDEX = {"pair": pairs_sql(), "c": INDEX_CELLS, **SOLVED, **BACK,
+            "lv": """SELECT CASE WHEN series LIKE 'area_apartments:%' THEN substr(series, 17) END AS area_name, quarter AS q, index AS level FROM ix WHERE (series = 'registered_apartments' OR series LIKE 'area_apartments:%') AND NOT thin""",
+            "cal": CAL}
+
+
+@query("valuation_on_index", f"SELECT * REPLACE ({rnd('low_mult', 6)} AS low_mult, {rnd('high_mult', 6)} AS high_mult) FROM cal", **ON_INDEX)
 def _(t):
     """The whole chain: pairs, solved index, carried comparables, calibration."""
     levels = materialize(valuation.carry_series(solved_index(t)), "valuation-levels")
-    return valuation.calibrate(_errors(_sales(t), levels))
+    out = valuation.calibrate(_errors(_sales(t), levels))
+    return out.withColumn("low_mult", half_up("low_mult", 6)).withColumn("high_mult", half_up("high_mult", 6))
