@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.functions.numbers import count_where, day, days_before, half_up, mean, month_start, settle, share, total
@@ -170,7 +170,7 @@ def developer_year(tx: DataFrame, project: DataFrame, pairs: DataFrame, as_of: s
     base = sales.groupBy("developer_number").agg(
         count_where(now).alias("n_12"), half_up(total(F.when(now, worth)) / unit, 2).alias("value_12"), count_where(now & is_off_plan()).alias("_off"),
         count_where(then).alias("n_prev"), half_up(total(F.when(then, worth)) / unit, 2).alias("value_prev"))
-    base = base.withColumn("_market", F.sum("n_12").over(Window.partitionBy())).filter(F.col("developer_number").isNotNull())
+    base = base.withColumn("_market", base.agg(F.sum("n_12")).scalar()).filter(F.col("developer_number").isNotNull())
     price = F.when(is_unit() & psm_ok(limits), F.col("meter_sale_price"))
     medians = order_statistics(
         sales.filter(F.col("developer_number").isNotNull()), ["developer_number"], {"now": F.when(now, price), "then": F.when(then, price)},

@@ -26,40 +26,60 @@ def groups_of_size(df: DataFrame, keys: Sequence[str], lo: int, hi: int, size: s
     return rest.join(sizes.filter(F.col(size).between(lo, hi)), keys)
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, parts: int = 64) -> DataFrame:
+PART_ROWS = 50_000
+BLOCK_PARTS = 1_000
+
+
+def starts_of(sizes: DataFrame, keys: Sequence[str], part: str, size: str, name: str) -> DataFrame:
+    """``sizes`` (keys, part from 0, size) with the rows of the parts before each, summed in blocks of parts and then over the blocks."""
+    keys = list(keys)
+    rows = sizes.withColumn("_block", F.floor(F.col(part) / BLOCK_PARTS))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    inner = rows.withColumn("_inner", F.coalesce(F.sum(size).over(before(*keys, "_block").orderBy(part)), F.lit(0)))
+    blocks = rows.groupBy(*keys, "_block").agg(F.sum(size).alias("_held"))
+    named = {k: f"_b_{i}" for i, k in enumerate([*keys, "_block"])}
+    blocks = blocks.withColumn("_outer", F.coalesce(F.sum("_held").over(before(*keys).orderBy("_block")), F.lit(0)))
+    blocks = blocks.select(*[F.col(k).alias(v) for k, v in named.items()], "_outer")
+    same = [F.col(k).eqNullSafe(F.col(v)) for k, v in named.items()]
+    return inner.join(blocks, same).withColumn(name, F.col("_inner") + F.col("_outer")).drop("_block", "_inner", "_outer", *named.values())
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, part_rows: int = PART_ROWS) -> DataFrame:
     """Number the rows of every group 1..n, each number once, without gathering a group.
 
-    A group is split into ``parts`` by the hash of the ordering columns; the numbers of a part
-    start after the rows of the parts before it.
+    Groups are counted first. One of more than ``part_rows`` rows is split by the hash of the ordering columns
+    into as many parts as its count asks for; the numbers of a part start after the rows of the parts before it. All
+    other groups are numbered in order as they are.
     """
     keys = list(keys)
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    split = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    sizes = split.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    named = {k: f"_g_{i}" for i, k in enumerate(keys)}
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_rows)
+    large = sizes.select(*[F.col(k).alias(v) for k, v in named.items()], F.ceil(F.col("_n") / part_rows).cast("int").alias("_parts"))
+    split = df.join(large, [F.col(k).eqNullSafe(F.col(v)) for k, v in named.items()], "left").drop(*named.values())
+    split = split.withColumn("_part", F.pmod(F.xxhash64(*order), F.coalesce("_parts", F.lit(1))).cast("int"))
+    held = split.filter(F.col("_parts").isNotNull()).groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
     named = {k: f"_s_{i}" for i, k in enumerate([*keys, "_part"])}
-    starts = starts.select(*[F.col(k).alias(v) for k, v in named.items()], "_start")
+    starts = starts_of(held, keys, "_part", "_size", "_start").select(*[F.col(k).alias(v) for k, v in named.items()], "_start")
     same = [F.col(k).eqNullSafe(F.col(v)) for k, v in named.items()]
-    numbered = split.join(starts, same).withColumn(name, F.col("_start") + F.row_number().over(inside))
-    return numbered.drop("_part", "_start", *named.values())
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    numbered = split.join(starts, same, "left").withColumn(name, F.coalesce("_start", F.lit(0)) + F.row_number().over(inside))
+    return numbered.drop("_parts", "_part", "_start", *named.values())
 
 
-def singles_and_copies(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows whose key is held once, and rows whose key is held more often.
+def number_in_order(df: DataFrame, keys: Sequence[str], day: str, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Number the rows of every group 1..n by ``day`` and then ``order``; no more than a group's day meets in one task.
 
-    Most keys of a register are held once and need no merging, so the costly merge runs on the
-    copies only. Keys over one row in a thousand (at most a thousand of them, hence broadcast) are
-    told apart without shuffling their rows.
+    The days of a group are counted, so only as many rows as it has days are summed up in order.
     """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-    whole = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).scalar()
-    heavy = F.broadcast(sizes.filter((F.col("_size") > 1) & (F.col("_size") * HEAVY_PARTS > whole)).select(key))
-    rest = df.join(heavy, key, "left_anti")
-    singles = rest.join(sizes.filter(F.col("_size") == 1), key, "left_semi")
-    copies = rest.join(sizes.filter(F.col("_size") > 1), key, "left_semi")
-    return singles, copies.unionByName(df.join(heavy, key, "left_semi"))
+    keys = list(keys)
+    held = df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy(F.asc_nulls_first(day)).rowsBetween(Window.unboundedPreceding, -1)
+    named = {k: f"_s_{i}" for i, k in enumerate([*keys, day])}
+    starts = held.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).select(*[F.col(k).alias(v) for k, v in named.items()], "_start")
+    same = [F.col(k).eqNullSafe(F.col(v)) for k, v in named.items()]
+    inside = Window.partitionBy(*keys, day).orderBy(*order)
+    return df.join(starts, same).withColumn(name, F.col("_start") + F.row_number().over(inside)).drop("_start", *named.values())
 
 
 def left_join_keyed(df: DataFrame, other: DataFrame, key: str) -> DataFrame:

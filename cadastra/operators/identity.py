@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadastra.functions.numbers import day, half_up, ratio
 from cadastra.functions.text import blank_to_null, feed_of, norm_area, slugify, tx_key, tx_number
-from cadastra.operators.grouping import left_join_keyed, number_rows, singles_and_copies
+from cadastra.operators.grouping import left_join_keyed, number_rows
 
 TEXT_COLUMNS = (
     "trans_group", "procedure_name", "reg_type", "property_type", "property_sub_type", "property_usage", "area_name",

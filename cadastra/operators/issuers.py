@@ -220,19 +220,36 @@ def liquidity_coverage(totals: DataFrame, debt: DataFrame, cash: DataFrame) -> D
     )
 
 
-def release_rules(register: DataFrame, cost_shares: Sequence[float] = (0.55, 0.65), scenario: dict | None = None, unit: float = 1e6) -> DataFrame:
-    """Escrow held under the value rule and under a construction-cost rule, per issuer and cost share."""
-    s = scenario or SCENARIOS[0]
-    book, hand, c = F.lit(s["book"]), F.lit(s["hand"]), F.col
+def release_rules(
+    register: DataFrame, cost_shares: Sequence[float] = (0.55, 0.65), scenario: dict | None = None, unit: float = 1e6,
+    own_readings: DataFrame | None = None, booking: DataFrame | None = None,
+) -> DataFrame:
+    """Escrow held under the value rule and under a construction-cost rule, per issuer, reading and cost share.
+
+    ``own_readings`` (project_number, own_pct) adds the issuer's own readings beside the register's; a project it leaves out
+    keeps the register's. ``booking`` (issuer, book) gives issuers a share paid at booking of their own.
+    """
+    s, c = scenario or SCENARIOS[0], F.col
     rows = register.filter(c("is_live")).withColumn("cost_share", F.explode(F.array(*[F.lit(x) for x in cost_shares])))
-    cert, ticket = F.coalesce("certified_pct", F.lit(0.0)), F.coalesce("avg_ticket", F.lit(0.0))
+    cert = F.coalesce("certified_pct", F.lit(0.0))
+    readings = [F.struct(F.lit("register").alias("reading"), cert.alias("cert"))]
+    if own_readings is not None:
+        own = own_readings.groupBy("project_number").agg(F.max("own_pct").alias("_own"))
+        rows = rows.join(own, "project_number", "left")
+        readings.append(F.struct(F.lit("issuer").alias("reading"), F.coalesce("_own", cert).alias("cert")))
+    rows = rows.withColumn("_r", F.explode(F.array(*readings))).withColumns({"reading": c("_r.reading"), "_cert": c("_r.cert")})
+    book, hand = F.lit(s["book"]), F.lit(s["hand"])
+    if booking is not None:
+        rows = rows.join(booking.groupBy("issuer").agg(F.max("book").alias("_book")), "issuer", "left")
+        book = F.coalesce("_book", book)
+    cert, ticket = c("_cert"), F.coalesce("avg_ticket", F.lit(0.0))
     units, sold = F.coalesce("units", F.lit(0)), F.coalesce("sold_units", F.lit(0))
     contracted = sold * ticket / unit
     collected = contracted * collected_share(cert, book, hand)
     released = contracted * released_share(cert, book, hand) * (1 - s["ret"])
     tower = F.when(units > 0, units).otherwise(sold) * ticket / unit
     by_cost = F.least(collected, c("cost_share") * tower * cert / 100 + 0.05 * contracted)
-    return rows.groupBy("issuer", "cost_share").agg(
+    return rows.groupBy("issuer", "reading", "cost_share").agg(
         total(collected, 4).alias("collected"), total(collected - released, 4).alias("value_rule_held"),
         total(collected - by_cost, 4).alias("cost_rule_held"))
 

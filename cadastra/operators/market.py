@@ -342,17 +342,15 @@ def developer_league(
         F.sum("n").alias("n"), F.sum("n_yoy").alias("_n_yoy"), total("worth").alias("_worth"),
         count_where(F.col("n") > 0).alias("projects"),
     )
-    whole = Window.partitionBy()
-    rank = Window.orderBy(F.col("developer_number").isNull(), F.desc("n"), "developer_number")
-    ranked = grouped.select(
-        "*", F.sum("n").over(whole).alias("all_sales"),
-        F.sum(F.when(F.col("developer_number").isNotNull(), F.col("n"))).over(whole).alias("linked_sales"),
-        F.row_number().over(rank).alias("rank"),
-    )
-    five = F.sum(F.when((F.col("rank") <= 5) & F.col("developer_number").isNotNull(), F.col("n"))).over(whole)
+    totals = grouped.agg(
+        F.struct(F.sum("n").alias("every"), F.sum(F.when(F.col("developer_number").isNotNull(), F.col("n"))).alias("linked"))).scalar()
+    # The first few are taken partition by partition; ranks and the first five's sum are over those few rows alone.
+    first = grouped.filter(F.col("developer_number").isNotNull()).orderBy(F.desc("n"), "developer_number").limit(max(top, 5))
+    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "developer_number")))
+    ranked = ranked.withColumn("_five", F.sum(F.when(F.col("rank") <= 5, F.col("n"))).over(Window.partitionBy())).withColumn("_t", totals)
     return (
-        ranked.withColumn("_five", five)
-        .filter(F.col("developer_number").isNotNull() & (F.col("n") > 0) & (F.col("rank") <= top))
+        ranked.withColumns({"all_sales": F.col("_t.every"), "linked_sales": F.col("_t.linked")})
+        .filter((F.col("n") > 0) & (F.col("rank") <= top))
         .select(
             "developer_number", "developer_name", "developer_slug", "rank", "n", "projects",
             half_up(F.col("_worth") / unit, 2).alias("value"),

@@ -12,6 +12,7 @@ from cadastra.functions.numbers import (
 )
 from cadastra.functions.predicates import BUILDING_STATUSES, LIVE_STATUSES, SOURCE_RANK, is_off_plan, is_sale
 from cadastra.functions.text import percent_policy
+from cadastra.operators.grouping import number_in_order
 
 READING = ("observed_at", "status", "percent_completed", "completion_date", "source", "id")
 DAYS_PER_MONTH = 30.44
@@ -470,5 +471,5 @@ def delay_feed(flags: DataFrame, project: DataFrame, developer: DataFrame, limit
 
 def project_history(obs: DataFrame) -> DataFrame:
     """Every reading of every project, numbered in order of date."""
-    in_order = Window.partitionBy("project_number").orderBy(reading_order())
-    return obs.select("project_number", "observed_at", "status", "percent_completed", "completion_date", "source", F.row_number().over(in_order).alias("reading"))
+    rows = obs.select("project_number", "observed_at", "status", "percent_completed", "completion_date", "source", reading_order().alias("_o"))
+    return number_in_order(rows, ["project_number"], "observed_at", ["_o"], "reading").drop("_o")

@@ -239,13 +239,18 @@ def _to_parquet(t, rows, mode: str = "append"):
     return t.spark.read.parquet(out)
 
 
-@query("stream_dedupe", "SELECT trans_group, count(DISTINCT expected_key) AS n FROM registration_id GROUP BY 1")
+@query("stream_dedupe", """SELECT trans_group, count(*) AS n, min(first) AS first, CAST(sum(d) AS BIGINT) AS days FROM (
+    SELECT trans_group, min(instance_date) AS first, min(instance_date) - DATE '1990-01-01' AS d FROM registration_id GROUP BY trans_group, expected_key) GROUP BY 1""")
 def _(t):
+    """Five batches, the store settled after the run; of a key's copies the earliest counts, whichever came first."""
     rows = _stream(t, "registration_id", "lineitem").select(
         text.tx_key("transaction_id", "trans_group").alias("tx_key"), "trans_group", F.col("instance_date").cast("timestamp").alias("event_time"))
     path = shared_dir(t.spark, "registrations")
-    feeds.run_available(feeds.stream_dedupe(rows, path), shared_dir(t.spark, "stream-checkpoint"))
-    return feeds.landed(t.spark, path).groupBy("trans_group").agg(F.count(F.lit(1)).alias("n"))
+    feeds.run_available(feeds.stream_dedupe(rows, path, order=["event_time"], buckets=16), shared_dir(t.spark, "stream-checkpoint"))
+    feeds.compact(t.spark, path, order=["event_time"], buckets=16)
+    kept = feeds.registrations(t.spark, path, order=["event_time"])
+    since = F.datediff("event_time", F.lit("1990-01-01").cast("date"))
+    return kept.groupBy("trans_group").agg(F.count(F.lit(1)).alias("n"), F.min(F.to_date("event_time")).alias("first"), F.sum(since.cast("long")).alias("days"))
 
 
 @query("stream_activity", f"""SELECT window_start, area_name, count(*) AS n, {tot("actual_worth")} AS worth FROM (SELECT strftime(DATE '1970-01-01' + CAST((instance_date - DATE '1970-01-01') // 30 - k AS INT)*30, '%Y-%m-%d') AS window_start, area_name, actual_worth

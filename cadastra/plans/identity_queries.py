@@ -69,6 +69,19 @@ def _(t):
     return identity.row_ids(t.registration_id, "bulk", order).select("stored_id")
 
 
+# Every form of stored id; all sales carry one number, so half of the table repeats it.
+HOT = "SELECT CASE WHEN trans_group = 'Sales' THEN '1-11-2000-1' ELSE transaction_id END AS number FROM registration_id"
+
+
+@query("stored_id_forms", f"""SELECT form, CASE form WHEN 'bulk' THEN number || '#' || n WHEN 'web' THEN 'w#' || number || '#' || n ELSE number || '#a20260903' || n END AS stored_id
+  FROM (SELECT number, CAST(row_number() OVER (PARTITION BY number) AS VARCHAR) AS n FROM ({HOT})), (VALUES ('bulk'), ('web'), ('api')) v(form)""")
+def _(t):
+    rows = t.registration_id.withColumn("transaction_id", F.when(F.col("trans_group") == "Sales", F.lit("1-11-2000-1")).otherwise(F.col("transaction_id")))
+    order = ["instance_date", "actual_worth", "procedure_area", "project_number", "area_name", "expected_key"]
+    forms = [identity.row_ids(rows, form, order, "20260903").select(F.lit(form).alias("form"), "stored_id") for form in ("bulk", "web", "api")]
+    return forms[0].unionByName(forms[1]).unionByName(forms[2])
+
+
 HELD = "SELECT tx_key, instance_date, feed_date, actual_worth, procedure_area, meter_sale_price, CASE WHEN rooms='Studio' THEN NULL ELSE rooms END AS rooms, CASE WHEN building_name LIKE '%1' THEN NULL ELSE building_name END AS building_name FROM f WHERE feed='bulk'"
 
 

@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -47,22 +48,76 @@ def landed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("epoch")
 
 
-def stream_dedupe(rows: DataFrame, path: str, key: str = "tx_key", order: Sequence[str] = ()):
-    """One row per registration in the folder, however late it comes; rows without a key are all kept.
+BUCKETS = 256
 
-    Each batch is held against the keys of the batches before it, so nothing is cut by its date and no
-    state beside the folder has to be kept.
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
+def _first_of_key(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """One row per key, the least by ``order`` and then by all columns; rows without a key are all kept."""
+    columns = [c for c in rows.columns if c != key]
+    ranked = F.struct(*[F.col(c) for c in (*[c for c in order if c != key], *[c for c in columns if c not in order])])
+    kept = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(ranked).alias("_r"))
+    return kept.select(key, *[F.col(f"_r.{c}").alias(c) for c in columns]).select(*rows.columns).unionByName(rows.filter(F.col(key).isNull()))
+
+
+def stream_dedupe(rows: DataFrame, path: str, key: str = "tx_key", order: Sequence[str] = (), buckets: int = BUCKETS):
+    """Registrations land as they come, in folders by the hash of their key; ``registrations`` reads one row per key.
+
+    A batch writes its own rows, one per key, and reads nothing of what is held, however much that is. Which row of a key
+    counts is settled when the store is read, by ``order``, so it depends neither on arrival nor on the split. A batch
+    that runs again replaces its own part.
     """
-    spark = rows.sparkSession
-    spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{path}/epoch=-1")
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
-        held = batch.sparkSession.read.parquet(path).filter(F.col("epoch") < epoch)
-        identity.append_new(held, batch, [key], list(order) or batch.columns).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        once = _first_of_key(batch, key, order).withColumn("bucket", F.coalesce(_bucket(key, buckets), F.lit(-1)))
+        once.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/log/epoch={epoch}")
 
     return rows.writeStream.foreachBatch(on_batch)
 
 
+def _bases(spark: SparkSession, path: str) -> list[int]:
+    """Epochs that compacted bases of a store reach up to, read from their folder names."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "_SUCCESS")
+    try:
+        names = files.load(f"{path}/base").select(F.regexp_extract("path", "upto=([0-9]+)/_SUCCESS$", 1).alias("upto"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted(int(r.upto) for r in names.filter("upto <> ''").distinct().toLocalIterator())
+
+
+def _stored(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """All rows that count towards a store: its newest base and the batches after it; and the newest epoch."""
+    log = spark.read.parquet(f"{path}/log")
+    newest = log.agg(F.max("epoch")).first()[0]
+    bases = _bases(spark, path)
+    if not bases:
+        return log.drop("epoch"), newest
+    base = spark.read.schema(log.drop("epoch").schema).parquet(f"{path}/base/upto={bases[-1]}")
+    return base.unionByName(log.filter(F.col("epoch") > bases[-1]).drop("epoch")), max(bases[-1], newest)
+
+
+def registrations(spark: SparkSession, path: str, key: str = "tx_key", order: Sequence[str] = (), keys: Sequence[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """One row per key of a store, and all rows without one. Asked for some keys, only their folders are read."""
+    rows, _ = _stored(spark, path)
+    if keys is not None:
+        wanted = spark.createDataFrame([(k,) for k in keys], "_k string").select(_bucket("_k", buckets).alias("b")).distinct()
+        rows = rows.filter(F.col("bucket").isin([r.b for r in wanted.collect()]) & F.col(key).isin(list(keys)))
+    return _first_of_key(rows.drop("bucket"), key, order)
+
+
+def compact(spark: SparkSession, path: str, key: str = "tx_key", order: Sequence[str] = (), buckets: int = BUCKETS) -> int:
+    """Settle what has landed into a new base, one row per key; the batches before it count no more and may be removed."""
+    rows, newest = _stored(spark, path)
+    settled = _first_of_key(rows.drop("bucket"), key, order).withColumn("bucket", F.coalesce(_bucket(key, buckets), F.lit(-1)))
+    settled.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/base/upto={newest}")
+    return newest
+
+
 def lateness(rows: DataFrame, horizon_days: int = 45) -> DataFrame:
     """Days from a registration's own date to the day it was first seen, and whether that was late."""
     lag = F.datediff("first_seen", "instance_date")

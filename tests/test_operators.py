@@ -51,7 +51,7 @@ def test_groups_of_size_drops_a_heavy_group(spark):
 
 def test_number_rows_is_dense_for_a_hot_key(spark):
     df = spark.range(1_000).select(F.when(F.col("id") < 900, F.lit("x")).alias("k"), "id")
-    got = grouping.number_rows(df, ["k"], ["id"], "n", parts=8).toPandas()
+    got = grouping.number_rows(df, ["k"], ["id"], "n", part_rows=20).toPandas()
     assert sorted(got[got.k == "x"].n) == list(range(1, 901))
     assert sorted(got[got.k.isna()].n) == list(range(1, 101))
 

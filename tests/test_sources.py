@@ -215,12 +215,29 @@ def test_listing_state_is_let_go_after_its_days(spark, tmp_path):
 
 def test_stream_dedupe_does_not_depend_on_the_batches(spark, tmp_path):
     schema = "tx_key string, event_time timestamp"
-    for k, month in enumerate((9, 5, 1)):  # newest first, one file a batch
+    for k, month in enumerate((9, 1, 5)):  # neither in order nor in reverse, one file a batch
         ts = dt.datetime(2026, month, 1)
         spark.createDataFrame([(f"k{month}", ts), ("all", ts), ("all", ts), (None, ts)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k}"))
+    want = sorted([("None", m) for m in (1, 5, 9)] + [("all", 1), ("k1", 1), ("k5", 5), ("k9", 9)])
     for files in (1, 100):
         rows = feeds.stream_parquet(spark, str(tmp_path / "in" / "*"), schema, files_per_trigger=files)
         out = str(tmp_path / f"out{files}")
-        feeds.run_available(feeds.stream_dedupe(rows, out), str(tmp_path / f"cp{files}"))
-        assert sorted(str(r.tx_key) for r in feeds.landed(spark, out).collect()) == ["None", "None", "None", "all", "k1", "k5", "k9"]
-
+        feeds.run_available(feeds.stream_dedupe(rows, out, order=["event_time"], buckets=4), str(tmp_path / f"cp{files}"))
+        held = lambda **kw: sorted((str(r.tx_key), r.event_time.month) for r in feeds.registrations(spark, out, order=["event_time"], buckets=4, **kw).collect())
+        assert held() == want and held(keys=["all", "k9", "no"]) == [("all", 1), ("k9", 9)]
+        newest = feeds.compact(spark, out, order=["event_time"], buckets=4)
+        assert held() == want and feeds.compact(spark, out, order=["event_time"], buckets=4) == newest
+        spark.createDataFrame([("late", dt.datetime(2026, 2, 1)), ("all", dt.datetime(2025, 12, 1))], schema).withColumn("bucket", feeds._bucket("tx_key", 4)).write.partitionBy(
+            "bucket").parquet(f"{out}/log/epoch={newest + 1}")  # the next batch
+        assert held() == sorted([w for w in want if w[0] != "all"] + [("all", 12), ("late", 2)])
+
+
+def test_dedupe_reads_nothing_that_is_held(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = spark.createDataFrame([("a", dt.datetime(2026, 1, 1))], "tx_key string, event_time timestamp")
+    rows.write.parquet(str(tmp_path / "in"))
+    (tmp_path / "out" / "log" / "epoch=-5").mkdir(parents=True)
+    (tmp_path / "out" / "log" / "epoch=-5" / "part-0.parquet").write_text("no file anyone could read")
+    stream = feeds.stream_dedupe(feeds.stream_parquet(spark, str(tmp_path / "in"), rows.schema), out)
+    feeds.run_available(stream, str(tmp_path / "cp"))
+    assert spark.read.parquet(f"{out}/log/epoch=0").count() == 1
