@@ -42,8 +42,10 @@ def merge_duplicates(tx: DataFrame) -> DataFrame:
     other fields take the first copy that states them. First seen is the earliest; withdrawn only
     when every copy is. Rows without a key are kept as they are.
 
-    Every field of a merged row is a grouped minimum or maximum of one aggregate, so copies combine before
-    the only shuffle and a key with any number of copies stays one row per task. A lone row keeps its own price.
+    Most keys are held once, and a lone row keeps its own values. Keys held more often are told by a count of
+    their hashes, numbers alone; only their rows are merged, all fields in one aggregate of minima and
+    maxima, so copies combine before the shuffle and a key with any number of copies stays one row per
+    task. (Two keys of one hash only send lone rows through the merge, which leaves them as they are.)
     """
     feed = feed_of("transaction_id")
     web = feed == "web"
@@ -51,7 +53,10 @@ def merge_duplicates(tx: DataFrame) -> DataFrame:
     order = F.struct(
         rank.alias("r"), "instance_date", "transaction_id", "actual_worth", "procedure_area", "meter_sale_price", "project_number", "area_name", "building_name"
     )
-    rows = tx.filter(F.col("tx_key").isNotNull()).select("*", order.alias("_o"), web.alias("_web"), *[blank_to_null(c).alias(f"_t_{c}") for c in TEXT_COLUMNS])
+    keyed = tx.filter(F.col("tx_key").isNotNull()).withColumn("_h", F.xxhash64("tx_key"))
+    often = keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_h")
+    copies, lone = keyed.join(often, "_h", "left_semi"), keyed.join(often, "_h", "left_anti")
+    rows = copies.select("*", order.alias("_o"), web.alias("_web"), *[blank_to_null(c).alias(f"_t_{c}") for c in TEXT_COLUMNS])
     fils = F.abs(F.col("actual_worth") - F.round("actual_worth")) > 1e-9
     first = lambda c, cond=None: F.min_by(c, F.when(F.col(c).isNotNull() if cond is None else cond, F.col("_o")))
     merged = rows.groupBy("tx_key").agg(
@@ -71,8 +76,12 @@ def merge_duplicates(tx: DataFrame) -> DataFrame:
         "tx_key", "copies", F.col("_kept.transaction_id").alias("transaction_id"), "instance_date", "feed_date", "actual_worth", "procedure_area", "first_seen",
         "withdrawn_on", *TEXT_COLUMNS, F.when(priced, half_up(ratio("actual_worth", "procedure_area"))).otherwise(F.col("_psm")).alias("meter_sale_price"),
     )
-    unkeyed = tx.filter(F.col("tx_key").isNull()).withColumn("copies", F.lit(1).cast("bigint"))
-    return out.unionByName(unkeyed.select(*out.columns))
+    one = F.lit(1).cast("bigint").alias("copies")
+    lone = lone.select(
+        "tx_key", one, "transaction_id", "instance_date", F.when(~web, F.col("instance_date")).alias("feed_date"), "actual_worth", "procedure_area", "first_seen",
+        "withdrawn_on", *[blank_to_null(c).alias(c) for c in TEXT_COLUMNS], "meter_sale_price")
+    unkeyed = tx.filter(F.col("tx_key").isNull()).select("*", one)
+    return out.unionByName(lone).unionByName(unkeyed.select(*out.columns))
 
 
 def merge_summary(tx: DataFrame) -> DataFrame:
