@@ -148,6 +148,11 @@ def observation_date(load_stamp: Column | str, overrides: Mapping[str, str], as_
     return F.coalesce(known, stamp.try_cast("date"), day(as_of))
 
 
+def completion(actual: Column | str, planned: Column | str) -> Column:
+    """When a project completes: the day it did, else the planned end, which is what slips."""
+    return F.coalesce(as_col(actual), as_col(planned))
+
+
 def reading_date(inspected: Column | str, percent: Column | str, policy: str, as_of) -> Column:
     """Readings are dated by inspection. Without one: a workbook row that carries a percentage
     has no date (and is skipped by the caller), a gateway row takes the as-of date."""

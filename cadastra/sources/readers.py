@@ -97,9 +97,9 @@ def read_repaired(spark: SparkSession, path: str, columns: Sequence[str]) -> Dat
 
 
 def read_parts(spark: SparkSession, glob: str) -> DataFrame:
-    """All parts of a feed under one glob, leaving out duplicate downloads named '… (1).csv'."""
+    """All parts of a feed under one glob, files or folders of files, leaving out duplicate downloads named '… (1).csv'."""
     rows = spark.read.csv(glob, header=True, inferSchema=False)
-    return rows.filter(~F.col("_metadata.file_name").rlike(r"\(\d+\)\.csv$|%20\(\d+\)\.csv$"))
+    return rows.filter(~F.col("_metadata.file_path").rlike(r"\(\d+\)\.csv(/[^/]*)?$"))
 
 
 def prune_rents(rents: DataFrame, columns: Sequence[str], from_year: int = 2024, to_year: int = 2100) -> DataFrame:
@@ -189,9 +189,9 @@ DOSSIER_SCHEMA = (
 )
 
 
-def read_dossiers(spark: SparkSession, path: str) -> DataFrame:
-    """Issuer dossiers, one JSON document per file; optional blocks become null."""
-    return spark.read.schema(DOSSIER_SCHEMA).json(path, multiLine=True).withColumn("issuer", F.col("id"))
+def read_dossiers(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Issuer dossiers, one JSON document per file or one per line; optional blocks become null."""
+    return spark.read.schema(DOSSIER_SCHEMA).json(path, multiLine=one_per_file).withColumn("issuer", F.col("id"))
 
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
