@@ -326,6 +326,30 @@ def apply_alias(df: DataFrame, column: str, alias: Mapping[str, str], name: str)
     return df.withColumn(name, F.coalesce(F.try_element_at(table, F.col(column)), F.col(column)))
 
 
+# Communities as listings name them, and the register's areas.
+COMMUNITY_AREAS = {
+    "The Meadows": "Al Thanayah Fourth", "The Springs": "Al Thanayah Fourth", "The Lakes": "Al Thanayah Fourth", "Arabian Ranches": "Wadi Al Safa 6",
+    "Arabian Ranches 2": "Wadi Al Safa 7", "Arabian Ranches 3": "Wadi Al Safa 5", "Tilal Al Ghaf": "Al Hebiah Fourth", "Dubai Marina": "Marsa Dubai",
+    "Downtown Dubai": "Burj Khalifa", "Jumeirah Village Circle (JVC)": "Al Barsha South Fourth", "Jumeirah Lake Towers (JLT)": "Al Thanyah Fifth",
+    "Dubai Hills Estate": "Hadaeq Sheikh Mohammed Bin Rashid", "Palm Jumeirah": "Palm Jumeirah",
+}
+# Sub-communities that the register names by a pattern of its own.
+PROJECT_PATTERNS = ((r"(?i)^The Springs (\d+)$", "Emirates Living - Springs $1"),)
+
+
+def adapt_listings(listings: DataFrame, areas: Mapping[str, str] = COMMUNITY_AREAS, patterns: Sequence[tuple[str, str]] = PROJECT_PATTERNS) -> DataFrame:
+    """Listings (community, sub_community) under the register's names: area_name and project_name.
+
+    A community without a register name of its own stays as it is. A sub-community names a project, by the register's pattern
+    where it has one; one that only repeats its community names none.
+    """
+    community, sub = F.trim(F.coalesce("community", F.lit(""))), F.trim(F.coalesce("sub_community", F.lit("")))
+    named = F.when((sub != "") & (F.lower(sub) != F.lower(community)), sub).otherwise(F.lit(""))
+    for pattern, name in reversed(list(patterns)):
+        named = F.when(sub.rlike(pattern), F.regexp_replace(sub, pattern, name)).otherwise(named)
+    return apply_alias(listings.withColumn("_community", community), "_community", areas, "area_name").drop("_community").withColumn("project_name", named)
+
+
 # ---- vintages: when our copy first held a row, and when the register dropped it ----
 
 def vintage_sweep(rows: DataFrame, vintage: DataFrame, kind: str, run_date: str, baseline_taken: bool, baseline: Column | None = None) -> DataFrame:

@@ -333,7 +333,3 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerances
     wrong = F.concat_ws(",", *off)
     outcome = F.when(F.col("_r").isNull(), F.lit("missing")).when(F.col("_l").isNull(), F.lit("extra")).when(wrong != "", F.lit("mismatch")).otherwise(F.lit("match"))
     return joined.select(*keys, outcome.alias("outcome"), F.when(outcome == "mismatch", wrong).alias("columns"))
-
-
-def reconcile_summary(result: DataFrame) -> DataFrame:
-    return result.groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"))

@@ -118,6 +118,20 @@ def _(t):
     return out.select("tx_key", "instance_date", "actual_worth")
 
 
+# Listings of every project, under the names of the known communities in turn, one in fourteen under none of them.
+LISTED = ("SELECT *, CASE CAST(project_number AS INT) % 14 " + " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(identity.COMMUNITY_AREAS)) + " ELSE 'Elsewhere ' || area_name END AS community FROM project")
+
+
+@query("adapt_listings", f"""SELECT project_number, CASE community {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in identity.COMMUNITY_AREAS.items())} ELSE community END AS area_name,
+    CASE k % 3 WHEN 0 THEN 'Emirates Living - Springs ' || CAST(k % 20 AS VARCHAR) WHEN 1 THEN '' ELSE project_name END AS project_name FROM (SELECT *, CAST(project_number AS INT) AS k FROM l)""", l=LISTED)
+def _(t):
+    k = F.col("project_number").cast("int")
+    names = F.array(*[F.lit(name) for name in identity.COMMUNITY_AREAS])
+    rows = t.project.withColumn("community", F.coalesce(F.get(names, k % 14), F.concat(F.lit("Elsewhere "), "area_name")))
+    sub = F.when(k % 3 == 0, F.concat(F.lit("the springs "), (k % 20).cast("string"))).when(k % 3 == 1, F.upper("community")).otherwise(F.col("project_name"))
+    return identity.adapt_listings(rows.select("project_number", "community", sub.alias("sub_community"))).select("project_number", "area_name", "project_name")
+
+
 @query("upsert", """SELECT project_number, coalesce(n.units, s.units) AS units, CASE WHEN n.project_number IS NOT NULL THEN n.project_value ELSE s.project_value END AS project_value, coalesce(s.area_name, n.area_name) AS area_name
   FROM (SELECT project_number, units, project_value, area_name FROM project WHERE CAST(project_number AS INT) % 3 <> 0) s
   FULL OUTER JOIN (SELECT project_number, CASE WHEN villas > 0 THEN villas END AS units, project_value + 1 AS project_value, 'new ' || area_name AS area_name FROM project WHERE CAST(project_number AS INT) % 2 = 0) n USING (project_number)""")

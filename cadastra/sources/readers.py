@@ -122,11 +122,6 @@ def latest_snapshot(files: DataFrame, min_bytes: int = 1_000) -> DataFrame:
     return dated.agg(best.alias("b")).select("b.path", "b.file_date")
 
 
-def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Names and sizes below a folder, without reading the contents."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
-
-
 SCAN_SCHEMA = (
     "source STRING, source_id STRING, permit_number STRING, url STRING, area_name_en STRING, project_name_en STRING, building_name_en STRING, "
     "unit_number STRING, rooms_en STRING, area_sqm STRING, is_off_plan STRING, asking_price STRING"
