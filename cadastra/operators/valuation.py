@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,38 +130,104 @@ def carry(pairs: DataFrame, levels: DataFrame, months: DataFrame, elasticity: Co
         "*", F.try_element_at(market, quarter_label("when")).alias("to_market"),
         F.try_element_at(market, quarter_label("comp_date")).alias("from_market"),
     )
-    own = F.col("to_area").isNotNull() & (F.col("from_area") > 0)
-    on_market = F.col("to_market").isNotNull() & (F.col("from_market") > 0)
-    factor = (
-        F.when(own, F.col("to_area") / F.nullif("from_area", F.lit(0.0)))
-        .when(on_market, F.col("to_market") / F.nullif("from_market", F.lit(0.0)))
-        .when(F.col("to_month").isNotNull() & (F.col("from_month") > 0), F.col("to_month") / F.nullif("from_month", F.lit(0.0)))
-        .otherwise(F.lit(1.0))
-    )
+    factor = _factor(lambda end, kind: F.col(f"{end}_{kind}"))
     value = F.col("comp_psm") * factor * F.pow(F.col("size") / F.col("comp_size"), elasticity)
-    return rows.withColumn("carried_psm", value).withColumn("via_index", own | on_market)
+    return rows.withColumn("carried_psm", value)
+
+
+SUBJECT = ["building_name", "rooms", "area_name", "when", "size"]
+SUBJECTS_HELD = 20_000  # of a group that one task values; more are dealt over further tasks
+YEAR = range(13)  # the months, counted back from the subject's own, that can hold its year
 
 
-def comps_join(subjects: DataFrame, pool: DataFrame, rules: ValuationRules = ValuationRules()) -> DataFrame:
-    """Comparables of each subject: same building and rooms, sold in the year before, of like size.
+def _factor(side: Callable[[str, str], Column]) -> Column:
+    """Level at the subject's date over level at the comparable's: its area's index, the market's, the area's month, else none.
 
-    The range on date is turned into an equality on month: a subject looks at the thirteen months
-    that can hold its year, so a busy tower is spread over months and the join filters the edges.
-    Sales alike in date, size and price enter once, with their number in ``alike``.
+    ``side(end, kind)`` gives the level at end ``to`` or ``from`` of kind ``area``, ``market`` or ``month``.
     """
-    comps = pool.groupBy(
-        *CELL, F.trunc("instance_date", "MM").alias("_month"), F.col("instance_date").alias("comp_date"),
-        F.col("size").alias("comp_size"), F.col("psm").alias("comp_psm"),
-    ).agg(F.count(F.lit(1)).alias("alike"))
-    since = F.add_months("when", -12)
-    asked = subjects.withColumn(
-        "_month", F.explode(F.sequence(F.trunc(since, "MM"), F.trunc("when", "MM"), F.expr("interval 1 month")))
+    own = side("to", "area").isNotNull() & (side("from", "area") > 0)
+    on_market = side("to", "market").isNotNull() & (side("from", "market") > 0)
+    moved = lambda kind: side("to", kind) / F.nullif(side("from", kind), F.lit(0.0))
+    return (
+        F.when(own, moved("area")).when(on_market, moved("market"))
+        .when(side("to", "month").isNotNull() & (side("from", "month") > 0), moved("month")).otherwise(F.lit(1.0))
     )
-    return asked.join(comps, [*CELL, "_month"]).filter(
-        (F.col("comp_date") >= since) & (F.col("comp_date") < F.col("when"))
-        & (F.col("comp_size") >= F.lit(rules.size_lo) * F.col("size"))
-        & (F.col("comp_size") <= F.lit(rules.size_hi) * F.col("size"))
-    ).drop("_month")
+
+
+def with_factors(subjects: DataFrame, levels: DataFrame, months: DataFrame) -> DataFrame:
+    """Subjects with ``factors``: what carries a comparable of each month back from theirs to their date.
+
+    An area has an entry a month and the market one a quarter, so a subject meets one row of its area's
+    levels instead of a row for every comparable.
+    """
+    held = level_table(levels, months).filter(F.col("area_name").isNotNull()).groupBy("area_name").agg(
+        F.map_from_entries(F.collect_list(F.struct("month", F.struct(F.col("by_index").alias("area"), F.col("by_month").alias("month"))))).alias("_held"))
+    market = levels.filter(F.col("area_name").isNull()).agg(F.map_from_entries(F.collect_list(F.struct("quarter", "level")))).scalar()
+    rows = subjects.join(held, "area_name", "left").withColumn("_market", market)
+    at = lambda k: F.add_months(F.trunc("when", "MM"), -k)
+
+    def side(k: int) -> Callable[[str, str], Column]:
+        def level(end: str, kind: str) -> Column:
+            month = at(0 if end == "to" else k)
+            return F.try_element_at("_market", quarter_label(month)) if kind == "market" else F.try_element_at("_held", month)[kind]
+
+        return level
+
+    return rows.withColumn("factors", F.array(*[_factor(side(k)) for k in YEAR])).drop("_held", "_market")
+
+
+def _value_group(subjects: pd.DataFrame, comps: pd.DataFrame) -> pd.DataFrame:
+    """Median carried price and number of comparables of each subject of a group; comparables stand once, in order of size."""
+    columns = [*SUBJECT, "psm_value", "comps"]
+    if not len(subjects) or not len(comps):
+        return pd.DataFrame({c: [] for c in columns})
+    comps = comps.sort_values("comp_size", kind="stable")
+    size, psm, on, month, alike = (comps[c].to_numpy() for c in ("comp_size", "comp_psm", "on", "month", "alike"))
+    out, kept = [], []
+    wanted = zip(subjects["size"], subjects["since"], subjects["until"], subjects["own_month"], subjects["lo"], subjects["hi"], subjects["elasticity"], subjects["factors"])
+    for k, (own, since, until, own_month, lo, hi, power, factors) in enumerate(wanted):
+        like = slice(np.searchsorted(size, lo, side="left"), np.searchsorted(size, hi, side="right"))
+        inside = (on[like] >= since) & (on[like] < until)
+        if not inside.any():
+            continue
+        number = alike[like][inside]
+        value = psm[like][inside] * np.asarray(factors, float)[own_month - month[like][inside]] * (own / size[like][inside]) ** power
+        if number.max() > 1:
+            value = np.repeat(value, number)
+        n = len(value)
+        middle = np.partition(value, [(n - 1) // 2, n // 2])
+        kept.append(k)
+        out.append((middle[(n - 1) // 2] / 2 + middle[n // 2] / 2, n))
+    rows = subjects.iloc[kept][SUBJECT].reset_index(drop=True)
+    return rows.assign(psm_value=[v for v, _ in out], comps=[n for _, n in out])[columns]
+
+
+def value_subjects(subjects: DataFrame, pool: DataFrame, elasticity: Column, rules: ValuationRules = ValuationRules()) -> DataFrame:
+    """Median carried price (``psm_value``) and number of comparables (``comps``) of subjects with factors.
+
+    A comparable is of the same building and rooms, sold in the year before, of like size. Sizes fall in bands as wide as
+    the sizes a subject looks at, so a subject finds all of its comparables in two neighbouring bands: every sale goes to two
+    groups, every subject to one, and no pair of them is ever a row. Sales alike in date, size and price stand once. A
+    group is one tower's sales of like size in the window of the model; its subjects are dealt over as many tasks as
+    they need.
+    """
+    ratio = math.log(rules.size_hi / rules.size_lo) * (1 + 1e-6)
+    band = lambda size: F.floor(F.log(size) / F.lit(ratio)).cast("int")
+    group = [*CELL, "_band"]
+    lo, hi = F.lit(rules.size_lo) * F.col("size"), F.lit(rules.size_hi) * F.col("size")
+    in_months = lambda date: F.year(date) * 12 + F.month(date)
+    asked = subjects.withColumn("_band", band(lo))
+    tasks = asked.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / SUBJECTS_HELD).cast("int").alias("_tasks"))
+    asked = asked.join(tasks, group).withColumn("_task", F.pmod(F.xxhash64("when", "size", "area_name"), F.col("_tasks")).cast("int"))
+    asked = asked.select(
+        *group, "_task", "area_name", "when", "size", "factors", F.unix_date(F.add_months("when", -12)).alias("since"), F.unix_date("when").alias("until"), in_months("when").alias("own_month"),
+        lo.alias("lo"), hi.alias("hi"), elasticity.alias("elasticity"))
+    comps = pool.groupBy(*CELL, F.col("instance_date").alias("comp_date"), F.col("size").alias("comp_size"), F.col("psm").alias("comp_psm")).agg(F.count(F.lit(1)).alias("alike"))
+    dealt = comps.withColumn("_band", F.explode(F.array(band("comp_size"), band("comp_size") - 1))).join(tasks, group)
+    dealt = dealt.withColumn("_task", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1))).select(
+        *[F.col(c).alias(f"c_{c}") for c in (*group, "_task")], F.unix_date("comp_date").alias("on"), in_months("comp_date").alias("month"), "comp_size", "comp_psm", "alike")
+    schema = "building_name string, rooms string, area_name string, when date, size double, psm_value double, comps long"
+    return asked.groupBy(*group, "_task").cogroup(dealt.groupBy(*[f"c_{c}" for c in (*group, "_task")])).applyInPandas(_value_group, schema)
 
 
 def _bucket(n: Column) -> Column:
@@ -173,9 +243,6 @@ def split(sales: DataFrame, rules: ValuationRules = ValuationRules()) -> tuple[D
     return sales.filter(F.col("instance_date") < cut), sales.filter(F.col("instance_date") >= cut)
 
 
-SUBJECT = ["building_name", "rooms", "area_name", "when", "size"]
-
-
 def backtest_errors(sales: DataFrame, levels: DataFrame, rules: ValuationRules = ValuationRules()) -> DataFrame:
     """Value every held-out sale that has comparables and keep its signed error.
 
@@ -186,10 +253,8 @@ def backtest_errors(sales: DataFrame, levels: DataFrame, rules: ValuationRules =
     elasticity = size_elasticity(sales, rules).scalar()
     months = area_month_index(sales, rules)
     held = test.withColumnRenamed("instance_date", "when")
-    subjects = held.select(*SUBJECT).distinct()
-    pairs = carry(comps_join(subjects, train, rules), levels, months, elasticity)
-    picks = {"psm_value": Pick("v"), "comps": Pick("v", "count")}
-    middles = order_statistics(pairs, SUBJECT, {"v": F.col("carried_psm")}, picks, weight="alike")
+    subjects = with_factors(held.select(*SUBJECT).distinct(), levels, months)
+    middles = value_subjects(subjects, train, elasticity, rules)
     valued = middles.filter((F.col("comps") >= rules.min_comps) & (F.col("psm_value") > 0))
     value = F.col("psm_value") * F.col("size")
     return held.join(valued, SUBJECT).select(

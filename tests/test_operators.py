@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadastra.functions import numbers
-from cadastra.operators import forecast, grouping, identity, issuers, listings, market, panels, readings, resale
+from cadastra.operators import forecast, grouping, identity, issuers, listings, market, panels, readings, resale, valuation
 from cadastra.operators.quantiles import Pick, median_by, order_statistics
 
 D = dt.date
@@ -229,6 +229,39 @@ def test_matching_takes_the_earliest_price_that_meets(tol):
         assert panels.match_repeats(first, worth, tol) == want
 
 
+def test_values_are_medians_of_all_comparables(spark, monkeypatch):
+    """Against every pair formed by hand: levels missing on either side, equal sales, sizes at the very edges."""
+    rng = random.Random(9)
+    start = D(2024, 1, 1)
+    sale = lambda: (start + dt.timedelta(days=rng.randint(0, 700)), rng.choice(["N", "S"]), rng.choice("AB"), "1 B/R", rng.choice([60.0, 75.0, 80.0, 100.0, 133.0, rng.uniform(50, 140)]), 1e6, float(rng.choice([9000, 10000, rng.randint(8000, 12000)])), False)
+    pool = [sale() for _ in range(400)]
+    pool += pool[:60]
+    subjects = {(b, r, a, d, s) for d, a, b, r, s, *_ in [sale() for _ in range(150)]}
+    quarters = [f"{y}Q{q}" for y in (2023, 2024, 2025) for q in (1, 2, 3, 4)]
+    levels = [(a, q, rng.uniform(80, 120)) for a in ("N", None) for q in quarters if rng.random() < 0.6]
+    months = [(a, D(y, m, 1), 9, rng.uniform(80, 120)) for a in ("N", "S") for y in (2023, 2024, 2025) for m in range(1, 13) if rng.random() < 0.6]
+    monkeypatch.setattr(valuation, "SUBJECTS_HELD", 10)  # several tasks a group
+    universe = "instance_date date, area_name string, building_name string, rooms string, size double, worth double, psm double, off_plan boolean"
+    asked = spark.createDataFrame(sorted(subjects), "building_name string, rooms string, area_name string, when date, size double")
+    asked = valuation.with_factors(asked, spark.createDataFrame(levels, "area_name string, quarter string, level double"), spark.createDataFrame(months, "area_name string, month date, n long, level double"))
+    got = {tuple(r)[:5]: (r.psm_value, r.comps) for r in valuation.value_subjects(asked, spark.createDataFrame(pool, universe), F.lit(-0.3)).collect()}
+    by_quarter, by_month = {(a, q): v for a, q, v in levels}, {(a, m): v for a, m, _, v in months}
+    quarter = lambda d: f"{d.year}Q{(d.month + 2) // 3}"
+    for b, r, a, when, size in subjects:
+        values = []
+        for on, _, b2, r2, s2, _, psm, _ in pool:
+            before = when.replace(year=when.year - 1) if (when.month, when.day) != (2, 29) else when.replace(year=when.year - 1, day=28)
+            if (b, r) == (b2, r2) and before <= on < when and 0.75 * size <= s2 <= 1.33 * size:
+                pairs = [(by_quarter.get((x, quarter(when))), by_quarter.get((x, quarter(on)))) for x in (a, None)] + [(by_month.get((a, when.replace(day=1))), by_month.get((a, on.replace(day=1))))]
+                factor = next((to / held for to, held in pairs if to is not None and held is not None), 1.0)
+                values.append(psm * factor * (size / s2) ** -0.3)
+        if values:
+            assert got[b, r, a, when, size][1] == len(values) and got[b, r, a, when, size][0] == pytest.approx(median(values), rel=1e-12)
+        else:
+            assert (b, r, a, when, size) not in got
+    assert len(got) > 100
+
+
 def test_words_are_found_by_their_rarest_trigram(spark):
     held = [("x", 3, "palm tower", "palm-tower"), ("x", 1, "the palms", "the-palms"), ("x", 2, "tower of palm", "t"), ("y", 9, "palm", "lake-view"), ("x", 4, "ab", "ab")]
     asked = [("x", "palm"), ("x", "palms"), ("x", "tower"), ("y", "view"), ("x", "lake"), ("x", "mpa"), ("y", "ower"), ("z", "palm")]
