@@ -33,6 +33,15 @@ def half_up(c: Column | str, dp: int = 0) -> Column:
     return F.when(F.abs(x) >= F.lit(2.0**53 / scale), x).otherwise(rounded)
 
 
+def exact(c: Column | str) -> Column:
+    """An amount as a decimal that adds up exactly; one that no decimal can hold stops the query instead of missing from its sum."""
+    x = as_col(c)
+    amount = x.cast("double")
+    # The comparison is false for NaN and the infinities too.
+    return F.when(x.isNull() | (F.abs(amount) < F.lit(1e22)), x.cast("decimal(32,10)")).otherwise(
+        F.raise_error(F.concat(F.lit("not an amount: "), amount.cast("string"))).cast("decimal(32,10)"))
+
+
 def total(c: Column | str, dp: int = 2) -> Column:
     """Exact sum of an amount, rounded half up to ``dp`` places.
 
@@ -40,8 +49,8 @@ def total(c: Column | str, dp: int = 2) -> Column:
     beyond the places that amounts carry are settled first, so an amount that a
     double holds a hair below a half still rounds up.
     """
-    exact = F.round(F.sum(as_col(c).try_cast("decimal(32,10)")), dp + 4)
-    return F.floor(exact + F.lit(Decimal(5).scaleb(-dp - 1)), F.lit(dp)).cast("double")
+    settled = F.round(F.sum(exact(c)), dp + 4)
+    return F.floor(settled + F.lit(Decimal(5).scaleb(-dp - 1)), F.lit(dp)).cast("double")
 
 
 def mean(c: Column | str, dp: int = 0) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, BooleanType, DateType, DoubleType, LongType, StringType, StructField, StructType
 
-from cadastra.functions.numbers import total
+from cadastra.functions.numbers import exact, total
 from cadastra.operators import identity
 from cadastra.sources.readers import SCAN_SCHEMA, scan_rows
 
@@ -258,7 +258,7 @@ def stream_activity(rows: DataFrame, path: str, event_time: str, keys: list[str]
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
         span = F.window(event_time, length, slide) if slide else F.window(event_time, length)
-        shares = batch.groupBy(span.alias("span"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("actual_worth").try_cast("decimal(32,10)")).alias("worth"))
+        shares = batch.groupBy(span.alias("span"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(exact("actual_worth")).alias("worth"))
         shares.select(F.col("span.start").alias("window_start"), F.col("span.end").alias("window_end"), *keys, "n", "worth").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return rows.writeStream.foreachBatch(on_batch)

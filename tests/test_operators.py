@@ -229,6 +229,14 @@ def test_matching_takes_the_earliest_price_that_meets(tol):
         assert panels.match_repeats(first, worth, tol) == want
 
 
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), -float("inf"), 1e22])
+def test_no_amount_is_missing_from_a_sum(spark, bad):
+    df = spark.createDataFrame([("a", 0.1), ("a", None), ("b", 1e21), ("b", 0.2), ("c", bad)], "k string, v double")
+    assert {r.k: r.t for r in df.filter("k <> 'c'").groupBy("k").agg(numbers.total("v").alias("t")).collect()} == {"a": 0.1, "b": 1e21}
+    with pytest.raises(Exception, match="not an amount"):
+        df.groupBy("k").agg(numbers.total("v").alias("t")).collect()
+
+
 def test_values_are_medians_of_all_comparables(spark, monkeypatch):
     """Against every pair formed by hand: levels missing on either side, equal sales, sizes at the very edges."""
     rng = random.Random(9)
