@@ -150,7 +150,8 @@ def reduce_counts(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ..
 
     With j the longest of a set and r what it leaves: alone, if nothing fits r; with a piece of
     exactly r, for what else would fill r can go where that piece was; with the longest piece k that fits,
-    if no two pieces fit r, or if the two longest that fit together are no more than k.
+    if no two pieces fit r, or if no three do and the two longest that fit together are no more than k. Where three
+    may fit, their sum can outweigh k, and j is left to best fit.
     """
     fixed = []
     moved = True
@@ -170,10 +171,10 @@ def reduce_counts(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ..
                     moved = True
                     break
                 k = int(fit[-1])
-                small = int(fit[0])
-                second = small if counts[small] - (small == j) > 1 else int(fit[1]) if len(fit) > 1 else capacity
-                if k != rest and small + second <= rest and _best_pair(counts, fit, j, rest) > k:
-                    break
+                if k != rest:
+                    least = _least(counts, fit, j)
+                    if sum(least[:2]) <= rest and len(least) > 1 and (sum(least) <= rest and len(least) > 2 or _best_pair(counts, fit, j, rest) > k):
+                        break
                 q = int(own // 2 if k == j else min(own, counts[k]))
                 counts[j] -= q
                 counts[k] -= q
@@ -182,6 +183,14 @@ def reduce_counts(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ..
     return fixed
 
 
+def _least(counts: np.ndarray, fit: np.ndarray, j: int) -> list[int]:
+    """The lengths of the three shortest pieces other than one of length j."""
+    out: list[int] = []
+    for length in fit[:3].tolist():
+        out += [length] * int(min(3, counts[length] - (length == j)))
+    return out[:3]
+
+
 def _best_pair(counts: np.ndarray, fit: np.ndarray, j: int, rest: int) -> int:
     """The largest sum within ``rest`` of two pieces other than one of length j."""
     best, lo, hi = 0, 0, len(fit) - 1

@@ -286,15 +286,28 @@ def fewest(sizes, capacity):
     return best
 
 
+def reduced(sizes, capacity):
+    counts = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    fixed = packing.reduce_counts(counts, capacity)
+    assert all(sum(p) <= capacity for p, _ in fixed)
+    return sum(n for _, n in fixed), [s for s in range(capacity, 0, -1) for _ in range(counts[s])]
+
+
 def test_reduction_keeps_the_least_number():
     rng = np.random.default_rng(1)
-    for _ in range(150):
-        sizes = sorted(rng.integers(1, 20, 9).tolist(), reverse=True)
-        counts = np.bincount(sizes, minlength=21).astype(np.int64)
-        fixed = packing.reduce_counts(counts, 20)
-        rest = [s for s in range(20, 0, -1) for _ in range(counts[s])]
-        assert sum(n for _, n in fixed) + fewest(rest, 20) == fewest(sizes, 20)
-        assert all(sum(p) <= 20 for p, _ in fixed)
+    for k in range(3000):
+        capacity = int(rng.choice([20, 30, 100]))
+        # short pieces beside long ones, so that three often fill what a long one leaves
+        sizes = np.concatenate([rng.integers(1, capacity, rng.integers(0, 6)), rng.integers(1, capacity // 3 + 1, rng.integers(0, 5))]) if k % 2 else rng.integers(1, capacity, 8)
+        sizes = sorted(sizes.tolist(), reverse=True)
+        number, rest = reduced(sizes, capacity) if sizes else (0, [])
+        assert number + fewest(rest, capacity) == fewest(sizes, capacity), sizes
+
+
+@pytest.mark.parametrize("sizes, capacity", [([60, 35, 12, 12, 12, 33, 32], 100), ([2457, 1433, 491, 491, 491, 1351, 1310], 4096)])
+def test_three_pieces_may_outweigh_the_longest(sizes, capacity):
+    number, rest = reduced(sizes, capacity)
+    assert number + fewest(rest, capacity) == 2
 
 
 def test_packing_nothing(spark):
