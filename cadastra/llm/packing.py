@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, insort
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,7 @@ class ChunkEncoder:
         self.entries.update(zip(names, range(first, first + len(names))))
 
     def _learn(self, raw: list[bytes]) -> None:
-        chunks = b"\n".join(raw).decode().split("\n")
+        chunks = b"\n".join(raw).decode("utf-8", "replace").split("\n")
         marks = [MARKS.find(c[-1]) + 1 for c in chunks]
         names = [c[:-1].lower() if m else c.lower() for c, m in zip(chunks, marks)]
         for k, plain in enumerate(map(_WORD.fullmatch, names)):
@@ -93,12 +94,12 @@ class ChunkEncoder:
             self._add(some, ids, np.diff(ends, prepend=0))
         self.codes.update(zip(raw, [3 * self.entries[n] + m for n, m in zip(names, marks)]))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has."""
         if len(self.codes) > CACHED_CHUNKS:
             self.clear()
-        chunks = [t.encode("utf-8", "replace").split() for t in texts]
-        flat = [c for own in chunks for c in own]
+        chunks = [(t.encode("utf-8", "replace") if isinstance(t, str) else t).split() for t in texts]
+        flat = list(chain.from_iterable(chunks))
         if missing := set(flat).difference(self.codes):
             self._learn(list(missing))
         code = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
@@ -123,9 +124,9 @@ def cut(ids: np.ndarray, capacity: int) -> list[dict]:
     ]
 
 
-def pieces_of(texts: list[str | None], encoder: ChunkEncoder, capacity: int = CAPACITY) -> list[list[dict]]:
+def pieces_of(texts: list[str | bytes | None], encoder: ChunkEncoder, capacity: int = CAPACITY) -> list[list[dict]]:
     out = []
-    texts = [t or "" for t in texts]
+    texts = [t or b"" for t in texts]
     for lo, hi in slices([len(t) for t in texts], 2_000_000):
         ids, counts = encoder.encode(texts[lo:hi])
         for own in np.split(ids, np.cumsum(counts)[:-1]):
@@ -142,7 +143,7 @@ def split_documents(documents: DataFrame, tokenizer_path: str, capacity: int = C
         kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
         return pa.array(pieces_of(column.to_pylist(), encoder, capacity), kind)
 
-    return documents.withColumn("_piece", F.explode(split.asNondeterministic()(F.col(f"`{text}`")))).drop(text)
+    return documents.withColumn("_piece", F.explode(split.asNondeterministic()(F.col(f"`{text}`").cast("binary")))).drop(text)
 
 
 def reduce_counts(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
