@@ -133,15 +133,15 @@ def _(t):
 
 
 @query("upsert", """SELECT project_number, coalesce(n.units, s.units) AS units, CASE WHEN n.project_number IS NOT NULL THEN n.project_value ELSE s.project_value END AS project_value, coalesce(s.area_name, n.area_name) AS area_name
-  FROM (SELECT project_number, units, project_value, area_name FROM project WHERE CAST(project_number AS INT) % 3 <> 0) s
-  FULL OUTER JOIN (SELECT project_number, CASE WHEN villas > 0 THEN villas END AS units, project_value + 1 AS project_value, 'new ' || area_name AS area_name FROM project WHERE CAST(project_number AS INT) % 2 = 0) n USING (project_number)""")
+  FROM (SELECT project_number, units, project_value, area_name FROM project) s
+  FULL OUTER JOIN (SELECT CASE WHEN CAST(project_number AS INT) % 2 = 0 THEN project_number ELSE 'n' || project_number END AS project_number, CASE WHEN villas > 0 THEN villas END AS units, project_value + 1 AS project_value, 'new ' || area_name AS area_name FROM project) n USING (project_number)""")
 def _(t):
-    cols = ["project_number", "units", "project_value", "area_name"]
-    number = F.col("project_number").cast("int")
-    store = t.project.filter(number % 3 != 0).select(*cols)
-    batch = t.project.filter(number % 2 == 0).select(
-        "project_number", F.when(F.col("villas") > 0, F.col("villas")).alias("units"), (F.col("project_value") + 1).alias("project_value"),
-        F.concat(F.lit("new "), "area_name").alias("area_name"))
+    """A batch of all projects, every other one under a number the store does not know."""
+    store = t.project.select("project_number", "units", "project_value", "area_name")
+    known = F.col("project_number").cast("int") % 2 == 0
+    batch = t.project.select(
+        F.when(known, F.col("project_number")).otherwise(F.concat(F.lit("n"), "project_number")).alias("project_number"), F.when(F.col("villas") > 0, F.col("villas")).alias("units"),
+        (F.col("project_value") + 1).alias("project_value"), F.concat(F.lit("new "), "area_name").alias("area_name"))
     return identity.upsert(store, batch, ["project_number"], overwrite=["project_value"], keep_if_null=["units"])
 
 
@@ -216,14 +216,16 @@ def _(t):
     return identity.merge_windows(rows, "project_number", "window", ["status", "percent_completed"]).withColumn("windows", F.concat_ws(",", "windows"))
 
 
-@query("short_windows", """SELECT source, count(DISTINCT project_number) AS rows, CAST(160 AS INT) AS stated, count(DISTINCT project_number) < 160 * 0.9::DOUBLE AS short FROM observation
-  WHERE source <> 'gateway' OR id % 7 = 0 GROUP BY 1""")
+@query("short_windows", """SELECT source, count(DISTINCT project_number) AS rows, CAST(max(total) AS INT) AS stated, count(DISTINCT project_number) < max(total) * 0.9::DOUBLE AS short FROM (
+  SELECT *, CASE source WHEN 'gateway' THEN 400 ELSE 100 END AS total FROM observation) GROUP BY 1""")
 def _(t):
-    rows = t.observation.filter((F.col("source") != "gateway") | (F.col("id") % 7 == 0)).withColumn("total", F.lit(160))
+    """Every window with what its feed says it holds, the gateway saying more than came."""
+    rows = t.observation.withColumn("total", F.when(F.col("source") == "gateway", F.lit(400)).otherwise(F.lit(100)))
     return identity.short_windows(rows, "project_number", "source", "total")
 
 
-SERIES = "SELECT CAST(date_trunc('month', contract_start_date) AS DATE) AS month, area_name, rent_property_type, CAST(actual_area AS INT) % 3 AS version, count(*) AS contracts FROM rent WHERE month(contract_start_date) <> 2 GROUP BY ALL"
+# Contracts of February are dated into January, so that the series has months without any.
+SERIES = "SELECT CAST(date_trunc('month', CASE WHEN month(contract_start_date) = 2 THEN contract_start_date - 31 ELSE contract_start_date END) AS DATE) AS month, area_name, rent_property_type, CAST(actual_area AS INT) % 3 AS version, count(*) AS contracts FROM rent GROUP BY ALL"
 
 
 @query("versioned_series", "SELECT month, area_name, version, contracts, count(*) - 1 AS exact_repeats FROM s GROUP BY ALL", s=SERIES)
@@ -232,8 +234,9 @@ def _(t):
 
 
 def _series(t):
-    return t.rent.filter(F.month("contract_start_date") != 2).groupBy(
-        F.trunc("contract_start_date", "MM").alias("month"), "area_name", "rent_property_type", (F.col("actual_area").cast("int") % 3).alias("version")
+    date = F.when(F.month("contract_start_date") == 2, F.date_sub("contract_start_date", 31)).otherwise(F.col("contract_start_date"))
+    return t.rent.groupBy(
+        F.trunc(date, "MM").alias("month"), "area_name", "rent_property_type", (F.col("actual_area").cast("int") % 3).alias("version")
     ).agg(F.count(F.lit(1)).alias("contracts"))
 
 

@@ -101,22 +101,23 @@ def _(t):
     return _marked(t).groupBy(quarter_label("instance_date").alias("quarter"), "entity_id").agg(F.count(F.lit(1)).alias("raw"), total("actual_worth").alias("worth"))
 
 
-# The register is taken without its last tenth of numbers, so that some registrations are orphans.
-HELD = "SELECT * FROM project WHERE project_number NOT LIKE '%7'"
-ORPH = f"SELECT quarter, registrations, orphans, {rnd('orphans/registrations', 6)} AS orphan_share FROM (SELECT {Q} AS quarter, count(*) AS registrations, {cnt('h.project_number IS NULL')} AS orphans FROM registration r LEFT JOIN held h USING (project_number) WHERE trans_group='Sales' AND {IN} GROUP BY 1)"
+# Registrations of every tenth number name a project the register does not hold, so that some are orphans.
+MOVED = "SELECT * REPLACE (CASE WHEN project_number LIKE '%7' THEN 'unlisted ' || project_number ELSE project_number END AS project_number) FROM registration"
+ORPH = f"SELECT quarter, registrations, orphans, {rnd('orphans/registrations', 6)} AS orphan_share FROM (SELECT {Q} AS quarter, count(*) AS registrations, {cnt('h.project_number IS NULL')} AS orphans FROM moved r LEFT JOIN project h USING (project_number) WHERE trans_group='Sales' AND {IN} GROUP BY 1)"
 
 
 def _orphans(t):
-    return panels.orphan_share(t.registration, t.project.filter(~F.col("project_number").endswith("7")), RULES, FROM_Q, AS_OF)
+    number = F.when(F.col("project_number").endswith("7"), F.concat(F.lit("unlisted "), "project_number")).otherwise(F.col("project_number"))
+    return panels.orphan_share(t.registration.withColumn("project_number", number), t.project, RULES, FROM_Q, AS_OF)
 
 
-@query("orphan_share", "SELECT * FROM o", held=HELD, o=ORPH)
+@query("orphan_share", "SELECT * FROM o", moved=MOVED, o=ORPH)
 def _(t):
     return _orphans(t)
 
 
 @query("panel_maturity", """SELECT quarter, orphan_share, CASE WHEN age < 2 OR (ov AND age < 6) THEN 'provisional' ELSE 'mature' END AS maturity, concat_ws(',', CASE WHEN age < 2 THEN 'recent' END, CASE WHEN ov AND age < 6 THEN 'orphans' END) AS reasons, ov AND age >= 6 AS attribution_gap
-  FROM (SELECT *, 2001*4 + 2 - (CAST(substr(quarter,1,4) AS INT)*4 + CAST(substr(quarter,6,1) AS INT) - 1) AS age, orphans/registrations > 0.05::DOUBLE AS ov FROM o)""", held=HELD, o=ORPH)
+  FROM (SELECT *, 2001*4 + 2 - (CAST(substr(quarter,1,4) AS INT)*4 + CAST(substr(quarter,6,1) AS INT) - 1) AS age, orphans/registrations > 0.05::DOUBLE AS ov FROM o)""", moved=MOVED, o=ORPH)
 def _(t):
     return panels.panel_maturity(_orphans(t), RULES, AS_OF)
 
