@@ -370,6 +370,55 @@ def test_base_scores_are_the_counts(spark, corpus, monkeypatch):
     assert scoring.score_documents(documents(spark, [])).collect() == []
 
 
+def test_scores_are_those_of_the_model_word_by_word(spark, corpus, monkeypatch):
+    """Classes and their probabilities are taken from the fit; words, shares and sums are counted again one by one."""
+    made = {}
+    keep = lambda name, f: lambda *a: made.setdefault(name, f(*a))
+    monkeypatch.setattr(scoring, "FREQUENT", 150)
+    monkeypatch.setattr(scoring, "STEPS", 300)
+    monkeypatch.setattr(scoring, "fit", keep("model", scoring.fit))
+    monkeypatch.setattr(scoring, "cluster", keep("classes", scoring.cluster))
+    got = scoring.score_documents(documents(spark, corpus)).collect()
+    count = Counter(w for i, t in corpus if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for w in [*white_words(t), "\n"])
+    common = sorted((w for w in count if w != "\n"), key=lambda w: (-count[w], w.encode()))[:150]
+    number = {"\n": 1, **{w: k for k, w in enumerate(common, 2)}}
+    classes = {w: int(made["classes"][k]) for w, k in number.items()}
+    members = defaultdict(list)
+    for w in count:
+        members[classes.get(w, 0)].append(w)
+    assert len(members) > scoring.OWN + 5 and {classes[w] for w in common[: scoring.OWN - 2]} == set(range(2, scoring.OWN))
+    unknown = object()
+    held = {c: sum(count[w] + 1 for w in own) + (c == 0) for c, own in members.items()}
+    in_class = lambda w: 1.0 if 0 < classes.get(w, 0) < scoring.OWN else (count[w] + 1) / held[classes.get(w, 0)]
+    for c, own in members.items():  # the words of a class and, beyond the known ones, one unknown word share all of it
+        assert sum(in_class(w) for w in own) + (in_class(unknown) if c == 0 else 0) == pytest.approx(1)
+    assert np.allclose((10.0 ** made["model"]).sum(2), 1, atol=1e-4)
+    want = defaultdict(list)
+    for i, t in corpus:
+        own, score, two, one = [*white_words(t), "\n"], 0.0, 1, 1
+        for w in own:
+            c = classes.get(w, 0)
+            score += float(made["model"][two, one, c]) + math.log10(in_class(w))
+            two, one = one, c
+        want[i].append(score)
+    for r in got:
+        assert min(abs(r.score - x) for x in want[r.doc_id]) < 1e-4 * abs(r.score)
+    better = [r.score > r.base_score for r in got if r.n_tokens > 30]
+    assert len(better) > 50
+
+
+def test_clusters_hold_words_of_one_company():
+    rng = np.random.default_rng(2)
+    size = scoring.OWN + 300
+    table = np.zeros((size, 2 * scoring.BESIDE), np.float32)
+    kind = np.arange(300) % 3
+    for k in range(300):
+        table[scoring.OWN + k] = rng.poisson(np.where(np.arange(2 * scoring.BESIDE) % 3 == kind[k], 20, 1))
+    classes = scoring.cluster(table, np.full(size, 50))
+    assert classes[: scoring.OWN].tolist() == list(range(scoring.OWN)) and classes.max() < scoring.CLASSES
+    assert all(len(set(kind[classes[scoring.OWN :] == c])) == 1 for c in set(classes[scoring.OWN :]))
+
+
 def test_class_probabilities_sum_to_one_and_learn():
     cube = np.zeros((8, 8, 8))
     for a in range(8):
