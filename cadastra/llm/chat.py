@@ -126,15 +126,12 @@ def format_turns(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
     start = F.col("position") == 0
     return placed.withColumn("offset", F.when(start, F.lit(0)).otherwise(before + 1)).select(
         "conv_id", "turn", "position", "offset",
-        F.when(start, F.concat(F.array(F.lit(RESERVED_START)), "_t.ids")).otherwise(F.col("_t.ids")).alias("ids"),
+        F.when(start, F.concat(F.array(F.lit(codec(tokenizer_path).reserved[MARKS[0]])), "_t.ids")).otherwise(F.col("_t.ids")).alias("ids"),
         F.when(start, F.concat(F.array(F.lit(False)), "_t.mask")).otherwise(F.col("_t.mask")).alias("mask"),
         (F.col("_t.n_chars") + F.when(start, len(MARKS[0])).otherwise(0)).alias("n_chars"),
     )
 
 
-RESERVED_START = 50257  # the first id after the byte-level vocabulary of 50,257
-
-
 class _Reader:
     """Digests of one conversation, fed turn by turn."""
 

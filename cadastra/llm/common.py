@@ -18,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_rows(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and, as one struct ``_row``, every column, so that no name of theirs meets one used inside."""
+    return rows.select(*columns, F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"))
+
+
+def free_name(rows: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def worker_cache(name: str, make: Callable):
     """``make()`` once per Python worker process, kept from task to task."""
     held = sys.modules.setdefault("_cadastra_worker", types.ModuleType("_cadastra_worker"))

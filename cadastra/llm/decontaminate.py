@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import mix, slices
+from cadastra.llm.common import free_name, mix, slices
 
 WINDOW, GRAM = 10, 5
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000  # of the benchmark, sent to the tasks at a time
@@ -179,8 +179,13 @@ def annotate(documents: DataFrame, benchmark: DataFrame, text: str = "text", nam
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without any benchmark window, columns unchanged."""
-    return annotate(documents, benchmark).filter(F.size("_found.spans") == 0).drop("_found")
+    """Documents without any benchmark window, columns unchanged, whatever their names.
+
+    Null and empty texts hold no window and stay, and so do all documents where the benchmark is empty. Ids play no part.
+    """
+    name = free_name(documents, "_found")
+    found = annotate(documents, benchmark, name=name)
+    return found.filter(F.size(f"{name}.spans") == 0).drop(name) if name in found.columns else documents
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

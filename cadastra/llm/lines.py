@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import mix, ragged, slices
+from cadastra.llm.common import mix, ragged, slices, whole_rows
 from cadastra.llm.decontaminate import FOLD
 from cadastra.session import materialize
 
@@ -303,7 +303,10 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
 
 
 def numbered(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    """``documents`` with the number of their id in ``_doc``: ids that are no whole numbers stand in order of their hashes."""
+    whole = documents.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    return documents.withColumn("_doc", F.coalesce(number, F.lit(NO_ID)))
 
 
 def edited(documents: DataFrame) -> DataFrame:
@@ -322,12 +325,16 @@ def edited(documents: DataFrame) -> DataFrame:
 
 
 def remove_repeated_lines(documents: DataFrame) -> DataFrame:
-    """Documents without their repeated lines, n_chars (if there) counted anew; those of which nothing but white space is left go."""
-    names = documents.columns
-    out = edited(documents).filter(F.col("_gone").isNull() | F.col("_left").rlike(r"\S")).withColumn("text", F.col("_left"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
-    return out.select(*[f"`{c}`" for c in names])
+    """Documents without their repeated lines, n_chars (if there) counted anew; those of which nothing but white space is left go.
+
+    Other columns stay as they are, whatever their names. A document from which no line goes stays as it is, a null or empty
+    text among them; an empty table gives none.
+    """
+    out = edited(whole_rows(documents, "doc_id", "text")).filter(F.col("_gone").isNull() | F.col("_left").rlike(r"\S"))
+    changed = {"text": F.col("_left")}
+    if "n_chars" in documents.columns:
+        changed["n_chars"] = F.when(F.col("_gone").isNull(), F.col("_row.n_chars")).otherwise(F.length("_left")).cast(documents.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in documents.columns])
 
 
 def report(documents: DataFrame) -> DataFrame:

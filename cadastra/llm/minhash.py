@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import components, mix, ragged, slices
+from cadastra.llm.common import components, mix, ragged, slices, whole_rows
 from cadastra.llm.scoring import words
 from cadastra.session import materialize
 
@@ -266,8 +266,11 @@ def _judged(given: DataFrame, size: int, percent: int, *more: str) -> DataFrame:
 
 
 def remove_near_duplicates(documents: DataFrame, size: int, percent: int = SIMILARITY) -> DataFrame:
-    """Documents with one of each group left, the one of the smallest id; rows of one id go by their own texts; columns unchanged."""
+    """Documents with one of each group left, the one of the smallest id; rows of one id go by their own texts; columns
+    unchanged, whatever their names. Rows without an id, and null and empty texts, are in no group and stay."""
     digest = F.sha2("text", 256)
     judged = _judged(documents.select("doc_id", "text", digest.alias("_digest")), size, percent, "_digest")
     gone = judged.filter("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("_digest").alias("_gone_text")).distinct()
-    return documents.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (digest == F.col("_gone_text")), "left_anti")
+    given = whole_rows(documents, "doc_id", "text")
+    kept = given.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (digest == F.col("_gone_text")), "left_anti")
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in documents.columns])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import mix, ragged, slices
+from cadastra.llm.common import free_name, mix, ragged, slices
 from cadastra.llm.decontaminate import words
 
 WINDOW, STRIDE = 24, 12
@@ -320,8 +320,13 @@ def score_texts(documents: DataFrame, scorer: Scorer, name: str = "_toxic") -> D
 
 
 def remove_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents scored below one half, columns unchanged."""
-    return score_texts(documents, fit(documents, labels)).filter(F.col("_toxic") < 0.5).drop("_toxic")
+    """Documents scored below one half, columns unchanged, whatever their names.
+
+    Rows without an id or a text are scored like any other; repeated rows stay or go alike. An empty table
+    gives none; without labels nothing is learnt and the score of all texts is low, so all stay.
+    """
+    name = free_name(documents, "_toxic")
+    return score_texts(documents, fit(documents, labels), name).filter(F.col(name) < 0.5).drop(name)
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
