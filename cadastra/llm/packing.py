@@ -28,7 +28,7 @@ PART_ROWS = 50_000  # pieces of one length that one task ranks
 CACHED_CHUNKS = 400_000  # chunks whose ids a worker keeps
 
 MARKS = ".,"  # may follow a run of letters as a token of their own
-_WORD = re.compile(r"[a-zß-öø-ÿ]+")
+_CHUNK = re.compile(r"(?m)^(?:([a-zß-öø-ÿ]+)([.,]?)|(.+))$")  # a run of lower-cased Latin letters and its mark, or anything else
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
 
@@ -42,9 +42,13 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Lower-cased runs of Latin letters are normal already and are split by the space put between them.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         marks = [self.tokenizer.encode(m, add_special_tokens=False).ids for m in MARKS]
@@ -73,12 +77,16 @@ class ChunkEncoder:
         self.entries.update(zip(names, range(first, first + len(names))))
 
     def _learn(self, raw: list[bytes]) -> None:
-        chunks = b"\n".join(raw).decode("utf-8", "replace").split("\n")
-        marks = [MARKS.find(c[-1]) + 1 for c in chunks]
-        names = [c[:-1].lower() if m else c.lower() for c, m in zip(chunks, marks)]
-        for k, plain in enumerate(map(_WORD.fullmatch, names)):
-            if plain is None:  # all other chunks are entries as they stand, told from words by the space in front
-                names[k], marks[k] = " " + chunks[k], 0
+        joined = b"\n".join(raw).decode("utf-8", "replace")
+        found = _CHUNK.findall(joined.lower())
+        names, marks = [f[0] for f in found], [0] * len(raw)
+        chunks: list[str] = []
+        for k, (word, mark, _) in enumerate(found):
+            if mark:
+                marks[k] = 1 + MARKS.index(mark)
+            elif not word:  # all other chunks are entries as they stand, told from words by the space in front
+                chunks = chunks or joined.split("\n")
+                names[k] = " " + chunks[k]
         new = sorted(set(names).difference(self.entries))
         other = [n for n in new if n[0] == " "]
         plain = new[len(other) :]
@@ -87,7 +95,7 @@ class ChunkEncoder:
             self._add(other, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids]))
         for k in range(0, len(plain), 2000):
             some = plain[k : k + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("a run of letters must end with one word-end token")
