@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ from cadastra.session import materialize
 
 CAPACITY, END_ID = 4096, 1
 PART_ROWS = 50_000  # pieces of one length that one task ranks
-CACHED_CHUNKS = 400_000  # chunks whose ids a worker keeps
+CACHED_CHUNKS = 300_000  # chunks whose ids a worker keeps
+SLICE_BYTES = 1_000_000  # of text that is taken apart at a time
 
 MARKS = ".,"  # may follow a run of letters as a token of their own
 _CHUNK = re.compile(r"(?m)^(?:([a-zß-öø-ÿ]+)([.,]?)|(.+))$")  # a run of lower-cased Latin letters and its mark, or anything else
@@ -135,7 +137,7 @@ def cut(ids: np.ndarray, capacity: int) -> list[dict]:
 def pieces_of(texts: list[str | bytes | None], encoder: ChunkEncoder, capacity: int = CAPACITY) -> list[list[dict]]:
     out = []
     texts = [t or b"" for t in texts]
-    for lo, hi in slices([len(t) for t in texts], 2_000_000):
+    for lo, hi in slices([len(t) for t in texts], SLICE_BYTES):
         ids, counts = encoder.encode(texts[lo:hi])
         for own in np.split(ids, np.cumsum(counts)[:-1]):
             out.append(cut(np.append(own, np.uint32(END_ID)), capacity))
@@ -149,7 +151,11 @@ def split_documents(documents: DataFrame, tokenizer_path: str, capacity: int = C
     def split(column: pa.Array) -> pa.Array:
         encoder = worker_cache(f"encoder:{tokenizer_path}", lambda: ChunkEncoder(tokenizer_path))
         kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
-        return pa.array(pieces_of(column.to_pylist(), encoder, capacity), kind)
+        out = []
+        # A batch is taken apart some texts at a time, so its words are never held all at once.
+        for lo, hi in slices(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), SLICE_BYTES):
+            out.append(pa.array(pieces_of(column.slice(lo, hi - lo).to_pylist(), encoder, capacity), kind))
+        return pa.concat_arrays(out) if out else pa.array([], kind)
 
     return documents.withColumn("_piece", F.explode(split.asNondeterministic()(F.col(f"`{text}`").cast("binary")))).drop(text)
 
