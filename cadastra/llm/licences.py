@@ -1,9 +1,10 @@
 """Licence scans by sentence rules, with SQL functions alone.
 
-A text is cut to sentences, a sentence is normalised (lower case, words parted by single spaces) and
-mapped to the identifier of the licence sentence it is. The identifiers, in the order of the text,
-are then matched against licence rules, the strictest first; what a rule has matched is used up, so a licence's own
-disclaimer does not count again under a weaker rule. Every document is read in its own row.
+A text is cut to sentences, at their marks and at blank lines, so a wrapped line goes on in the next one. A sentence is
+normalised (lower case, words parted by single spaces) and mapped to the identifiers of the licence sentences it holds, in order.
+The identifiers of the text are then matched against licence rules, the strictest first; what a rule has matched is
+used up, so a licence's own disclaimer does not count again under a weaker rule. SPDX lines name their licences
+themselves. Every document is read in its own row.
 """
 
 from __future__ import annotations
@@ -13,24 +14,24 @@ from pyspark.sql import functions as F
 
 # Identifiers of licence sentences and the normalised sentences they stand for, the first that fits.
 SENTENCES = [
-    ("ApacheRef2", r"licensed under the apache license version 2( 0)?\b"),
-    ("ApacheLink2", r"^(http|https) www apache org licenses license 2 0\b"),
+    ("ApacheRef2", r"\bapache (software )?licen[sc]e (version |v)?2( 0)?\b"),
+    ("ApacheLink2", r"\bwww apache org licenses license 2 0\b"),
     ("ApacheNotice", r"you may not use this file except in compliance with the license"),
     ("ApacheWarranty", r"distributed on an as is basis without warranties or conditions of any kind"),
-    ("MitRef", r"\b(released|licensed|available|distributed) under the (terms of the )?mit license\b"),
+    ("MitRef", r"\bmit licen[sc]e\b"),
     ("MitGrant", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("MitNotice", r"the above copyright notice and this permission notice shall be included"),
     ("IscGrant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("Lgpl3Ref", r"\bgnu lesser general public license,? (as published by the free software foundation )?(either )?version 3\b"),
-    ("Lgpl21Ref", r"\bgnu lesser general public license,? (as published by the free software foundation )?(either )?version 2 1\b"),
-    ("Agpl3Ref", r"\bgnu affero general public license,? (as published by the free software foundation )?(either )?version 3\b"),
-    ("Gpl3Ref", r"\bgnu general public license,? (as published by the free software foundation )?(either )?version 3\b"),
-    ("Gpl2Ref", r"\bgnu general public license,? (as published by the free software foundation )?(either )?version 2\b"),
-    ("GplAnyRef", r"\bgnu general public license\b"),
-    ("LaterVersion", r"^(either version [0-9]+ of the license )?or at your option any later version"),
+    ("Lgpl3Ref", r"\bgnu lesser general public license (as published by the free software foundation )?(either )?(version |v)3\b"),
+    ("Lgpl21Ref", r"\bgnu lesser general public license (as published by the free software foundation )?(either )?(version |v)2 1\b"),
+    ("Agpl3Ref", r"\bgnu affero general public license (as published by the free software foundation )?(either )?(version |v)3\b"),
+    ("Gpl3Ref", r"\bgnu general public license (as published by the free software foundation )?(either )?(version |v)3\b"),
+    ("Gpl2Ref", r"\bgnu general public license (as published by the free software foundation )?(either )?(version |v)2\b"),
+    ("GplAnyRef", r"\bgnu (lesser |affero )?general public license\b"),
+    ("LaterVersion", r"\bor (at your option )?any later version\b|\bor later\b"),
     ("BsdSource", r"redistributions of source code must retain the above copyright notice"),
     ("BsdBinary", r"redistributions in binary form must reproduce the above copyright notice"),
-    ("BsdNames", r"neither the name of .* may be used to endorse or promote products"),
+    ("BsdNames", r"\bneither the names? of [a-z0-9 ]*may be used to endorse or promote products\b"),
     ("BsdRef", r"\b(released|licensed|distributed) under the (terms of the )?bsd license\b"),
     ("Mpl2Ref", r"\bmozilla public license (version |v )?2 0\b"),
     ("CcByNcSa4Ref", r"\b(cc by nc sa 4 0|creative commons attribution noncommercial sharealike 4 0)\b"),
@@ -40,30 +41,30 @@ SENTENCES = [
     ("CcBy4Ref", r"\b(cc by 4 0|creative commons attribution 4 0)\b"),
     ("Cc0Ref", r"\b(cc0 1 0|cc0)\b"),
     ("Unlicense", r"free and unencumbered software released into the public domain"),
-    ("AsIs", r"the software is provided as is"),
+    ("AsIs", r"\b(the|this) software is provided (by [a-z0-9 ]*)?as is\b"),
     ("AllRights", r"\ball rights reserved\b"),
-    ("SpdxLine", r"^spdx license identifier "),
-    ("UnknownLicence", r"\blicen[sc]ed? under\b"),
+    ("SpdxLine", r"\bspdx license identifier\b"),
+    ("UnknownLicence", r"\blicen[sc]ed? under\b"),  # counts only where a sentence holds nothing else
 ]
 # Licence names and the sequences of identifiers that show them, in the order in which they are tried.
 RULES = [
     ("Apache-2.0", ",ApacheRef2,(ApacheNotice,)?(ApacheLink2,)?(ApacheWarranty,)?"),
     ("Apache-2.0", ",(ApacheNotice,)?ApacheLink2,(ApacheWarranty,)?"),
-    ("MIT", ",MitGrant,(MitNotice,)?(AsIs,)?"),
+    ("MIT", ",(MitRef,)?MitGrant,(MitNotice,)?(AsIs,)?"),
     ("MIT", ",MitRef,(AsIs,)?"),
     ("ISC", ",IscGrant,(AsIs,)?"),
-    ("BSD-3-Clause", ",BsdSource,BsdBinary,BsdNames,(AsIs,)?"),
-    ("BSD-2-Clause", ",BsdSource,BsdBinary,(AsIs,)?"),
+    ("BSD-3-Clause", ",(AllRights,)?BsdSource,BsdBinary,BsdNames,(AsIs,)?"),
+    ("BSD-2-Clause", ",(AllRights,)?BsdSource,BsdBinary,(AsIs,)?"),
     ("BSD", ",BsdRef,"),
-    ("AGPL-3.0-or-later", ",Agpl3Ref,LaterVersion,"),
-    ("AGPL-3.0", ",Agpl3Ref,"),
-    ("LGPL-3.0", ",Lgpl3Ref,(LaterVersion,)?"),
-    ("LGPL-2.1", ",Lgpl21Ref,(LaterVersion,)?"),
-    ("GPL-3.0-or-later", ",Gpl3Ref,LaterVersion,"),
-    ("GPL-3.0", ",Gpl3Ref,"),
-    ("GPL-2.0-or-later", ",Gpl2Ref,LaterVersion,"),
-    ("GPL-2.0", ",Gpl2Ref,"),
-    ("GPL", ",GplAnyRef,(LaterVersion,)?"),
+    ("AGPL-3.0-or-later", ",Agpl3Ref,LaterVersion,(GplAnyRef,)*"),
+    ("AGPL-3.0", ",Agpl3Ref,(GplAnyRef,)*"),
+    ("LGPL-3.0", ",Lgpl3Ref,(LaterVersion,)?(GplAnyRef,)*"),
+    ("LGPL-2.1", ",Lgpl21Ref,(LaterVersion,)?(GplAnyRef,)*"),
+    ("GPL-3.0-or-later", ",Gpl3Ref,LaterVersion,(GplAnyRef,)*"),
+    ("GPL-3.0", ",Gpl3Ref,(GplAnyRef,)*"),
+    ("GPL-2.0-or-later", ",Gpl2Ref,LaterVersion,(GplAnyRef,)*"),
+    ("GPL-2.0", ",Gpl2Ref,(GplAnyRef,)*"),
+    ("GPL", ",GplAnyRef,(LaterVersion,|GplAnyRef,)*"),
     ("MPL-2.0", ",Mpl2Ref,"),
     ("CC-BY-NC-SA-4.0", ",CcByNcSa4Ref,"),
     ("CC-BY-NC-ND-4.0", ",CcByNcNd4Ref,"),
@@ -72,35 +73,42 @@ RULES = [
     ("CC-BY-4.0", ",CcBy4Ref,"),
     ("CC0-1.0", ",Cc0Ref,"),
     ("Unlicense", ",Unlicense,"),
-    ("SPDX", ",SpdxLine,"),
     ("Proprietary", ",AllRights,"),
     ("Unknown", ",UnknownLicence,"),
 ]
 # A sentence without one of these is no licence sentence; they keep the rules off all other text.
 GATE = r"(?i)licen[sc]e|permission|redistribution|copyright|warrant|software|public domain|rights reserved|creative commons|\bcc0\b|\bcc[ -]by\b|later version|neither the name"
-SENTENCE_END = r"([.;!?])[ \t\r]+"
+# A sentence ends at its mark or at a line without letters and figures.
+SENTENCE_END = r"([.;!?])[ \t\r\n]+|\n[^A-Za-z0-9\n]*\n"
+CUT = "\x01"
+SPDX = r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?: (?:AND|OR|WITH) [A-Za-z0-9.+-]+)*)"
+ANY = "|".join(f"(?:{p})" for _, p in SENTENCES)
 
 
-def identifier(sentence: str, engine: str) -> str:
-    """SQL that maps a normalised sentence to its identifier, empty for none."""
-    test = {"spark": "({x} RLIKE '{p}')", "duckdb": "regexp_matches({x}, '{p}')"}[engine]
-    quote = (lambda p: p.replace("\\", "\\\\")) if engine == "spark" else (lambda p: p)
-    cases = " ".join(f"WHEN {test.format(x=sentence, p=quote(p))} THEN '{name}'" for name, p in SENTENCES)
-    return f"CASE {cases} ELSE '' END"
+def _quoted(pattern: str, engine: str) -> str:
+    return pattern.replace("\\", "\\\\") if engine == "spark" else pattern
+
+
+def identifier(found: str, engine: str) -> str:
+    """SQL that names the licence sentence that a match is."""
+    test = {"spark": "({x} RLIKE '^(?:{p})$')", "duckdb": "regexp_full_match({x}, '{p}')"}[engine]
+    return "CASE " + " ".join(f"WHEN {test.format(x=found, p=_quoted(p, engine))} THEN '{name}'" for name, p in SENTENCES) + " END"
 
 
 def scan(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with ``_identifiers`` (comma-joined, in text order) and ``_licences`` (names in the order of the rules, each once).
+    """``documents`` with ``_identifiers`` (comma-joined, in text order) and ``_licences`` (names in the order of the rules, each
+    once, and then those of SPDX lines).
 
     Null, empty and licence-free texts have neither. All rows and columns stay, repeated rows and ids too;
     a text of any length is read whole.
     """
-    quoted = GATE.replace("\\", "\\\\")
-    end = SENTENCE_END.replace("\\", "\\\\")
-    sentences = f"filter(split(regexp_replace(`{text}`, '{end}', '$1\\n'), '\\n', -1), s -> s RLIKE '{quoted}')"
+    quote = lambda p: _quoted(p, "spark")
+    sentences = f"filter(split(regexp_replace(`{text}`, '{quote(SENTENCE_END)}', '$1\\u0001'), '\\u0001', -1), s -> s RLIKE '{quote(GATE)}')"
     normal = f"transform({sentences}, s -> trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ')))"
-    found = f"filter(transform({normal}, s -> {identifier('s', 'spark')}), i -> i <> '')"
-    out = documents.withColumn("_identifiers", F.expr(f"CASE WHEN `{text}` RLIKE '{quoted}' THEN array_join({found}, ',') ELSE '' END"))
+    own = f"transform(regexp_extract_all(n, '{quote(ANY)}', 0), m -> {identifier('m', 'spark')})"
+    known = "CASE WHEN exists(i, x -> x <> 'UnknownLicence') THEN filter(i, x -> x <> 'UnknownLicence') ELSE slice(i, 1, 1) END"
+    found = f"flatten(transform(transform({normal}, n -> {own}), i -> {known}))"
+    out = documents.withColumn("_identifiers", F.expr(f"CASE WHEN `{text}` RLIKE '{quote(GATE)}' THEN array_join({found}, ',') ELSE '' END"))
     # Between two identifiers a rule needs a comma of its own, so the sequence is held with commas around.
     left = F.concat(F.lit(","), F.col("_identifiers"), F.lit(","))
     named = []
@@ -108,7 +116,9 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     for k, (name, pattern) in enumerate(RULES):
         out = out.withColumn(f"_rule_{k}", F.col("_left").rlike(pattern)).withColumn("_left", F.regexp_replace("_left", pattern, ","))
         named.append(F.when(F.col(f"_rule_{k}"), F.lit(name)))
-    out = out.withColumn("_licences", F.array_join(F.array_distinct(F.array_compact(F.array(*named))), ","))
+    spdx = F.expr(f"CASE WHEN contains(`{text}`, 'SPDX-License-Identifier:') THEN split(array_join(regexp_extract_all(`{text}`, '{quote(SPDX)}', 1), ' OR '), ' (?:AND|OR|WITH) ') ELSE array() END")
+    names = F.array_distinct(F.concat(F.array_compact(F.array(*named)), F.coalesce(F.filter(spdx, lambda x: x != ""), F.array().cast("array<string>"))))
+    out = out.withColumn("_licences", F.array_join(names, ","))
     return out.drop("_left", *[f"_rule_{k}" for k in range(len(RULES))])
 
 
@@ -121,25 +131,27 @@ def report(documents: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     """The same in DuckDB SQL."""
-    steps = ["s0 AS (SELECT doc_id, identifiers, ',' || identifiers || ',' AS rest FROM ids)"]
+    steps = ["s0 AS (SELECT doc_id, text, identifiers, ',' || identifiers || ',' AS rest FROM ids)"]
     for k, (_, pattern) in enumerate(RULES):
         steps.append(f"s{k + 1} AS (SELECT * EXCLUDE (rest), regexp_matches(rest, '{pattern}') AS r{k}, regexp_replace(rest, '{pattern}', ',', 'g') AS rest FROM s{k})")
     names: dict[str, list[int]] = {}
     for k, (name, _) in enumerate(RULES):
         names.setdefault(name, []).append(k)
     listed = ", ".join(f"CASE WHEN {' OR '.join(f'r{k}' for k in ks)} THEN '{name}' END" for name, ks in names.items())
+    cut = f"string_split(regexp_replace(coalesce(text, ''), '{SENTENCE_END}', '\\1' || chr(1), 'g'), chr(1))"
     return f"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '{SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10))) AS s,
-    generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '{SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10)), 1) AS k
-  FROM documents
-), normal AS (
-  SELECT doc_id, k, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS n FROM lines WHERE regexp_matches(s, '{GATE}')
-), found AS (SELECT doc_id, k, {identifier('n', 'duckdb')} AS i FROM normal),
-ids AS (
-  SELECT d.doc_id, coalesce(f.identifiers, '') AS identifiers
-  FROM documents d LEFT JOIN (SELECT doc_id, string_agg(i, ',' ORDER BY k) AS identifiers FROM found WHERE i <> '' GROUP BY 1) f USING (doc_id)
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS text FROM documents), sentences AS (
+  SELECT d, unnest({cut}) AS s, generate_subscripts({cut}, 1) AS k FROM docs
+), matched AS (
+  SELECT d, k, regexp_extract_all(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), '{ANY}') AS ms FROM sentences WHERE regexp_matches(s, '{GATE}')
+), each_one AS (SELECT d, k, unnest(ms) AS m, generate_subscripts(ms, 1) AS j FROM matched
+), found AS (SELECT d, k, j, {identifier('m', 'duckdb')} AS i FROM each_one
+), kept AS (SELECT * FROM found f WHERE i <> 'UnknownLicence' OR j = (SELECT min(j) FROM found g WHERE g.d = f.d AND g.k = f.k) AND NOT EXISTS (SELECT 1 FROM found g WHERE g.d = f.d AND g.k = f.k AND g.i <> 'UnknownLicence')
+), ids AS (
+  SELECT docs.doc_id, docs.text, coalesce(f.identifiers, '') AS identifiers
+  FROM docs LEFT JOIN (SELECT d, string_agg(i, ',' ORDER BY k, j) AS identifiers FROM kept GROUP BY 1) f USING (d)
 ), {", ".join(steps)}
 SELECT doc_id, CASE WHEN identifiers = '' THEN 0 ELSE len(string_split(identifiers, ',')) END::BIGINT AS n_sentences, identifiers,
-  coalesce(array_to_string(list_filter([{listed}], lambda x: x IS NOT NULL), ','), '') AS licences
-FROM s{len(RULES)}"""
+  array_to_string(list_filter(names, lambda x, n: list_position(names, x) = n), ',') AS licences
+FROM (SELECT *, list_concat(list_filter([{listed}], lambda x: x IS NOT NULL),
+  list_filter(string_split_regex(array_to_string(regexp_extract_all(text, '{SPDX}', 1), ' OR '), ' (?:AND|OR|WITH) '), lambda x: x <> '')) AS names FROM s{len(RULES)})"""

@@ -580,6 +580,71 @@ def test_boosted_trees_as_sql(spark):
     assert math.isfinite(bounds[0]) and bounds[1:] == [math.inf] * 3
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a
+copy of this software and associated documentation files (the "Software"), to
+deal in the Software without restriction.
+
+The above copyright notice and this
+permission notice shall be included in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND."""
+BSD_TEXT = """Copyright (c) 2020, Someone. All rights reserved.
+
+Redistribution and use in source and binary forms are permitted provided that:
+
+* Redistributions of source code must retain the above copyright
+  notice, this list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above
+  copyright notice.
+
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS
+IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version {v} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful. See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice appear in all copies."""
+APACHE_HEADER = """ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+
+
+def test_usual_licence_texts_are_known_wrapped_and_in_one_line(spark):
+    one_line = lambda t: re.sub(r"[\s#*]+", " ", t)
+    texts = [(MIT_TEXT, "MIT"), (BSD_TEXT, "BSD-3-Clause"), (GPL_HEADER.format(v=3), "GPL-3.0-or-later"), (GPL_HEADER.format(v=2), "GPL-2.0-or-later"), (ISC_TEXT, "ISC"), (APACHE_HEADER, "Apache-2.0")]
+    cases = [(f, name) for t, name in texts for f in (t, one_line(t), t.replace("\n", "\r\n"), "Some text before.\n\n" + t + "\n\nSome text after.")]
+    cases += [
+        ("Dual-licensed under the MIT license or the Apache License, Version 2.0.", "Apache-2.0,MIT"), ("// SPDX-License-Identifier: Apache-2.0\ncode", "Apache-2.0"),
+        ("/* SPDX-License-Identifier: (MIT OR GPL-2.0-only) */\n# SPDX-License-Identifier: MIT", "MIT,GPL-2.0-only"), ("SPDX-License-Identifier:", ""), (MIT_TEXT + "\n\n" + ISC_TEXT, "MIT,ISC"),
+        ("GNU Lesser General Public License, version 2.1 or later", "LGPL-2.1"), ("Licensed under the Foo terms. Licensed under the MIT License.", "MIT,Unknown"), ("sooner or later it will rain", ""),
+    ]
+    got = {r.doc_id: r.licences for r in licences.report(documents(spark, [(k, t) for k, (t, _) in enumerate(cases)])).collect()}
+    assert [(cases[k][0], got[k]) for k in range(len(cases))] == [(t, name) for t, name in cases]
+
+
 def test_licences(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy. The above copyright notice and this permission notice shall be included. The software is provided \"as is\"."
     bsd = "Redistributions of source code must retain the above copyright notice.\nRedistributions in binary form must reproduce the above copyright notice.\nThe software is provided as is."
