@@ -1,14 +1,14 @@
 """Personal data in whole texts, by SQL functions alone.
 
 Base spans follow fixed patterns and checks. Beyond them, generators of high recall propose spans (written-out
-addresses, runs of digits under any separators), the same run once for each kind it could be.
-Boosted trees score a proposal on its format and its surroundings. Their teacher are the base rules, read on the
-proposal as it would be written plainly (``PLAIN``). A threshold per kind, calibrated on documents apart from training
-and on proposals that touch no base span, selects what is added.
+addresses, runs of digits under any separators, spelt-out or bracketed quads), the same run once for each kind it could be.
+Boosted trees, grown for each kind by itself until their loss on documents apart stops falling, score a proposal on its format and its
+surroundings. Their teacher are the base rules, read on the proposal as it would be written plainly (``PLAIN``). A threshold
+per kind, calibrated on other documents apart from training and on proposals that touch no base span, selects what is added.
 
 Features are whole numbers of few values, so all proposals of a corpus reduce to at most ``CELLS``
-counted cells, which is all that training sees of it. The trees are evaluated as one SQL expression. Every
-document is read in its own row; nothing is shuffled but the cells.
+counted cells, which is all that training sees of it, and the trees are evaluated on the cells: a proposal is added if its
+cell is among those that pass. Every document is read in its own row; nothing is shuffled but the cells.
 """
 
 from __future__ import annotations
@@ -41,23 +41,26 @@ CHECKS = {
 PROPOSALS = {
     "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|[(\\[] ?at ?[)\\]]) ?[A-Za-z0-9-]++(?:(?:\\.| ?[(\\[] ?dot ?[)\\]] ?)[A-Za-z0-9-]++)*+",
     "digits": r"(?<![0-9])\\+?\\(?[0-9]++(?:[ ().-]{1,3}+[0-9]++)*+",
+    "quads": r"(?<![0-9])[0-9]{1,3}(?: ?[(\\[]? ?(?:\\.|dot) ?[)\\]]? ?[0-9]{1,3}){3}(?![0-9])",
 }
-PROPOSED = {"address": ["email"], "digits": ["ip", "card", "phone"]}
-PROPOSAL_GATES = {"address": r"_x rlike '@|[(\\[] ?at ?[)\\]]'", "digits": r"_x rlike '[0-9](?:[ ().-]{0,3}+[0-9]){5}'"}
+PROPOSED = {"address": ["email"], "digits": ["card", "phone"], "quads": ["ip"]}
+PROPOSAL_GATES = {"address": r"_x rlike '@|[(\\[] ?at ?[)\\]]'", "digits": r"_x rlike '[0-9](?:[ ().-]{0,3}+[0-9]){5}'", "quads": r"_x rlike '[0-9] ?[(\\[]? ?(?:\\.|dot) ?[)\\]]? ?[0-9]'"}
 
 # Whether a proposal p passes the base check of its kind once it is written plainly: signs spelt out, other separators, national numbers.
 _AT, _DOT = r" ?[(\\[] ?at ?[)\\]] ?", r" ?[(\\[] ?dot ?[)\\]] ?"
 _PLAIN_DIGITS = "regexp_replace(p.m, '[^0-9]', '')"
 _CARD = f"CASE WHEN length({_PLAIN_DIGITS}) BETWEEN 14 AND 19 AND NOT startswith(p.m, '+') THEN {_LUHN.format(d=_PLAIN_DIGITS)} ELSE false END"
+_QUADS = r"regexp_replace(p.m, '[^0-9]+', '.') rlike '^(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\\.(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])){3}$'"
+VALID = f"CASE p.kind WHEN 0 THEN true WHEN 1 THEN {_QUADS} ELSE {_CARD} END"  # the figures themselves: quads in range, a card's check digit
 _NATIONAL = (
-    r"p.m rlike '^(?:1[ .-]{1,2})?\\(?[2-9][0-9]{2}\\)?[ .-]{1,2}[2-9][0-9]{2}[ .-]{1,2}[0-9]{4}$' OR p.m rlike '^00[1-9][0-9]*(?:[ ().-]{1,3}[0-9]+)+$' "
+    r"p.m rlike '^(?:1[ .-]{1,2})?\\(?[2-9][0-9]{2}\\)?[ .-]{1,2}[2-9][0-9]{2}[ .-]{1,2}[0-9]{4}$' OR p.m rlike '^00[ .-]{0,2}[1-9][0-9]*(?:[ ().-]{1,3}[0-9]+)+$' "
     r"OR p.m rlike '^\\(?0[1-9][0-9]{0,3}\\)?(?:[ .-]{1,2}[0-9]{2,4}){2,4}$' AND NOT p.m rlike '(?:19|20)[0-9]{2}[ .-]{1,2}[01]?[0-9][ .-]|[ .-][01]?[0-9][ .-]{1,2}(?:19|20)[0-9]{2}'"
 )
 PLAIN = {
     "email": rf"regexp_replace(regexp_replace(p.m, '{_AT}', '@'), '{_DOT}', '.') rlike '^[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\\.)+[A-Za-z]{{2,}}$'",
-    "ip": "false",  # written out by no generator
-    "card": _CARD,
-    "phone": rf"length({_PLAIN_DIGITS}) BETWEEN 10 AND 15 AND NOT ({_CARD}) AND NOT p.m rlike '^[0-9]+(?:\\.[0-9]+){{3}}$' AND (startswith(p.m, '+') OR {_NATIONAL} OR p.pre rlike '(?i)(?:phone|tel|call|fax|mobile)[^0-9]*$')",
+    "ip": "p.valid",
+    "card": "p.valid",
+    "phone": rf"length({_PLAIN_DIGITS}) BETWEEN 10 AND 15 AND NOT p.valid AND NOT p.m rlike '^[0-9]+(?:\\.[0-9]+){{3}}$' AND (startswith(p.m, '+') OR {_NATIONAL} OR p.pre rlike '(?i)(?:phone|tel|call|fax|mobile)[^0-9]*$')",
 }
 
 # Features of a proposal p (kind, m, pre, post), each with its number of values.
@@ -73,10 +76,11 @@ FEATURES = {
     "before": (r"CASE WHEN p.pre = '' OR p.pre rlike '\\s$' THEN 0 WHEN p.pre rlike '[A-Za-z0-9]$' THEN 1 ELSE 2 END", 3),
     "after": (r"CASE WHEN p.post = '' OR p.post rlike '\\s' THEN 0 WHEN p.post rlike '[A-Za-z0-9]' THEN 1 ELSE 2 END", 3),
     "context": (r"CASE WHEN p.pre rlike '(?i)mail|contact' THEN 1 WHEN p.pre rlike '(?i)phone|tel|call|fax|mobile' THEN 2 WHEN p.pre rlike '(?i)card|visa|account|iban' THEN 3 WHEN p.pre rlike '(?i)\\bip\\b|host|server|addr' THEN 4 ELSE 0 END", 5),
+    "valid": ("CASE WHEN p.valid THEN 1 ELSE 0 END", 2),
 }
-CELLS = int(np.prod([n for _, n in FEATURES.values()])) * 4  # values of all features, training and calibration, free or not
+CELLS = int(np.prod([n for _, n in FEATURES.values()])) * 6  # values of all features; for training, stopping and calibration; free or not
 
-TREES, RATE, PRECISION = 16, 0.5, 0.9
+TREES, PATIENCE, RATE, PRECISION = 400, 15, 0.5, 0.9  # trees of a kind at most, and rounds without gain after which no more are grown
 
 
 def _walk(pattern: str, gate: str) -> str:
@@ -123,12 +127,16 @@ def proposals(documents: DataFrame) -> DataFrame:
     free = "NOT exists(_base, b -> b.s < p.e AND p.s < b.e)"
     plain = " ".join(f"WHEN {k} THEN {PLAIN[kind]}" for k, kind in enumerate(KINDS))
     agreed = f"CASE WHEN array_contains(_base, named_struct('s', p.s, 'k', p.kind, 'e', p.e)) THEN 1 WHEN {free} AND CASE p.kind {plain} END THEN 1 ELSE 0 END"
-    listed = f"transform(concat({', '.join(parts)}), p -> named_struct('s', p.s, 'e', p.e, {features}, 'free', CASE WHEN {free} THEN 1 ELSE 0 END, 'label', {agreed}))"
+    judged = f"transform(concat({', '.join(parts)}), p -> named_struct('s', p.s, 'e', p.e, 'm', p.m, 'pre', p.pre, 'post', p.post, 'kind', p.kind, 'valid', {VALID}))"
+    listed = f"transform({judged}, p -> named_struct('s', p.s, 'e', p.e, {features}, 'free', CASE WHEN {free} THEN 1 ELSE 0 END, 'label', {agreed}))"
     return out.withColumn("_proposed", F.expr(listed)).drop(*[f"_z_{name}" for name in PROPOSED])
 
 
-def boost(cells: np.ndarray, positive: np.ndarray, count: np.ndarray) -> list[tuple]:
-    """Trees of two splits over feature codes: (feature, bound, (feature, bound, low, high), (feature, bound, low, high)), below or at the bound going low."""
+def boost(cells: np.ndarray, positive: np.ndarray, count: np.ndarray, apart: tuple | None = None) -> list[tuple]:
+    """Trees of two splits over feature codes: (feature, bound, (feature, bound, low, high), (feature, bound, low, high)), below or at the bound going low.
+
+    ``apart``, further counted cells, says when to stop: only trees up to the least loss on them are kept.
+    """
     score, trees = np.zeros(len(cells)), []
     splits = [(f, b) for f, (_, n) in enumerate(FEATURES.values()) for b in range(n - 1)]
 
@@ -141,7 +149,8 @@ def boost(cells: np.ndarray, positive: np.ndarray, count: np.ndarray) -> list[tu
             found = max(found, (gain, -f, -b))
         return -found[1], -found[2]
 
-    for _ in range(TREES):
+    kept, least, held = 0, np.inf, np.zeros(0 if apart is None else len(apart[0]))
+    while len(trees) < TREES and (apart is None or len(trees) < kept + PATIENCE):
         p = 1 / (1 + np.exp(-score))
         g, h = positive - count * p, count * p * (1 - p)
         f, b = best(np.ones(len(cells), bool), g, h)
@@ -155,7 +164,12 @@ def boost(cells: np.ndarray, positive: np.ndarray, count: np.ndarray) -> list[tu
                 leaves.append(value)
             sides.append((f2, b2, *leaves))
         trees.append((f, b, *sides))
-    return trees
+        if apart is not None:
+            held = held + evaluate(trees[-1:], apart[0])
+            loss = float((apart[2] * np.logaddexp(0, held) - apart[1] * held).sum())
+            if loss < least - 1e-6 * apart[2].sum():
+                kept, least = len(trees), loss
+    return trees if apart is None else trees[:kept]
 
 
 def evaluate(trees: list[tuple], cells: np.ndarray) -> np.ndarray:
@@ -166,10 +180,20 @@ def evaluate(trees: list[tuple], cells: np.ndarray) -> np.ndarray:
     return score
 
 
-def score_sql(trees: list[tuple]) -> str:
-    names = list(FEATURES)
-    leaf = lambda x: f"CASE WHEN p.{names[x[0]]} <= {x[1]} THEN {x[2]!r}D ELSE {x[3]!r}D END"
-    return " + ".join(f"CASE WHEN p.{names[f]} <= {b} THEN {leaf(low)} ELSE {leaf(high)} END" for f, b, low, high in trees) or "0D"
+def cell_numbers(cells: np.ndarray) -> np.ndarray:
+    """One whole number for each cell, its features as digits."""
+    out = np.zeros(len(cells), np.int64)
+    for f, (_, n) in enumerate(FEATURES.values()):
+        out = out * n + cells[:, f].astype(np.int64)
+    return out
+
+
+def number_sql() -> str:
+    """The number of a proposal's cell."""
+    out = "0"
+    for name, (_, n) in FEATURES.items():
+        out = f"({out} * {n} + p.{name})"
+    return out
 
 
 def thresholds(score: np.ndarray, kind: np.ndarray, positive: np.ndarray, count: np.ndarray) -> list[float]:
@@ -185,20 +209,30 @@ def thresholds(score: np.ndarray, kind: np.ndarray, positive: np.ndarray, count:
     return out
 
 
-def fit(proposed: DataFrame) -> tuple[list[tuple], list[float]]:
-    """Trees and thresholds from all proposals, a fifth of the documents kept for calibration; only free ones can be added, so only they set a threshold."""
+def fit(proposed: DataFrame) -> list[int]:
+    """The numbers of the cells that pass: trees and thresholds from all proposals, a fifth of the documents kept for stopping and a fifth
+    for calibration; only free ones can be added, so only they set a threshold."""
     names = list(FEATURES)
-    apart = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0).cast("int").alias("_apart")
+    part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5
+    apart = F.when(part == 0, 2).when(part == 1, 1).otherwise(0).alias("_apart")
     rows = proposed.filter("size(_proposed) > 0").select(apart, F.explode("_proposed").alias("p")).groupBy("_apart", *[F.col(f"p.{n}").alias(f"f_{n}") for n in [*names, "free"]])
     counted = rows.agg(F.sum("p.label").alias("positive"), F.count(F.lit(1)).alias("count")).collect()  # at most CELLS rows
     if not counted:
-        return [], [float("inf")] * len(KINDS)
+        return []
     data = np.array(sorted(tuple(r) for r in counted), float)
-    train = data[data[:, 0] == 0]
-    held = data[data[:, 0] == 1] if (data[:, 0] == 1).any() else train
-    trees = boost(train[:, 1:-3], train[:, -2], train[:, -1]) if len(train) else []
-    held = held[held[:, -3] == 1]
-    return trees, thresholds(evaluate(trees, held[:, 1:-3]), held[:, 1], held[:, -2], held[:, -1])
+    passing: set[int] = set()
+    for k in range(len(KINDS)):
+        own = data[data[:, 1] == k]
+        train, stop, held = (own[own[:, 0] == a] for a in (0, 1, 2))
+        train = train if len(train) else own
+        stop, held = (x if len(x) else train for x in (stop, held))
+        if not len(own):
+            continue
+        trees = boost(train[:, 1:-3], train[:, -2], train[:, -1], (stop[:, 1:-3], stop[:, -2], stop[:, -1]))
+        held = held[held[:, -3] == 1]
+        bound = thresholds(evaluate(trees, held[:, 1:-3]), held[:, 1], held[:, -2], held[:, -1])[k]
+        passing |= set(cell_numbers(own[evaluate(trees, own[:, 1:-3]) >= bound][:, 1:-3]).tolist())
+    return sorted(passing)
 
 
 def find(documents: DataFrame) -> DataFrame:
@@ -208,10 +242,8 @@ def find(documents: DataFrame) -> DataFrame:
     An added span overlaps no base span. Nothing is added where no kind reaches its threshold, as in an empty table.
     """
     ready = proposals(base_spans(documents))
-    trees, bounds = fit(ready)
-    names = ", ".join(f"'{b!r}'" for b in bounds)
-    bound = f"cast(get(array({names.replace('inf', 'Infinity')}), p.kind) AS double)"
-    chosen = f"filter(_proposed, p -> {score_sql(trees)} >= {bound} AND p.free = 1)"
+    passing = ", ".join(map(str, fit(ready))) or "-1"
+    chosen = f"filter(_proposed, p -> p.free = 1 AND {number_sql()} IN ({passing}))"
     added = f"transform({chosen}, p -> named_struct('s', p.s, 'k', p.kind, 'e', p.e))"
     return ready.withColumn("_spans", F.expr(f"array_sort(array_distinct(concat(_base, {added})))")).drop("_proposed", "_x")
 

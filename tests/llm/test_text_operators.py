@@ -564,7 +564,31 @@ def test_written_out_forms_are_added(spark):
 KIND_OF = {0: "email", 1: "phone"}
 
 
-def test_boosted_trees_as_sql(spark):
+def check_digit(digits):
+    return next(c for c in "0123456789" if luhn(digits + c))
+
+
+def test_every_kind_adds_its_written_out_forms_and_no_decoy(spark):
+    rng = np.random.default_rng(4)
+    rows, planted, decoys = [], set(), set()
+    for i in range(900):
+        a, b, c = rng.integers(200, 999, 3).tolist()
+        fifteen = f"4{a}{b}{c}{rng.integers(10000, 99999)}"
+        good = fifteen + check_digit(fifteen)
+        bad = fifteen + str((int(good[-1]) + 1 + i % 8) % 10)
+        dotted = lambda x: ".".join(x[k : k + 4] for k in range(0, 16, 4))
+        own = [
+            ("email", f"jo{a} (at) ex{b} (dot) com"), ("phone", f"{a}-{b}-{c:04d}"), ("phone", f"00 44 20 {a} {b}8"), ("card", dotted(good)), ("ip", f"{a % 250}[.]{b % 250}[.]{c % 250}[.]{i % 250}"), ("ip", f"{a % 250} dot {b % 250} dot {c % 250} dot {i % 250}"),
+            (None, f"noon{a} (at) hall{b}"), (None, dotted(bad)), (None, f"20{a % 90 + 10}-01-{b % 19 + 10} {c % 14 + 10}"), (None, f"{a}{b}{c}{a}"), (None, f"{a + 256}[.]{b % 250}[.]{c % 250}[.]{i % 250}"),
+        ]
+        kind, form = own[i % len(own)]
+        rows.append((i, f"so {form} then"))
+        (planted if kind else decoys).add((i, f"{kind}:3:{3 + len(form)}"))
+    got = {(r.doc_id, s) for r in personal.report(documents(spark, rows)).collect() for s in r.spans.split(",") if s}
+    assert planted <= got and not {i for i, _ in decoys} & {i for i, _ in got}
+
+
+def test_boosted_trees_and_their_cells(spark):
     rng = np.random.default_rng(5)
     levels = [n for _, n in personal.FEATURES.values()]
     cells = np.unique(np.stack([rng.integers(0, n, 300) for n in levels], 1), axis=0).astype(float)
@@ -574,8 +598,11 @@ def test_boosted_trees_as_sql(spark):
     score = personal.evaluate(trees, cells)
     assert ((score > 0) == (positive > 0)).mean() > 0.95
     frame = spark.createDataFrame([tuple(map(int, c)) for c in cells], ", ".join(f"{n} int" for n in personal.FEATURES))
-    got = [r[0] for r in frame.select(F.struct("*").alias("p")).select(F.expr(personal.score_sql(trees))).collect()]
-    assert np.allclose(got, score)
+    got = [r[0] for r in frame.select(F.struct("*").alias("p")).select(F.expr(personal.number_sql())).collect()]
+    assert got == personal.cell_numbers(cells).tolist() and len(set(got)) == len(cells)
+    stopped = personal.boost(cells[::2], positive[::2], count[::2], (cells[1::2], positive[1::2], count[1::2]))
+    loss = lambda n: float((count[1::2] * np.logaddexp(0, x := personal.evaluate(stopped[:n], cells[1::2])) - positive[1::2] * x).sum())
+    assert 0 < len(stopped) < personal.TREES and loss(len(stopped)) == min(loss(n) for n in range(len(stopped) + 1))
     bounds = personal.thresholds(score, cells[:, 0], positive, count)
     assert math.isfinite(bounds[0]) and bounds[1:] == [math.inf] * 3
 
