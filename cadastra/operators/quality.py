@@ -39,7 +39,7 @@ def key_checks(df: DataFrame) -> DataFrame:
 
 
 def quality_report(
-    tx: DataFrame, vintages: dict[str, tuple[DataFrame, DataFrame]], anchors: Sequence[tuple[str, str, str, int]], as_of: str, scale: float = 1.6
+    tx: DataFrame, vintages: dict[str, tuple[DataFrame, DataFrame]], anchors: Sequence[tuple[str, str, str, int | Column]], as_of: str, scale: float = 1.6
 ) -> DataFrame:
     """One row per invariant with ok, warn or fail.
 

@@ -34,6 +34,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_OWN_DIRS: dict[str, str] = {}  # by application: of local sessions that name no checkpoint folder
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the checkpoint folder the cluster names.
 
@@ -43,10 +46,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="cadastra-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if context.applicationId not in _OWN_DIRS:
+            _OWN_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="cadastra-")
+        root = _OWN_DIRS[context.applicationId]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

@@ -2,11 +2,14 @@
 
 import datetime as dt
 import json
+import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from cadastra.operators import listings
+from cadastra.session import shared_dir
 from cadastra.sources import readers, writers
 from cadastra.streaming import feeds
 
@@ -139,6 +142,16 @@ def test_editions_are_written_once(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5
 
 
+def test_a_local_session_without_a_shared_folder_gets_one_of_its_own():
+    def bare(master, app="a"):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master=master, applicationId=app))
+
+    one, two, other = (shared_dir(bare("local[2]", app), "x") for app in ("a", "a", "b"))
+    assert os.path.dirname(one) == os.path.dirname(two) != os.path.dirname(other) and one != two
+    with pytest.raises(ValueError):
+        shared_dir(bare("spark://host:7077"), "x")
+
+
 LISTED = "listing_id string, observed_at date, asking_price double, is_off_plan boolean, filed long"
 
 
