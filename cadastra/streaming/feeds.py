@@ -231,7 +231,8 @@ def stream_listing_state(rows: DataFrame, calendar: DataFrame, tracker: ListingT
     """Presence and cuts tracked as scans land, as revisions of rows; ``listing_state`` reads them.
 
     ``rows``: listing_id, observed_at, asking_price, is_off_plan, filed. ``calendar``: ``scan_calendar`` of every scan up to
-    the newest in the feed, a row a scan. Files may come in any order and split. Only with a tracker that lets scans
+    the newest in the feed, a row a scan; a scan it does not name stops the stream, as its place is unknown. Files may
+    come in any order and split. Only with a tracker that lets scans
     go does the feed carry a watermark, ``late`` behind its newest day, and rows behind that are left out.
     """
     tracker = tracker or ListingTracker()
@@ -239,7 +240,9 @@ def stream_listing_state(rows: DataFrame, calendar: DataFrame, tracker: ListingT
     mode = "none" if tracker.keep_days is None else "eventTime"
     if tracker.keep_days is not None:
         given = given.withColumn("scanned", F.col("observed_at").cast("timestamp")).withWatermark("scanned", late)
-    given = given.join(calendar.select("observed_at", "scan_no"), "observed_at")
+    given = given.join(calendar.select("observed_at", "scan_no"), "observed_at", "left")
+    unknown = F.raise_error(F.concat(F.lit("a scan that the calendar does not name: "), F.coalesce(F.col("observed_at").cast("string"), F.lit("undated"))))
+    given = given.withColumn("scan_no", F.coalesce("scan_no", unknown.cast("long")))
     return given.groupBy("listing_id").transformWithStateInPandas(
         statefulProcessor=tracker, outputStructType=LISTING_OUTPUT, outputMode="Append", timeMode=mode)
 

@@ -212,6 +212,11 @@ def test_listing_stream_agrees_with_the_batch(spark, tmp_path, step):
         assert firsts == {("a", 1_000_000.0), ("b", 500_000.0), ("c", 20_000.0)}
 
 
+def test_a_scan_outside_the_calendar_stops_the_stream(spark, tmp_path):
+    with pytest.raises(Exception, match="calendar does not name: 2026-02-01"):
+        tracked(spark, tmp_path, "x", [[("a", D(2026, 2, 1), 1.0, False, 1)]], 1)
+
+
 def test_listing_state_is_let_go_after_its_days(spark, tmp_path):
     rows = listing_rows(1)
     files = [[r for r in rows if r[0] == "a" and r[1] < D(2026, 1, 5)], [("z", D(2026, 3, 1), 1.0, False, 99)], [("a", D(2026, 3, 2), 700_000.0, False, 100)]]
