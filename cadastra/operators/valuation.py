@@ -178,9 +178,6 @@ def with_factors(subjects: DataFrame, levels: DataFrame, months: DataFrame) -> D
 
 def _value_group(subjects: pd.DataFrame, comps: pd.DataFrame) -> pd.DataFrame:
     """Median carried price and number of comparables of each subject of a group; comparables stand once, in order of size."""
-    columns = [*SUBJECT, "psm_value", "comps"]
-    if not len(subjects) or not len(comps):
-        return pd.DataFrame({c: [] for c in columns})
     comps = comps.sort_values("comp_size", kind="stable")
     size, psm, on, month, alike = (comps[c].to_numpy() for c in ("comp_size", "comp_psm", "on", "month", "alike"))
     out, kept = [], []
@@ -199,7 +196,7 @@ def _value_group(subjects: pd.DataFrame, comps: pd.DataFrame) -> pd.DataFrame:
         kept.append(k)
         out.append((middle[(n - 1) // 2] / 2 + middle[n // 2] / 2, n))
     rows = subjects.iloc[kept][SUBJECT].reset_index(drop=True)
-    return rows.assign(psm_value=[v for v, _ in out], comps=[n for _, n in out])[columns]
+    return rows.assign(psm_value=np.array([v for v, _ in out], float), comps=np.array([n for _, n in out], np.int64))
 
 
 def value_subjects(subjects: DataFrame, pool: DataFrame, elasticity: Column, rules: ValuationRules = ValuationRules()) -> DataFrame:

@@ -268,6 +268,10 @@ def test_values_are_medians_of_all_comparables(spark, monkeypatch):
         else:
             assert (b, r, a, when, size) not in got
     assert len(got) > 100
+    strange = asked.withColumn("building_name", F.concat(F.lit("no "), "building_name"))
+    assert valuation.value_subjects(strange, spark.createDataFrame(pool, universe), F.lit(-0.3)).collect() == []
+    early = asked.withColumn("when", F.lit("2020-01-01").cast("date"))
+    assert valuation.value_subjects(early, spark.createDataFrame(pool, universe), F.lit(-0.3)).collect() == []
 
 
 def test_words_are_found_by_their_rarest_trigram(spark):
