@@ -199,14 +199,16 @@ def _value_group(subjects: pd.DataFrame, comps: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(psm_value=np.array([v for v, _ in out], float), comps=np.array([n for _, n in out], np.int64))
 
 
-def value_subjects(subjects: DataFrame, pool: DataFrame, elasticity: Column, rules: ValuationRules = ValuationRules()) -> DataFrame:
+def value_subjects(
+    subjects: DataFrame, pool: DataFrame, elasticity: Column, rules: ValuationRules = ValuationRules(), bare: DataFrame | None = None
+) -> DataFrame:
     """Median carried price (``psm_value``) and number of comparables (``comps``) of subjects with factors.
 
     A comparable is of the same building and rooms, sold in the year before, of like size. Sizes fall in bands as wide as
     the sizes a subject looks at, so a subject finds all of its comparables in two neighbouring bands: every sale goes to two
     groups, every subject to one, and no pair of them is ever a row. Sales alike in date, size and price stand once. A
     group is one tower's sales of like size in the window of the model; its subjects are dealt over as many tasks as
-    they need.
+    they need. ``bare``, the subjects before their factors, is what they are counted from, if given.
     """
     ratio = math.log(rules.size_hi / rules.size_lo) * (1 + 1e-6)
     band = lambda size: F.floor(F.log(size) / F.lit(ratio)).cast("int")
@@ -214,7 +216,7 @@ def value_subjects(subjects: DataFrame, pool: DataFrame, elasticity: Column, rul
     lo, hi = F.lit(rules.size_lo) * F.col("size"), F.lit(rules.size_hi) * F.col("size")
     in_months = lambda date: F.year(date) * 12 + F.month(date)
     asked = subjects.withColumn("_band", band(lo))
-    tasks = asked.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / SUBJECTS_HELD).cast("int").alias("_tasks"))
+    tasks = (subjects if bare is None else bare).withColumn("_band", band(lo)).groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / SUBJECTS_HELD).cast("int").alias("_tasks"))
     asked = asked.join(tasks, group).withColumn("_task", F.pmod(F.xxhash64("when", "size", "area_name"), F.col("_tasks")).cast("int"))
     asked = asked.select(
         *group, "_task", "area_name", "when", "size", "factors", F.unix_date(F.add_months("when", -12)).alias("since"), F.unix_date("when").alias("until"), in_months("when").alias("own_month"),
@@ -250,8 +252,8 @@ def backtest_errors(sales: DataFrame, levels: DataFrame, rules: ValuationRules =
     elasticity = size_elasticity(sales, rules).scalar()
     months = area_month_index(sales, rules)
     held = test.withColumnRenamed("instance_date", "when")
-    subjects = with_factors(held.select(*SUBJECT).distinct(), levels, months)
-    middles = value_subjects(subjects, train, elasticity, rules)
+    subjects = held.select(*SUBJECT).distinct()
+    middles = value_subjects(with_factors(subjects, levels, months), train, elasticity, rules, subjects)
     valued = middles.filter((F.col("comps") >= rules.min_comps) & (F.col("psm_value") > 0))
     value = F.col("psm_value") * F.col("size")
     return held.join(valued, SUBJECT).select(
