@@ -68,6 +68,12 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return as_col(a).cast("double") / F.nullif(as_col(b).cast("double"), F.lit(0.0))
 
 
+def quotient(a: Column | str, b: Column | str) -> Column:
+    """a / b as doubles have it: infinite where b is zero, not a number where both are, so one such row stops no query."""
+    a, b = as_col(a).cast("double"), as_col(b).cast("double")
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
+
+
 def share(a: Column | str, b: Column | str, dp: int = 0) -> Column:
     """100 * a / b, rounded."""
     return half_up(F.lit(100.0) * as_col(a) / F.nullif(as_col(b).cast("double"), F.lit(0.0)), dp)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.functions.numbers import count_where, day, days_before, half_up, mean, ratio
+from cadastra.functions.numbers import count_where, day, days_before, half_up, mean, quotient, ratio
 from cadastra.functions.predicates import is_sale
 from cadastra.operators.quantiles import Pick, order_statistics
 
@@ -87,7 +87,7 @@ def price_cuts(obs: DataFrame, listing: DataFrame, rules: DropRules = DropRules(
     cuts = rows.filter(F.col("seen") & F.col("prev_seen") & (F.col("asking_price") < F.col("prev_price")))
     cuts = cuts.join(listing.select("listing_id", "is_off_plan"), "listing_id")
     amount = F.col("prev_price") - F.col("asking_price")
-    pct = amount / F.col("prev_price")
+    pct = quotient(amount, "prev_price")
     big = (pct >= rules.min_pct) & (F.col("is_off_plan") | (amount >= rules.min_amount))
     ok = big & (F.col("streak") >= rules.min_scans_before)
     if rules.require_later_scan:
@@ -119,7 +119,7 @@ def listing_outcomes(obs: DataFrame, listing: DataFrame, rules: DropRules = Drop
     return rows.select(
         "listing_id", "scans_seen", "first_price", "current_price", "first_seen", "last_seen", "drops",
         F.coalesce("unvalidated", F.lit(0)).alias("unvalidated"), "last_drop", reason.alias("rejected"),
-        half_up((F.col("first_price") - F.col("current_price")) / F.col("first_price"), 6).alias("cumulative_pct"),
+        half_up(quotient(F.col("first_price") - F.col("current_price"), "first_price"), 6).alias("cumulative_pct"),
         F.datediff("last_seen", "first_seen").alias("days_tracked"),
     )
 
@@ -147,14 +147,17 @@ def comparable_psm(tx: DataFrame, as_of: str, rules: DropRules = DropRules()) ->
 
 
 def distress_score(drops: Column, cumulative: Column, days: Column, area_days: Column, gap: Column, slip_months: Column) -> Column:
-    """0 to 100: cuts, depth, time on the market against its area, asking below recorded, completion slip."""
+    """0 to 100: cuts, depth, time on the market against its area, asking below recorded, completion slip.
+
+    Null where no whole number holds it, as for a listing first asked at nothing, whose price rose without bound.
+    """
     score = (
         F.least(F.lit(30.0), drops * 10.0) + F.least(F.lit(25.0), cumulative * 100 * 1.5)
         + F.when(days > area_days * 1.5, F.lit(15.0)).when(days > area_days, F.lit(8.0)).otherwise(F.lit(0.0))
         + F.when(gap < -0.05, F.lit(20.0)).when(gap < 0, F.lit(10.0)).otherwise(F.lit(0.0))
         + F.least(F.lit(10.0), F.coalesce(slip_months, F.lit(0.0)))
     )
-    return half_up(half_up(score, 6)).cast("int")
+    return half_up(half_up(score, 6)).try_cast("int")
 
 
 def validated_drops(
@@ -207,7 +210,7 @@ def listing_inventory(listing: DataFrame, obs: DataFrame, tx: DataFrame, as_of:
     cut = F.col("ask") < F.col("first_price") * 0.98
     grouped = sides.join(listing.select("listing_id", "area_name"), "listing_id").filter(F.col("area_name").isNotNull()).groupBy("area_name").agg(
         F.count(F.lit(1)).alias("active"), mean("ask").alias("avg_ask"), count_where(cut).alias("cut"),
-        half_up(half_up(F.sum(F.when(cut, (F.col("ask") / F.col("first_price") - 1) * 100)), 6) / F.nullif(count_where(cut), F.lit(0)), 1).alias("avg_cut_pct"),
+        half_up(half_up(F.sum(F.when(cut, (quotient("ask", "first_price") - 1) * 100)), 6) / F.nullif(count_where(cut), F.lit(0)), 1).alias("avg_cut_pct"),
     )
     sales = tx.filter(is_sale() & (F.col("instance_date") >= days_before(as_of, 365))).groupBy("area_name").agg(
         F.count(F.lit(1)).alias("sales_12m"))

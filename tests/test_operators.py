@@ -123,6 +123,21 @@ def test_listing_shapes(spark):
     assert obs.filter("listing_id = 'gone' and not seen").count() == 1
 
 
+def test_a_first_price_of_zero_stops_nothing(spark):
+    scans = {"risen": [0.0, 500_000.0, 500_000.0, 500_000.0, 400_000.0], "nothing": [0.0, 0.0, 0.0]}
+    rows = [(n, dt.date(2025, 1, 1 + i), p) for n, prices in scans.items() for i, p in enumerate(prices)]
+    obs = spark.createDataFrame([(*r, True) for r in rows], "listing_id string, observed_at date, asking_price double, seen boolean")
+    flat = spark.createDataFrame([(n, n, "A", "", 100.0, False, dt.date(2025, 1, 1)) for n in scans],
+                                 "listing_id string, project_number string, area_name string, rooms string, area_sqm double, is_off_plan boolean, first_seen_at date")
+    got = {r["listing_id"]: r for r in listings.listing_outcomes(obs, flat).collect()}
+    assert got["risen"]["cumulative_pct"] == float("-inf") and got["risen"]["drops"] == 1 and got["risen"]["rejected"] is None
+    assert np.isnan(got["nothing"]["cumulative_pct"]) and got["nothing"]["rejected"] == "no-validated-drop"
+    tx = spark.createDataFrame([], "trans_group string, meter_sale_price double, project_number string, rooms string, instance_date date")
+    readings_ = spark.createDataFrame([], "project_number string, completion_date date")
+    drop = listings.validated_drops(flat, obs, tx, readings_, "2025-02-01").collect()
+    assert [(r["listing_id"], r["drops"], r["distress_score"]) for r in drop] == [("risen", 1, None)]
+
+
 def test_distress_score(spark):
     row = spark.range(1).select(
         listings.distress_score(F.lit(2), F.lit(0.10), F.lit(100), F.lit(50), F.lit(-0.10), F.lit(3.2)),
