@@ -56,14 +56,14 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     named = {k: f"_g_{i}" for i, k in enumerate(keys)}
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_rows)
     large = sizes.select(*[F.col(k).alias(v) for k, v in named.items()], F.ceil(F.col("_n") / part_rows).cast("int").alias("_parts"))
-    split = df.join(large, [F.col(k).eqNullSafe(F.col(v)) for k, v in named.items()], "left").drop(*named.values())
+    split = df.join(F.broadcast(large), [F.col(k).eqNullSafe(F.col(v)) for k, v in named.items()], "left").drop(*named.values())
     split = split.withColumn("_part", F.pmod(F.xxhash64(*order), F.coalesce("_parts", F.lit(1))).cast("int"))
     held = split.filter(F.col("_parts").isNotNull()).groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
     named = {k: f"_s_{i}" for i, k in enumerate([*keys, "_part"])}
     starts = starts_of(held, keys, "_part", "_size", "_start").select(*[F.col(k).alias(v) for k, v in named.items()], "_start")
     same = [F.col(k).eqNullSafe(F.col(v)) for k, v in named.items()]
     inside = Window.partitionBy(*keys, "_part").orderBy(*order)
-    numbered = split.join(starts, same, "left").withColumn(name, F.coalesce("_start", F.lit(0)) + F.row_number().over(inside))
+    numbered = split.join(F.broadcast(starts), same, "left").withColumn(name, F.coalesce("_start", F.lit(0)) + F.row_number().over(inside))
     return numbered.drop("_parts", "_part", "_start", *named.values())
 
 
