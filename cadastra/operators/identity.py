@@ -190,10 +190,9 @@ def map_area(df: DataFrame, project: DataFrame, known_areas: DataFrame) -> DataF
     )
     names = known_areas.groupBy(F.lower("area_name").alias("_text")).agg(F.min("area_name").alias("_known"))
     linked = project.select("project_number", F.col("area_name").alias("_linked"))
-    joined = (
-        df.withColumn("_text", F.lower(F.trim("area_text")))
-        .join(linked, "project_number", "left").join(names, "_text", "left").join(by_community, "_text", "left")
-    )
+    # Rows without a project would all meet in one task of a plain join.
+    with_project = left_join_keyed(df.withColumn("_text", F.lower(F.trim("area_text"))), linked, "project_number")
+    joined = with_project.join(names, "_text", "left").join(by_community, "_text", "left")
     hit = F.coalesce("_linked", "_known", "_community")
     return joined.select(
         *df.columns, F.coalesce(hit, norm_area("area_text")).alias("mapped_area"), hit.isNotNull().alias("mapped")

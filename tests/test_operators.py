@@ -56,6 +56,31 @@ def test_number_rows_is_dense_for_a_hot_key(spark):
     assert sorted(got[got.k.isna()].n) == list(range(1, 101))
 
 
+@pytest.fixture
+def no_auto_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_number_rows_shuffles_no_row_to_meet_a_large_group(spark, no_auto_broadcast, capsys):
+    df = spark.range(100).select((F.col("id") % 7).alias("k"), "id")
+    grouping.number_rows(df, ["k"], ["id"], "n", part_rows=5).explain()
+    assert capsys.readouterr().out.count("SortMergeJoin") <= 1  # of the parts and their blocks
+
+
+def test_map_area_joins_only_rows_with_a_project(spark, no_auto_broadcast, capsys):
+    rows = spark.createDataFrame([(None, "a"), (None, "Nowhere"), ("1", "Nowhere"), ("9", " b ")], "project_number string, area_text string")
+    project = spark.createDataFrame([("1", "P", "m")], "project_number string, area_name string, master_project string")
+    out = identity.map_area(rows, project, spark.createDataFrame([("A",), ("B",)], "area_name string"))
+    got = {(r["project_number"], r["area_text"]): (r["mapped_area"], r["mapped"]) for r in out.collect()}
+    assert got == {(None, "a"): ("A", True), (None, "Nowhere"): ("Nowhere", False), ("1", "Nowhere"): ("P", True), ("9", " b "): ("B", True)}
+    out.explain()
+    assert "Union" in capsys.readouterr().out
+
+
 TX = "transaction_id string, trans_group string, instance_date date, feed_date date, procedure_name string, reg_type string, property_type string, property_sub_type string, property_usage string, area_name string, building_name string, project_number string, project_name string, rooms string, procedure_area double, actual_worth double, meter_sale_price double, first_seen date, withdrawn_on date"
 
 
