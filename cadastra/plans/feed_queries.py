@@ -216,16 +216,24 @@ def _(t):
 
 # ---- streaming ----
 
-FILE_KEYS = {"lineitem": ["l_shipdate"]}
+FILE_KEYS = {"lineitem": ["l_shipdate", "l_orderkey"]}
+BATCHES = 5
+FILE_ROWS = 1_000_000
+
+
+def _files_a_batch(rows: int) -> int:
+    """Files of a batch, so many that none holds much more than FILE_ROWS rows however large the table."""
+    return max(1, -(-rows // (BATCHES * FILE_ROWS)))
 
 
 def _stream(t, view: str, name: str):
-    """An adapter view with one of its raw tables read as a stream of several files, the dates mixed, one file a batch."""
+    """An adapter view with one of its raw tables read as a stream of five batches, the dates mixed; larger tables land in more files a batch."""
     body = texts(SPARK)[view]
     bound = {raw: t.raw(raw) for raw in RAW if "{" + raw + "}" in body and raw != name}
     path = shared_dir(t.spark, "landed")
-    t.raw(name).repartition(5, F.xxhash64(*FILE_KEYS[name])).write.parquet(path)
-    return t.spark.sql(body, **bound, **{name: feeds.stream_parquet(t.spark, path, RAW[name], files_per_trigger=1)})
+    files = _files_a_batch(t.raw(name).count())
+    t.raw(name).repartition(BATCHES * files, F.xxhash64(*FILE_KEYS[name])).write.parquet(path)
+    return t.spark.sql(body, **bound, **{name: feeds.stream_parquet(t.spark, path, RAW[name], files_per_trigger=files)})
 
 
 def _to_parquet(t, rows, mode: str = "append"):
