@@ -301,7 +301,8 @@ def _(t):
 def _(t):
     """Website rows land as a log of corrections; the held register is read through it, the newest row of a key first."""
     columns = ["tx_key", "instance_date", "feed_date", "actual_worth", "procedure_area", "meter_sale_price"]
-    held = iq.feeds(t).filter(text.feed_of("transaction_id") != "web").select(*columns)
+    # Stored once: the join passes over the held rows twice, and their keys take most of its time.
+    held = materialize(iq.feeds(t).filter(text.feed_of("transaction_id") != "web").select(*columns), "held-feeds")
     web = _stream(t, "registration_id", "lineitem").filter(F.size(F.split("transaction_id", "-")) == 3).select(
         text.tx_key("transaction_id", "trans_group").alias("tx_key"), *columns[1:])
     path = shared_dir(t.spark, "corrections")
