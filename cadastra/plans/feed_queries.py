@@ -23,6 +23,7 @@ TITLE = "upper(substr(area_name,1,1)) || lower(substr(area_name,2))"
 
 def _website_csv(t):
     """Registrations written as a website export: its headers, text values, day-month-year dates."""
+    # Packed, as text takes ten times the room of the table; a packed file is read by one task, so its rows are bounded.
     path = shared_dir(t.spark, "website")
     c = F.col
     t.registration_id.select(
@@ -31,7 +32,7 @@ def _website_csv(t):
         c("property_type").alias("PROP_TYPE_EN"), F.upper("area_name").alias("AREA_EN"), F.concat("project_number", F.lit(".00")).alias("PROJECT_NUMBER"),
         c("project_name").alias("PROJECT_EN"), F.regexp_replace("rooms", " B/R", " bed rooms+hall").alias("ROOMS_EN"), c("procedure_area").alias("ACTUAL_AREA"),
         F.format_number("actual_worth", 2).alias("TRANS_VALUE"),
-    ).write.csv(path, header=True)
+    ).write.option("maxRecordsPerFile", FILE_ROWS).csv(path, header=True, compression="gzip")
     return readers.read_register(t.spark, path, readers.TRANSACTION_FIELDS, ["transaction_id", "instance_date", "actual_worth"])
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadastra.operators import listings
+from cadastra.plans import adapters, feed_queries, identity_queries
 from cadastra.session import shared_dir
 from cadastra.sources import readers, writers
 from cadastra.streaming import feeds
@@ -259,3 +260,41 @@ def test_dedupe_reads_nothing_that_is_held(spark, tmp_path):
     stream = feeds.stream_dedupe(feeds.stream_parquet(spark, str(tmp_path / "in"), rows.schema), out)
     feeds.run_available(stream, str(tmp_path / "cp"))
     assert spark.read.parquet(f"{out}/log/epoch=0").count() == 1
+
+
+def _registrations(spark, n):
+    return spark.range(n).selectExpr(
+        "'1-11-2000-' || id AS transaction_id", "'11|2000|' || id || '|Sales' AS expected_key", "DATE '2000-01-01' AS instance_date", "'Sales' AS trans_group", "'Sell' AS procedure_name",
+        "'Off-Plan Properties' AS reg_type", "'Unit' AS property_type", "'A' AS area_name", "'7' AS project_number", "'P' AS project_name", "'2 B/R' AS rooms", "80.0D AS procedure_area",
+        "1000.5D AS actual_worth", "'M' AS nearest_metro", "'L' AS nearest_landmark", "'' AS nearest_mall", "'C' AS master_project")
+
+
+def test_a_larger_table_lands_in_more_files(spark, monkeypatch):
+    seen = {}
+
+    def stream(session, path, schema, files_per_trigger):
+        seen.update(path=path, files=files_per_trigger)
+        return session.createDataFrame([], schema)
+
+    lines = spark.range(2_000).selectExpr(
+        "id AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "1 AS l_linenumber", "1.0D AS l_quantity", "1.0D AS l_extendedprice", "0.0D AS l_discount", "0.0D AS l_tax", "'N' AS l_returnflag",
+        "'F' AS l_linestatus", "TIMESTAMP_NTZ '2000-01-01 00:00:00' AS l_shipdate")
+    t = SimpleNamespace(spark=spark, raw=lambda name: lines if name == "lineitem" else spark.createDataFrame([], adapters.RAW[name]))
+    monkeypatch.setattr(feed_queries, "FILE_ROWS", 100)
+    monkeypatch.setattr(feeds, "stream_parquet", stream)
+    feed_queries._stream(t, "registration_seen", "lineitem")
+    held = spark.read.parquet(seen["path"]).groupBy(F.input_file_name()).count().collect()
+    assert seen["files"] == 4 and sum(r["count"] for r in held) == 2_000
+    assert len(held) > 15 and max(r["count"] for r in held) < 300
+
+
+def test_website_export_is_packed_in_bounded_files(spark, monkeypatch):
+    monkeypatch.setattr(feed_queries, "FILE_ROWS", 10)
+    rows = feed_queries._website_csv(SimpleNamespace(spark=spark, registration_id=_registrations(spark, 100).coalesce(1)))
+    assert rows.count() == 100 and len(rows.inputFiles()) == 10 and all(f.endswith(".csv.gz") for f in rows.inputFiles())
+
+
+def test_stored_feeds_hold_only_what_is_read(spark):
+    held = identity_queries.stored_feeds(SimpleNamespace(registration_id=_registrations(spark, 5)))
+    assert not {"expected_key", "nearest_metro", "master_project"} & set(held.columns) and held.filter("tx_key IS NOT NULL").count() == 5
+    assert all(f.endswith(".zstd.parquet") for f in held.inputFiles())
