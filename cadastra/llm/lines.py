@@ -5,7 +5,8 @@ has a Jaccard similarity of at least 0.8 with it; equal sets are found by their
 join. Words are ordered by rarity, counted over all lines in a table of fixed size, and a line is posted under its
 first |x| - ceil(0.8 |x|) + 1 words: two similar lines share one of them. Where two meet, sizes, positions
 and a parity bitmap (whose bits cannot differ in more places than the sets do) leave few pairs, and those are
-verified on their whole sets.
+verified on their whole sets. A longer line has a wider bitmap, since a full one tells nothing apart; a wide one
+is folded to the width of a narrow one to compare the two.
 
 A line needs one earlier partner, so a group of near copies hands out its closest few and not all
 pairs. A line whose partners failed is taken up again with every partner the filters leave.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,11 @@ PARTNERS = 3  # handed out for a line at a posting at first
 RARITY_BUCKETS = 1 << 22  # a bucket counted once holds one word of one line, which meets no other
 DOC_BUCKETS = 1 << 20  # of document ids, which bounds what says where verified lines stand
 CACHED_SETS = 300_000  # equal sets that a task remembers
+WIDE, WIDEST = 32, 80  # lines of more words have 128 and 256 bits in place of 64
+BITS = ("bits", "bits1", "bits2", "bits3")
 NO_ID = -(2**63)  # stands for a null id, in front of all others
 
-POSTS = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("size", pa.int32()), ("pos", pa.int32()), ("bits", pa.int64())])
+POSTS = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("size", pa.int32()), ("pos", pa.int32()), *[(b, pa.int64()) for b in BITS]])
 PAIRS = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("a_doc", pa.int64()), ("a_line", pa.int32()), ("more", pa.bool_())])
 
 
@@ -46,6 +50,29 @@ def prefix(size):
     return size - -(-(4 * size) // 5) + 1
 
 
+def bitmaps(codes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The parity bitmap of each line as 64-bit words, those beyond a line's width 0."""
+    width = np.where(size > WIDEST, 256, np.where(size > WIDE, 128, 64)).astype(np.uint64)
+    at = mix(codes.view(np.uint64) + np.uint64(1)) & (np.repeat(width, size) - np.uint64(1))
+    bit, word = np.uint64(1) << (at & np.uint64(63)), at >> np.uint64(6)
+    most = int(width.max()) >> 6
+    return [np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), starts) if k < most else np.zeros(len(size), np.uint64) for k in range(len(BITS))]
+
+
+def bits_apart(bits: list[np.ndarray], size: np.ndarray, left: np.ndarray, right: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs may be similar, and the bits by which their bitmaps differ at the width of the left line, the smaller one."""
+    differ = [b[left] ^ b[right] for b in bits]
+    apart = np.bitwise_count(differ[0] ^ differ[1] ^ differ[2] ^ differ[3]).astype(np.int64)
+    fits = np.flatnonzero(apart <= spare)
+    apart = apart[fits]
+    for least, folds in ((WIDE, ((0, 2), (1, 3))), (WIDEST, ((0,), (1,), (2,), (3,)))):
+        wide = np.flatnonzero(size[left[fits]] > least)
+        if len(wide):
+            apart[wide] = sum(np.bitwise_count(reduce(np.bitwise_xor, [differ[k][fits[wide]] for k in fold])).astype(np.int64) for fold in folds)
+    kept = apart <= spare[fits]
+    return fits[kept], apart[kept]
+
+
 # A number for each byte at each place of a word; a word's code is their sum, stirred once more.
 _PLACES = 64
 _TABLE = mix(np.arange(_PLACES * 256, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D))
@@ -153,11 +180,11 @@ def postings(documents: DataFrame, counts: np.ndarray) -> DataFrame:
             row = np.repeat(np.arange(len(size)), size)
             starts = np.cumsum(size) - size
             hashes = np.add.reduceat(mix(codes), starts)
-            bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix(codes.view(np.uint64) + np.uint64(1)) & np.uint64(63)), starts).view(np.int64)
+            bits = [b.view(np.int64) for b in bitmaps(codes, starts, size)]
             new = np.zeros(len(size), bool)
             order = np.lexsort((number, docs))
             for k in order[size[order] >= LEAST_POSTED]:
-                own, at = (int(hashes[k]), int(bits[k]), int(size[k])), (int(docs[k]), int(number[k]))
+                own, at = (int(hashes[k]), int(bits[0][k]), int(size[k])), (int(docs[k]), int(number[k]))
                 if own not in seen or at < seen[own]:
                     new[k] = True
                     if own in seen or len(seen) < CACHED_SETS:
@@ -169,35 +196,34 @@ def postings(documents: DataFrame, counts: np.ndarray) -> DataFrame:
             taken = (position < prefix(size)[row]) & new[row] & (rank[ranked] > 1)
             own = row[taken]
             yield pa.RecordBatch.from_arrays([
-                pa.array(codes[ranked][taken]), pa.array(docs[own]), pa.array(number[own]), pa.array(size[own].astype(np.int32)), pa.array(position[taken].astype(np.int32)), pa.array(bits[own]),
+                pa.array(codes[ranked][taken]), pa.array(docs[own]), pa.array(number[own]), pa.array(size[own].astype(np.int32)), pa.array(position[taken].astype(np.int32)),
+                *[pa.array(b[own]) for b in bits],
             ], schema=POSTS)
 
-    return documents.mapInArrow(post, "token long, doc long, line int, size int, pos int, bits long")
+    return documents.mapInArrow(post, "token long, doc long, line int, size int, pos int, " + ", ".join(f"{b} long" for b in BITS))
 
 
-def pairs_of(columns: list[np.ndarray], flagged: bool) -> pa.RecordBatch:
+def pairs_of(columns: list[np.ndarray]) -> pa.RecordBatch:
     """PAIRS of whole postings that stand in a row, in order of token, document and line.
 
     Lines of a posting that agree in size, bitmap and position are all paired with the first of them only, which then stands
     for them. The others are ordered by size, and each meets those behind it while the sizes allow. A line gets its closest
     few earlier partners, and ``more`` says that there are others, handed out or not: also those that stand behind a partner and
-    before the line. Flagged lines get all.
+    before the line.
     """
-    token, doc, line, size, pos, bits, *flag = columns
+    token, doc, line, size, pos, *bits = columns
+    bits = [b.view(np.uint64) for b in bits]
     posting = np.cumsum(np.r_[0, token[1:] != token[:-1]])
-    bits = bits.view(np.uint64)
-    order = np.lexsort((pos, bits, size, posting))
+    order = np.lexsort((pos, bits[0], size, posting))
     same = np.zeros(len(order), bool)
-    later, earlier, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-    if not flagged:
-        same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (posting, size, bits, pos)])
-        stand = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-        later, earlier, more = [order[same]], [stand[same]], [np.ones(int(same.sum()), bool)]
+    same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (posting, size, *bits, pos)])
+    stand = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    later, earlier, more = [order[same]], [stand[same]], [np.ones(int(same.sum()), bool)]
     chosen = order[~same]
     behind = np.full(len(order), len(order))  # the first line that a chosen one stands for
     second = np.flatnonzero(same & ~np.r_[True, same[:-1]][: len(same)])
     behind[order[second - 1]] = order[second]
-    where, s, b, p = posting[chosen], size[chosen], bits[chosen], pos[chosen]
+    where, s, b, p = posting[chosen], size[chosen], [x[chosen] for x in bits], pos[chosen]
     end = np.searchsorted(where, where, side="right")
     met: list[np.ndarray] = []
     left, step = np.arange(len(chosen)), 0
@@ -208,24 +234,21 @@ def pairs_of(columns: list[np.ndarray], flagged: bool) -> pa.RecordBatch:
         right = left + step
         both = s[left] + s[right]
         spare = both - 2 * need(s[left], s[right])
-        apart = np.bitwise_count(b[left] ^ b[right])
-        fits = np.flatnonzero(apart <= spare)
+        fits, apart = bits_apart(b, s, left, right, spare)
         if len(fits):
             x, y = left[fits], right[fits]
             close = 2 * np.minimum(s[x] - p[x], s[y] - p[y]) >= both[fits] - spare[fits]
-            met.append(np.stack([chosen[x][close], chosen[y][close], apart[fits][close].astype(np.int64)]))
+            met.append(np.stack([chosen[x][close], chosen[y][close], apart[close]]))
     if met:
         x, y, apart = np.concatenate(met, axis=1)
         a, b = np.minimum(x, y), np.maximum(x, y)
         good = (doc[a] != doc[b]) | (line[a] != line[b])
-        if flagged:
-            good &= flag[0][b].astype(bool)
         a, b, apart = a[good], b[good], apart[good]
         order = np.lexsort((a, apart, b))
         a, b = a[order], b[order]
         first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]][: len(b)])
         n = np.diff(np.r_[first, len(b)])
-        kept = (np.arange(len(b)) - np.repeat(first, n) < PARTNERS) | flagged
+        kept = np.arange(len(b)) - np.repeat(first, n) < PARTNERS
         later.append(b[kept])
         earlier.append(a[kept])
         hidden = np.add.reduceat(behind[a] < b, first) > 0 if len(b) else np.zeros(0, bool)
@@ -234,7 +257,7 @@ def pairs_of(columns: list[np.ndarray], flagged: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[b]), pa.array(line[b]), pa.array(doc[a]), pa.array(line[a]), pa.array(m)], schema=PAIRS)
 
 
-def candidates(posts: DataFrame, flagged: bool = False) -> DataFrame:
+def candidates(posts: DataFrame) -> DataFrame:
     """(doc, line, a_doc, a_line, more): pairs that pass the filters, the earlier line under a_."""
 
     def read(batches):
@@ -251,20 +274,44 @@ def candidates(posts: DataFrame, flagged: bool = False) -> DataFrame:
             held = [[c[cut:] for c in columns]]
             joined = [np.concatenate(c) for c in zip(*whole)]
             if len(joined[0]):
-                yield pairs_of(joined, flagged)
+                yield pairs_of(joined)
         if held:
-            yield pairs_of([np.concatenate(c) for c in zip(*held)], flagged)
+            yield pairs_of([np.concatenate(c) for c in zip(*held)])
 
     order = ["token", "doc", "line"]
     return posts.repartition("token").sortWithinPartitions(*order).mapInArrow(read, "doc long, line int, a_doc long, a_line int, more boolean")
 
 
+def all_candidates(posts: DataFrame, own: DataFrame) -> DataFrame:
+    """(doc, line, a_doc, a_line): each line of the postings ``own`` with every earlier line of ``posts`` that passes the filters of ``pairs_of``."""
+    a, b = posts.select("token", *[F.col(c).alias(f"a_{c}") for c in posts.columns if c != "token"]), own
+    both = F.col("size") + F.col("a_size")
+    spare = both - 2 * F.ceil(4 * both / F.lit(9))
+    less = F.least("size", "a_size")
+    x = [F.col(k).bitwiseXOR(F.col(f"a_{k}")) for k in BITS]
+    apart = (
+        F.when(less > WIDEST, reduce(lambda m, n: m + n, [F.bit_count(d) for d in x]))
+        .when(less > WIDE, F.bit_count(x[0].bitwiseXOR(x[2])) + F.bit_count(x[1].bitwiseXOR(x[3])))
+        .otherwise(F.bit_count(reduce(lambda m, n: m.bitwiseXOR(n), x)))
+    )
+    close = 2 * F.least(F.col("size") - F.col("pos"), F.col("a_size") - F.col("a_pos")) >= both - spare
+    earlier = (F.col("a_doc") < F.col("doc")) | ((F.col("a_doc") == F.col("doc")) & (F.col("a_line") < F.col("line")))
+    met = a.withColumnRenamed("token", "a_token").join(
+        b, (F.col("a_token") == F.col("token")) & earlier & (5 * less >= 4 * F.greatest("size", "a_size")) & (apart <= spare) & close)
+    return met.select("doc", "line", "a_doc", "a_line").distinct()
+
+
+def holding(documents: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that the buckets of ``docs`` leave, all rows of those documents among them."""
+    bucket = F.pmod(F.xxhash64("doc"), F.lit(DOC_BUCKETS)).alias("_bucket")
+    return documents.select("*", bucket).join(F.broadcast(docs.select(bucket).distinct()), "_bucket", "left_semi").drop("_bucket")  # at most DOC_BUCKETS rows
+
+
 def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` with ``similar``, the Jaccard test on the whole sets."""
     ends = pairs.select("doc", "line").union(pairs.select("a_doc", "a_line")).distinct()
     wanted = ends.groupBy("doc").agg(F.collect_set("line").alias("lines"))  # at most the lines of a document
-    bucket = F.pmod(F.xxhash64("doc"), F.lit(DOC_BUCKETS)).alias("_bucket")
-    near = documents.select("*", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "_bucket", "left_semi")  # at most DOC_BUCKETS rows
+    near = holding(documents, wanted)
 
     def read(batches):
         for docs, number, size, codes in _batches(batches):
@@ -286,18 +333,18 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     first = keys.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     same = keys.join(first, "key").filter(F.struct("doc", "line") != F.col("_first")).select("doc", "line")
     same = materialize(same, "equal-lines")
-    posts = postings(documents, rarity(documents))  # read once more where partners fail, which costs less than keeping them
+    counts = rarity(documents)
+    posts = postings(documents, counts)  # read once more where partners fail, which costs less than keeping them
     pairs = candidates(posts).groupBy("doc", "line", "a_doc", "a_line").agg(F.max("more").alias("more"))
     pairs = materialize(pairs.join(same, ["doc", "line"], "left_anti"), "pairs")
     judged = materialize(verified(documents, pairs), "judged").groupBy("doc", "line").agg(F.max("similar").alias("similar"), F.max("more").alias("more"))
     gone = judged.filter("similar").select("doc", "line")
-    again = judged.filter("more AND NOT similar").select("doc", "line")
+    again = materialize(judged.filter("more AND NOT similar").select("doc", "line"), "again")  # its size is known: a small one is sent to the postings
     if not again.isEmpty():
-        # Their postings bring every partner this time.
-        tokens = posts.join(again, ["doc", "line"], "left_semi").select("token").distinct()
-        marked = posts.join(tokens, "token", "left_semi").join(again.withColumn("flag", F.lit(1)), ["doc", "line"], "left")
-        marked = marked.select("token", "doc", "line", "size", "pos", "bits", F.coalesce("flag", F.lit(0)).alias("flag"))
-        pairs = materialize(candidates(marked, flagged=True).distinct(), "pairs")
+        # They meet every partner this time: their own postings, few as they are, look through all others.
+        own = postings(holding(documents, again), counts).join(again, ["doc", "line"], "left_semi")
+        own = materialize(own.select(*POSTS.names), "own-postings")
+        pairs = materialize(all_candidates(posts, own), "pairs").withColumn("more", F.lit(False))
         gone = gone.union(verified(documents, pairs).filter("similar").select("doc", "line"))
     return materialize(same.union(gone).distinct(), "repeated-lines")
 

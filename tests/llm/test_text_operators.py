@@ -178,6 +178,29 @@ def test_a_line_similar_only_to_one_behind_its_partner_goes(spark):
     assert {(r.doc, r.line) for r in gone} == {(i, k) for i, ks in repeated(rows).items() for k in ks} == {(2, 0), (3, 0)}
 
 
+def test_long_lines_that_share_words_but_are_not_similar_are_no_candidates(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"v{k}" for k in range(900)]
+    rows = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(110, 200)), replace=False))) for i in range(60)]
+    given = lines.numbered(documents(spark, rows)).select(F.col("_doc").alias("doc"), "text")
+    assert not any(repeated(rows).values())
+    assert lines.candidates(lines.postings(given, lines.rarity(given))).count() == 0
+
+
+@pytest.mark.parametrize("partners", [1, 3])
+def test_lines_of_all_widths_at_the_threshold(spark, monkeypatch, partners):
+    monkeypatch.setattr(lines, "PARTNERS", partners)
+    rng = np.random.default_rng(4)
+    vocabulary, rows = [f"u{k}" for k in range(2000)], []
+    for size in (28, 31, 33, 36, 38, 40, 76, 79, 81, 84, 90, 100, 130, 300):
+        base = rng.choice(vocabulary, size, replace=False).tolist()
+        for share in (0.0, 0.05, 0.1, 0.11, 0.12, 0.2):
+            own = base[int(size * share) :] + rng.choice(vocabulary, int(size * share * rng.random()), replace=False).tolist()
+            rows.append((len(rows), " ".join(own)))
+    given = lines.numbered(documents(spark, rows)).select(F.col("_doc").alias("doc"), "text")
+    assert {(r.doc, r.line) for r in lines.repeated_lines(given).collect()} == {(i, k) for i, ks in repeated(rows).items() for k in ks}
+
+
 def test_short_lines_go_as_copies_and_four_words_with_five(spark):
     rows = [(1, "Share\none two three four five\nhome about us"), (2, "share!\n\none two three four\n---"), (3, "home about us\nhome about\none two three four\n---")]
     got = {r.doc_id: r.removed_lines for r in lines.report(documents(spark, rows)).collect()}
