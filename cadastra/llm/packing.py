@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, insort
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +64,22 @@ class ChunkEncoder:
         self.entries: dict[str, int] = {}
         self.flat = np.zeros(1 << 18, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
+        self.again = np.zeros(1 << 16, bool)  # entries that were met in a later slice, which are worth keeping
         self.used = 0
 
+    def _shrink(self) -> None:
+        """Keep the chunks whose entries were met again, half of the cache at most, with the entries in a row anew."""
+        chunks, code = list(self.codes), np.fromiter(self.codes.values(), np.int64, len(self.codes))
+        kept = np.flatnonzero(self.again[code // 3])[: CACHED_CHUNKS // 2]
+        entry, mark = np.divmod(code[kept], 3)
+        used, place = np.unique(entry, return_inverse=True)
+        names = list(self.entries)
+        lengths = self.starts[used + 1] - self.starts[used]
+        ids = self.flat[ragged(self.starts[used], lengths)]
+        self.clear()
+        self._add([names[k] for k in used.tolist()], ids, lengths)
+        self.codes.update(zip([chunks[k] for k in kept.tolist()], (3 * place + mark).tolist()))
+
     def _add(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         """Entries for new names, whose ids stand in a row."""
         first, end = len(self.entries), self.used + len(ids)
@@ -73,12 +87,14 @@ class ChunkEncoder:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + len(names) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         self.flat[self.used : end] = ids
         self.starts[first + 1 : first + len(names) + 1] = self.used + np.cumsum(lengths)
         self.used = end
         self.entries.update(zip(names, range(first, first + len(names))))
 
-    def _learn(self, raw: list[bytes]) -> None:
+    def _learn(self, raw: list[bytes]) -> list[int]:
+        """The codes of new chunks."""
         joined = b"\n".join(raw).decode("utf-8", "replace")
         found = _CHUNK.findall(joined.lower())
         names, marks = [f[0] for f in found], [0] * len(raw)
@@ -102,17 +118,26 @@ class ChunkEncoder:
             if len(ends) != len(some):
                 raise ValueError("a run of letters must end with one word-end token")
             self._add(some, ids, np.diff(ends, prepend=0))
-        self.codes.update(zip(raw, [3 * self.entries[n] + m for n, m in zip(names, marks)]))
+        codes = [3 * self.entries[n] + m for n, m in zip(names, marks)]
+        self.codes.update(zip(raw, codes))
+        return codes
 
     def encode(self, texts: list[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has."""
         if len(self.codes) > CACHED_CHUNKS:
-            self.clear()
-        chunks = [(t.encode("utf-8", "replace") if isinstance(t, str) else t).split() for t in texts]
-        flat = list(chain.from_iterable(chunks))
-        if missing := set(flat).difference(self.codes):
-            self._learn(list(missing))
-        code = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
+            self._shrink()
+        raw = pa.array([t.encode("utf-8", "replace") if isinstance(t, str) else t for t in texts], pa.binary())
+        chunks = pc.ascii_split_whitespace(raw.view(pa.string()))
+        owner = np.repeat(np.arange(len(texts)), pc.list_value_length(chunks).to_numpy(zero_copy_only=False))
+        flat = pc.list_flatten(chunks).view(pa.binary()).dictionary_encode()
+        distinct = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = np.fromiter(map(self.codes.get, distinct, repeat(-1)), np.int64, len(distinct))
+        self.again[known[known >= 0] // 3] = True
+        # Only white space at the ends of a text leaves an empty chunk, which has no code.
+        if missing := [k for k in np.flatnonzero(known < 0).tolist() if distinct[k]]:
+            known[missing] = self._learn([distinct[k] for k in missing])
+        code = known[flat.indices.to_numpy()]
+        owner, code = owner[code >= 0], code[code >= 0]
         entry, mark = np.divmod(code, 3)
         lengths = self.starts[entry + 1] - self.starts[entry]
         marked = mark > 0
@@ -121,7 +146,6 @@ class ChunkEncoder:
         ends = np.cumsum(whole)
         ids[ragged(ends - whole, lengths)] = self.flat[ragged(self.starts[entry], lengths)]
         ids[ends[marked] - 1] = self.marks[mark[marked] - 1]
-        owner = np.repeat(np.arange(len(texts)), [len(c) for c in chunks])
         return ids, np.bincount(owner, whole, len(texts)).astype(np.int64)
 
 

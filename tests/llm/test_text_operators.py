@@ -269,6 +269,21 @@ def test_chunked_ids_are_the_tokenizers():
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
 
 
+def test_a_full_cache_keeps_the_chunks_met_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHED_CHUNKS", 60)
+    plain, own, learned = Tokenizer.from_file(PATH), packing.ChunkEncoder(PATH), []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda raw: (learned.extend(raw), learn(raw))[1])
+    for k in range(12):
+        texts = ["  The same, words. stay 12&3 ", " ", "".join(f"w{chr(97 + k)}{chr(97 + j)} " for j in range(20)), ODD[k % len(ODD)]]
+        ids, counts = own.encode(texts)
+        want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    assert learned.count(b"same,") == learned.count(b"12&3") == 1
+
+
 @pytest.mark.parametrize("capacity", [16, 100])
 def test_pieces_are_whole_and_sequences_hold(spark, corpus, capacity):
     rows = corpus + [(500 + k, t) for k, t in enumerate(ODD)]
