@@ -11,7 +11,7 @@ from cadastra.plans import identity_queries as iq
 from cadastra.plans import market_queries as mq
 from cadastra.plans.adapters import AS_OF, RAW, SPARK, texts
 from cadastra.plans.listing_queries import ALL, BASE, listing, prices
-from cadastra.plans.market_pack import Register, backfill, shared_sales, write_edition
+from cadastra.plans.market_pack import Register, backfill, shared_rents, shared_sales, write_edition
 from cadastra.plans.registry import query, tot
 from cadastra.plans.resale_queries import pairs
 from cadastra.session import materialize, shared_dir
@@ -125,7 +125,8 @@ def _(t):
 def _register(t, since: str):
     """The register as editions read it: a week's, a month's or a year's sections all look at this span."""
     sales = shared_sales(t.registration, since, "2001-12-31")
-    return Register(sales, t.rent, t.project, t.developer, t.observation, pairs(t), mq.LIMITS, mq.UNIT, mq.BANDS)
+    rents = shared_rents(t.rent, since, "2001-12-31")
+    return Register(sales, rents, t.project, t.developer, t.observation, pairs(t), mq.LIMITS, mq.UNIT, mq.BANDS)
 
 
 @query("monthly_edition", "SELECT * FROM (" + mq._headline_sql() + ")", tagged=mq._tagged("registration", "instance_date", mq.PERIODS), st=mq.sales_stats_sql("tagged"),

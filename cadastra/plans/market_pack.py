@@ -38,7 +38,7 @@ def market_pack(
     }
     if kind != "weekly":
         pack["same_slice"] = market.across_years(tx, cur[0][5:], cur[1][5:], year, limits=limits, unit=unit)
-    live = readings.live_pipeline(obs, project, developer, cur[1])
+    live = materialize(readings.live_pipeline(obs, project, developer, cur[1]), "pack-live")  # six sections read it
     pack.update({
         "pipeline_totals": readings.pipeline_totals(live), "pipeline_years": readings.pipeline_by(live, "bucket"),
         "pipeline_areas": readings.pipeline_by(live, "area_name", 15), "pipeline_developers": readings.pipeline_by(live, "developer_name", 12),
@@ -53,6 +53,11 @@ def shared_sales(tx: DataFrame, since: str, until: str) -> DataFrame:
     return materialize(span, "pack-sales")
 
 
+def shared_rents(rents: DataFrame, since: str, until: str) -> DataFrame:
+    """Rents that start in the pack's span, written once to the shared folder for all its sections."""
+    return materialize(rents.filter(between_days("contract_start_date", since, until)), "pack-rents")
+
+
 @dataclass(frozen=True)
 class Register:
     """The tables an edition is made from and the thresholds of their currency."""

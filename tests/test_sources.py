@@ -298,3 +298,16 @@ def test_stored_feeds_hold_only_what_is_read(spark):
     held = identity_queries.stored_feeds(SimpleNamespace(registration_id=_registrations(spark, 5)))
     assert not {"expected_key", "nearest_metro", "master_project"} & set(held.columns) and held.filter("tx_key IS NOT NULL").count() == 5
     assert all(f.endswith(".zstd.parquet") for f in held.inputFiles())
+
+
+def test_sections_of_a_pack_read_what_they_share_from_storage(spark, data_dir):
+    from cadastra.operators import market
+    from cadastra.plans import feed_queries, market_pack
+    from cadastra.plans.adapters import Tables
+
+    r = feed_queries._register(Tables(spark, data_dir), "1995-01-01")
+    periods = market.edition_periods("yearly", "2000", since=None, ytd_to=None)
+    pack = market_pack.market_pack(r.tx, r.rents, r.project, r.developer, r.obs, r.pairs, "yearly", periods, r.limits, r.unit, r.bands)
+    shared = [r.tx, r.rents, *[rows for name, rows in pack.items() if name.startswith("pipeline") or name in ("behind", "past_due")]]
+    assert len(shared) == 8
+    assert not any("Join" in rows._jdf.queryExecution().optimizedPlan().toString() for rows in shared)
