@@ -11,19 +11,23 @@ hash of their id. Only the label and the text enter.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import free_name, mix, ragged, slices
+from cadastra.llm.common import free_name, mix, ragged, slices, worker_cache
 from cadastra.llm.decontaminate import words
 
 WINDOW, STRIDE = 24, 12
 WORD_BUCKETS, SHINGLE_BUCKETS, WIDTH, HIDDEN = 1 << 13, 1 << 14, 8, 8
 SAMPLE = 600  # training documents of each class
 BATCH, ROUNDS, SEED = 512, 3, 11
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
+SLICE_CHARS, LEARNT_WORDS = 250_000, 4096  # of texts that are scored, and new words that are learnt, at a time
 LOGIT_BOUND = 30.0
 
 
@@ -256,22 +260,23 @@ class Scorer:
         self.used = 1
 
     def _learn(self, new: list[bytes]) -> None:
-        fresh = self.net.gates(self.net.inputs(*word_features(new)))
         if self.gates is None:
             self.gates = [np.zeros((1 << 15, 3 * HIDDEN), np.float32) for _ in "fb"]
-        for side, rows in enumerate(fresh):
-            while self.used + len(new) > len(self.gates[side]):
-                self.gates[side] = np.concatenate([self.gates[side], np.zeros_like(self.gates[side])])
-            self.gates[side][0] = rows[0]
-            self.gates[side][self.used : self.used + len(new)] = rows[1:]
-        self.number.update(zip(new, range(self.used, self.used + len(new))))
-        self.used += len(new)
+        for k in range(0, len(new), LEARNT_WORDS):
+            some = new[k : k + LEARNT_WORDS]
+            for side, rows in enumerate(self.net.gates(self.net.inputs(*word_features(some)))):
+                while self.used + len(some) > len(self.gates[side]):
+                    self.gates[side] = np.concatenate([self.gates[side], np.zeros_like(self.gates[side])])
+                self.gates[side][0] = rows[0]
+                self.gates[side][self.used : self.used + len(some)] = rows[1:]
+            self.number.update(zip(some, range(self.used, self.used + len(some))))
+            self.used += len(some)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         out = []
-        for lo, hi in slices([len(t or "") for t in texts], 1_000_000):
+        for lo, hi in slices([len(t or "") for t in texts], SLICE_CHARS):
             own = [words(t) for t in texts[lo:hi]]
             if len(self.number) > CACHED_WORDS:
                 self.clear()
@@ -289,6 +294,11 @@ class Scorer:
             out.append(_sigmoid(seen @ self.rule))
         return np.concatenate(out) if out else np.zeros(0)
 
+    def score_column(self, texts: pa.Array) -> np.ndarray:
+        """``score`` of a column, of which some texts are taken out at a time."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        return np.concatenate([np.zeros(0), *[self.score(texts.slice(lo, hi - lo).to_pylist()) for lo, hi in slices(sizes, SLICE_CHARS)]])
+
 
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0
@@ -311,10 +321,11 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer
 
 def score_texts(documents: DataFrame, scorer: Scorer, name: str = "_toxic") -> DataFrame:
     """``documents`` with the column ``name``: a score from 0 to 1. Null and empty texts get the score of a text without windows; rows and other columns stay."""
+    name_of_model = f"toxicity:{uuid.uuid4().hex}"
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
-        return pa.array(scorer.score(text.to_pylist()), pa.float64())
+        return pa.array(worker_cache(name_of_model, lambda: scorer).score_column(text), pa.float64())
 
     return documents.withColumn(name, scored.asNondeterministic()("text"))
 

@@ -3,15 +3,18 @@
 import hashlib
 import math
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
 from cadastra.llm import chat, decontaminate, licences, lines, minhash, neighbours, packing, personal, scoring, toxicity
+from cadastra.llm.common import worker_cache
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 DOCS = "doc_id long, text string, lang string, _x string, key string, line string, n long"
@@ -215,6 +218,35 @@ def test_documents_without_lines_left_go(spark):
     assert lines.report(documents(spark, [])).collect() == []
 
 
+# What a worker holds
+
+
+def test_a_worker_holds_the_cache_of_one_operator():
+    class Held:
+        pass
+
+    first = worker_cache("one", Held)
+    assert worker_cache("one", Held) is first
+    gone = weakref.ref(first)
+    del first
+    other = worker_cache("other", Held)
+    assert gone() is None and worker_cache("other", Held) is other
+
+
+def test_texts_are_scored_some_at_a_time(monkeypatch):
+    texts = [None, "", *[" ".join(f"w{(k * j) % 97}" for j in range(1, 60 + k)) for k in range(40)]]
+    model = {"net": toxicity.Network().p, "rule": np.array([1.0, 0.1, 0.0])}
+    want = toxicity.Scorer(model).score(texts)
+    monkeypatch.setattr(toxicity, "SLICE_CHARS", 700)
+    monkeypatch.setattr(toxicity, "LEARNT_WORDS", 5)
+    scorer, taken = toxicity.Scorer(model), []
+    score = scorer.score
+    monkeypatch.setattr(scorer, "score", lambda some: taken.append(sum(len(t or "") for t in some)) or score(some))
+    assert np.allclose(scorer.score_column(pa.array(texts)), want, atol=1e-6)
+    assert len(taken) > 10 and max(taken) <= 700
+    assert len(scorer.score_column(pa.array([], pa.string()))) == 0
+
+
 # Decontamination
 
 
