@@ -3,23 +3,26 @@
 A line is the set of its words. A line goes when an earlier line, by document id and line number,
 has a Jaccard similarity of at least 0.8 with it; equal sets are found by their digest, the rest by the
 join. Words are ordered by rarity, counted over all lines in a table of fixed size, and a line is posted under its
-first |x| - ceil(0.8 |x|) + 1 words: two similar lines share one of them. Where two meet, sizes, positions
+first |x| - ceil(0.8 |x|) + 1 words: two similar lines share one of them. Postings are shuffled in blocks, a part of
+the words at a time, and a part's words are met in one task. Where two meet, sizes, positions
 and a parity bitmap (whose bits cannot differ in more places than the sets do) leave few pairs, and those are
 verified on their whole sets. A longer line has a wider bitmap, since a full one tells nothing apart; a wide one
 is folded to the width of a narrow one to compare the two.
 
 A line needs one earlier partner, so a group of near copies hands out its closest few and not all
-pairs. A line whose partners failed is taken up again with every partner the filters leave.
+pairs. A line whose partners failed is taken up again with every partner the filters leave; for that, only lines
+that hold one of its posted words are posted once more.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,12 @@ WIDE, WIDEST = 32, 80  # lines of more words have 128 and 256 bits in place of 6
 BITS = ("bits", "bits1", "bits2", "bits3")
 NO_ID = -(2**63)  # stands for a null id, in front of all others
 
-POSTS = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("size", pa.int32()), ("pos", pa.int32()), *[(b, pa.int64()) for b in BITS]])
+POST = np.dtype([("token", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4"), *[(b, "<i8") for b in BITS]])
+BLOCK_WORDS = 1_000_000  # that a task counts at a time
+BLOCK_POSTS = 250_000  # postings that a task gathers before it deals them out
+PART_WORDS = 1_000_000  # words of the table for each part of the postings
+COUNTED = 1 << 16  # rarity buckets counted in one block
+COUNT = np.dtype([("at", "<u2"), ("n", "<i8")])
 PAIRS = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("a_doc", pa.int64()), ("a_line", pa.int32()), ("more", pa.bool_())])
 
 
@@ -73,44 +81,69 @@ def bits_apart(bits: list[np.ndarray], size: np.ndarray, left: np.ndarray, right
     return fits[kept], apart[kept]
 
 
-# A number for each byte at each place of a word; a word's code is their sum, stirred once more.
-_PLACES = 64
-_TABLE = mix(np.arange(_PLACES * 256, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D))
+_CODE_BITS = 48  # of a word's code; the others name its line where words are sorted
+_STEP = 8  # bytes of a word that are hashed at a time
+_LONGEST = 256  # longer words are hashed one by one
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(_STEP + 1)], np.uint64)
 
 
-def word_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_codes(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The code of every word, the line it stands in (all lines of all texts counted on), and the first line of each text."""
-    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    parts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t or b"" for t in texts]
     raw = b"\n".join([*parts, b""])
     first = np.cumsum([0, *[p.count(b"\n") + 1 for p in parts]])
-    folded = np.frombuffer(raw.translate(FOLD), np.uint8)
-    word = folded != 32
-    edges = np.flatnonzero(np.diff(word.view(np.int8), prepend=0, append=0))
+    folded = b" " + raw.translate(FOLD) + bytes(2 * _STEP - (len(raw) + 1) % _STEP).replace(b"\0", b" ")
+    data = np.frombuffer(folded, np.uint8)
+    word = data != 32
+    edges = np.flatnonzero(word[1:] != word[:-1]) + 1
     start, size = edges[::2], edges[1::2] - edges[::2]
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), first
-    at = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(at, size)
-    value = _TABLE[(place % _PLACES) * 256 + folded[word]]
-    if size.max() > _PLACES:
-        value = value * (2 * (place // _PLACES) + 1).astype(np.uint64)
-    codes = mix(np.add.reduceat(value, at)).view(np.int64)
-    return codes, np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), start), first
-
-
-def read_lines(texts: list[str | None], wanted: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text and number of each line of MIN_WORDS distinct words or more, its size, and all codes in a row, rising in a line."""
+    whole = data.view("<u8")
+    codes = size.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D)
+    left, own = np.arange(len(start)), start
+    for k in range(0, min(int(size.max()), _LONGEST), _STEP):
+        if k:
+            left = left[size[left] > k]
+            own = start[left] + k
+        shift = ((own & 7) << 3).astype(np.uint64)
+        at = own >> 3
+        some = (whole[at] >> shift) | ((whole[at + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+        codes[left] = mix(codes[left] ^ (some & _MASKS[np.minimum(size[left] - k, _STEP)]))
+    for k in np.flatnonzero(size > _LONGEST).tolist():
+        codes[k] = int.from_bytes(hashlib.blake2b(folded[start[k] : start[k] + size[k]], digest_size=8).digest(), "little")
+    feeds = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1
+    row = np.repeat(np.arange(len(feeds)), np.diff(np.searchsorted(start, feeds), prepend=0))
+    return (codes >> np.uint64(64 - _CODE_BITS)).view(np.int64), row, first
+
+
+def read_lines(texts: list[str | bytes | None], wanted: list | None = None, count: Callable | None = None, looked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text and number of each line of MIN_WORDS distinct words or more, its size, and all codes in a row, rising in a line.
+
+    ``wanted`` names the lines of each text to read, ``looked`` the buckets of which a line must hold a word; ``count`` is
+    given the buckets of all words.
+    """
     codes, row, first = word_codes(texts)
+    if count is not None:
+        count(_bucket(codes))
+    if looked is not None:
+        held = np.zeros(first[-1], bool)
+        held[row[looked[_bucket(codes)]]] = True
+        codes, row = codes[held[row]], row[held[row]]
     if wanted is not None:
         asked = np.zeros(first[-1], bool)
         asked[[first[k] + n for k, own in enumerate(wanted) for n in own if n < first[k + 1] - first[k]]] = True
         codes, row = codes[asked[row]], row[asked[row]]
-    order = np.argsort(codes)
-    order = order[np.argsort(_short(row[order]), kind="stable")]
-    codes, row = codes[order], row[order]
-    new = np.ones(len(codes), bool)
-    new[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
-    codes, row = codes[new], row[new]
+    if first[-1] < 1 << 63 - _CODE_BITS:
+        both = np.sort((row << _CODE_BITS) | codes)
+        both = both[np.r_[True, both[1:] != both[:-1]][: len(both)]]
+        codes, row = both & ((1 << _CODE_BITS) - 1), both >> _CODE_BITS
+    else:  # more lines than those bits number
+        order = np.lexsort((codes, row))
+        codes, row = codes[order], row[order]
+        new = np.ones(len(codes), bool)
+        new[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
+        codes, row = codes[new], row[new]
     size = np.bincount(row, minlength=first[-1])
     keep = size >= MIN_WORDS
     lines = np.flatnonzero(keep)
@@ -123,58 +156,92 @@ def _short(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x
 
 
-def _batches(batches: Iterator[pa.RecordBatch]):
+def _batches(batches: Iterator[pa.RecordBatch], **how):
     for batch in batches:
-        docs, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
+        docs, texts = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("text").cast(pa.binary())
         wanted = batch.column("lines").to_pylist() if "lines" in batch.schema.names else None
-        for lo, hi in slices([len(t or "") for t in texts], 1_000_000):
-            where, number, size, codes = read_lines(texts[lo:hi], wanted and wanted[lo:hi])
-            yield np.array(docs[lo:hi], np.int64)[where], number, size, codes
+        for lo, hi in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 1_000_000):
+            where, number, size, codes = read_lines(texts.slice(lo, hi - lo).to_pylist(), wanted and wanted[lo:hi], **how)
+            yield docs[lo:hi].astype(np.int64)[where], number, size, codes
 
 
 def _bucket(codes: np.ndarray) -> np.ndarray:
-    return (codes.view(np.uint64) % np.uint64(RARITY_BUCKETS)).astype(np.int64)
+    return codes & (RARITY_BUCKETS - 1)
 
 
 def line_keys(documents: DataFrame) -> DataFrame:
-    """doc, line, digest of the set."""
+    """doc, line, two numbers that tell its set; rows with a ``part`` hold the counts of a task's words in COUNTED buckets instead."""
 
     def read(batches):
-        for docs, number, size, codes in _batches(batches):
-            ends = np.cumsum(size)
-            data = codes.tobytes()
-            keys = [hashlib.blake2b(data[8 * (e - s) : 8 * e], digest_size=16).digest() for s, e in zip(size.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(number), pa.array(keys, pa.binary())], ["doc", "line", "key"])
-
-    return documents.mapInArrow(read, "doc long, line int, key binary")
+        total = np.zeros(RARITY_BUCKETS, np.uint32)
+        held: list[np.ndarray] = []
+
+        def count(buckets, most=BLOCK_WORDS):
+            held.append(buckets)
+            if sum(map(len, held)) >= most:
+                at, n = np.unique(np.concatenate(held), return_counts=True)
+                total[at] += n.astype(np.uint32)
+                held.clear()
+
+        for docs, number, size, codes in _batches(batches, count=count):
+            if len(size):
+                starts = np.cumsum(size) - size
+                keys = [np.add.reduceat(mix(codes.view(np.uint64) ^ np.uint64(k)), starts).view(np.int64) for k in (0, 0x6A09E667F3BCC909)]
+                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(number), *map(pa.array, keys), pa.nulls(len(docs), pa.int32()), pa.nulls(len(docs), pa.binary())], names)
+        count(np.zeros(0, np.int64), 0)
+        for k in range(0, RARITY_BUCKETS, COUNTED):
+            at = np.flatnonzero(total[k : k + COUNTED])
+            if len(at):
+                counts = np.empty(len(at), COUNT)
+                counts["at"], counts["n"] = at, total[k : k + COUNTED][at]
+                nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*nothing, pa.array([k // COUNTED], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names)
+
+    names = ["doc", "line", "key", "key2", "part", "counts"]
+    return documents.mapInArrow(read, "doc long, line int, key long, key2 long, part int, counts binary")
 
 
 def rarity(documents: DataFrame) -> np.ndarray:
     """How often the words of each bucket occur, as a rank of 255 steps: 0 never, 1 once, then by the logarithm."""
+    return ranks(line_keys(documents))
+
+
+def ranks(keys: DataFrame) -> np.ndarray:
+    """The ranks of ``rarity`` from the counts beside the keys."""
 
-    def count(batches):
-        total = np.zeros(RARITY_BUCKETS, np.int32)
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}  # of the parts, RARITY_BUCKETS numbers in all
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in slices([len(t or "") for t in texts], 1_000_000):
-                np.add.at(total, _bucket(word_codes(texts[lo:hi])[0]), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["bucket", "n"])
-
-    rows = documents.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rank = F.when(F.col("n") == 1, 1).otherwise(F.least(F.lit(255), F.lit(2) + F.floor(F.log2("n") * 8))).cast("int")
-    rows = rows.select("bucket", rank.alias("rank")).toArrow()  # at most RARITY_BUCKETS rows
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
+                counts = np.frombuffer(data, COUNT)
+                sums.setdefault(part, np.zeros(COUNTED, np.int64))[counts["at"]] += counts["n"]
+        for part, n in sums.items():
+            rank = np.where(n > 1, np.minimum(255, 2 + np.floor(8 * np.log2(np.maximum(n, 1)))), n).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rank.tobytes()], pa.binary())], ["part", "rank"])
+
+    counts = keys.filter("part IS NOT NULL").select("part", "counts").repartition("part")
+    rows = counts.mapInArrow(add, "part int, rank binary").toArrow()  # RARITY_BUCKETS bytes at most
     out = np.zeros(RARITY_BUCKETS, np.uint8)
-    out[rows["bucket"].to_numpy()] = rows["rank"].to_numpy()
+    for part, rank in zip(rows["part"].to_pylist(), rows["rank"].to_pylist()):
+        out[part * COUNTED : (part + 1) * COUNTED] = np.frombuffer(rank, np.uint8)
     return out
 
 
-def postings(documents: DataFrame, counts: np.ndarray) -> DataFrame:
-    """The prefix words of each line of LEAST_POSTED words or more; of equal sets, a task leaves out what comes after one it has posted."""
+def parts_of(counts: np.ndarray) -> int:
+    """Parts of the postings, as many as the words ask for."""
+    words = np.where(counts > 1, 2.0 ** ((counts.astype(np.float64) - 2) / 8), counts).sum()
+    return 16 + int(words) // PART_WORDS
+
+
+def postings(documents: DataFrame, counts: np.ndarray, looked: np.ndarray | None = None) -> DataFrame:
+    """The prefix words of each line of LEAST_POSTED words or more, in blocks of POST by ``part`` of the words; of equal sets, a task leaves
+    out what comes after one it has posted. With ``looked``, only words of those buckets."""
+    parts = parts_of(counts)
 
     def post(batches):
         seen: dict = {}
-        for docs, number, size, codes in _batches(batches):
+        held: list[np.ndarray] = []
+        for docs, number, size, codes in _batches(batches, looked=looked):
             if not len(size):
                 continue
             row = np.repeat(np.arange(len(size)), size)
@@ -183,8 +250,9 @@ def postings(documents: DataFrame, counts: np.ndarray) -> DataFrame:
             bits = [b.view(np.int64) for b in bitmaps(codes, starts, size)]
             new = np.zeros(len(size), bool)
             order = np.lexsort((number, docs))
-            for k in order[size[order] >= LEAST_POSTED]:
-                own, at = (int(hashes[k]), int(bits[0][k]), int(size[k])), (int(docs[k]), int(number[k]))
+            order = order[size[order] >= LEAST_POSTED]
+            for k, h, b, n, doc, line in zip(*(x.tolist() for x in (order, hashes[order], bits[0][order], size[order], docs[order], number[order]))):
+                own, at = (h, b, n), (doc, line)
                 if own not in seen or at < seen[own]:
                     new[k] = True
                     if own in seen or len(seen) < CACHED_SETS:
@@ -194,13 +262,49 @@ def postings(documents: DataFrame, counts: np.ndarray) -> DataFrame:
             ranked = ranked[np.argsort(_short(row[ranked]), kind="stable")]
             position = np.arange(len(codes)) - np.repeat(starts, size)
             taken = (position < prefix(size)[row]) & new[row] & (rank[ranked] > 1)
+            if looked is not None:
+                taken &= looked[_bucket(codes[ranked])]
             own = row[taken]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(codes[ranked][taken]), pa.array(docs[own]), pa.array(number[own]), pa.array(size[own].astype(np.int32)), pa.array(position[taken].astype(np.int32)),
-                *[pa.array(b[own]) for b in bits],
-            ], schema=POSTS)
+            posts = np.empty(len(own), POST)
+            for name, x in zip(POST.names, (codes[ranked][taken], docs[own], number[own], size[own], position[taken], *[b[own] for b in bits])):
+                posts[name] = x
+            held.append(posts)
+            if sum(map(len, held)) >= BLOCK_POSTS:
+                yield _dealt(held, parts)
+                held = []
+        if held:
+            yield _dealt(held, parts)
+
+    return documents.mapInArrow(post, "part int, posts binary")
+
 
-    return documents.mapInArrow(post, "token long, doc long, line int, size int, pos int, " + ", ".join(f"{b} long" for b in BITS))
+def _dealt(held: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """A block for each part that postings belong to."""
+    posts = np.concatenate(held)
+    part = ((posts["token"] >> 22) % parts).astype(np.int32)
+    order = np.argsort(_short(part), kind="stable")
+    part = part[order]
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = np.r_[first, len(part)].astype(np.int32) * POST.itemsize
+    blocks = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(_taken(posts, order))])
+    return pa.RecordBatch.from_arrays([pa.array(part[first]), blocks], ["part", "posts"])
+
+
+def _taken(posts: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """``posts[order]``, moved as bytes."""
+    return posts.view(np.uint8).reshape(-1, POST.itemsize).take(order, axis=0).view(POST)[:, 0]
+
+
+def single_posts(posts: DataFrame) -> DataFrame:
+    """A row for each posting of the blocks."""
+
+    def read(batches):
+        for batch in batches:
+            for data in batch.column("posts").to_pylist():
+                block = np.frombuffer(data, POST)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(block[c])) for c in POST.names], list(POST.names))
+
+    return posts.mapInArrow(read, "token long, doc long, line int, size int, pos int, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def pairs_of(columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -214,7 +318,7 @@ def pairs_of(columns: list[np.ndarray]) -> pa.RecordBatch:
     token, doc, line, size, pos, *bits = columns
     bits = [b.view(np.uint64) for b in bits]
     posting = np.cumsum(np.r_[0, token[1:] != token[:-1]])
-    order = np.lexsort((pos, bits[0], size, posting))
+    order = np.lexsort((_short(pos), bits[0], _short(size), _short(posting)))
     same = np.zeros(len(order), bool)
     same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (posting, size, *bits, pos)])
     stand = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
@@ -261,25 +365,33 @@ def candidates(posts: DataFrame) -> DataFrame:
     """(doc, line, a_doc, a_line, more): pairs that pass the filters, the earlier line under a_."""
 
     def read(batches):
-        held: list = []  # the parts of the posting that is not known to be whole
+        part, held = None, []  # the blocks of a part
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(columns[0]):
-                continue
-            cut = int(np.searchsorted(columns[0], columns[0][-1]))
-            if held and held[0][0][0] == columns[0][-1]:
-                held.append(columns)
-                continue
-            whole = [*held, [c[:cut] for c in columns]]
-            held = [[c[cut:] for c in columns]]
-            joined = [np.concatenate(c) for c in zip(*whole)]
-            if len(joined[0]):
-                yield pairs_of(joined)
-        if held:
-            yield pairs_of([np.concatenate(c) for c in zip(*held)])
-
-    order = ["token", "doc", "line"]
-    return posts.repartition("token").sortWithinPartitions(*order).mapInArrow(read, "doc long, line int, a_doc long, a_line int, more boolean")
+            for k, data in zip(batch.column("part").to_pylist(), batch.column("posts").to_pylist()):
+                if k != part:
+                    yield from _met(held)
+                    part, held = k, []
+                held.append(np.frombuffer(data, POST))
+        yield from _met(held)
+
+    return posts.repartition("part").sortWithinPartitions("part").mapInArrow(read, "doc long, line int, a_doc long, a_line int, more boolean")
+
+
+def _met(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """PAIRS of the blocks of a part; words that one line alone is posted under meet nothing."""
+    if not held:
+        return
+    posts = np.concatenate(held)
+    order = np.argsort(posts["token"])
+    token = posts["token"][order]
+    same = token[1:] == token[:-1]
+    shared = np.r_[False, same] | np.r_[same, False]
+    if shared.any():
+        order, posting = order[shared], np.cumsum(np.r_[True, ~same])[shared]
+        posting -= posting[0]
+        line, doc = posts["line"][order], posts["doc"][order]
+        own = _taken(posts, order[np.lexsort((_short(line), doc, _short(posting)))])
+        yield pairs_of([np.ascontiguousarray(own[c]) for c in POST.names])
 
 
 def all_candidates(posts: DataFrame, own: DataFrame) -> DataFrame:
@@ -329,22 +441,25 @@ def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def repeated_lines(documents: DataFrame) -> DataFrame:
     """(doc, line) of the lines that go; ``documents`` hold doc and text."""
-    keys = materialize(line_keys(documents), "line-keys")
-    first = keys.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    same = keys.join(first, "key").filter(F.struct("doc", "line") != F.col("_first")).select("doc", "line")
+    read = materialize(line_keys(documents), "line-keys")
+    keys = read.filter("part IS NULL").select("doc", "line", "key", "key2")
+    first = keys.groupBy("key", "key2").agg(F.min(F.struct("doc", "line")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    same = keys.join(first, ["key", "key2"]).filter(F.struct("doc", "line") != F.col("_first")).select("doc", "line")
     same = materialize(same, "equal-lines")
-    counts = rarity(documents)
-    posts = postings(documents, counts)  # read once more where partners fail, which costs less than keeping them
-    pairs = candidates(posts).groupBy("doc", "line", "a_doc", "a_line").agg(F.max("more").alias("more"))
+    counts = ranks(read)
+    pairs = candidates(postings(documents, counts)).groupBy("doc", "line", "a_doc", "a_line").agg(F.max("more").alias("more"))
     pairs = materialize(pairs.join(same, ["doc", "line"], "left_anti"), "pairs")
     judged = materialize(verified(documents, pairs), "judged").groupBy("doc", "line").agg(F.max("similar").alias("similar"), F.max("more").alias("more"))
     gone = judged.filter("similar").select("doc", "line")
     again = materialize(judged.filter("more AND NOT similar").select("doc", "line"), "again")  # its size is known: a small one is sent to the postings
     if not again.isEmpty():
-        # They meet every partner this time: their own postings, few as they are, look through all others.
-        own = postings(holding(documents, again), counts).join(again, ["doc", "line"], "left_semi")
-        own = materialize(own.select(*POSTS.names), "own-postings")
-        pairs = materialize(all_candidates(posts, own), "pairs").withColumn("more", F.lit(False))
+        # They meet every partner this time: their own postings, few as they are, look through all others of their words.
+        own = single_posts(postings(holding(documents, again), counts)).join(again, ["doc", "line"], "left_semi")
+        own = materialize(own.select(*POST.names), "own-postings")
+        looked = np.zeros(RARITY_BUCKETS, bool)
+        looked[own.select(F.pmod("token", F.lit(RARITY_BUCKETS)).alias("at")).distinct().toArrow()["at"].to_numpy()] = True  # at most RARITY_BUCKETS rows
+        others = single_posts(postings(documents, counts, looked))  # read once more, which costs less than keeping them
+        pairs = materialize(all_candidates(others, own), "pairs").withColumn("more", F.lit(False))
         gone = gone.union(verified(documents, pairs).filter("similar").select("doc", "line"))
     return materialize(same.union(gone).distinct(), "repeated-lines")
 

@@ -210,6 +210,42 @@ def test_short_lines_go_as_copies_and_four_words_with_five(spark):
     assert got == {1: "", 2: "0,2", 3: "0,2"}
 
 
+def test_codes_tell_words_of_all_lengths_and_the_lines_they_stand_in():
+    rng = np.random.default_rng(6)
+    vocabulary = ["".join(rng.choice(list("abé9"), int(n))) for n in rng.integers(1, 40, 400)]
+    vocabulary += ["x" * n + end for n in (7, 8, 9, 15, 16, 17, 255, 256, 257, 600) for end in ("", "a", "b")]
+    rows = [[vocabulary[k] for k in rng.integers(0, len(vocabulary), int(n))] for n in rng.integers(0, 9, 300)]
+    texts = ["\n".join(" .".join(own) for own in rows[k : k + 7]) for k in range(0, 300, 7)]
+    codes, row, first = lines.word_codes([None, *texts[:20], "", *[t.encode() for t in texts[20:]]])
+    flat = [w for own in rows for w in own]
+    assert len(codes) == len(flat) and len(set(zip(flat, codes.tolist()))) == len(set(flat)) == len(set(codes.tolist()))
+    kept = [k for k in range(first[-1]) if k not in (0, int(first[21]))]  # the null and the empty text are a line each
+    assert [int((row == k).sum()) for k in kept] == [len(own) for own in rows]
+
+
+def test_postings_are_shuffled_in_blocks_and_looked_up_by_bucket(spark, lined):
+    given = lines.numbered(documents(spark, lined)).select(F.col("_doc").alias("doc"), "text").repartition(2).cache()
+    counts = lines.rarity(given)
+    blocks = lines.postings(given, counts)
+    posts = lines.single_posts(blocks).collect()
+    assert 0 < blocks.count() <= 2 * lines.parts_of(counts) < len(posts)
+    token = min(p.token for p in posts)
+    looked = np.zeros(lines.RARITY_BUCKETS, bool)
+    looked[token % lines.RARITY_BUCKETS] = True
+    found = lines.single_posts(lines.postings(given, counts, looked)).collect()
+    assert sorted(map(tuple, found)) == sorted(tuple(p) for p in posts if looked[p.token % lines.RARITY_BUCKETS])
+
+
+def test_counts_of_words_do_not_depend_on_how_they_are_gathered(spark, lined, monkeypatch):
+    given = lines.numbered(documents(spark, lined)).select(F.col("_doc").alias("doc"), "text")
+    want = np.bincount(lines.word_codes([t for _, t in lined])[0] & (lines.RARITY_BUCKETS - 1), minlength=lines.RARITY_BUCKETS)
+    for most in (1, 1000):
+        monkeypatch.setattr(lines, "BLOCK_WORDS", most)
+        got = lines.rarity(given)
+        assert ((got == 0) == (want == 0)).all() and ((got == 1) == (want == 1)).all()
+        assert (np.diff(got[np.argsort(want)].astype(int)) >= 0).all()
+
+
 def test_documents_without_lines_left_go(spark):
     line = "six words stand in this line"
     out = lines.remove_repeated_lines(documents(spark, [(1, line), (2, line), (3, f"{line}\nshort"), (4, None), (5, "")]))
