@@ -42,7 +42,7 @@ NO_ID = -(2**63)  # stands for a null id, in front of all others
 
 POST = np.dtype([("token", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4"), *[(b, "<i8") for b in BITS]])
 BLOCK_WORDS = 1_000_000  # that a task counts at a time
-BLOCK_POSTS = 250_000  # postings that a task gathers before it deals them out
+BLOCK_POSTS = 125_000  # postings that a task gathers before it deals them out
 PART_WORDS = 1_000_000  # words of the table for each part of the postings
 COUNTED = 1 << 16  # rarity buckets counted in one block
 COUNT = np.dtype([("at", "<u2"), ("n", "<i8")])

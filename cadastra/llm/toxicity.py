@@ -11,15 +11,13 @@ hash of their id. Only the label and the text enter.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import free_name, mix, ragged, slices, worker_cache
+from cadastra.llm.common import clear_worker_cache, free_name, mix, ragged, slices
 from cadastra.llm.decontaminate import words
 
 WINDOW, STRIDE = 24, 12
@@ -321,11 +319,11 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer
 
 def score_texts(documents: DataFrame, scorer: Scorer, name: str = "_toxic") -> DataFrame:
     """``documents`` with the column ``name``: a score from 0 to 1. Null and empty texts get the score of a text without windows; rows and other columns stay."""
-    name_of_model = f"toxicity:{uuid.uuid4().hex}"
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
-        return pa.array(worker_cache(name_of_model, lambda: scorer).score_column(text), pa.float64())
+        clear_worker_cache()
+        return pa.array(scorer.score_column(text), pa.float64())
 
     return documents.withColumn(name, scored.asNondeterministic()("text"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from cadastra.llm import chat, decontaminate, licences, lines, minhash, neighbours, packing, personal, scoring, toxicity
-from cadastra.llm.common import worker_cache
+from cadastra.llm.common import clear_worker_cache, worker_cache
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 DOCS = "doc_id long, text string, lang string, _x string, key string, line string, n long"
@@ -267,6 +267,10 @@ def test_a_worker_holds_the_cache_of_one_operator():
     del first
     other = worker_cache("other", Held)
     assert gone() is None and worker_cache("other", Held) is other
+    gone = weakref.ref(other)
+    del other
+    clear_worker_cache()
+    assert gone() is None
 
 
 def test_texts_are_scored_some_at_a_time(monkeypatch):
