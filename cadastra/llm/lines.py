@@ -41,8 +41,10 @@ BITS = ("bits", "bits1", "bits2", "bits3")
 NO_ID = -(2**63)  # stands for a null id, in front of all others
 
 POST = np.dtype([("token", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4"), *[(b, "<i8") for b in BITS]])
+SINGLE = "token long, doc long, line int, size int, pos int, " + ", ".join(f"{b} long" for b in BITS)
 BLOCK_WORDS = 1_000_000  # that a task counts at a time
 BLOCK_POSTS = 125_000  # postings that a task gathers before it deals them out
+MET_PAIRS = 500_000  # that are gathered at a posting before each line keeps its closest few
 PART_WORDS = 1_000_000  # words of the table for each part of the postings
 COUNTED = 1 << 16  # rarity buckets counted in one block
 COUNT = np.dtype([("at", "<u2"), ("n", "<i8")])
@@ -233,9 +235,10 @@ def parts_of(counts: np.ndarray) -> int:
     return 16 + int(words) // PART_WORDS
 
 
-def postings(documents: DataFrame, counts: np.ndarray, looked: np.ndarray | None = None) -> DataFrame:
+def postings(documents: DataFrame, counts: np.ndarray, looked: np.ndarray | None = None, single: bool = False) -> DataFrame:
     """The prefix words of each line of LEAST_POSTED words or more, in blocks of POST by ``part`` of the words; of equal sets, a task leaves
-    out what comes after one it has posted. With ``looked``, only words of those buckets."""
+    out what comes after one it has posted. With ``looked``, only words of those buckets. With ``single``, the rows of ``single_posts``, by the
+    same Python worker: a second one for each task would stay beside it with memory of its own."""
     parts = parts_of(counts)
 
     def post(batches):
@@ -268,6 +271,9 @@ def postings(documents: DataFrame, counts: np.ndarray, looked: np.ndarray | None
             posts = np.empty(len(own), POST)
             for name, x in zip(POST.names, (codes[ranked][taken], docs[own], number[own], size[own], position[taken], *[b[own] for b in bits])):
                 posts[name] = x
+            if single:
+                yield _rows(posts)
+                continue
             held.append(posts)
             if sum(map(len, held)) >= BLOCK_POSTS:
                 yield _dealt(held, parts)
@@ -275,7 +281,7 @@ def postings(documents: DataFrame, counts: np.ndarray, looked: np.ndarray | None
         if held:
             yield _dealt(held, parts)
 
-    return documents.mapInArrow(post, "part int, posts binary")
+    return documents.mapInArrow(post, SINGLE if single else "part int, posts binary")
 
 
 def _dealt(held: list[np.ndarray], parts: int) -> pa.RecordBatch:
@@ -301,10 +307,13 @@ def single_posts(posts: DataFrame) -> DataFrame:
     def read(batches):
         for batch in batches:
             for data in batch.column("posts").to_pylist():
-                block = np.frombuffer(data, POST)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(block[c])) for c in POST.names], list(POST.names))
+                yield _rows(np.frombuffer(data, POST))
+
+    return posts.mapInArrow(read, SINGLE)
+
 
-    return posts.mapInArrow(read, "token long, doc long, line int, size int, pos int, " + ", ".join(f"{b} long" for b in BITS))
+def _rows(block: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(block[c])) for c in POST.names], list(POST.names))
 
 
 def pairs_of(columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -329,7 +338,8 @@ def pairs_of(columns: list[np.ndarray]) -> pa.RecordBatch:
     behind[order[second - 1]] = order[second]
     where, s, b, p = posting[chosen], size[chosen], [x[chosen] for x in bits], pos[chosen]
     end = np.searchsorted(where, where, side="right")
-    met: list[np.ndarray] = []
+    met, gathered, n = np.zeros((3, 0), np.int64), [], 0
+    others = np.zeros(len(order), bool)  # of a line, that there are more than are kept
     left, step = np.arange(len(chosen)), 0
     while len(left):
         step += 1
@@ -342,36 +352,46 @@ def pairs_of(columns: list[np.ndarray]) -> pa.RecordBatch:
         if len(fits):
             x, y = left[fits], right[fits]
             close = 2 * np.minimum(s[x] - p[x], s[y] - p[y]) >= both[fits] - spare[fits]
-            met.append(np.stack([chosen[x][close], chosen[y][close], apart[close]]))
-    if met:
-        x, y, apart = np.concatenate(met, axis=1)
-        a, b = np.minimum(x, y), np.maximum(x, y)
-        good = (doc[a] != doc[b]) | (line[a] != line[b])
-        a, b, apart = a[good], b[good], apart[good]
-        order = np.lexsort((a, apart, b))
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]][: len(b)])
-        n = np.diff(np.r_[first, len(b)])
-        kept = np.arange(len(b)) - np.repeat(first, n) < PARTNERS
-        later.append(b[kept])
-        earlier.append(a[kept])
-        hidden = np.add.reduceat(behind[a] < b, first) > 0 if len(b) else np.zeros(0, bool)
-        more.append(np.repeat((n > PARTNERS) | hidden, n)[kept])
+            x, y = chosen[x][close], chosen[y][close]
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            good = (doc[x] != doc[y]) | (line[x] != line[y])
+            x, y = x[good], y[good]
+            others[y[behind[x] < y]] = True
+            gathered.append(np.stack([x, y, apart[close][good]]))
+            n += len(x)
+            if n >= MET_PAIRS + met.shape[1]:
+                met, gathered, n = _closest([met, *gathered], others), [], 0
+    x, y, _ = _closest([met, *gathered], others)
+    later.append(y)
+    earlier.append(x)
+    more.append(others[y])
     b, a, m = np.concatenate(later), np.concatenate(earlier), np.concatenate(more)
     return pa.RecordBatch.from_arrays([pa.array(doc[b]), pa.array(line[b]), pa.array(doc[a]), pa.array(line[a]), pa.array(m)], schema=PAIRS)
 
 
+def _closest(met: list[np.ndarray], others: np.ndarray) -> np.ndarray:
+    """The closest few earlier partners of each line, in order; ``others`` marks lines that had more."""
+    a, b, apart = np.concatenate(met, axis=1)
+    order = np.lexsort((a, apart, b))
+    later = b[order]
+    first = np.flatnonzero(np.r_[True, later[1:] != later[:-1]][: len(later)])
+    kept = np.arange(len(later)) - np.repeat(first, np.diff(np.r_[first, len(later)])) < PARTNERS
+    others[later[~kept]] = True
+    order = order[kept]
+    return np.stack([a[order], b[order], apart[order]])
+
+
 def candidates(posts: DataFrame) -> DataFrame:
     """(doc, line, a_doc, a_line, more): pairs that pass the filters, the earlier line under a_."""
 
     def read(batches):
         part, held = None, []  # the blocks of a part
         for batch in batches:
-            for k, data in zip(batch.column("part").to_pylist(), batch.column("posts").to_pylist()):
+            for k, data in zip(batch.column("part").to_pylist(), batch.column("posts")):
                 if k != part:
                     yield from _met(held)
                     part, held = k, []
-                held.append(np.frombuffer(data, POST))
+                held.append(np.frombuffer(data.as_buffer(), POST))  # where the batch has them
         yield from _met(held)
 
     return posts.repartition("part").sortWithinPartitions("part").mapInArrow(read, "doc long, line int, a_doc long, a_line int, more boolean")
@@ -382,6 +402,7 @@ def _met(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     posts = np.concatenate(held)
+    held.clear()
     order = np.argsort(posts["token"])
     token = posts["token"][order]
     same = token[1:] == token[:-1]
@@ -390,8 +411,9 @@ def _met(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         order, posting = order[shared], np.cumsum(np.r_[True, ~same])[shared]
         posting -= posting[0]
         line, doc = posts["line"][order], posts["doc"][order]
-        own = _taken(posts, order[np.lexsort((_short(line), doc, _short(posting)))])
-        yield pairs_of([np.ascontiguousarray(own[c]) for c in POST.names])
+        posts = _taken(posts, order[np.lexsort((_short(line), doc, _short(posting)))])
+        del order, token, same, shared, posting, line, doc
+        yield pairs_of([np.ascontiguousarray(posts[c]) for c in POST.names])
 
 
 def all_candidates(posts: DataFrame, own: DataFrame) -> DataFrame:
@@ -454,11 +476,11 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     again = materialize(judged.filter("more AND NOT similar").select("doc", "line"), "again")  # its size is known: a small one is sent to the postings
     if not again.isEmpty():
         # They meet every partner this time: their own postings, few as they are, look through all others of their words.
-        own = single_posts(postings(holding(documents, again), counts)).join(again, ["doc", "line"], "left_semi")
+        own = postings(holding(documents, again), counts, single=True).join(again, ["doc", "line"], "left_semi")
         own = materialize(own.select(*POST.names), "own-postings")
         looked = np.zeros(RARITY_BUCKETS, bool)
         looked[own.select(F.pmod("token", F.lit(RARITY_BUCKETS)).alias("at")).distinct().toArrow()["at"].to_numpy()] = True  # at most RARITY_BUCKETS rows
-        others = single_posts(postings(documents, counts, looked))  # read once more, which costs less than keeping them
+        others = postings(documents, counts, looked, single=True)  # read once more, which costs less than keeping them
         pairs = materialize(all_candidates(others, own), "pairs").withColumn("more", F.lit(False))
         gone = gone.union(verified(documents, pairs).filter("similar").select("doc", "line"))
     return materialize(same.union(gone).distinct(), "repeated-lines")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import weakref
 import zlib
 from collections import Counter, defaultdict
@@ -236,6 +237,41 @@ def test_postings_are_shuffled_in_blocks_and_looked_up_by_bucket(spark, lined):
     assert sorted(map(tuple, found)) == sorted(tuple(p) for p in posts if looked[p.token % lines.RARITY_BUCKETS])
 
 
+def test_lines_taken_up_again_are_posted_by_one_python_worker(spark, lined):
+    given = lines.numbered(documents(spark, lined)).select(F.col("_doc").alias("doc"), "text").cache()
+    counts = lines.rarity(given)
+    rows = lines.postings(given, counts, single=True)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, lines.single_posts(lines.postings(given, counts)).collect()))
+
+
+def near_copies(n):
+    """The columns of one posting of lines that differ in a few words each; some are hidden behind another."""
+    rng = np.random.default_rng(7)
+    one, other = np.uint64(1) << rng.integers(0, 64, (2, n)).astype(np.uint64)
+    zeros = np.zeros(n, np.int64)
+    return [zeros, np.arange(n), zeros.astype(np.int32), rng.integers(20, 23, n).astype(np.int32), rng.integers(0, 3, n).astype(np.int32), (one ^ other).view(np.int64), zeros, zeros, zeros]
+
+
+def test_near_copies_do_not_gather_all_their_pairs():
+    columns = near_copies(3000)
+    tracemalloc.start()
+    found = lines.pairs_of(columns)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80_000_000 and max(Counter(found["doc"].to_pylist()).values()) <= lines.PARTNERS
+
+
+def test_pairs_do_not_depend_on_how_many_are_gathered(monkeypatch):
+    columns = near_copies(300)
+    monkeypatch.setattr(lines, "MET_PAIRS", 1 << 40)
+    want = lines.pairs_of(columns).to_pylist()
+    assert {r["more"] for r in want} == {True, False}
+    for most in (1, 50, 2000):
+        monkeypatch.setattr(lines, "MET_PAIRS", most)
+        assert lines.pairs_of(columns).to_pylist() == want
+
+
 def test_counts_of_words_do_not_depend_on_how_they_are_gathered(spark, lined, monkeypatch):
     given = lines.numbered(documents(spark, lined)).select(F.col("_doc").alias("doc"), "text")
     want = np.bincount(lines.word_codes([t for _, t in lined])[0] & (lines.RARITY_BUCKETS - 1), minlength=lines.RARITY_BUCKETS)
