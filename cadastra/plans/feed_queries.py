@@ -221,6 +221,16 @@ def _(t):
 FILE_KEYS = {"lineitem": ["l_shipdate", "l_orderkey"]}
 BATCHES = 5
 FILE_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
+
+
+def _met(rows):
+    """A table as a batch meets it: one of more than BROADCAST_ROWS rows by a merge join.
+
+    Spark sizes a table by its packed files and the share of the columns read, so the keys of millions of rows look small
+    enough to broadcast, and the driver holds them many times as large.
+    """
+    return rows.hint("merge") if rows.count() > BROADCAST_ROWS else rows
 
 
 def _files_a_batch(rows: int) -> int:
@@ -231,7 +241,7 @@ def _files_a_batch(rows: int) -> int:
 def _stream(t, view: str, name: str):
     """An adapter view with one of its raw tables read as a stream of five batches, the dates mixed; larger tables land in more files a batch."""
     body = texts(SPARK)[view]
-    bound = {raw: t.raw(raw) for raw in RAW if "{" + raw + "}" in body and raw != name}
+    bound = {raw: _met(t.raw(raw)) for raw in RAW if "{" + raw + "}" in body and raw != name}
     path = shared_dir(t.spark, "landed")
     files = _files_a_batch(t.raw(name).count())
     t.raw(name).repartition(BATCHES * files, F.xxhash64(*FILE_KEYS[name])).write.parquet(path)

@@ -288,6 +288,24 @@ def test_a_larger_table_lands_in_more_files(spark, monkeypatch):
     assert len(held) > 15 and max(r["count"] for r in held) < 300
 
 
+def test_a_table_of_many_rows_is_not_broadcast_to_a_batch(spark, tmp_path, monkeypatch):
+    spark.range(200).selectExpr("id AS p_partkey", "'' AS p_name", "'' AS p_brand", "'' AS p_type", "1 AS p_size", "1.0D AS p_retailprice").write.parquet(str(tmp_path / "part"))
+    spark.range(20).selectExpr("id AS s_suppkey", "'' AS s_name", "0 AS s_nationkey", "1.0D AS s_acctbal").write.parquet(str(tmp_path / "supplier"))
+    lines = spark.range(20).selectExpr(
+        "id AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "1 AS l_linenumber", "1.0D AS l_quantity", "1.0D AS l_extendedprice", "0.0D AS l_discount", "0.0D AS l_tax", "'N' AS l_returnflag",
+        "'F' AS l_linestatus", "TIMESTAMP_NTZ '2000-01-01 00:00:00' AS l_shipdate")
+    nation = spark.createDataFrame([(0, "A", 0)], adapters.RAW["nation"])
+    stored = {n: spark.read.schema(adapters.RAW[n]).parquet(str(tmp_path / n)) for n in ("part", "supplier")}
+    t = SimpleNamespace(spark=spark, raw={"lineitem": lines, "nation": nation, **stored}.get)
+    monkeypatch.setattr(feeds, "stream_parquet", lambda session, path, schema, files_per_trigger: session.read.schema(schema).parquet(path))
+    monkeypatch.setattr(feed_queries, "BROADCAST_ROWS", 100)
+    rows = feed_queries._stream(t, "registration_seen", "lineitem").select("first_seen")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    met = [line for line in plan.splitlines() if "Join" in line]
+    assert any("SortMergeJoin" in x and "p_partkey" in x for x in met) and any("BroadcastHashJoin" in x and "s_suppkey" in x for x in met)
+    assert rows.count() == 20
+
+
 def test_website_export_is_packed_in_bounded_files(spark, monkeypatch):
     monkeypatch.setattr(feed_queries, "FILE_ROWS", 10)
     rows = feed_queries._website_csv(SimpleNamespace(spark=spark, registration_id=_registrations(spark, 100).coalesce(1)))
