@@ -34,6 +34,25 @@ def row_ids(tx: DataFrame, feed: str, order: Sequence[str], stamp: str | None =
     return numbered.withColumn("stored_id", forms[feed]).drop("_number", "_n")
 
 
+SIEVE_BITS = 1 << 28
+
+
+def _sift(rows: DataFrame, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``_h`` may be among ``hashes`` (_h), and rows whose ``_h`` is not, without moving a row.
+
+    The hashes set bits of a bitmap of SIEVE_BITS, sent to every task as rows of 64 words of 64 bits: 32 MB at
+    most, whatever the table. Where many hashes fill it, more rows are told they may be among them.
+    """
+    at = F.expr(f"pmod(_h, {SIEVE_BITS}L)")
+    bit = F.expr("shiftleft(1L, CAST(_at & 63 AS INT))")
+    words = hashes.select(at.alias("_at")).groupBy(F.expr("shiftright(_at, 6)").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    held = words.groupBy(F.expr("shiftright(_word, 6)").alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr("_word & 63L"), "_bits"))).alias("_held"))
+    bitmap = held.select("_row", F.expr("transform(sequence(0L, 63L), i -> coalesce(try_element_at(_held, i), 0L))").alias("_words"))
+    met = rows.withColumn("_at", at).withColumn("_row", F.expr("shiftright(_at, 12)")).join(F.broadcast(bitmap), "_row", "left")
+    met = met.withColumn("_may", F.coalesce((F.expr("get(_words, CAST(shiftright(_at, 6) & 63 AS INT))").bitwiseAND(bit)) != 0, F.lit(False)))
+    return met.filter("_may").select(*rows.columns), met.filter("NOT _may").select(*rows.columns)
+
+
 def merge_duplicates(tx: DataFrame) -> DataFrame:
     """One row per canonical key out of the copies several feeds filed.
 
@@ -43,7 +62,8 @@ def merge_duplicates(tx: DataFrame) -> DataFrame:
     when every copy is. Rows without a key are kept as they are.
 
     Most keys are held once, and a lone row keeps its own values. Keys held more often are told by a count of
-    their hashes, numbers alone; only their rows are merged, all fields in one aggregate of minima and
+    their hashes, numbers alone, and a bitmap of these leaves most lone rows where they are; only the rest is shuffled to
+    meet the hashes. Only rows of keys held more often are merged, all fields in one aggregate of minima and
     maxima, so copies combine before the shuffle and a key with any number of copies stays one row per
     task. (Two keys of one hash only send lone rows through the merge, which leaves them as they are.)
     """
@@ -55,7 +75,8 @@ def merge_duplicates(tx: DataFrame) -> DataFrame:
     )
     keyed = tx.filter(F.col("tx_key").isNotNull()).withColumn("_h", F.xxhash64("tx_key"))
     often = keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_h")
-    copies, lone = keyed.join(often, "_h", "left_semi"), keyed.join(often, "_h", "left_anti")
+    moved, still = _sift(keyed, often)
+    copies, lone = moved.join(often, "_h", "left_semi"), moved.join(often, "_h", "left_anti").unionByName(still)
     rows = copies.select("*", order.alias("_o"), web.alias("_web"), *[blank_to_null(c).alias(f"_t_{c}") for c in TEXT_COLUMNS])
     fils = F.abs(F.col("actual_worth") - F.round("actual_worth")) > 1e-9
     first = lambda c, cond=None: F.min_by(c, F.when(F.col(c).isNotNull() if cond is None else cond, F.col("_o")))

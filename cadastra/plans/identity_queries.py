@@ -7,7 +7,7 @@ from cadastra.functions.numbers import half_up
 from cadastra.operators import identity
 from cadastra.plans.adapters import AS_OF
 from cadastra.plans.registry import cnt, query, rnd
-from cadastra.session import materialize
+from cadastra.session import letting_shuffles_go, materialize
 
 KEY = """CASE WHEN len(string_split(transaction_id,'-'))=4 THEN string_split(transaction_id,'-')[2] || '|' || string_split(transaction_id,'-')[3] || '|' || string_split(transaction_id,'-')[4] || '|' || trans_group
   WHEN len(string_split(transaction_id,'-'))=3 THEN string_split(transaction_id,'-')[1] || '|' || string_split(transaction_id,'-')[3] || '|' || string_split(transaction_id,'-')[2] || '|' || trans_group END"""
@@ -28,7 +28,9 @@ def feeds(t):
 
 def stored_feeds(t):
     """The keyed feeds as a stored table: the key is a column of the register, not recomputed per step; columns no step reads are not stored."""
-    return materialize(feeds(t).drop("expected_key", "nearest_metro", "nearest_landmark", "nearest_mall", "master_project"), "keyed-feeds")
+    rows = feeds(t).drop("expected_key", "nearest_metro", "nearest_landmark", "nearest_mall", "master_project")
+    with letting_shuffles_go(rows.sparkSession):
+        return materialize(rows, "keyed-feeds")
 
 
 @query("registration_keys", "SELECT trans_group, count(*) AS n, count(DISTINCT expected_key) AS keys, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS unkeyed FROM registration_id GROUP BY 1")

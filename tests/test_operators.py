@@ -108,6 +108,22 @@ def test_merge_duplicates(spark):
     assert out[out.transaction_id == "1-11-2026-8"].iloc[0].meter_sale_price == 3.0
 
 
+def test_lone_rows_are_sifted_out_unmoved(spark, monkeypatch):
+    rows = [_tx(f"1-11-2026-{k}", D(2026, 8, 1), 5.0 + k, rooms=" ") for k in range(300)] + [_tx(f"w#11-{k}-2026#1", D(2026, 7, 1), 6.5, rooms="2 B/R") for k in range(0, 300, 60)]
+    keyed = identity.with_keys(spark.createDataFrame(rows, TX)).withColumn("_h", F.xxhash64("tx_key"))
+    often = keyed.groupBy("_h").count().filter("count > 1").select("_h")
+    may, still = identity._sift(keyed, often)
+    assert may.count() == 10 and still.count() == 295
+    assert "Exchange hashpartitioning(_h" not in still._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    merged = sorted(map(str, identity.merge_duplicates(keyed.drop("_h")).collect()))
+    assert len(merged) == 300 and sum("copies=2" in m for m in merged) == 5
+    monkeypatch.setattr(identity, "SIEVE_BITS", 64)  # a full bitmap lets more rows through, and changes no result
+    assert identity._sift(keyed, often)[0].count() > 10
+    assert sorted(map(str, identity.merge_duplicates(keyed.drop("_h")).collect())) == merged
+    none = identity._sift(keyed, often.limit(0))
+    assert (none[0].count(), none[1].count()) == (0, 305)
+
+
 def test_append_and_upsert(spark):
     store = spark.createDataFrame([("a", 1, "x")], "k string, v int, w string")
     batch = spark.createDataFrame([("a", 9, None), ("b", 2, "y"), ("b", 3, "z"), (None, 4, "q"), (None, 4, "q")], store.schema)

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -318,6 +319,19 @@ def test_stored_feeds_hold_only_what_is_read(spark):
     assert all(f.endswith(".zstd.parquet") for f in held.inputFiles())
 
 
+def test_stored_feeds_leave_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    held = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before = held()
+    rows = identity_queries.stored_feeds(SimpleNamespace(registration_id=_registrations(spark, 50).repartition(4, "transaction_id")))
+    for _ in range(50):  # Spark removes them in the background
+        if not held() - before:
+            break
+        time.sleep(0.2)
+    assert not held() - before and rows.count() == 50
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_sections_of_a_pack_read_what_they_share_from_storage(spark, data_dir):
     from cadastra.operators import market
     from cadastra.plans import feed_queries, market_pack
