@@ -7,8 +7,8 @@ distance, and the tables' lists are merged.
 
 Equal vectors are collapsed first; as ties go to the smaller id, a vector needs no more than the smallest ``k + 1`` of its
 ids. Buckets are cut into blocks of bounded size, and a query's probe meets each. The cell width
-follows the distances in a sample of at most ``SAMPLE`` vectors; all vectors are indexed. A query that finds
-fewer than k is answered by a scan of all vectors, such queries going in blocks of ``SCAN_BLOCK``.
+follows the distances in a sample of at most ``SAMPLE`` vectors, which are all that reaches the driver; all vectors are
+indexed. A query that finds fewer than k is answered by a scan of all vectors, such queries going in blocks of ``SCAN_BLOCK``.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.llm.common import mix
-from cadastra.session import materialize
+from cadastra.session import materialize, shared_dir
 
 TABLES, PROJECTIONS, PROBES = 4, 8, 90
 WIDTH = 1.77  # of a cell, in median distances of the sample
 SAMPLE, SEED = 4096, 5
 BLOCK, SCAN_BLOCK = 4096, 500
+QUERY_TASK, SLICE = 256, 512  # queries whose probes one task names, and vectors hashed at a time
 
 HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -135,18 +136,24 @@ def search(vectors: DataFrame, is_query, k: int = 10, column: str = "embedding")
         def read(v: pa.Array) -> pa.Array:
             out: list = [None] * len(v)
             for at, x in _rows(v):
-                for j, own in zip(at, tables.probes(x) if probing else tables.buckets(x)):
-                    out[j] = np.unique(own)
+                for a in range(0, len(at), SLICE):
+                    some = x[a : a + SLICE]
+                    for j, own in zip(at[a : a + SLICE], tables.probes(some) if probing else tables.buckets(some)):
+                        out[j] = np.unique(own)
             return pa.array(out, pa.list_(pa.int64()))
 
         return read.asNondeterministic()
 
     index = groups.withColumn("bucket", F.explode(names(False)("v")))
-    parts = index.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    index = index.join(parts, "bucket").withColumn("block", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    # Only buckets of more than one block are named, one for BLOCK vectors of the index at most, so no vector is shuffled to meet them.
+    large = index.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).filter("parts > 1")
+    large = F.broadcast(materialize(large, "large-buckets"))
+    parts = F.coalesce("parts", F.lit(1))
+    index = index.join(large, "bucket", "left").withColumn("block", F.pmod(F.xxhash64("v"), parts).cast("int"))
     index = index.select("bucket", "block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("query_id"), "ids", "v")
-    probes = queries.withColumn("bucket", F.explode(names(True)("v"))).join(parts, "bucket")
-    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asking = queries.repartition(max(1, -(-queries.count() // QUERY_TASK)), "query_id")
+    probes = asking.withColumn("bucket", F.explode(names(True)("v"))).join(large, "bucket", "left")
+    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
     probes = probes.select("bucket", "block", F.lit(1).alias("kind"), "query_id", F.lit(None).cast("array<bigint>").alias("ids"), "v")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,10 +182,14 @@ def search(vectors: DataFrame, is_query, k: int = 10, column: str = "embedding")
     short = queries.join(full, "query_id", "left_anti")
     block: list = []
     found = hits.join(full, "query_id", "left_semi")
+    scanned, scans = shared_dir(groups.sparkSession, "scanned"), 0
     for row in short.toLocalIterator():
         block.append((row.query_id, row.v))
         if len(block) == SCAN_BLOCK:
-            found, block = found.unionByName(materialize(_scan(groups, block, k), "scanned")), []
+            _scan(groups, block, k).write.parquet(f"{scanned}/block={scans}", compression="zstd")
+            block, scans = [], scans + 1
+    if scans:
+        found = found.unionByName(groups.sparkSession.read.schema(hits.schema).parquet(f"{scanned}/*"))
     if block:
         found = found.unionByName(_scan(groups, block, k))
     return found.select("query_id", "rank", "vec_id", "score")
@@ -208,9 +219,16 @@ def _scan(groups: DataFrame, block: list, k: int) -> DataFrame:
     return _best(groups.select("ids", "v").mapInArrow(read, "query_id long, vec_id long, score double"), k)
 
 
+def _sample(groups: DataFrame) -> DataFrame:
+    """Vectors of the SAMPLE least hashes; to find them, only hashes go from a task to another."""
+    hashed = groups.select("v", F.xxhash64("v").alias("_h"))
+    last = hashed.select("_h").orderBy("_h").limit(SAMPLE).agg(F.max("_h")).first()[0]
+    return hashed.filter(F.col("_h") <= last)
+
+
 def _widths(groups: DataFrame) -> dict[int, float]:
     """Cell width by dimension, from distances between neighbours in a sample ordered by hash."""
-    rows = [np.array(r.v) for r in groups.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").collect()]
+    rows = [np.array(r.v) for r in sorted(_sample(groups).collect(), key=lambda r: r["_h"])[:SAMPLE]]
     out = {}
     for d in {len(v) for v in rows}:
         x = np.stack([v for v in rows if len(v) == d])

@@ -657,6 +657,38 @@ def test_few_candidates_come_whole(spark):
     assert neighbours.search(frame.limit(0), F.col("vec_id") == 0).collect() == []
 
 
+def test_a_sample_of_vectors_comes_alone(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE", 8)
+    frame = spark.range(400).selectExpr("id AS vec_id", "array(double(id + 1), double(id % 7)) AS v").repartition(16)
+    least = [tuple(r.v) for r in frame.orderBy(F.xxhash64("v")).limit(8).collect()]
+    sample = neighbours._sample(frame)
+    assert [tuple(r.v) for r in sorted(sample.collect(), key=lambda r: r["_h"])] == least
+    assert "TakeOrdered" not in sample._jdf.queryExecution().executedPlan().toString()
+    assert neighbours._sample(frame.limit(0)).collect() == [] and neighbours._widths(frame.limit(0)) == {}
+
+
+def test_many_short_queries_leave_a_short_plan(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SCAN_BLOCK", 2)
+    vectors = [(k, [float(k + 1)] * 3) for k in range(9)] + [(100 + k, [1.0, float(k)]) for k in range(12)]
+    found = neighbours.search(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.lit(True))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") < 8
+    got = defaultdict(dict)
+    for r in found.collect():
+        got[r.query_id][r.rank] = r.vec_id
+    assert set(got) == {i for i, _ in vectors}
+    assert [got[0][n] for n in range(1, 9)] == list(range(1, 9)) and len(got[0]) == 8 and all(len(got[100 + k]) == 10 for k in range(12))
+
+
+def test_probes_meet_every_block_of_a_large_bucket(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    frame = spark.createDataFrame([(k, rng.normal(size=8).tolist()) for k in range(600)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, neighbours.search(frame, F.col("vec_id") % 50 == 0).collect()))
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    monkeypatch.setattr(neighbours, "QUERY_TASK", 2)
+    monkeypatch.setattr(neighbours, "SLICE", 3)
+    assert sorted(map(tuple, neighbours.search(frame, F.col("vec_id") % 50 == 0).collect())) == want
+
+
 # Personal data and licences
 
 PERSONAL = [
